@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from cartoweave.llm import language_id, line_dedup, quality_rules, simhash
+from cartoweave.llm import decontaminate, language_id, line_dedup, packing, pii, quality_rules, simhash, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
+    "op3_decontamination": decontaminate.op3_decontamination,
+    "op4_packing": packing.op4_packing,
     "op5_simhash": simhash.op5_simhash,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_warc": warc.op9_warc,
+    "op10_pii": pii.op10_pii,
 }
 
 SQL = {
     "op1_language_id": language_id.SQL,
+    "op3_decontamination": decontaminate.SQL,
+    "op4_packing": packing.SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op8_quality_rules": quality_rules.SQL,
+    "op9_warc": warc.SQL,
 }
