@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from cartoweave.llm import decontaminate, language_id, line_dedup, packing, pii, quality_rules, simhash, warc
+from cartoweave.llm import decontaminate, language_id, line_dedup, packing, pii, quality_rules, simhash, suffix_dedup, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_packing": packing.op4_packing,
     "op5_simhash": simhash.op5_simhash,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_warc": warc.op9_warc,
