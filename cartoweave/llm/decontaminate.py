@@ -189,42 +189,48 @@ def _statistics(items: DataFrame):
     return rows.where("term IS NOT NULL").groupBy("term").count(), n, total, longest
 
 
-def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """One row for each row of docs (doc_id, text): doc_id, contaminated, item_ids; items: item_id, text."""
-    spark = docs.sparkSession
+def indexes(items: DataFrame):
+    """Broadcast indexes, one for each shard of items (item_id, text), as the caller asks for them."""
+    spark = items.sparkSession
     items = items.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").dropDuplicates()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    schema = "doc_id long, contaminated boolean, item_ids array<long>"
     frequency, n, total, longest = _statistics(items)
-    if not n:
-        return docs.select(F.col("doc_id").cast("long"), F.lit(False).alias("contaminated"), F.array().cast("array<long>").alias("item_ids"))
-    shards = -(-int(size) // SHARD_BYTES)
-    result = None
+    shards = -(-int(size) // SHARD_BYTES) if n else 0
     for shard in range(shards):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).sort("item_id", "text")
         rows = [(r.item_id, r.text) for r in own.collect()]  # about SHARD_BYTES
         terms = {w.decode("utf-8", "surrogatepass") for _, t in rows for w in words_of(t)}
         known = frequency if shards == 1 else frequency.join(spark.createDataFrame([(t,) for t in terms], "term string"), "term", "left_semi")
-        index = spark.sparkContext.broadcast(Index(rows, {r.term.encode("utf-8", "surrogatepass"): r["count"] for r in known.collect()}, n, total / n, max(2 * longest, 2 * WORDS)))
+        yield spark.sparkContext.broadcast(Index(rows, {r.term.encode("utf-8", "surrogatepass"): r["count"] for r in known.collect()}, n, total / n, max(2 * longest, 2 * WORDS)))
+
+
+def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """One row for each row of docs (doc_id, text): doc_id, contaminated, item_ids; items: item_id, text.
+
+    The scans of several shards hand the text on, so that documents are never shuffled.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.array().cast("array<long>").alias("item_ids"))
+    for index in indexes(items):
 
         def run(batches, index=index):
             for b in batches:
-                found = [index.value.leaks(t) for t in b.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([bool(x) for x in found]), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "contaminated", "item_ids"])
+                found = [sorted({*old, *index.value.leaks(t)}) for t, old in zip(b.column("text").to_pylist(), b.column("item_ids").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text", "item_ids"])
 
-        part = docs.select("doc_id", "text").mapInArrow(run, schema)
-        if shards > 1 and shard:  # later shards only tell the documents that they find
-            part = part.where("contaminated")
-        result = part if result is None else result.unionByName(part)
-    if shards > 1:
-        result = result.groupBy("doc_id").agg(F.bool_or("contaminated").alias("contaminated"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
-    return result
+        rows = rows.mapInArrow(run, "doc_id long, text string, item_ids array<long>")
+    return rows.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids")
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs, all columns, less the documents that hold a benchmark item."""
-    gone = find_leaks(docs, items).where("contaminated AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs, all columns, less the rows that hold a benchmark item."""
+    for index in indexes(items):
+
+        def run(batches, index=index):
+            for b in batches:
+                yield b.filter(pa.array([not index.value.leaks(t) for t in b.column("text").to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

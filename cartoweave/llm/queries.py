@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from cartoweave.llm import decontaminate, language_id, line_dedup, packing, pii, quality_rules, simhash, suffix_dedup, warc
+from cartoweave.llm import decontaminate, kneser_ney, language_id, line_dedup, packing, pii, quality_rules, simhash, suffix_dedup, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
+    "op2_quality_model": kneser_ney.op2_quality_model,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_packing": packing.op4_packing,
     "op5_simhash": simhash.op5_simhash,
