@@ -20,8 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bytes_of(df: DataFrame) -> int:
-    """Spark's estimate of the bytes that a plan reads; for files their size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Spark's estimate of the bytes that a plan reads, for files their size; 0 where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
 
 
 def parts_for(df: DataFrame, per_part: int, least: int = 1) -> int:

@@ -23,6 +23,7 @@ columns are not read; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -157,21 +158,24 @@ def references(docs: DataFrame) -> DataFrame:
 
 
 class LineIndex:
-    """The state at `path`: refs-<version> and filters-<version>, written anew by every change."""
+    """The state at `path`: refs-<version> and filters-<version>, written anew by every change; old versions stay usable."""
 
-    def __init__(self, spark: SparkSession, path: str, version: int = -1, shards: int = 1):
+    def __init__(self, spark: SparkSession, path: str, version: str | None = None, shards: int = 1):
         self.spark, self.path, self.version, self.shards = spark, path, version, shards
 
     def refs(self) -> DataFrame:
-        if self.version < 0:
+        if self.version is None:
             return self.spark.createDataFrame([], "h long, l long, doc_id long")
         return self.spark.read.parquet(f"{self.path}/refs-{self.version}")
 
     def filters(self) -> DataFrame:
-        if self.version < 0:
+        if self.version is None:
             return self.spark.createDataFrame([], "shard int, data binary")
         return self.spark.read.parquet(f"{self.path}/filters-{self.version}")
 
+    def _next(self) -> LineIndex:
+        return LineIndex(self.spark, self.path, uuid.uuid4().hex, self.shards)
+
     def _shard(self):
         return F.pmod("l", F.lit(self.shards)).cast("int").alias("shard")
 
@@ -182,23 +186,24 @@ class LineIndex:
     def insert(self, docs: DataFrame) -> LineIndex:
         """Add documents; references that the exact table has already are not added again."""
         fresh = references(docs)
-        if self.version < 0:
-            fresh.dropDuplicates(["h", "l", "doc_id"]).write.parquet(f"{self.path}/refs-0")
-            return LineIndex(self.spark, self.path, 0)._rebuilt()
+        if self.version is None:
+            new = self._next()
+            fresh.dropDuplicates(["h", "l", "doc_id"]).write.parquet(f"{self.path}/refs-{new.version}")
+            return new._rebuilt()
         fresh = fresh.dropDuplicates(["h", "l", "doc_id"]).persist(StorageLevel.DISK_ONLY)
         known = self._asked(fresh)
         repeated = known.where("known").join(self.refs(), ["h", "l", "doc_id"], "left_semi").select("h", "l", "doc_id")
         added = fresh.join(repeated, ["h", "l", "doc_id"], "left_anti")
-        self.refs().unionByName(added).write.parquet(f"{self.path}/refs-{self.version + 1}")
+        new = self._next()
+        self.refs().unionByName(added).write.parquet(f"{self.path}/refs-{new.version}")
         fresh.unpersist()
-        new = LineIndex(self.spark, self.path, self.version + 1, self.shards)
         return new._changed(self, insert=True)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Remove all references of the documents in doc_ids (column doc_id)."""
         gone = doc_ids.select("doc_id").distinct()
-        self.refs().join(gone, "doc_id", "left_anti").select("h", "l", "doc_id").write.parquet(f"{self.path}/refs-{self.version + 1}")
-        new = LineIndex(self.spark, self.path, self.version + 1, self.shards)
+        new = self._next()
+        self.refs().join(gone, "doc_id", "left_anti").select("h", "l", "doc_id").write.parquet(f"{self.path}/refs-{new.version}")
         return new._changed(self, insert=False)
 
     def _asked(self, refs: DataFrame) -> DataFrame:

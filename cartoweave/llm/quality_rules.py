@@ -109,18 +109,16 @@ def quality_rules(docs: DataFrame, lost_percent: int = LOST_PERCENT, with_text:
 
 def clean(docs: DataFrame, lost_percent: int = LOST_PERCENT) -> DataFrame:
     """The kept rows of docs with all their columns; text without failing lines, n_chars (if there) its code points."""
-    others = [f for f in docs.schema.fields if f.name not in ("text", "n_chars")]
-    counted = "n_chars" in docs.columns
+    names = docs.columns
+    others = [n for n in names if n not in ("text", "n_chars")]
 
     def run(batches):
         for b in batches:
             rows = [judge(t, lost_percent) for t in b.column("text").to_pylist()]
             at = pa.array([i for i, r in enumerate(rows) if r[6]], pa.int64())
             texts = [r[8] for r in rows if r[6]]
-            cols = {f.name: b.column(f.name).take(at) for f in others} | {"text": pa.array(texts, pa.string())}
-            if counted:
-                cols["n_chars"] = pa.array([len(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([cols[f.name] for f in docs.schema.fields], docs.columns)
+            cols = {n: b.column(n).take(at) for n in others} | {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
+            yield pa.RecordBatch.from_arrays([cols[n] for n in names], names)
 
     schema = ", ".join(f"`{f.name}` {'long' if f.name == 'n_chars' else f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, schema)
