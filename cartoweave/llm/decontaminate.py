@@ -39,8 +39,8 @@ from cartoweave.llm.common import table
 
 K1, B = 1.2, 0.75
 THRESHOLD, SIMILARITY, WORDS = 0.5, 0.8, 5
-#: Items of a posting block; bytes of items in a shard.
-ITEMS, SHARD_BYTES = 16, 16 << 20
+#: Items of a posting block; bytes of items in a shard, whose table of block maxima has terms x blocks numbers.
+ITEMS, SHARD_BYTES = 4, 512 << 10
 _TABLE = bytes.maketrans(string.punctuation.encode() + string.ascii_uppercase.encode(), b" " * len(string.punctuation) + string.ascii_lowercase.encode())
 _ANSWER = re.compile(r"(?is)^(.*)\banswer\s*:(.*)$")
 _LAST = re.compile(r"(?s)^(.*(?:[.!?](?=\s)|\n))(.*\S.*)$")
@@ -101,6 +101,7 @@ class Index:
         self.most = np.zeros((len(self.terms) + 1, blocks), np.float32)
         for t, k, v in rows:
             self.most[t, k // ITEMS] = max(self.most[t, k // ITEMS], np.nextafter(np.float32(v), np.float32(2)))
+        self.bound = self.most.max(1, initial=0)
 
     def retrieve(self, words: list[bytes]):
         """(passage start, item numbers) for each passage that retrieves any."""
@@ -112,16 +113,18 @@ class Index:
         step = max(1, size // 2)
         starts = np.arange(0, max(1, n - size + step), step)
         # only passages with a word of the index; a chunk at a time, so that long texts stay small
-        for c in range(0, len(starts), 256):
-            s = starts[c : c + 256]
+        for c in range(0, len(starts), 128):
+            s = starts[c : c + 128]
             at = s[:, None] + np.arange(size)
             own = np.where(at < n, ids[np.minimum(at, n - 1)], 0)
             own.sort(1)
             own[:, 1:][own[:, 1:] == own[:, :-1]] = 0
-            bounds = self.most[own].sum(1)
-            hit = bounds >= THRESHOLD * (1 - 1e-5)
-            for p in np.flatnonzero(hit.any(1)):
-                found = self.wand(np.unique(own[p][own[p] > 0]), np.flatnonzero(hit[p]))
+            # passages whose terms' bounds, over all items, do not reach the threshold go first
+            live = np.flatnonzero(self.bound[own].sum(1) >= THRESHOLD * (1 - 1e-5))
+            hit = self.most[own[live]].sum(1) >= THRESHOLD * (1 - 1e-5)
+            for i in np.flatnonzero(hit.any(1)):
+                p = live[i]
+                found = self.wand(np.unique(own[p][own[p] > 0]), np.flatnonzero(hit[i]))
                 if found:
                     yield int(s[p]), found
 
