@@ -1,0 +1,116 @@
+"""Sequential algorithms on one map in one task, for worlds of many maps of bounded size.
+
+per_map() deals cells and edges by map_id; MAP_CELLS bounds a map, and a larger one is an error
+that names the distributed operator to use.  Results equal those of operators.graph.
+"""
+
+from __future__ import annotations
+
+import heapq
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from cartoweave.operators.graph import MAP_CELLS, SEA
+
+
+def per_map(cells: DataFrame, edges: DataFrame, work, schema: str) -> DataFrame:
+    """work(cells, neighbours) -> DataFrame for each map_id; cells sorted by cell_id, neighbours as lists of places."""
+
+    def run(c: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        if len(c) > MAP_CELLS:
+            raise ValueError(f"a map has {len(c)} cells, more than {MAP_CELLS}: use operators.graph")
+        c = c.sort_values("cell_id").reset_index(drop=True)
+        place = pd.Series(np.arange(len(c)), index=c["cell_id"].to_numpy())
+        near: list[list[int]] = [[] for _ in range(len(c))]
+        if len(e):
+            for a, b in zip(place.reindex(e["src"]).to_numpy(), place.reindex(e["dst"]).to_numpy(), strict=True):
+                near[int(a)].append(int(b))
+        out = work(c, near)
+        out.insert(0, "map_id", c["map_id"].iloc[0] if len(c) else None)
+        return out
+
+    return cells.groupBy("map_id").cogroup(edges.groupBy("map_id")).applyInPandas(run, schema)
+
+
+def drainage(c: pd.DataFrame, near: list[list[int]]) -> pd.DataFrame:
+    """filled (priority flood from the border), to (lowest neighbour or -1), flux (precip of all above)."""
+    h = c["height"].to_numpy(np.float64)
+    filled = h.copy()
+    seen = c["is_border"].to_numpy(bool).copy()
+    heap = [(h[i], i) for i in np.flatnonzero(seen)]
+    heapq.heapify(heap)
+    while heap:
+        level, i = heapq.heappop(heap)
+        for j in near[i]:
+            if not seen[j]:
+                seen[j] = True
+                filled[j] = max(h[j], level)
+                heapq.heappush(heap, (filled[j], j))
+    to = np.full(len(h), -1)
+    for i, around in enumerate(near):
+        if around:
+            low = min(around, key=lambda j: (filled[j], j))
+            if filled[low] < filled[i]:
+                to[i] = low
+    flux = c["precip"].to_numpy(np.float64).copy()
+    for i in np.argsort(-filled, kind="stable"):
+        if to[i] >= 0:
+            flux[to[i]] += flux[i]
+    ids = c["cell_id"].to_numpy()
+    return pd.DataFrame({"cell_id": ids, "filled": filled.astype(np.int64), "to": np.where(to >= 0, ids[to], -1), "flux": flux.astype(np.int64)})
+
+
+DRAINAGE = "map_id long, cell_id long, filled long, `to` long, flux long"
+
+
+def wind_rain(c: pd.DataFrame, near: list[list[int]], width: int, humidity: float, step: int = 1) -> pd.DataFrame:
+    """Rain that a wind along rows leaves: humidity is carried from cell to cell, falls on land and more on slopes,
+    is gained over water, and drops wholly at peaks; at most 255 a cell."""
+    h, n = c["height"].to_numpy(np.float64), len(c)
+    rain = np.zeros(n)
+    for row in range(0, n, width):
+        line = range(row, min(n, row + width)) if step > 0 else range(min(n, row + width) - 1, row - 1, -1)
+        air = humidity - h[line[0]]
+        if air <= 0:
+            continue
+        for place, i in enumerate(line):
+            last = place + 1 == len(line)
+            j = None if last else line[place + 1]
+            if h[i] < SEA:
+                if j is not None and h[j] >= SEA:
+                    rain[j] = min(255, rain[j] + int(max(air / 15, 1)))
+                elif j is not None:
+                    air = min(air + 5, humidity)
+                    rain[i] = min(255, rain[i] + 5)
+                continue
+            if last:
+                rain[i] = min(255, rain[i] + int(air))
+                break
+            if h[j] > 85:
+                fall, left = air, 0.0
+            else:
+                fall = min(max(air / 10, 1) + max(h[j] - h[i], 0) * (h[j] / 70) ** 2, air)
+                left = max(0.0, air - fall + (1 if fall > 1.5 else 0))
+            rain[i] = min(255, rain[i] + int(fall))
+            air = left
+    return pd.DataFrame({"cell_id": c["cell_id"].to_numpy(), "rain": rain.astype(np.int64)})
+
+
+def spread(c: pd.DataFrame, near: list[list[int]], seeds: dict[int, int], limit: int) -> pd.DataFrame:
+    """owner and cost by cheapest path from seeds (cell_id -> owner), ties to the lesser owner; column cost, NaN blocks."""
+    cost, ids = c["cost"].to_numpy(np.float64), c["cell_id"].to_numpy()
+    place = {int(i): k for k, i in enumerate(ids)}
+    best: dict[int, tuple[float, int]] = {}
+    heap = [(0.0, owner, place[cell]) for cell, owner in seeds.items() if cell in place]
+    heapq.heapify(heap)
+    while heap:
+        d, owner, i = heapq.heappop(heap)
+        if i in best:
+            continue
+        best[i] = (d, owner)
+        for j in near[i]:
+            if j not in best and cost[j] == cost[j] and d + cost[j] <= limit:
+                heapq.heappush(heap, (d + cost[j], owner, j))
+    return pd.DataFrame([(ids[i], int(d), o) for i, (d, o) in best.items()], columns=["cell_id", "cost", "owner"])

@@ -1,20 +1,639 @@
-"""The registry of world queries and of their SQL."""
+"""The registry of world queries, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cartoweave.functions import environment as E
+from cartoweave.functions import geometry as G
+from cartoweave.operators import edits as D
+from cartoweave.operators import graph as N
+from cartoweave.operators import grouped, names, spatial
+from cartoweave.sources import generator
 from cartoweave.sources import tables as T
 
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
 
+#: The world's tables as SQL; each may use those before it.
+WORLD = {
+    "n": "n AS (SELECT count(*) AS n FROM part)",
+    "cells": "cells AS (SELECT p_partkey AS cell_id, p_partkey % 40 AS x, p_partkey // 40 AS y, p_size * 2 AS height, (p_partkey % 40 IN (0, 39) OR p_partkey < 40 OR p_partkey + 40 >= n OR p_partkey + 1 >= n) AS is_border FROM part, n)",
+    "edges": "edges AS (SELECT a.cell_id AS src, b.cell_id AS dst FROM cells a JOIN cells b ON b.x = a.x + 1 AND b.y = a.y UNION ALL SELECT a.cell_id, b.cell_id FROM cells a JOIN cells b ON b.x = a.x - 1 AND b.y = a.y UNION ALL SELECT a.cell_id, b.cell_id FROM cells a JOIN cells b ON b.x = a.x AND b.y = a.y + 1 UNION ALL SELECT a.cell_id, b.cell_id FROM cells a JOIN cells b ON b.x = a.x AND b.y = a.y - 1)",
+    "rain": "rain AS (SELECT p_partkey AS cell_id, least(255, coalesce(sum(l_quantity)::BIGINT, 0) // 5)::BIGINT AS precip FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1)",
+    "settlements": "settlements AS (SELECT c_custkey AS id, (c_custkey * 7) % n AS cell_id, (c_custkey * 7) % n % 40 AS x, (c_custkey * 7) % n // 40 AS y, floor(c_acctbal)::BIGINT + 1000 AS population, c_nationkey AS state_id, n_regionkey AS culture_id, c_custkey = min(c_custkey) OVER (PARTITION BY c_nationkey) AS is_capital, CASE WHEN floor(c_acctbal) + 1000 > 8000 THEN 'city' WHEN floor(c_acctbal) + 1000 > 4000 THEN 'town' ELSE 'village' END AS kind, c_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey, n)",
+    "owners": "owners AS (SELECT cell_id, CASE WHEN height >= 20 THEN cell_id % 25 + 1 ELSE 0 END::BIGINT AS state_id, CASE WHEN height >= 20 THEN (cell_id // 7) % 5 + 1 ELSE 0 END::BIGINT AS culture_id, CASE WHEN height >= 20 THEN (cell_id // 3) % 4 ELSE 0 END::BIGINT AS religion_id FROM cells)",
+    "rivers": "rivers AS (SELECT r.*, x, y, height FROM (SELECT l_orderkey AS river_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq, l_partkey AS cell_id FROM lineitem) r JOIN cells USING (cell_id))",
+    "edits": "edits AS (SELECT event_id AS edit_id, ts, user_id AS editor, CASE event_type WHEN 'click' THEN 'adjust_height' WHEN 'view' THEN 'set_height' WHEN 'purchase' THEN 'smooth' WHEN 'signup' THEN 'set_biome' ELSE 'noop' END AS op, event_id % n AS cell_id, floor(value)::BIGINT AS delta FROM events, n)",
+    "maps": "maps AS (SELECT r_regionkey AS map_id, r_name AS name, coalesce(c, 0)::BIGINT AS n_nations FROM region LEFT JOIN (SELECT n_regionkey, count(*) AS c FROM nation GROUP BY 1) ON r_regionkey = n_regionkey)",
+    "lat": "lat AS (SELECT cell_id, x, y, height, 90 - (y * 180) // (n // 40) AS lat FROM cells, n)",
+}
+NEEDS = {"cells": "n", "edges": "cells", "settlements": "n", "owners": "cells", "rivers": "cells", "edits": "n", "lat": "cells"}
+
+
+def query(tables: str = "", sql: str | None = None):
+    """Register a query under its function's name, with its SQL over the named world tables."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            want: set = set()
+            todo = tables.split()
+            while todo:
+                t = todo.pop()
+                want.add(t)
+                todo.extend(NEEDS[t].split() if t in NEEDS and not NEEDS[t] in want else [])
+            ctes = [WORLD[t] for t in WORLD if t in want]
+            SQL[f.__name__] = (f"WITH RECURSIVE {', '.join(ctes)}" + (", " if sql.lstrip().startswith("@") else " ") if ctes else "") + sql.lstrip().removeprefix("@")
+        return f
+
+    return put
+
+
+def _lat(spark, sf):
+    n = T.count_cells(spark, sf)
+    return T.cells(spark, sf).withColumn("lat", 90 - F.floor(F.col("y") * 180 / (n // T.WIDTH)))
+
+
+# Sources and lookups
+
+
+@query("settlements", "SELECT id, cell_id, population, state_id, x, y FROM settlements WHERE x BETWEEN 5 AND 30 AND y BETWEEN 2 AND 400 AND population >= 1500 AND kind IN ('town', 'city') ORDER BY population DESC, id LIMIT 100")
 def settlements_in_region(spark, sf):
-    s = T.settlements(spark, sf).join(T.cells(spark, sf).where("x BETWEEN 5 AND 30 AND y BETWEEN 2 AND 400"), "cell_id")
-    return s.where("population >= 1500").orderBy(F.desc("population"), "id").limit(100).select("id", "cell_id", "population", "state_id", "x", "y")
+    s = spatial.in_region(T.settlements(spark, sf), (5, 2, 30, 400), F.col("population") >= 1500, F.col("kind").isin("town", "city"))
+    return s.orderBy(F.desc("population"), "id").limit(100).select("id", "cell_id", "population", "state_id", "x", "y")
 
 
-QUERIES = {"settlements_in_region": settlements_in_region}
-CELLS = "cells AS (SELECT p_partkey AS cell_id, p_partkey % 40 AS x, p_partkey // 40 AS y, p_size * 2 AS height FROM part)"
-SETTLEMENTS = "settlements AS (SELECT c_custkey AS id, (c_custkey * 7) % (SELECT count(*) FROM part) AS cell_id, floor(c_acctbal)::BIGINT + 1000 AS population, c_nationkey AS state_id, c_name AS name FROM customer)"
-SQL = {
-    "settlements_in_region": f"WITH {CELLS}, {SETTLEMENTS} SELECT id, cell_id, population, state_id, x, y FROM settlements JOIN cells USING (cell_id) WHERE x BETWEEN 5 AND 30 AND y BETWEEN 2 AND 400 AND population >= 1500 ORDER BY population DESC, id LIMIT 100",
-}
+@query("maps", "SELECT map_id, name, n_nations FROM maps WHERE name = 'ASIA' OR map_id = 3")
+def map_by_id_or_name(spark, sf):
+    return T.maps(spark, sf).where((F.col("name") == "ASIA") | (F.col("map_id") == 3))
+
+
+@query("maps", "SELECT map_id, name, n_nations FROM maps ORDER BY map_id DESC LIMIT 50")
+def newest_maps(spark, sf):
+    return T.maps(spark, sf).orderBy(F.desc("map_id")).limit(50)
+
+
+@query("maps", "SELECT map_id, name FROM maps ORDER BY map_id DESC LIMIT 1")
+def latest_map(spark, sf):
+    return T.maps(spark, sf).orderBy(F.desc("map_id")).limit(1).select("map_id", "name")
+
+
+@query("cells", "SELECT cell_id, 'POINT(' || x || ' ' || y || ')' AS wkt, height FROM cells WHERE x BETWEEN 3 AND 9 AND y BETWEEN 0 AND 100")
+def spatial_scan(spark, sf):
+    c = spatial.in_region(T.cells(spark, sf), (3, 0, 9, 100))
+    return c.select("cell_id", G.wkt_point(F.col("x"), F.col("y")).alias("wkt"), "height")
+
+
+@query("rivers", "SELECT river_id, 'LINESTRING(' || string_agg(x || ' ' || y, ',' ORDER BY seq) || ')' AS wkt FROM rivers GROUP BY river_id HAVING count(*) >= 2")
+def viewer_rivers(spark, sf):
+    return D.ordered_path(T.river_cells(spark, sf), "river_id").select("river_id", G.wkt_line(F.col("path")).alias("wkt"))
+
+
+@query("", """SELECT id AS cell_id, round(least(1000.0, greatest(0.0, 5.0 + (id % 100) * 10 + ((((id * 48271 + 7) % 2147483647 * 16807 % 2147483647) // 7 % 65536) / 65535.0::DOUBLE * 2 - 1) * 4.5)), 2) AS x,
+  round(least(600.0, greatest(0.0, 5.0 + (id // 100) * 10 + ((((id * 48271 + 984) % 2147483647 * 16807 % 2147483647) // 7 % 65536) / 65535.0::DOUBLE * 2 - 1) * 4.5)), 2) AS y FROM range(6000) t(id)""")
+def jittered_grid(spark, sf):
+    return generator.jittered_grid(spark, 1000, 600, 10, 7)
+
+
+@query("", "SELECT ceil(1020 * (i + 0.5) / 50 - 10)::BIGINT AS x, y::BIGINT AS y FROM range(50) t(i), (VALUES (-10), (610)) v(y) UNION ALL SELECT x::BIGINT, ceil(620 * (i + 0.5) / 30 - 10)::BIGINT FROM range(30) t(i), (VALUES (-10), (1010)) v(x)")
+def boundary_points(spark, sf):
+    return generator.boundary_points(spark, 1000, 600, 10)
+
+
+@query("edges", "SELECT src, dst FROM edges")
+def cell_edges(spark, sf):
+    return T.edges(spark, sf)
+
+
+@query("", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {i}, '{line.split()[0]}', '{' '.join(line.split()[1:])}')" for n, p in generator.TEMPLATES.items() for i, line in enumerate(p.split(";"))) + ") t(name, seq, command, args)")
+def template_commands(spark, sf):
+    return generator.templates(spark).withColumn("args", F.array_join("args", " "))
+
+
+@query()
+def heightmap_worlds(spark, sf):
+    """One heightmap for each map; random, so there is no SQL."""
+    seeds = T.maps(spark, sf).select(F.col("map_id").cast("long").alias("map_id"), F.element_at(F.array(*[F.lit(t) for t in generator.TEMPLATES]), F.col("map_id") % len(generator.TEMPLATES) + 1).alias("template"), (F.col("map_id") + 17).alias("seed"))
+    return generator.heightmaps(seeds, 40, 30)
+
+
+@query("cells edges", """@ coast AS (SELECT DISTINCT a.cell_id AS node, a.height >= 20 AS land FROM cells a JOIN edges e ON e.src = a.cell_id JOIN cells b ON b.cell_id = e.dst WHERE (a.height >= 20) <> (b.height >= 20)),
+inside AS (SELECT e.src, e.dst, a.height >= 20 AS land FROM edges e JOIN cells a ON a.cell_id = e.src JOIN cells b ON b.cell_id = e.dst WHERE (a.height >= 20) = (b.height >= 20)),
+bfs(node, d) USING KEY (node) AS (SELECT node, 1 FROM coast UNION SELECT i.dst, min(b.d + 1) FROM bfs b JOIN inside i ON i.src = b.node LEFT JOIN recurring.bfs r ON r.node = i.dst WHERE r.node IS NULL AND (i.land OR b.d < 10) GROUP BY i.dst),
+f AS (SELECT c.*, coalesce(CASE WHEN c.height >= 20 THEN d ELSE -d END, 0) AS distance FROM cells c LEFT JOIN bfs ON node = cell_id),
+kept AS (SELECT * FROM f WHERE (height >= 20 OR distance IN (-1, -2)) AND (distance <> -2 OR cell_id % 4 <> 0))
+SELECT cell_id AS grid_id, x::DOUBLE AS x, y::DOUBLE AS y, height FROM kept UNION ALL
+SELECT a.cell_id, round((a.x + b.x) / 2.0::DOUBLE, 1), round((a.y + b.y) / 2.0::DOUBLE, 1), a.height FROM edges e JOIN kept a ON a.cell_id = e.src JOIN kept b ON b.cell_id = e.dst WHERE e.src < e.dst AND abs(a.distance) = 1 AND a.distance = b.distance""")
+def packed_cells(spark, sf):
+    c, e = T.cells(spark, sf), T.edges(spark, sf)
+    return generator.packed(c, N.distance_field(c, e), e)
+
+
+@query("", "SELECT p_size AS base, trim(s) AS name FROM (SELECT p_size, unnest(string_split(p_name, ' ')) AS s FROM part) WHERE trim(s) <> ''")
+def name_lists(spark, sf):
+    return names.split_names(T.table(spark, sf, "part").select(F.col("p_size").alias("base"), F.col("p_name").alias("names")), " ")
+
+
+# Projections
+
+
+@query("lat rain", f"""@ t AS (SELECT lat.*, precip, trunc(least(greatest(CASE WHEN lat BETWEEN -20 AND 16 THEN 25 - abs(lat) * 0.15::DOUBLE WHEN lat > 0 THEN 22.6::DOUBLE - (lat - 16) * ((22.6::DOUBLE + 30) / 74) ELSE 22.0::DOUBLE + (lat + 20) * ((22.0::DOUBLE + 30) / 70) END
+  - CASE WHEN height < 20 THEN 0.0::DOUBLE ELSE round_even(power((height - 18)::DOUBLE, 1.5::DOUBLE) / 1000 * 6.5::DOUBLE, 1) END, -128.0::DOUBLE), 127.0::DOUBLE))::INT AS temperature FROM lat JOIN rain USING (cell_id))
+SELECT cell_id, lat::BIGINT AS lat, height, temperature, precip, CASE WHEN height < 20 THEN 0 WHEN height >= 70 THEN 17 WHEN temperature <= -10 THEN 4 ELSE
+  ([{", ".join(str(list(r)) for r in E.MATRIX)}])[(temperature >= -10)::INT + (temperature >= 5)::INT + (temperature >= 15)::INT + (temperature >= 25)::INT + (temperature >= 35)::INT + 1][(precip >= 20)::INT + (precip >= 50)::INT + (precip >= 100)::INT + (precip >= 180)::INT + 1] END::INT AS biome FROM t""")
+def climate_and_biomes(spark, sf):
+    c = _lat(spark, sf).join(T.precipitation(spark, sf), "cell_id").withColumn("temperature", E.temperature(F.col("lat"), F.col("height")))
+    return c.select("cell_id", "lat", "height", "temperature", "precip", E.biome(F.col("height"), F.col("temperature"), F.col("precip")).alias("biome"))
+
+
+@query("lat", """SELECT cell_id, ([225, 135, 225, 225, 135, 225])[least(abs(lat - 89) // 30, 5) + 1] AS wind, ([4.0, 2.0, 2.0, 1.0, 1.0, 2.0, 2.0, 2.0, 2.0, 3.0, 3.0, 2.0, 2.0, 1.0, 1.0, 1.0, 0.5])[greatest(least(floor((abs(lat) - 1) / 5.0)::INT, 16), 0) + 1]::DOUBLE AS rain_factor,
+ ([225, 135, 225, 225, 135, 225])[least(abs(lat - 89) // 30, 5) + 1] BETWEEN 41 AND 139 AS is_west, ([225, 135, 225, 225, 135, 225])[least(abs(lat - 89) // 30, 5) + 1] BETWEEN 101 AND 259 AS is_north FROM lat""")
+def winds(spark, sf):
+    c = _lat(spark, sf).withColumn("tier", E.wind_tier(F.col("lat")))
+    d = E.wind_directions(F.col("tier"))
+    return c.select("cell_id", E.pick(E.WINDS, F.col("tier")).alias("wind"), E.latitude_rain(F.col("lat")).alias("rain_factor"), d["is_west"].alias("is_west"), d["is_north"].alias("is_north"))
+
+
+_TERRAIN = "CASE WHEN height < 20 THEN 'water' WHEN height > 100 THEN 'mountain' WHEN height > 50 THEN 'hill' ELSE 'lowland' END"
+
+
+@query("cells", f"SELECT cell_id, greatest(coalesce(height, 0) * 5, 1) AS z, {_TERRAIN} AS terrain_type, CASE WHEN height < 20 THEN '#4169E1' WHEN height > 100 THEN '#8B4513' WHEN height > 50 THEN '#228B22' ELSE '#90EE90' END AS color FROM cells")
+def terrain_layer(spark, sf):
+    h = F.col("height")
+    kind = F.when(h < 20, "water").when(h > 100, "mountain").when(h > 50, "hill").otherwise("lowland")
+    color = F.when(h < 20, "#4169E1").when(h > 100, "#8B4513").when(h > 50, "#228B22").otherwise("#90EE90")
+    return T.cells(spark, sf).select("cell_id", F.greatest(F.coalesce(h, F.lit(0)) * 5, F.lit(1)).alias("z"), kind.alias("terrain_type"), color.alias("color"))
+
+
+@query("settlements", "SELECT id, name, CASE WHEN is_capital THEN 500 WHEN kind = 'city' THEN 300 WHEN kind = 'town' THEN 200 ELSE 100 END AS radius, CASE WHEN is_capital THEN 100 WHEN kind = 'city' THEN 60 WHEN kind = 'town' THEN 40 ELSE 20 END AS z, CASE WHEN is_capital THEN '#FF0000' WHEN kind = 'city' THEN '#FFA500' WHEN kind = 'town' THEN '#FFD700' ELSE '#8B4513' END AS color, CASE WHEN is_capital THEN 'capital' ELSE kind END AS settlement_class FROM settlements")
+def settlement_layer(spark, sf):
+    by = lambda a, b, c, d: F.when(F.col("is_capital"), a).when(F.col("kind") == "city", b).when(F.col("kind") == "town", c).otherwise(d)
+    return T.settlements(spark, sf).select("id", "name", by(500, 300, 200, 100).alias("radius"), by(100, 60, 40, 20).alias("z"), by("#FF0000", "#FFA500", "#FFD700", "#8B4513").alias("color"), by("capital", "city", "town", "village").alias("settlement_class"))
+
+
+def _discharge(spark, sf):
+    r = T.river_cells(spark, sf).join(T.precipitation(spark, sf), "cell_id")
+    return r.groupBy("river_id").agg(F.sum("precip").alias("discharge"), F.count("*").alias("n_cells"))
+
+
+_DISCHARGE = "q AS (SELECT river_id, sum(precip)::BIGINT AS discharge, count(*) AS n_cells FROM rivers JOIN rain USING (cell_id) GROUP BY river_id)"
+
+
+@query("rivers rain", f"@ {_DISCHARGE} SELECT river_id, discharge, greatest(discharge / 50.0::DOUBLE, 5.0::DOUBLE) AS width, CASE WHEN discharge > 1000 THEN 'major' WHEN discharge > 100 THEN 'medium' ELSE 'minor' END AS river_class FROM q WHERE discharge > 5")
+def river_layer(spark, sf):
+    q = F.col("discharge")
+    return _discharge(spark, sf).where(q > 5).select("river_id", "discharge", F.greatest(q / 50.0, F.lit(5.0)).alias("width"), F.when(q > 1000, "major").when(q > 100, "medium").otherwise("minor").alias("river_class"))
+
+
+@query("owners edges", "SELECT e.src, e.dst, a.culture_id AS owner, b.culture_id AS other FROM edges e JOIN owners a ON a.cell_id = e.src JOIN owners b ON b.cell_id = e.dst WHERE a.culture_id <> 0 AND a.culture_id <> b.culture_id")
+def culture_borders(spark, sf):
+    return spatial.boundary(T.owners(T.cells(spark, sf)), T.edges(spark, sf), "culture_id")
+
+
+@query("cells", "SELECT cell_id, height, height >= 20 AS is_land FROM cells WHERE cell_id % 3 = 0 AND height NOT BETWEEN 40 AND 60")
+def land_and_water(spark, sf):
+    c = T.cells(spark, sf).where((F.col("cell_id") % 3 == 0) & ~F.col("height").between(40, 60))
+    return c.select("cell_id", "height", (F.col("height") >= T.SEA).alias("is_land"))
+
+
+@query("", "SELECT p_partkey AS cell_id, p_type FROM part WHERE p_type NOT LIKE '%STEEL%' AND p_size BETWEEN 10 AND 20")
+def pattern_filter(spark, sf):
+    p = T.table(spark, sf, "part").where(~F.col("p_type").like("%STEEL%") & F.col("p_size").between(10, 20))
+    return p.select(F.col("p_partkey").alias("cell_id"), "p_type")
+
+
+@query("cells", "SELECT cell_id, CASE WHEN height BETWEEN 20 AND 100 THEN greatest(0.0::DOUBLE, least(100.0::DOUBLE, (height + 5.0::DOUBLE - 20) * 0.8::DOUBLE + 20)) ELSE height::DOUBLE END AS height FROM cells")
+def modified_heights(spark, sf):
+    return T.cells(spark, sf).select("cell_id", D.modify(F.col("height"), 20, 100, add=5, multiply=0.8, pivot=20).alias("height"))
+
+
+@query("cells n", "@ m AS (SELECT cell_id, height, (1 - power(2 * x / 40.0::DOUBLE - 1, 2)) * (1 - power(2 * y / (n // 40)::DOUBLE - 1, 2)) AS d FROM cells, n) SELECT cell_id, round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, (height * 2 + height * d) / 3)), 6) AS height FROM m")
+def masked_heights(spark, sf):
+    n = T.count_cells(spark, sf)
+    part = lambda c, size: 1 - F.pow(2 * F.col(c) / float(size) - 1, F.lit(2))
+    h = F.col("height")
+    new = (h * 2 + h * (part("x", T.WIDTH) * part("y", n // T.WIDTH))) / 3
+    return T.cells(spark, sf).select("cell_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), new)), 6).alias("height"))
+
+
+@query("cells", "SELECT a.cell_id, b.height FROM cells a JOIN cells b ON b.x = 39 - a.x AND b.y = a.y")
+def mirrored_heights(spark, sf):
+    c = T.cells(spark, sf)
+    return c.select("cell_id", (F.col("y") * T.WIDTH + T.WIDTH - 1 - F.col("x")).alias("m")).join(c.select(F.col("cell_id").alias("m"), "height"), "m").select("cell_id", "height")
+
+
+# Joins
+
+
+@query("settlements owners", "SELECT s.id, nullif(o.culture_id, 0) AS culture_id, r_name AS culture_name, nullif(o.religion_id, 0) AS religion_id, nullif(o.state_id, 0) AS state_id, n_name AS state_name FROM settlements s LEFT JOIN owners o USING (cell_id) LEFT JOIN region ON r_regionkey = o.culture_id - 1 AND o.culture_id > 0 LEFT JOIN nation ON n_nationkey = o.state_id - 1 AND o.state_id > 0")
+def territories_at_points(spark, sf):
+    culture = T.table(spark, sf, "region").select((F.col("r_regionkey") + 1).cast("long").alias("culture_id"), F.col("r_name").alias("culture_name"))
+    state = T.table(spark, sf, "nation").select((F.col("n_nationkey") + 1).cast("long").alias("state_id"), F.col("n_name").alias("state_name"))
+    points = T.settlements(spark, sf).select("id", "cell_id")
+    found = spatial.territories(points, T.owners(T.cells(spark, sf)), {"culture": culture, "state": state})
+    return found.select("id", "culture_id", "culture_name", F.nullif("religion_id", F.lit(0)).alias("religion_id"), "state_id", "state_name")
+
+
+@query("settlements", """@ rings AS (SELECT * FROM (VALUES (1, 2.5, 1.5, 20.5, 1.5, 20.5, 30.5, 2.5, 30.5), (2, 10.5, 3.5, 39.5, 3.5, 25.5, 49.5, 12.5, 20.5)) t(ring_id, x1, y1, x2, y2, x3, y3, x4, y4)),
+sides AS (SELECT ring_id, x1 AS ax, y1 AS ay, x2 AS bx, y2 AS by_ FROM rings UNION ALL SELECT ring_id, x2, y2, x3, y3 FROM rings UNION ALL SELECT ring_id, x3, y3, x4, y4 FROM rings UNION ALL SELECT ring_id, x4, y4, x1, y1 FROM rings)
+SELECT id, ring_id FROM settlements, sides WHERE (ay > y) <> (by_ > y) AND x < (bx - ax)::DOUBLE * (y - ay)::DOUBLE / (by_ - ay)::DOUBLE + ax::DOUBLE GROUP BY id, ring_id HAVING count(*) % 2 = 1""")
+def points_in_rings(spark, sf):
+    rings = spark.createDataFrame([(1, [(2.5, 1.5), (20.5, 1.5), (20.5, 30.5), (2.5, 30.5)]), (2, [(10.5, 3.5), (39.5, 3.5), (25.5, 49.5), (12.5, 20.5)])], "ring_id int, ring array<struct<x:double,y:double>>")
+    return spatial.polygon_join(T.settlements(spark, sf), rings, 16.0).select("id", "ring_id")
+
+
+@query("settlements owners", "SELECT o.culture_id, count(DISTINCT o.cell_id) AS area, count(s.id) AS n_settlements FROM owners o LEFT JOIN settlements s USING (cell_id) WHERE o.culture_id > 0 GROUP BY o.culture_id")
+def settlements_per_culture(spark, sf):
+    per_cell = T.settlements(spark, sf).groupBy("cell_id").agg(F.count("*").alias("n"))
+    o = T.owners(T.cells(spark, sf)).where("culture_id > 0").join(per_cell, "cell_id", "left")
+    return o.groupBy("culture_id").agg(F.count("*").alias("area"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_settlements"))
+
+
+@query("rivers", "SELECT DISTINCT river_id FROM rivers WHERE x BETWEEN 10 AND 14 AND y BETWEEN 5 AND 30")
+def rivers_in_box(spark, sf):
+    return spatial.in_region(T.river_cells(spark, sf), (10, 5, 14, 30)).select("river_id").distinct()
+
+
+@query("cells settlements rain", "SELECT s.id, count(*) AS n, sum(precip)::BIGINT AS precip, max(r.precip)::BIGINT AS most FROM settlements s JOIN cells c ON abs(c.x - s.x) <= 3 AND abs(c.y - s.y) <= 3 AND (c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y) <= 9 JOIN rain r ON r.cell_id = c.cell_id WHERE s.is_capital GROUP BY s.id")
+def climate_within_radius(spark, sf):
+    capitals = T.settlements(spark, sf).where("is_capital").select("id", "x", "y")
+    c = T.cells(spark, sf).select("cell_id", "x", "y").join(T.precipitation(spark, sf), "cell_id")
+    return spatial.radius_join(capitals, c, 3).groupBy("id").agg(F.count("*").alias("n"), F.sum("precip_r").alias("precip"), F.max("precip_r").alias("most"))
+
+
+@query("cells", "SELECT a.cell_id, round(avg(b.height), 4) AS mean FROM cells a JOIN cells b ON b.x BETWEEN a.x - 2 AND a.x + 2 AND b.y BETWEEN a.y - 2 AND a.y + 2 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4 GROUP BY a.cell_id")
+def mean_within_radius(spark, sf):
+    c = T.cells(spark, sf).select("cell_id", "x", "y", "height")
+    return spatial.radius_join(c, c, 2).groupBy("cell_id").agg(F.round(F.avg("height_r"), 4).alias("mean"))
+
+
+@query("cells settlements", "SELECT cell_id FROM cells WHERE height >= 20 AND cell_id NOT IN (SELECT cell_id FROM settlements)")
+def empty_land(spark, sf):
+    return D.missing(T.cells(spark, sf).where("height >= 20").select("cell_id"), T.settlements(spark, sf))
+
+
+@query("cells owners", "@ k AS (SELECT c.cell_id, x, y FROM cells c JOIN owners USING (cell_id) WHERE culture_id = 2), m AS (SELECT avg(x) AS mx, avg(y) AS my FROM k) SELECT c.cell_id, round(sqrt(power(x - mx, 2) + power(y - my, 2)), 4) AS distance FROM cells c JOIN owners o USING (cell_id), m WHERE culture_id <> 2 AND EXISTS (SELECT 1 FROM k WHERE (k.x - c.x) * (k.x - c.x) + (k.y - c.y) * (k.y - c.y) <= 9) ORDER BY sqrt(power(x - mx, 2) + power(y - my, 2)), cell_id LIMIT 20")
+def expansion_candidates(spark, sf):
+    """Cells near a culture that it does not own, nearest its centre first."""
+    c = T.cells(spark, sf).join(T.owners(T.cells(spark, sf)), "cell_id").select("cell_id", "x", "y", "culture_id")
+    own = c.where("culture_id = 2").select("cell_id", "x", "y")
+    centre = own.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    near = spatial.radius_join(c.where("culture_id <> 2"), own, 3, "left_semi").crossJoin(F.broadcast(centre))  # one row
+    d = F.sqrt(F.pow(F.col("x") - F.col("mx"), F.lit(2)) + F.pow(F.col("y") - F.col("my"), F.lit(2)))
+    return near.withColumn("d", d).orderBy("d", "cell_id").limit(20).select("cell_id", F.round("d", 4).alias("distance"))
+
+
+@query("settlements", "@ d AS (SELECT a.id, b.id AS other, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM settlements a JOIN settlements b ON a.id <> b.id AND abs(a.x - b.x) <= 12 AND abs(a.y - b.y) <= 12 WHERE a.is_capital) SELECT id, other, place, round(sqrt(d2), 4) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, other) AS place FROM d WHERE d2 <= 144) WHERE place <= 3")
+def nearest_settlements(spark, sf):
+    s = T.settlements(spark, sf)
+    pairs = spatial.radius_join(s.where("is_capital").select("id", "x", "y"), s.select("id", "x", "y"), 12).where("id <> id_r")
+    w = Window.partitionBy("id").orderBy("distance", "id_r")
+    return pairs.withColumn("place", F.row_number().over(w)).where("place <= 3").select("id", F.col("id_r").alias("other"), "place", F.round("distance", 4).alias("distance"))
+
+
+@query("settlements", "SELECT id, (least(greatest(floor((x + 0.25) / 2)::BIGINT, 0), 19) + least(greatest(floor((y + 0.25) / 2)::BIGINT, 0), 24) * 20)::BIGINT AS coarse FROM settlements")
+def coarse_cell(spark, sf):
+    return T.settlements(spark, sf).select("id", spatial.cell_at(F.col("x") + 0.25, F.col("y") + 0.25, 2, 20, 25).alias("coarse"))
+
+
+@query("cells edges", "SELECT a.cell_id, min(b.cell_id) AS haven, count(*) AS harbor FROM cells a JOIN edges e ON e.src = a.cell_id JOIN cells b ON b.cell_id = e.dst WHERE a.height >= 20 AND b.height < 20 GROUP BY a.cell_id")
+def havens(spark, sf):
+    """The nearest water next to coastal land (all are one step away, so the least cell) and the number of water sides."""
+    c = T.cells(spark, sf)
+    wet = N.neighbours(c, T.edges(spark, sf), "height").where("height < 20")
+    found = wet.groupBy(F.col("src").alias("cell_id")).agg(F.min("dst").alias("haven"), F.count("*").alias("harbor"))
+    return c.where("height >= 20").select("cell_id").join(found, "cell_id")
+
+
+@query("", "SELECT a.n_name AS state, r_name AS culture, count(c_custkey) AS n FROM nation a JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
+def state_dimension(spark, sf):
+    n = T.table(spark, sf, "nation").join(T.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    per = T.table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    return n.join(per, F.col("n_nationkey") == F.col("c_nationkey"), "left").select(F.col("n_name").alias("state"), F.col("r_name").alias("culture"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+# Aggregates
+
+
+@query("settlements owners rivers cells", "SELECT (SELECT count(*) FROM cells) AS n_cells, (SELECT count(*) FROM settlements) AS n_settlements, (SELECT sum(population)::BIGINT FROM settlements) AS population, (SELECT name FROM settlements ORDER BY population DESC, id LIMIT 1) AS largest, (SELECT count(DISTINCT river_id) FROM rivers) AS n_rivers, (SELECT count(*) FROM cells WHERE height >= 20) AS land_area, (SELECT count(DISTINCT culture_id) FROM owners WHERE culture_id > 0) AS n_cultures")
+def map_statistics(spark, sf):
+    c = T.cells(spark, sf)
+    s = T.settlements(spark, sf).agg(F.count("*").alias("n_settlements"), F.coalesce(F.sum("population"), F.lit(0)).alias("population"), F.max_by("name", F.struct("population", -F.col("id"))).alias("largest"))
+    a = c.agg(F.count("*").alias("n_cells"), F.count_if(F.col("height") >= 20).alias("land_area"))
+    o = T.owners(c).where("culture_id > 0").agg(F.countDistinct("culture_id").alias("n_cultures"))
+    r = T.table(spark, sf, "lineitem").agg(F.countDistinct("l_orderkey").alias("n_rivers"))
+    return a.crossJoin(s).crossJoin(o).crossJoin(r)  # one row each
+
+
+@query("cells settlements rivers", "SELECT 'terrain' AS layer, count(*) AS n, min(x)::BIGINT AS x0, min(y)::BIGINT AS y0, max(x)::BIGINT AS x1, max(y)::BIGINT AS y1 FROM cells UNION ALL SELECT 'settlements', count(*), min(x), min(y), max(x), max(y) FROM settlements UNION ALL SELECT 'rivers', count(DISTINCT river_id), min(x), min(y), max(x), max(y) FROM rivers")
+def layer_summary(spark, sf):
+    def row(name, d, n):
+        return d.agg(n.alias("n"), *[f(k).cast("long").alias(f"{k}{i}") for i, f in enumerate((F.min, F.max)) for k in ("x", "y")]).select(F.lit(name).alias("layer"), "n", "x0", "y0", "x1", "y1")
+
+    return row("terrain", T.cells(spark, sf), F.count("*")).unionByName(row("settlements", T.settlements(spark, sf), F.count("*"))).unionByName(row("rivers", T.river_cells(spark, sf), F.countDistinct("river_id")))
+
+
+_BIOME_SQL = SQL["climate_and_biomes"]
+
+
+@query("", f"WITH b AS ({_BIOME_SQL}) SELECT biome, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 4) AS percentage, round(avg(temperature), 4) AS temperature, round(avg(precip), 4) AS precip, ([{', '.join(map(str, E.HABITABILITY))}])[biome + 1] AS habitability, ([{', '.join(map(str, E.MOVEMENT))}])[biome + 1] AS movement FROM b GROUP BY biome")
+def biome_statistics(spark, sf):
+    b = climate_and_biomes(spark, sf).groupBy("biome").agg(F.count("*").alias("n"), F.round(F.avg("temperature"), 4).alias("temperature"), F.round(F.avg("precip"), 4).alias("precip"))
+    share = F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4)  # one row a biome, eighteen at most
+    return b.select("biome", "n", share.alias("percentage"), "temperature", "precip", E.pick(E.HABITABILITY, F.col("biome")).alias("habitability"), E.pick(E.MOVEMENT, F.col("biome")).alias("movement"))
+
+
+@query("cells edges owners", """@ c AS (SELECT o.culture_id, count(*) AS n, count(*) FILTER (WHERE w > 0) AS coastal, count(*) FILTER (WHERE height > 60) AS high FROM owners o JOIN cells USING (cell_id) LEFT JOIN (SELECT e.src, count(*) AS w FROM edges e JOIN cells b ON b.cell_id = e.dst WHERE b.height < 20 GROUP BY 1) ON src = o.cell_id WHERE o.culture_id > 0 GROUP BY 1)
+SELECT culture_id, n, CASE WHEN coastal > 0.4 * n THEN 'Naval' WHEN high > 0.5 * n THEN 'Highland' WHEN n < 2 THEN 'Nomadic' ELSE 'Generic' END AS type FROM c""")
+def culture_types(spark, sf):
+    c = T.cells(spark, sf)
+    wet = N.neighbours(c, T.edges(spark, sf), "height").where("height < 20").select(F.col("src").alias("cell_id")).distinct().withColumn("coastal", F.lit(True))
+    o = T.owners(c).where("culture_id > 0").join(c.select("cell_id", "height"), "cell_id").join(wet, "cell_id", "left")
+    a = o.groupBy("culture_id").agg(F.count("*").alias("n"), F.count_if("coastal").alias("coastal"), F.count_if(F.col("height") > 60).alias("high"))
+    n = F.col("n")
+    return a.select("culture_id", "n", F.when(F.col("coastal") > 0.4 * n, "Naval").when(F.col("high") > 0.5 * n, "Highland").when(n < 2, "Nomadic").otherwise("Generic").alias("type"))
+
+
+@query("owners", "@ c AS (SELECT state_id, religion_id, count(*) AS n FROM owners WHERE state_id > 0 AND religion_id > 0 GROUP BY state_id, religion_id) SELECT state_id, religion_id, n FROM (SELECT *, row_number() OVER (PARTITION BY state_id ORDER BY n DESC, religion_id) AS k FROM c) WHERE k = 1")
+def dominant_religion(spark, sf):
+    n = T.owners(T.cells(spark, sf)).where("state_id > 0 AND religion_id > 0").groupBy("state_id", "religion_id").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("state_id").orderBy(F.desc("n"), "religion_id")
+    return n.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
+
+
+@query("owners rain settlements", "SELECT religion_id, count(*) AS area, coalesce(sum(precip) FILTER (WHERE t.cell_id IS NOT NULL), 0)::BIGINT AS urban, coalesce(sum(precip) FILTER (WHERE t.cell_id IS NULL), 0)::BIGINT AS rural FROM owners o JOIN rain r USING (cell_id) LEFT JOIN (SELECT DISTINCT cell_id FROM settlements) t USING (cell_id) WHERE religion_id > 0 GROUP BY religion_id")
+def religion_statistics(spark, sf):
+    """Followers (here: rain) of cells with and without a settlement."""
+    towns = T.settlements(spark, sf).select("cell_id").distinct().withColumn("town", F.lit(True))
+    o = T.owners(T.cells(spark, sf)).where("religion_id > 0").join(T.precipitation(spark, sf), "cell_id").join(towns, "cell_id", "left")
+    split = lambda c: F.coalesce(F.sum(F.when(c, F.col("precip"))), F.lit(0))
+    return o.groupBy("religion_id").agg(F.count("*").alias("area"), split(F.col("town").isNotNull()).alias("urban"), split(F.col("town").isNull()).alias("rural"))
+
+
+@query("cells edges", "SELECT a.cell_id, round(greatest(0.0, least(100.0, (a.height + (a.height + coalesce(sum(b.height), 0)) / (1 + count(b.cell_id))::DOUBLE) / 2)), 6) AS height FROM cells a LEFT JOIN edges e ON e.src = a.cell_id LEFT JOIN cells b ON b.cell_id = e.dst GROUP BY a.cell_id, a.height")
+def smoothed_heights(spark, sf):
+    return N.smooth(T.cells(spark, sf), T.edges(spark, sf)).select("cell_id", F.round("height", 6).alias("height"))
+
+
+@query("rain cells", "@ l AS (SELECT precip FROM rain JOIN cells USING (cell_id) WHERE height >= 20) SELECT (SELECT median(precip) FROM l WHERE precip > 0) AS median, (SELECT max(precip) FROM rain) AS most")
+def flux_scale(spark, sf):
+    r = T.precipitation(spark, sf).join(T.cells(spark, sf), "cell_id")
+    return r.agg(F.median(F.when((F.col("height") >= 20) & (F.col("precip") > 0), F.col("precip"))).alias("median"), F.max("precip").alias("most"))
+
+
+@query("", f"""WITH b AS ({_BIOME_SQL}), k AS (SELECT *, precip::DOUBLE AS flux, ([{', '.join(map(str, E.HABITABILITY))}])[biome + 1] AS hab FROM b), m AS (SELECT median(flux) FILTER (WHERE height >= 20 AND flux > 0) AS md, max(flux) AS mx FROM k)
+SELECT cell_id, round(CASE WHEN height < 20 OR hab = 0 THEN 0.0 ELSE hab + coalesce(least(1.0, flux / md) * (1 - md / mx) * 250, 0.0) - (height - 50) / 5.0 - 5 END, 4)::DOUBLE AS score FROM k, m""")
+def suitability(spark, sf):
+    b = climate_and_biomes(spark, sf)
+    scale = b.agg(F.median(F.when((F.col("height") >= 20) & (F.col("precip") > 0), F.col("precip").cast("double"))).alias("md"), F.max("precip").alias("mx"))
+    k = b.crossJoin(F.broadcast(scale))  # one row
+    s = E.suitability(E.pick(E.HABITABILITY, F.col("biome")), F.col("precip").cast("double"), F.col("md"), F.col("mx"), F.col("height"), F.lit(False), F.lit(False), F.lit(None))
+    return k.select("cell_id", F.round(s, 4).alias("score"))
+
+
+@query("cells", "SELECT cell_id, height, row_number() OVER (ORDER BY height DESC, cell_id)::BIGINT AS place FROM cells WHERE height >= 20 ORDER BY height DESC, cell_id LIMIT 500")
+def highest_cells(spark, sf):
+    top = T.cells(spark, sf).where("height >= 20").orderBy(F.desc("height"), "cell_id").limit(500)
+    return top.select("cell_id", "height", F.row_number().over(Window.orderBy(F.desc("height"), "cell_id")).cast("long").alias("place"))  # of 500 rows
+
+
+# Rivers
+
+
+_STEPS = "s AS (SELECT *, sqrt(power(lead(x) OVER w - x, 2) + power(lead(y) OVER w - y, 2)) AS run, abs(lead(height) OVER w - height) AS fall FROM rivers WINDOW w AS (PARTITION BY river_id ORDER BY seq))"
+
+
+@query("rivers", f"@ {_STEPS} SELECT river_id, count(*) AS n_cells, round(coalesce(sum(run), 0) * 1.5, 4)::DOUBLE AS length, round(coalesce(sum(fall) FILTER (WHERE run > 0) / nullif(sum(run), 0), 0.001), 6)::DOUBLE AS slope, round(sqrt(power(arg_max(x, seq) - arg_min(x, seq), 2) + power(arg_max(y, seq) - arg_min(y, seq), 2)), 4) AS source_distance FROM s GROUP BY river_id")
+def river_geometry(spark, sf):
+    s = D.steps(T.river_cells(spark, sf))
+    end = lambda f, c: f(c, "seq")
+    a = s.groupBy("river_id").agg(F.count("*").alias("n_cells"), F.coalesce(F.sum("run"), F.lit(0.0)).alias("run"), F.sum(F.when(F.col("run") > 0, F.col("drop"))).alias("fall"), *[end(f, c).alias(f"{c}{i}") for i, f in enumerate((F.min_by, F.max_by)) for c in ("x", "y")])
+    slope = F.coalesce(F.col("fall") / F.nullif("run", F.lit(0.0)), F.lit(0.001))
+    return a.select("river_id", "n_cells", F.round(F.col("run") * 1.5, 4).alias("length"), F.round(slope, 6).alias("slope"), F.round(G.distance(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")), 4).alias("source_distance"))
+
+
+@query("rivers rain", f"@ {_DISCHARGE}, {_STEPS}, g AS (SELECT river_id, greatest(coalesce(sum(fall) FILTER (WHERE run > 0) / nullif(sum(run), 0), 0.001), 0.001) AS slope FROM s GROUP BY river_id) SELECT river_id, discharge, round(CASE WHEN discharge <= 0 THEN 0.0 ELSE greatest(2.3 * sqrt(discharge) * power(0.001 / slope, 0.2), 1.0) END, 4)::DOUBLE AS width FROM q JOIN g USING (river_id) ORDER BY discharge DESC, river_id LIMIT 1000")
+def widest_rivers(spark, sf):
+    s = D.steps(T.river_cells(spark, sf)).groupBy("river_id").agg(F.sum("run").alias("run"), F.sum(F.when(F.col("run") > 0, F.col("drop"))).alias("fall"))
+    slope = F.greatest(F.coalesce(F.col("fall") / F.nullif("run", F.lit(0.0)), F.lit(0.001)), F.lit(0.001))
+    q = F.col("discharge")
+    width = F.when(q <= 0, 0.0).otherwise(F.greatest(2.3 * F.sqrt(q) * F.pow(0.001 / slope, F.lit(0.2)), F.lit(1.0)))
+    return _discharge(spark, sf).join(s, "river_id").select("river_id", "discharge", F.round(width, 4).alias("width")).orderBy(F.desc("discharge"), "river_id").limit(1000)
+
+
+@query("rivers", "SELECT a.river_id, min(b.river_id) AS parent_id FROM (SELECT river_id, arg_max(cell_id, seq) AS mouth FROM rivers GROUP BY 1) a LEFT JOIN rivers b ON b.cell_id = a.mouth AND b.river_id < a.river_id GROUP BY a.river_id")
+def river_parents(spark, sf):
+    """The least river with a smaller id through the cell where a river ends."""
+    r = T.river_cells(spark, sf).select("river_id", "seq", "cell_id")
+    mouths = r.groupBy("river_id").agg(F.max_by("cell_id", "seq").alias("mouth"))
+    # a river's parent is the least river through its mouth, if that is not itself
+    first = r.groupBy(F.col("cell_id").alias("mouth")).agg(F.min("river_id").alias("p"))
+    return mouths.join(first, "mouth").select("river_id", F.when(F.col("p") < F.col("river_id"), F.col("p")).alias("parent_id"))
+
+
+# The graph
+
+
+@query("cells edges", """@ land AS (SELECT e.src, e.dst FROM edges e JOIN cells a ON a.cell_id = e.src JOIN cells b ON b.cell_id = e.dst WHERE (a.height >= 20) = (b.height >= 20)),
+cc(cell_id, region) USING KEY (cell_id) AS (SELECT cell_id, cell_id FROM cells UNION SELECT l.dst, min(c.region) FROM cc c JOIN land l ON l.src = c.cell_id JOIN recurring.cc r ON r.cell_id = l.dst WHERE c.region < r.region GROUP BY l.dst)
+SELECT region, CASE WHEN bool_or(height >= 20) THEN 'island' WHEN bool_or(is_border) THEN 'ocean' ELSE 'lake' END AS feature, count(*) AS n_cells, bool_or(is_border) AS touches_border, min(c.cell_id) AS first_cell FROM cc JOIN cells c USING (cell_id) GROUP BY region""")
+def map_features(spark, sf):
+    c = T.cells(spark, sf).withColumn("land", F.col("height") >= 20)
+    return N.features(c, N.regions(c, T.edges(spark, sf), "land"))
+
+
+@query("cells edges", """@ coast AS (SELECT DISTINCT a.cell_id AS node FROM cells a JOIN edges e ON e.src = a.cell_id JOIN cells b ON b.cell_id = e.dst WHERE (a.height >= 20) <> (b.height >= 20)),
+inside AS (SELECT e.src, e.dst, a.height >= 20 AS land FROM edges e JOIN cells a ON a.cell_id = e.src JOIN cells b ON b.cell_id = e.dst WHERE (a.height >= 20) = (b.height >= 20)),
+bfs(node, d) USING KEY (node) AS (SELECT node, 1 FROM coast UNION SELECT i.dst, min(b.d + 1) FROM bfs b JOIN inside i ON i.src = b.node LEFT JOIN recurring.bfs r ON r.node = i.dst WHERE r.node IS NULL AND (i.land OR b.d < 10) GROUP BY i.dst)
+SELECT cell_id, coalesce(CASE WHEN height >= 20 THEN d ELSE -d END, 0)::BIGINT AS distance FROM cells LEFT JOIN bfs ON node = cell_id""")
+def distance_field(spark, sf):
+    return N.distance_field(T.cells(spark, sf), T.edges(spark, sf))
+
+
+def _drained(spark, sf):
+    one = F.lit(0).cast("long").alias("map_id")
+    c = T.cells(spark, sf).join(T.precipitation(spark, sf), "cell_id").select(one, "cell_id", "height", "is_border", "precip")
+    if T.count_cells(spark, sf) <= N.MAP_CELLS:
+        return grouped.per_map(c, T.edges(spark, sf).select(one, "src", "dst"), grouped.drainage, grouped.DRAINAGE).drop("map_id")
+    e = T.edges(spark, sf)
+    filled = N.flood(c, e)
+    flow = N.flow_direction(filled, e)
+    return filled.join(flow, "cell_id").join(N.accumulate(flow, c), "cell_id")
+
+
+_DRAIN = """f(cell_id, v) USING KEY (cell_id) AS (SELECT cell_id, height FROM cells WHERE is_border UNION SELECT e.dst, min(greatest(c.height, f.v)) FROM f JOIN edges e ON e.src = f.cell_id JOIN cells c ON c.cell_id = e.dst LEFT JOIN recurring.f r ON r.cell_id = e.dst WHERE r.v IS NULL OR r.v > greatest(c.height, f.v) GROUP BY e.dst),
+fl AS (SELECT a.cell_id, a.v AS filled, coalesce(arg_min(b.cell_id, b.v * 1000000 + b.cell_id) FILTER (WHERE b.v < a.v), -1) AS "to" FROM f a LEFT JOIN edges e ON e.src = a.cell_id LEFT JOIN f b ON b.cell_id = e.dst GROUP BY ALL),
+walk(origin, node) AS (SELECT cell_id, cell_id FROM fl UNION ALL SELECT w.origin, fl."to" FROM walk w JOIN fl ON fl.cell_id = w.node WHERE fl."to" >= 0),
+fx AS (SELECT node AS cell_id, sum(precip)::BIGINT AS flux FROM walk JOIN rain ON rain.cell_id = origin GROUP BY node)"""
+
+
+@query("cells edges rain", f'@ {_DRAIN} SELECT fl.cell_id, filled::BIGINT AS filled, "to", flux FROM fl JOIN fx USING (cell_id)')
+def drainage(spark, sf):
+    """Priority flood, flow direction and accumulated rain."""
+    return _drained(spark, sf)
+
+
+@query("cells edges rain", f"""@ {_DRAIN}, big AS (SELECT fl.cell_id, "to", flux FROM fl JOIN fx USING (cell_id) WHERE flux >= 400),
+main AS (SELECT "to" AS cell_id, arg_min(cell_id, (-flux)::BIGINT * 1000000 + cell_id) AS above FROM big WHERE "to" >= 0 GROUP BY "to"),
+nm(cell_id, river_id) AS (SELECT cell_id, cell_id FROM big WHERE cell_id NOT IN (SELECT cell_id FROM main) UNION ALL SELECT m.cell_id, nm.river_id FROM nm JOIN main m ON m.above = nm.cell_id)
+SELECT river_id, count(*) AS n_cells, max(flux)::BIGINT AS discharge FROM nm JOIN big USING (cell_id) GROUP BY river_id""")
+def drained_rivers(spark, sf):
+    d = _drained(spark, sf)
+    r = N.rivers(d.select("cell_id", "to"), d.select("cell_id", "flux"), 400)
+    return r.join(d, "cell_id").groupBy("river_id").agg(F.count("*").alias("n_cells"), F.max("flux").alias("discharge"))
+
+
+@query("cells edges", """@ costs AS (SELECT cell_id, CASE WHEN height >= 20 THEN 10 + height // 10 + CASE WHEN height > 70 THEN 50 ELSE 0 END END AS cost FROM cells),
+x(cell_id, v) USING KEY (cell_id) AS (SELECT cell_id, min((cell_id // 97) + 1) FROM cells WHERE cell_id % 97 = 13 AND height >= 20 GROUP BY cell_id UNION SELECT e.dst, min(x.v + cost * 1048576) FROM x JOIN edges e ON e.src = x.cell_id JOIN costs c ON c.cell_id = e.dst LEFT JOIN recurring.x r ON r.cell_id = e.dst WHERE cost IS NOT NULL AND x.v // 1048576 + cost <= 120 AND (r.v IS NULL OR r.v > x.v + cost * 1048576) GROUP BY e.dst)
+SELECT cell_id, (v // 1048576)::BIGINT AS cost, (v % 1048576)::BIGINT AS owner FROM x""")
+def expanded_cultures(spark, sf):
+    c = T.cells(spark, sf)
+    seeds = c.where("cell_id % 97 = 13 AND height >= 20").select("cell_id", (F.expr("cell_id div 97") + 1).alias("owner"))
+    h = F.col("height")
+    costs = c.select("cell_id", F.when(h >= 20, 10 + F.expr("height div 10") + F.when(h > 70, 50).otherwise(0)).cast("long").alias("cost"))
+    return N.expand(seeds, costs, T.edges(spark, sf), 120)
+
+
+@query("owners edges", """@ near AS (SELECT e.src, o.state_id, count(*) AS n FROM edges e JOIN owners o ON o.cell_id = e.dst WHERE o.state_id > 0 GROUP BY ALL), top AS (SELECT src, arg_max(state_id, n * 1000 - state_id) AS s, max(n) AS n FROM near GROUP BY src)
+SELECT o.cell_id, CASE WHEN o.state_id > 0 AND coalesce(m.n, 0) < 2 AND top.n >= 2 THEN top.s ELSE o.state_id END::BIGINT AS state_id FROM owners o LEFT JOIN top ON top.src = o.cell_id LEFT JOIN near m ON m.src = o.cell_id AND m.state_id = o.state_id""")
+def normalised_states(spark, sf):
+    return N.vote(T.owners(T.cells(spark, sf)).select("cell_id", "state_id"), T.edges(spark, sf), "state_id")
+
+
+@query("owners edges", """@ big AS (SELECT state_id FROM owners WHERE state_id > 0 GROUP BY 1 HAVING count(*) >= 7), near AS (SELECT e.src, o.state_id, count(*) AS n FROM edges e JOIN owners o ON o.cell_id = e.dst JOIN big USING (state_id) GROUP BY ALL), top AS (SELECT src, arg_max(state_id, n * 1000 - state_id) AS s FROM near GROUP BY src)
+SELECT o.cell_id, CASE WHEN o.state_id = 0 OR o.state_id IN (SELECT state_id FROM big) THEN o.state_id ELSE coalesce(s, 0) END::BIGINT AS state_id FROM owners o LEFT JOIN top ON top.src = o.cell_id""")
+def absorbed_states(spark, sf):
+    return N.absorb_small(T.owners(T.cells(spark, sf)).select("cell_id", "state_id"), T.edges(spark, sf), "state_id", 7)
+
+
+@query("owners edges", "SELECT o.cell_id, count(*) FILTER (WHERE p.state_id = o.state_id) AS buddies, count(*) FILTER (WHERE p.state_id NOT IN (0, o.state_id)) AS adversaries, sum(CASE WHEN p.state_id = 0 THEN 0 WHEN p.state_id = o.state_id THEN 3 WHEN p.culture_id = o.culture_id THEN 2 ELSE 1 END)::BIGINT AS alignment FROM owners o JOIN edges e ON e.src = o.cell_id JOIN owners p ON p.cell_id = e.dst WHERE o.state_id > 0 GROUP BY o.cell_id")
+def neighbour_counts(spark, sf):
+    o = T.owners(T.cells(spark, sf))
+    n = T.edges(spark, sf).join(o.select(F.col("cell_id").alias("dst"), F.col("state_id").alias("s2"), F.col("culture_id").alias("c2")), "dst")
+    k = n.join(o.where("state_id > 0"), F.col("src") == F.col("cell_id"))
+    score = F.when(F.col("s2") == 0, 0).when(F.col("s2") == F.col("state_id"), 3).when(F.col("c2") == F.col("culture_id"), 2).otherwise(1)
+    return k.groupBy("cell_id").agg(F.count_if(F.col("s2") == F.col("state_id")).alias("buddies"), F.count_if((F.col("s2") != 0) & (F.col("s2") != F.col("state_id"))).alias("adversaries"), F.sum(score).cast("long").alias("alignment"))
+
+
+@query()
+def spaced_capitals(spark, sf):
+    """Greedy choice by population with a least distance; iterative, so there is no SQL."""
+    s = T.settlements(spark, sf).select("id", "x", "y", (-F.col("population")).alias("rank"))
+    return N.spaced(s, 6.0).select("id")
+
+
+@query()
+def wind_rain(spark, sf):
+    """Rain by a westerly wind; a recurrence along each row, so there is no SQL."""
+    one = F.lit(0).cast("long").alias("map_id")
+    work = lambda c, near: grouped.wind_rain(c, near, T.WIDTH, 120.0)
+    return grouped.per_map(T.cells(spark, sf).select(one, "cell_id", "height"), T.edges(spark, sf).select(one, "src", "dst"), work, "map_id long, cell_id long, rain long")
+
+
+@query("cells edges rain", f"""@ {_DRAIN}, w AS (SELECT fl.cell_id, flux, max(flux) OVER () AS mx FROM fx JOIN fl USING (cell_id)) SELECT cell_id, flux > 0.8 * mx AS wet FROM w""")
+def wetlands(spark, sf):
+    d = _drained(spark, sf)
+    most = d.agg(F.max("flux").alias("mx"))
+    return d.crossJoin(F.broadcast(most)).select("cell_id", (F.col("flux") > 0.8 * F.col("mx")).alias("wet"))  # one row
+
+
+@query("cells edges", """@ r(cell_id, region) USING KEY (cell_id) AS (SELECT cell_id, cell_id FROM cells UNION SELECT l.dst, min(c.region) FROM r c JOIN (SELECT e.src, e.dst FROM edges e JOIN cells a ON a.cell_id = e.src JOIN cells b ON b.cell_id = e.dst WHERE a.height // 25 = b.height // 25) l ON l.src = c.cell_id JOIN recurring.r q ON q.cell_id = l.dst WHERE c.region < q.region GROUP BY l.dst)
+SELECT region, height // 25 AS band, count(*) AS n_cells, round(avg(x), 4) AS cx, round(avg(y), 4) AS cy FROM r JOIN cells USING (cell_id) GROUP BY ALL""")
+def height_regions(spark, sf):
+    """Connected cells of one height band, with their size and middle."""
+    c = T.cells(spark, sf).withColumn("band", F.expr("height div 25"))
+    r = N.regions(c, T.edges(spark, sf), "band").join(c.select("cell_id", "x", "y"), "cell_id")
+    return r.groupBy("region", F.col("kind").cast("int").alias("band")).agg(F.count("*").alias("n_cells"), F.round(F.avg("x"), 4).alias("cx"), F.round(F.avg("y"), 4).alias("cy"))
+
+
+# Edits
+
+
+@query("cells edits", """@ l AS (SELECT cell_id, edit_id, op, delta, row_number() OVER (PARTITION BY cell_id ORDER BY edit_id) AS k FROM edits WHERE op IN ('set_height', 'adjust_height')),
+f(cell_id, k, h) AS (SELECT cell_id, 0::BIGINT, height::BIGINT FROM cells UNION ALL SELECT f.cell_id, l.k, CASE WHEN l.op = 'set_height' THEN greatest(l.delta, 0) ELSE greatest(f.h + l.delta, 0) END FROM f JOIN l ON l.cell_id = f.cell_id AND l.k = f.k + 1)
+SELECT cell_id, arg_max(h, k) AS height FROM f GROUP BY cell_id""")
+def edited_heights(spark, sf):
+    return D.fold_heights(T.cells(spark, sf), T.edits(spark, sf))
+
+
+@query("edits", "SELECT cell_id, edit_id, op, delta FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY edit_id DESC) AS k FROM edits WHERE op <> 'noop') WHERE k = 1")
+def latest_edits(spark, sf):
+    return D.latest(T.edits(spark, sf).where("op <> 'noop'")).select("cell_id", "edit_id", "op", "delta")
+
+
+@query("edits", "SELECT op, count(*) AS n, count(DISTINCT cell_id) AS n_cells FROM edits GROUP BY op")
+def edits_by_operation(spark, sf):
+    return T.edits(spark, sf).groupBy("op").agg(F.count("*").alias("n"), F.countDistinct("cell_id").alias("n_cells"))
+
+
+@query("edits", "SELECT date_trunc('hour', ts) AS start, op, count(*) AS n, sum(delta)::BIGINT AS delta FROM edits GROUP BY ALL")
+def edit_activity(spark, sf):
+    w = F.window("ts", "1 hour")
+    return T.edits(spark, sf).groupBy(w.alias("w"), "op").agg(F.count("*").alias("n"), F.sum("delta").alias("delta")).select(F.col("w.start").alias("start"), "op", "n", "delta")
+
+
+@query("settlements edits", "SELECT s.id, coalesce(CASE WHEN e.op = 'set_biome' THEN greatest(e.delta, 0) END, s.population)::BIGINT AS population, CASE WHEN e.op = 'smooth' THEN s.name || '*' ELSE s.name END AS name FROM settlements s LEFT JOIN (SELECT edit_id % (SELECT count(*) FROM customer) AS id, arg_max(op, edit_id) AS op, arg_max(delta, edit_id) AS delta FROM edits GROUP BY 1) e USING (id)")
+def edited_settlements(spark, sf):
+    """Settlements with population set or renamed by the last edit that names them."""
+    s = T.settlements(spark, sf).select("id", "population", "name")
+    n = T.table(spark, sf, "customer").count()
+    e = D.latest(T.edits(spark, sf).withColumn("id", F.col("edit_id") % n), "id").select("id", "op", "delta")
+    changes = e.join(s.select("id", F.col("name").alias("_name")), "id").select("id", F.when(F.col("op") == "set_biome", F.greatest("delta", F.lit(0))).alias("population"), F.when(F.col("op") == "smooth", F.concat("_name", F.lit("*"))).alias("name"))
+    return D.upsert(s, changes, "id")
+
+
+@query("edits", "@ r AS (SELECT * FROM (VALUES ('set_height', 0, 100, 1000000, 0), ('adjust_height', -50, 50, 1000000, 1), ('smooth', 0, 1000000, 20, 2)) t(op, lowest, highest, most_cells, level)) SELECT edit_id, CASE WHEN lowest IS NULL THEN 'unknown operation' WHEN delta NOT BETWEEN lowest AND highest THEN 'value out of range' WHEN count(*) OVER (PARTITION BY editor, edits.op) > most_cells THEN 'too many cells' WHEN editor % 4 < level THEN 'not permitted' END AS reason FROM edits LEFT JOIN r ON r.op = edits.op")
+def validated_edits(spark, sf):
+    rules = spark.createDataFrame([("set_height", 0, 100, 1000000, 0), ("adjust_height", -50, 50, 1000000, 1), ("smooth", 0, 1000000, 20, 2)], "op string, lowest long, highest long, most_cells long, level int")
+    return D.validate(T.edits(spark, sf), rules).select("edit_id", "reason")
+
+
+@query("owners settlements", "SELECT CASE WHEN state_id IN (3, 4, 5) THEN 2 ELSE state_id END::BIGINT AS state_id, count(*) AS area FROM owners WHERE state_id > 0 GROUP BY 1")
+def merged_states(spark, sf):
+    return D.merge_owners(T.owners(T.cells(spark, sf)), "state_id", 2, [3, 4, 5]).where("state_id > 0").groupBy("state_id").agg(F.count("*").alias("area"))
+
+
+@query("cells edits", "SELECT DISTINCT delta AS cell_id FROM edits WHERE delta NOT IN (SELECT cell_id FROM cells)")
+def unknown_cells(spark, sf):
+    return D.missing(T.edits(spark, sf).select(F.col("delta").alias("cell_id")).distinct(), T.cells(spark, sf))
+
+
+@query("owners settlements", "SELECT culture_id, count(*) AS n_cells, round(coalesce(any_value(p), 0) / count(*)::DOUBLE, 4) AS per_cell FROM owners LEFT JOIN (SELECT culture_id + 1 AS culture_id, sum(population)::BIGINT AS p FROM settlements GROUP BY 1) USING (culture_id) WHERE culture_id > 0 GROUP BY culture_id")
+def population_per_cell(spark, sf):
+    people = T.settlements(spark, sf).groupBy((F.col("culture_id") + 1).cast("long").alias("culture_id")).agg(F.sum("population").alias("p"))
+    o = T.owners(T.cells(spark, sf)).where("culture_id > 0").groupBy("culture_id").agg(F.count("*").alias("n_cells"))
+    return o.join(people, "culture_id", "left").select("culture_id", "n_cells", F.round(F.coalesce("p", F.lit(0)) / F.col("n_cells").cast("double"), 4).alias("per_cell"))
+
+
+@query("cells", "SELECT cell_id FROM cells WHERE height >= 20 ORDER BY (cell_id * 48271 + 5) % 2147483647 * 16807 % 2147483647 // 7 % 65536, cell_id LIMIT 25")
+def sampled_cells(spark, sf):
+    return T.cells(spark, sf).where("height >= 20").orderBy(generator.scrambled(5, F.col("cell_id")), "cell_id").limit(25).select("cell_id")
+
+
+# Names
+
+
+@query("", r"""WITH s AS (SELECT p_size AS base, regexp_extract_all(lower(w), '[^aeiou]*[aeiou]+|[^aeiou]+$') AS s FROM (SELECT p_size, unnest(string_split(p_name, ' ')) AS w FROM part) WHERE w <> ''),
+p AS (SELECT base, list_concat([''], s) AS a, list_concat(s, ['']) AS b FROM s WHERE len(s) > 0), t AS (SELECT base, unnest(a) AS prev, unnest(b) AS next FROM p) SELECT base, prev, next, count(*) AS n FROM t GROUP BY ALL""")
+def syllable_chain(spark, sf):
+    rows = name_lists(spark, sf)
+    s = F.regexp_extract_all(F.lower("name"), F.lit("([^aeiou]*[aeiou]+|[^aeiou]+$)"), F.lit(1))
+    return names.transitions(rows, s)
+
+
+@query()
+def generated_names(spark, sf):
+    """Walks over the chain, seeded by id; random, so there is no SQL."""
+    rows = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 50 + 1).cast("int").alias("base"))
+    return names.walk_names(rows, names.transitions(name_lists(spark, sf)))
+
+
+@query("", "SELECT n_nationkey AS id, CASE WHEN regexp_matches(lower(right(n_name, 1)), '[aeiou]') THEN substr(n_name, 1, length(n_name) - 1) ELSE n_name END || 'ia' AS land, upper(substr(n_name, 1, 2)) AS code, '#' || lower(printf('%02X', (n_nationkey * 9) // 2 + 128)) || '4080' AS color FROM nation")
+def state_names(spark, sf):
+    n = T.table(spark, sf, "nation")
+    own = F.concat(F.lit("#"), F.lower(F.lpad(F.hex((F.col("n_nationkey") * 9).cast("int")), 2, "0")), F.lit("0000"))
+    mixed = names.hex_mix(own, F.lit("#ff80ff"), 0.5)
+    color = F.concat(F.lit("#"), F.lower(F.lpad(F.hex((F.floor(F.col("n_nationkey") * 9 / 2) + 128).cast("int")), 2, "0")), F.substring(mixed, 4, 2), F.lit("80"))
+    return n.select(F.col("n_nationkey").alias("id"), names.with_suffix(F.col("n_name"), F.lit("ia")).alias("land"), F.upper(F.substring("n_name", 1, 2)).alias("code"), color.alias("color"))
