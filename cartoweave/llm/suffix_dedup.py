@@ -28,6 +28,7 @@ read.  An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +36,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartoweave.llm.common import NULL_ID, mix64, parts_for, shared_path, table
+from cartoweave.llm.common import NULL_ID, bytes_of, mix64, parts_for, shared_path, table
 
 LENGTH, GRAM = 100, 40
 #: Bytes that are hashed at a time, windows that are compared at a time, text bytes a partition.
 CHUNK, WINDOWS, PART = 1 << 20, 1 << 20, 32 << 20
 #: Sampled suffixes a splitter; one document in SAMPLE is looked at for them.
 PER_SPLITTER, SAMPLE = 64, 16
+#: Places from the anchor that one task takes of a hot gram.
+PLACES = 4
 _ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -175,38 +178,41 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), F.xxhash64("text").alias("th"))
 
 
-def splitters(keyed: DataFrame, parts: int) -> list[tuple[int, int, int]]:
-    """At most parts - 1 (gram, token, did) that cut a sample of suffixes into equal shares."""
+def splitters(keyed: DataFrame, parts: int) -> tuple[list[tuple[int, int, int]], set[int]]:
+    """At most parts - 1 (gram, token, did) that cut a sample of suffixes into equal shares, and the sample's hot grams.
+
+    About PER_SPLITTER suffixes a partition come to the driver, chosen by a hash of their places.
+    A gram is hot if it has an eighth of a partition's share of the sample.
+    """
     if parts < 2:
-        return []
+        return [], set()
+    # text is about twice its Parquet file; other inputs are counted; two runs to each window of anchors
+    size = 2 * bytes_of(keyed) or keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    expected = 1 + 2 * size // (LENGTH - GRAM) // SAMPLE
+    limit = np.uint64(min(1.0, parts * PER_SPLITTER / expected) * (2**64 - 2**12))
 
     def run(batches):
-        best = None  # a bounded bottom-k sample by a hash of the suffix's place
         for b in batches:
             s = _suffixes(b)
             if s is None:
                 continue
             did = b.column("did").to_numpy()[s[0]]
-            luck = mix64(s[4] ^ mix64(did.astype(np.uint64) ^ (s[1].astype(np.uint64) << np.uint64(20))))
-            new = [luck, s[4], s[5], did]
-            best = new if best is None else [np.concatenate(x) for x in zip(best, new, strict=True)]
-            keep = np.argsort(best[0])[: parts * PER_SPLITTER]
-            best = [x[keep] for x in best]
-        if best is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in best], ["luck", "gram", "token", "did"])
-
-    sample = keyed.where(F.pmod("th", F.lit(SAMPLE)) == 0).select("did", "th", "text").mapInArrow(run, "luck long, gram long, token long, did long")
-    rows = sample.orderBy("luck").limit(parts * PER_SPLITTER).collect()  # bounded: PER_SPLITTER a partition
-    rows = sorted((r.gram % 2**64, r.token % 2**64, r.did) for r in rows)
+            take = mix64(s[4] ^ mix64(did.astype(np.uint64) ^ (s[1].astype(np.uint64) << np.uint64(20)))) <= limit
+            yield pa.RecordBatch.from_arrays([pa.array(x[take].astype(np.int64)) for x in (s[4], s[5], did)], ["gram", "token", "did"])
+
+    sample = keyed.where(F.pmod("th", F.lit(SAMPLE)) == 0).select("did", "th", "text").mapInArrow(run, "gram long, token long, did long")
+    rows = sorted((r.gram % 2**64, r.token % 2**64, r.did) for r in sample.collect())
     step = len(rows) / parts
-    return sorted({rows[int(step * i)] for i in range(1, parts)}) if len(rows) >= parts else rows
+    cuts = sorted({rows[int(step * i)] for i in range(1, parts)}) if len(rows) >= parts else rows
+    hot = Counter(r[0] for r in rows)
+    return cuts, {g for g, n in hot.items() if n >= max(2, step / 8)}
 
 
 def removed_intervals(keyed: DataFrame, path: str) -> DataFrame:
     """(did, th, spans): packed starts and ends of removed intervals; several rows a document."""
     spark = keyed.sparkSession
     parts = parts_for(keyed, PART)
-    cuts = splitters(keyed, parts)
+    cuts, hot = splitters(keyed, parts)
     cut_gram = np.array([c[0] for c in cuts], np.uint64)
 
     def deal(batches):
@@ -275,7 +281,13 @@ def removed_intervals(keyed: DataFrame, path: str) -> DataFrame:
                 data = text.encode("utf-8", "surrogatepass")
                 gram, first, length, offset = (np.concatenate(x) for x in zip(*(_unpacked(a, np.uint64, np.int64, np.uint8, np.uint8) for a in asks), strict=True))
                 for g, f, n, o in zip(gram.tolist(), first.tolist(), length.tolist(), offset.tolist(), strict=True):
-                    keep.setdefault(g % 1_000_003 % parts, []).append((g, did, th, f, n, o, data[f : f + n + LENGTH]))
+                    if g not in hot:
+                        keep.setdefault(g % 1_000_003 % parts, []).append((g, did, th, f, n, o, data[f : f + n + LENGTH]))
+                        continue
+                    # windows are compared by their place from the anchor, so a hot gram's go to several tasks by it
+                    for k in range((o - n) // PLACES, o // PLACES + 1):
+                        i, j = max(0, o - (k + 1) * PLACES + 1), min(n, o - k * PLACES)
+                        keep.setdefault((g + 7919 * k) % 1_000_003 % parts, []).append((g, did, th, f + i, j - i, o - i, data[f + i : f + j + LENGTH]))
             for pid, rows in keep.items():
                 for i in range(0, len(rows), 50_000):
                     g, d, t, f, n, o, s = zip(*rows[i : i + 50_000], strict=True)
