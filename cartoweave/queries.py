@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from cartoweave.functions import environment as E
 from cartoweave.functions import geometry as G
+from cartoweave.functions import society as S
 from cartoweave.operators import edits as D
 from cartoweave.operators import graph as N
 from cartoweave.operators import grouped, names, spatial
+from cartoweave.plans.fixpoint import settle
 from cartoweave.sources import generator
 from cartoweave.sources import tables as T
 
@@ -637,3 +639,169 @@ def state_names(spark, sf):
     mixed = names.hex_mix(own, F.lit("#ff80ff"), 0.5)
     color = F.concat(F.lit("#"), F.lower(F.lpad(F.hex((F.floor(F.col("n_nationkey") * 9 / 2) + 128).cast("int")), 2, "0")), F.substring(mixed, 4, 2), F.lit("80"))
     return n.select(F.col("n_nationkey").alias("id"), names.with_suffix(F.col("n_name"), F.lit("ia")).alias("land"), F.upper(F.substring("n_name", 1, 2)).alias("code"), color.alias("color"))
+
+
+# Society
+
+
+_PORTS = "havens AS (SELECT a.cell_id, min(b.cell_id) AS haven, count(*) AS harbor FROM cells a JOIN edges e ON e.src = a.cell_id JOIN cells b ON b.cell_id = e.dst WHERE a.height >= 20 AND b.height < 20 GROUP BY a.cell_id)"
+_NOISE = "least(greatest(2 + 3 * (((id * 48271 + 11) % 2147483647 * 16807 % 2147483647 // 7 % 65536) / 65535.0::DOUBLE - 0.5) * 3, 0.6::DOUBLE), 20.0::DOUBLE) / 3"
+_SCORES = f"scores AS ({SQL['suitability']}), land AS ({SQL['climate_and_biomes']})"
+_TYPES = "['Generic', 'Naval', 'Highland', 'River', 'Nomadic', 'Hunting']"
+
+
+def _placed(spark, sf):
+    """Settlements with their port, cell, biome, suitability, noise and type of culture."""
+    s = T.settlements(spark, sf).join(havens(spark, sf), "cell_id", "left").join(climate_and_biomes(spark, sf).select("cell_id", "height", "biome", "precip"), "cell_id").join(suitability(spark, sf), "cell_id")
+    noise = F.least(F.greatest(2 + 3 * (generator.scrambled(11, F.col("id")) / 65535.0 - 0.5) * 3, F.lit(0.6)), F.lit(20.0)) / 3
+    culture = F.element_at(F.array(*[F.lit(c) for c in ("Generic", "Naval", "Highland", "River", "Nomadic", "Hunting")]), (F.col("id") % 6 + 1).cast("int"))
+    return s.withColumn("port", F.coalesce(F.col("harbor") == 1, F.lit(False))).withColumn("noise", noise).withColumn("culture", culture)
+
+
+_PLACED = f"{_PORTS}, {_SCORES}, placed AS (SELECT s.*, haven, l.height, l.biome, l.precip, score, coalesce(harbor = 1, false) AS port, {_NOISE} AS noise, ({_TYPES})[id % 6 + 1] AS culture FROM settlements s JOIN land l USING (cell_id) JOIN scores USING (cell_id) LEFT JOIN havens USING (cell_id)), people AS (SELECT *, greatest(score / 8 + id / 1000.0::DOUBLE + (cell_id % 100) / 1000.0::DOUBLE, 0.1::DOUBLE) * CASE WHEN is_capital THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN port THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END * noise AS p FROM placed)"
+
+
+@query("settlements cells edges", f"@ {_PLACED} SELECT id, port, round(p, 2) AS people FROM people")
+def settlement_sizes(spark, sf):
+    p = _placed(spark, sf)
+    base = F.greatest(F.col("score") / 8 + F.col("id") / 1000.0 + (F.col("cell_id") % 100) / 1000.0, F.lit(0.1))
+    size = base * F.when(F.col("is_capital"), S.CAPITAL).otherwise(1.0) * F.when(F.col("port"), S.PORT).otherwise(1.0) * F.col("noise")
+    return p.select("id", "port", F.round(size, 2).alias("people"))
+
+
+def _typed(spark, sf):
+    p = _placed(spark, sf).withColumn("people", S.population(F.col("score"), F.col("id"), F.col("cell_id"), F.col("is_capital"), F.col("port"), F.col("noise")))
+    return p.withColumn("settlement_kind", S.kind(F.col("port"), F.lit(False), F.col("height"), F.col("precip"), F.coalesce(F.col("harbor"), F.lit(9)), F.col("biome"), F.col("culture"), F.col("people")))
+
+
+_KINDS = """kinds AS (SELECT *, CASE WHEN port THEN 'Port' WHEN height > 60 THEN CASE culture WHEN 'Highland' THEN 'Highland Fortress' ELSE 'Highland' END WHEN precip >= 100 THEN CASE culture WHEN 'River' THEN 'River Trade Hub' ELSE 'River' END
+ WHEN culture = 'Naval' AND coalesce(harbor, 9) <= 2 THEN 'Coastal' WHEN biome IN (11, 12) THEN CASE WHEN culture <> 'Nomadic' THEN 'Desert Outpost' WHEN p < 20 THEN 'Oasis Camp' ELSE 'Desert Town' END
+ WHEN biome IN (6, 7, 8, 14, 15) THEN CASE WHEN culture <> 'Hunting' THEN 'Forest' WHEN p < 15 THEN 'Forest Lodge' ELSE 'Woodland Settlement' END WHEN biome IN (9, 13) THEN CASE WHEN culture <> 'Nomadic' THEN 'Farming Village' WHEN p < 10 THEN 'Nomadic Camp' ELSE 'Trading Post' END
+ WHEN biome IN (4, 5) THEN CASE WHEN p < 20 THEN 'Northern Outpost' ELSE 'Frontier Town' END ELSE CASE culture WHEN 'Naval' THEN 'Coastal Village' WHEN 'Highland' THEN 'Mountain Village' WHEN 'Lake' THEN 'Lakeside Village' WHEN 'River' THEN 'Riverside Village' WHEN 'Nomadic' THEN 'Settlement' WHEN 'Hunting' THEN 'Hunting Lodge' ELSE 'Village' END END AS settlement_kind
+ FROM (SELECT people.* EXCLUDE (p), round(p, 3) AS p, harbor FROM people LEFT JOIN havens USING (cell_id)))"""
+
+
+@query("settlements cells edges", f"@ {_PLACED}, {_KINDS} SELECT id, culture, settlement_kind FROM kinds")
+def settlement_kinds(spark, sf):
+    return _typed(spark, sf).select("id", "culture", "settlement_kind")
+
+
+@query("settlements cells edges", f"""@ {_PLACED}, {_KINDS},
+a AS (SELECT *, CASE WHEN regexp_matches(settlement_kind, 'Fortress') THEN [0.5, 0.0, 0.3] WHEN regexp_matches(settlement_kind, 'Trade|Hub') THEN [0.0, 0.3, 0.0] WHEN regexp_matches(settlement_kind, 'Camp|Lodge') THEN [-0.2, 0.0, -0.2] WHEN regexp_matches(settlement_kind, 'Port') THEN [0.0, 0.2, -0.1] ELSE [0.0, 0.0, 0.0] END::DOUBLE[] AS k,
+ CASE culture WHEN 'Highland' THEN [0.3, 0.0, 0.4] WHEN 'Naval' THEN [0.0, 0.2, -0.1] WHEN 'River' THEN [0.0, 0.25, 0.0] WHEN 'Nomadic' THEN [-0.2, -0.1, -0.3] WHEN 'Hunting' THEN [-0.1, 0.0, -0.2] ELSE [0.0, 0.0, 0.0] END::DOUBLE[] AS c FROM kinds)
+SELECT id, round(least(1.0, greatest(0.0, CASE WHEN is_capital THEN 1.0 WHEN p > 50 THEN 0.75 WHEN p > 15 THEN 0.5 ELSE 0.1 END::DOUBLE + (c[1] + k[1]))), 4)::DOUBLE AS citadel, round(least(1.0, greatest(0.0, CASE WHEN p > 20 THEN 1.0 WHEN p > 10 THEN 0.8 WHEN p > 4 THEN 0.7 ELSE 0.6 END::DOUBLE + (c[2] + k[2]))), 4)::DOUBLE AS plaza,
+ round(least(1.0, greatest(0.0, CASE WHEN is_capital OR p > 30 THEN 1.0 WHEN p > 20 THEN 0.75 WHEN p > 10 THEN 0.5 ELSE 0.1 END::DOUBLE + (c[3] + k[3]))), 4)::DOUBLE AS walls FROM a""")
+def settlement_chances(spark, sf):
+    t = _typed(spark, sf)
+    c = S.chances(F.col("people"), F.col("is_capital"), F.col("culture"), F.col("settlement_kind"), F.lit(True))
+    return t.select("id", *[F.round(c[n], 4).alias(n) for n in ("citadel", "plaza", "walls")])
+
+
+@query()
+def settlement_features(spark, sf):
+    """Chances against a number drawn for each settlement; the numbers are Spark's hashes, so there is no SQL."""
+    t = _typed(spark, sf)
+    c = S.chances(F.col("people"), F.col("is_capital"), F.col("culture"), F.col("settlement_kind"), F.col("state_id") % 2 == 0)
+    draw = lambda salt: generator.uniform(salt, F.col("id"))
+    out = t.select("id", "people", "culture", *[(draw(i) < c[n]).alias(n) for i, n in enumerate(c)])
+    return out.select("id", *c, (draw(9) < S.shanty_chance(F.col("people"), F.col("walls"), F.col("culture"))).alias("shanty"))
+
+
+@query("settlements cells edges", f"@ {_PORTS} SELECT s.id, round(s.x + (h.haven % 40 - s.x) * 0.67::DOUBLE, 2) AS x, round(s.y + (h.haven // 40 - s.y) * 0.67::DOUBLE, 2) AS y FROM settlements s JOIN havens h USING (cell_id) WHERE harbor = 1")
+def port_positions(spark, sf):
+    s = T.settlements(spark, sf).join(havens(spark, sf).where("harbor = 1"), "cell_id")
+    x, y = S.port_position(F.col("x"), F.col("y"), F.col("haven") % T.WIDTH, F.expr(f"haven div {T.WIDTH}"))
+    return s.select("id", x.alias("x"), y.alias("y"))
+
+
+@query("owners", f"""@ {_SCORES}, m AS (SELECT cell_id, state_id, height, ([{', '.join(map(str, E.MOVEMENT))}])[biome + 1] AS movement, biome, score FROM owners JOIN land USING (cell_id) JOIN scores USING (cell_id)),
+t AS (SELECT *, ({_TYPES})[cell_id % 6 + 1] AS type, cell_id % 2 = 0 AS same FROM m)
+SELECT cell_id, greatest(CASE WHEN same THEN CASE WHEN type IN ('Highland', 'Nomadic') THEN -13 ELSE -9 END ELSE CASE type WHEN 'Naval' THEN 70 WHEN 'Highland' THEN 130 ELSE 100 END END
+ + CASE WHEN height < 20 THEN CASE type WHEN 'Naval' THEN 0 ELSE 200 END WHEN floor(score) > 0 THEN greatest(20 - floor(score)::BIGINT, 0) ELSE CASE type WHEN 'Nomadic' THEN 3000 WHEN 'Highland' THEN 4000 ELSE 5000 END END
+ + CASE WHEN biome = 9 THEN 10 WHEN type = 'Nomadic' THEN movement * 2 ELSE movement END + CASE WHEN height < 20 THEN 0 WHEN type = 'Highland' THEN CASE WHEN height < 62 THEN 1100 ELSE 0 END WHEN height >= 67 THEN 2200 WHEN height >= 44 THEN 300 ELSE 0 END, 0)::BIGINT AS cost FROM t""")
+def state_costs(spark, sf):
+    c = climate_and_biomes(spark, sf).join(suitability(spark, sf), "cell_id")
+    type_ = F.element_at(F.array(*[F.lit(t) for t in ("Generic", "Naval", "Highland", "River", "Nomadic", "Hunting")]), (F.col("cell_id") % 6 + 1).cast("int"))
+    cost = S.state_cost(F.col("cell_id") % 2 == 0, F.col("height"), F.floor("score"), E.pick(E.MOVEMENT, F.col("biome")), F.col("biome") == 9, type_)
+    return c.select("cell_id", cost.alias("cost"))
+
+
+@query("cells owners", "@ m AS (SELECT culture_id, avg(x) AS mx, avg(y) AS my FROM owners JOIN cells USING (cell_id) WHERE culture_id > 0 GROUP BY 1) SELECT cell_id, round(greatest(CASE WHEN height >= 60 THEN 20.0 ELSE -least((100 - height) / 10.0 * 5, 30.0) END::DOUBLE + CASE WHEN height > 70 THEN 50 WHEN height > 50 THEN 10 ELSE 0 END + sqrt(power(x - mx, 2) + power(y - my, 2)) / 50, 0.0::DOUBLE), 4) AS cost FROM cells JOIN owners USING (cell_id) JOIN m USING (culture_id)")
+def culture_costs(spark, sf):
+    c = T.cells(spark, sf)
+    o = T.owners(c).where("culture_id > 0").select("cell_id", "culture_id").join(c, "cell_id")
+    m = o.groupBy("culture_id").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    people = F.when(F.col("height") >= 60, 0.0).otherwise((100 - F.col("height")) / 10.0)
+    far = G.distance(F.col("x"), F.col("y"), F.col("mx"), F.col("my"))
+    return o.join(m, "culture_id").select("cell_id", F.round(S.culture_cost(people, F.col("height"), far), 4).alias("cost"))
+
+
+@query("cells edges rain", f"""@ b AS ({SQL['climate_and_biomes']}), ds AS ({SQL['distance_field']}), {_DRAIN}, w AS (SELECT cell_id, flux, max(flux) OVER () AS mx, flux >= 400 AND flux <= 0.8 * max(flux) OVER () AS river FROM fx),
+nr AS (SELECT DISTINCT e.src AS cell_id FROM edges e JOIN w ON w.cell_id = e.dst WHERE river),
+s1 AS (SELECT b.*, distance, flux, mx, river, nr.cell_id IS NOT NULL AND NOT river AS beside, CASE WHEN b.height >= 20 AND abs(distance) <= 3 AND temperature > 15 AND temperature < 25 AND biome IN (9, 11) THEN 10 ELSE biome END AS b1 FROM b JOIN ds USING (cell_id) JOIN w USING (cell_id) LEFT JOIN nr USING (cell_id)),
+s2 AS (SELECT *, CASE WHEN height >= 20 AND river THEN 2 WHEN height >= 20 AND beside AND b1 = 11 THEN 9 WHEN height >= 20 AND beside AND b1 = 12 THEN 13 ELSE b1 END AS b2 FROM s1),
+s3 AS (SELECT *, CASE WHEN height >= 20 AND b2 <> 2 AND flux > mx * 0.8 THEN 3 ELSE b2 END AS b3 FROM s2)
+SELECT cell_id, CASE WHEN height >= 20 AND abs(distance) <= 1 AND temperature > 20 THEN 16 ELSE b3 END::INT AS biome FROM s3""")
+def influenced_biomes(spark, sf):
+    """Biomes after the influence of coasts, rivers, wetlands and mangroves."""
+    d = _drained(spark, sf)
+    most = d.agg(F.max("flux").alias("mx"))
+    w = d.crossJoin(F.broadcast(most)).select("cell_id", "flux", "mx", ((F.col("flux") >= 400) & (F.col("flux") <= 0.8 * F.col("mx"))).alias("river"))  # one row
+    near = T.edges(spark, sf).join(w.where("river").select(F.col("cell_id").alias("dst")), "dst").select(F.col("src").alias("cell_id")).distinct().withColumn("by", F.lit(True))
+    c = climate_and_biomes(spark, sf).join(distance_field(spark, sf), "cell_id").join(w, "cell_id").join(near, "cell_id", "left")
+    beside = F.coalesce("by", F.lit(False)) & ~F.col("river")
+    return c.select("cell_id", E.influenced_biome(F.col("biome"), F.col("height"), F.col("temperature"), F.col("distance"), F.col("river"), beside, F.col("flux"), F.col("mx")).cast("int").alias("biome"))
+
+
+@query("cells owners edges", "SELECT o.culture_id, count(DISTINCT o.cell_id) AS area, (SELECT count(*) FROM edges e JOIN owners a ON a.cell_id = e.src JOIN owners b ON b.cell_id = e.dst WHERE a.culture_id = o.culture_id AND b.culture_id <> o.culture_id) + (SELECT sum(4 - k)::BIGINT FROM (SELECT count(*) AS k FROM edges e JOIN owners a ON a.cell_id = e.src WHERE a.culture_id = o.culture_id GROUP BY e.src)) AS perimeter FROM owners o WHERE culture_id > 0 GROUP BY o.culture_id")
+def territory_shape(spark, sf):
+    """Area and perimeter of territories: cells, and sides to other owners or off the map; no ring needs to be traced."""
+    o, e = T.owners(T.cells(spark, sf)), T.edges(spark, sf)
+    area = o.where("culture_id > 0").groupBy("culture_id").agg(F.count("*").alias("area"))
+    out = spatial.boundary(o, e, "culture_id").groupBy(F.col("owner").alias("culture_id")).agg(F.count("*").alias("sides"))
+    inner = e.join(o.where("culture_id > 0"), F.col("src") == F.col("cell_id")).groupBy("culture_id").agg(F.count("*").alias("all"))
+    return area.join(out, "culture_id").join(inner, "culture_id").select("culture_id", "area", (F.col("sides") + 4 * F.col("area") - F.col("all")).alias("perimeter"))
+
+
+@query("rivers", "@ p AS (SELECT a.river_id, min(b.river_id) AS parent_id FROM (SELECT river_id, arg_max(cell_id, seq) AS mouth FROM rivers GROUP BY 1) a LEFT JOIN rivers b ON b.cell_id = a.mouth AND b.river_id < a.river_id GROUP BY a.river_id), h(river_id, stem, depth) AS (SELECT river_id, river_id, 0 FROM p WHERE parent_id IS NULL UNION ALL SELECT p.river_id, h.stem, h.depth + 1 FROM h JOIN p ON p.parent_id = h.river_id) SELECT river_id, stem, depth::BIGINT AS depth FROM h")
+def river_hierarchy(spark, sf):
+    """Each river's main stem and depth below it."""
+    p = river_parents(spark, sf)
+    # stem and depth in one number that grows along the way
+    start = p.where("parent_id IS NULL").select(F.col("river_id").alias("node"), (F.col("river_id") * (1 << 20)).alias("value"))
+    down = p.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("src"), F.col("river_id").alias("dst"))
+    h = settle(start, down, lambda v: v + 1)
+    return h.select(F.col("node").alias("river_id"), F.expr(f"value div {1 << 20}").alias("stem"), (F.col("value") % (1 << 20)).alias("depth"))
+
+
+@query("cells edges rain", f"""@ {_DRAIN}, sk AS (SELECT fl.cell_id, fl.filled FROM fl JOIN fx USING (cell_id) JOIN cells c USING (cell_id) WHERE "to" = -1 AND flux > 15 AND NOT is_border AND fl.filled > c.height)
+SELECT filled::BIGINT AS level, count(*) AS n_cells, min(cell_id) AS first_cell FROM sk GROUP BY filled""")
+def lake_levels(spark, sf):
+    """Flooded sinks by their level."""
+    d = _drained(spark, sf).join(T.cells(spark, sf).select("cell_id", "height", "is_border"), "cell_id")
+    sinks = d.where("`to` = -1 AND flux > 15 AND NOT is_border AND filled > height")
+    return sinks.groupBy(F.col("filled").cast("long").alias("level")).agg(F.count("*").alias("n_cells"), F.min("cell_id").alias("first_cell"))
+
+
+@query("", "SELECT r_regionkey AS id, CASE WHEN r_regionkey % 10 < 4 THEN (['Sun', 'Storm', 'River'])[(r_regionkey * 7 + 1) % 3 + 1] ELSE (['Silent', 'Golden'])[(r_regionkey * 7 + 2) % 2 + 1] || ' ' || (['Sun', 'Storm', 'River'])[(r_regionkey * 7 + 3) % 3 + 1] END AS deity FROM region")
+def deities(spark, sf):
+    return T.table(spark, sf, "region").select(F.col("r_regionkey").alias("id"), S.deity(F.col("r_regionkey"), ("Sun", "Storm", "River"), ("Silent", "Golden"), ("Watching", "Sleeping")).alias("deity"))
+
+
+@query("maps", """SELECT map_id, '{"map_id":' || map_id || ',"name":"' || name || '","n_nations":' || n_nations || '}' AS config FROM maps""")
+def map_configs(spark, sf):
+    return T.maps(spark, sf).select("map_id", F.to_json(F.struct("map_id", "name", "n_nations")).alias("config"))
+
+
+@query("owners cells", "@ c AS (SELECT state_id, religion_id, count(*) AS n FROM owners WHERE state_id > 0 GROUP BY state_id, religion_id), s AS (SELECT *, sum(n) OVER (PARTITION BY state_id) AS total FROM c) SELECT state_id, bool_or(religion_id > 0 AND n > 0.3 * total) AS theocracy FROM s GROUP BY state_id")
+def theocracies(spark, sf):
+    """States in which one religion has more than three tenths of the cells."""
+    n = T.owners(T.cells(spark, sf)).where("state_id > 0").groupBy("state_id", "religion_id").agg(F.count("*").alias("n"))
+    total = n.groupBy("state_id").agg(F.sum("n").alias("total"))
+    return n.join(total, "state_id").groupBy("state_id").agg(F.bool_or((F.col("religion_id") > 0) & (F.col("n") > 0.3 * F.col("total"))).alias("theocracy"))
+
+
+@query("settlements", "SELECT state_id, count(*) AS n, sum(population)::BIGINT AS population, max(population) AS largest, round(100.0::DOUBLE * sum(population)::DOUBLE / sum(sum(population)) OVER ()::DOUBLE, 4) AS share FROM settlements GROUP BY state_id")
+def population_shares(spark, sf):
+    s = T.settlements(spark, sf).groupBy("state_id").agg(F.count("*").alias("n"), F.sum("population").alias("population"), F.max("population").alias("largest"))
+    return s.withColumn("share", F.round(100.0 * F.col("population") / F.sum("population").over(Window.partitionBy()), 4))  # one row a state
