@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartoweave.llm.common import BLANKS, ascii_lower, mix64, shared_path, table
+from cartoweave.plans.components import ensure_checkpoint_dir
 
 MIN_POINTS = 10
 #: Slots of a filter's bucket, and the share of slots in use for which a filter is sized.
@@ -255,7 +256,9 @@ class LineIndex:
 
     def decisions(self) -> DataFrame:
         """(doc_id, keys): the keys whose lines the document loses."""
-        lost = self.counts().where("n_docs > 1").select("h", "l", "holder")
+        # cut off here, so that both sides of the join come straight from a shuffle, which adaptive execution can split at a hot key
+        ensure_checkpoint_dir(self.spark)
+        lost = self.counts().where("n_docs > 1").select("h", "l", "holder").checkpoint()
         return self.refs().join(lost, ["h", "l"]).where("doc_id <> holder").groupBy("doc_id").agg(F.collect_list(F.struct("h", "l")).alias("keys"))
 
 
