@@ -109,7 +109,7 @@ def cell_edges(spark, sf):
     return T.edges(spark, sf)
 
 
-@query("", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {i}, '{line.split()[0]}', '{' '.join(line.split()[1:])}')" for n, p in generator.TEMPLATES.items() for i, line in enumerate(p.split(";"))) + ") t(name, seq, command, args)")
+@query("", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {i}, '{line.split()[0]}', '{' '.join(line.split()[1:])}')" for n, p in generator.TEMPLATES.items() for i, line in enumerate(p)) + ") t(name, seq, command, args)")
 def template_commands(spark, sf):
     return generator.templates(spark).withColumn("args", F.array_join("args", " "))
 

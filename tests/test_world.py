@@ -217,7 +217,7 @@ def test_alea_repeats():
 @pytest.mark.parametrize("template", sorted(generator.TEMPLATES))
 def test_templates_make_worlds(template):
     one, two = (generator.Heightmap(24, 18, 5) for _ in range(2))
-    for line in generator.TEMPLATES[template].split(";"):
+    for line in generator.TEMPLATES[template]:
         one.run(*line.split())
         two.run(*line.split())
     assert (one.h == two.h).all() and 0 <= one.h.min() and one.h.max() <= 100 and len(set(one.h)) > 3
