@@ -30,8 +30,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    given = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
-    pairs = given.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
+    given = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where(F.col(src).isNotNull() & F.col(dst).isNotNull()).distinct().checkpoint()
+    pairs = given.where("u <> v")
     before = None
     for _ in range(max_rounds):
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
