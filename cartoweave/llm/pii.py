@@ -47,26 +47,37 @@ PATTERN = rf"(?<![\w.+-])(?:{PHONE}|{DATE}|{SSN}|{IPV4}|{CARD}|{KEY_ID}|{EMAIL})
 EPOCH, DAYS = "1800-01-01", (189, 773)
 
 
-def _keyed(key: str, kind: Column, round_: Column, half: Column, place: Column) -> Column:
-    """32 bits of SHA-256 over key, format, round, place and the other half."""
-    seed = F.concat_ws("|", F.lit(key), kind, round_.cast("string"), place.cast("string"), F.array_join(F.transform(half, lambda x: x.cast("string")), ","))
-    return F.conv(F.substring(F.sha2(seed.cast("binary"), 256), 1, 8), 16, 10).cast("long")
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, not wherever the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _stream(key: str, kind: Column, round_: Column, half: Column, n: Column) -> Column:
+    """Hex digits, eight or more for each of n places, from SHA-512 over key, format, round and the other half."""
+    seed = F.concat_ws("|", F.lit(key), kind, round_.cast("string"), F.array_join(F.transform(half, lambda x: x.cast("string")), ","))
+    blocks = F.sequence(F.lit(0), F.floor((n - 1) / 16).cast("int"))
+    return let(seed, lambda t: F.array_join(F.transform(blocks, lambda j: F.sha2(F.concat_ws("|", t, j.cast("string")).cast("binary"), 512)), ""))
 
 
 def feistel(values: Column, moduli: Column, kind: Column, key: str) -> Column:
     """Arrays of longs of one length; a permutation of all value lists under these moduli."""
-    half = F.floor(F.size(values) / 2).cast("int")
-    rest = F.size(values) - half
-    start = F.struct(F.slice(values, F.lit(1), half).alias("a"), F.slice(values, half + 1, rest).alias("b"))
-    ma, mb = F.slice(moduli, F.lit(1), half), F.slice(moduli, half + 1, rest)
 
     def add(own, mod, other, round_):
-        return F.transform(own, lambda v, i: F.pmod(v + _keyed(key, kind, round_, other, i), F.get(mod, i)))
+        moved = let(_stream(key, kind, round_, other, F.size(own)), lambda d: F.transform(own, lambda v, i: F.pmod(v + F.conv(F.substr(d, 8 * i + 1, F.lit(8)), 16, 10).cast("long"), F.get(mod, i))))
+        return F.when(F.size(own) == 0, own).otherwise(moved)
+
+    def run(s):
+        half, rest = F.floor(F.size(s["v"]) / 2).cast("int"), F.ceil(F.size(s["v"]) / 2).cast("int")
+        cut = F.struct(F.slice(s["v"], F.lit(1), half).alias("a"), F.slice(s["v"], half + 1, rest).alias("b"), F.slice(s["m"], F.lit(1), half).alias("ma"), F.slice(s["m"], half + 1, rest).alias("mb"))
+
+        def step(t, r):
+            a = F.when(r % 2 == 0, add(t["a"], t["ma"], t["b"], r)).otherwise(t["a"])
+            b = F.when(r % 2 == 0, t["b"]).otherwise(add(t["b"], t["mb"], t["a"], r))
+            return F.struct(a.alias("a"), b.alias("b"), t["ma"].alias("ma"), t["mb"].alias("mb"))
 
-    def step(s, r):
-        return F.when(r % 2 == 0, F.struct(add(s["a"], ma, s["b"], r).alias("a"), s["b"].alias("b"))).otherwise(F.struct(s["a"].alias("a"), add(s["b"], mb, s["a"], r).alias("b")))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), cut, step, lambda t: F.concat(t["a"], t["b"]))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: F.concat(s["a"], s["b"]))
+    return let(F.struct(values.alias("v"), moduli.alias("m")), run)
 
 
 def _chars(text: Column) -> Column:
@@ -77,20 +88,25 @@ def _fill(template: Column, signs: str, new: Column) -> Column:
     """The template with the signs of class `signs`, in order, replaced by those of the array `new`."""
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("n"))
 
-    def step(s, c):
-        hit = c.rlike(f"^[{signs}]$")
-        return F.struct(F.concat(s["out"], F.when(hit, F.get(new, s["n"])).otherwise(c)).alias("out"), (s["n"] + hit.cast("int")).alias("n"))
+    def run(fresh):
+        def step(s, c):
+            hit = c.rlike(f"^[{signs}]$")
+            return F.struct(F.concat(s["out"], F.when(hit, F.get(fresh, s["n"])).otherwise(c)).alias("out"), (s["n"] + hit.cast("int")).alias("n"))
 
-    return F.aggregate(_chars(template), start, step, lambda s: s["out"])
+        return F.aggregate(_chars(template), start, step, lambda s: s["out"])
+
+    return let(new, run)
 
 
 def _spelled(text: Column, kind: Column, key: str, alphabet) -> Column:
     """Each sign permuted within its alphabet (a function of sign and place); an array of signs."""
-    signs = _chars(text)
-    alph = F.transform(signs, alphabet)
-    values = F.zip_with(signs, alph, lambda c, a: (F.instr(a, c) - 1).cast("long"))
-    moduli = F.transform(alph, lambda a: F.length(a).cast("long"))
-    return F.zip_with(feistel(values, moduli, kind, key), alph, lambda v, a: F.substr(a, (v + 1).cast("int"), F.lit(1)))
+
+    def run(s):
+        values = F.zip_with(s["c"], s["a"], lambda c, a: (F.instr(a, c) - 1).cast("long"))
+        moduli = F.transform(s["a"], lambda a: F.length(a).cast("long"))
+        return F.zip_with(feistel(values, moduli, kind, key), s["a"], lambda v, a: F.substr(a, (v + 1).cast("int"), F.lit(1)))
+
+    return let(_chars(text), lambda c: let(F.struct(c.alias("c"), F.transform(c, alphabet).alias("a")), run))
 
 
 def _luhn(digits: Column) -> Column:
@@ -110,7 +126,7 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
     digits = F.regexp_replace(m, "[^0-9]", "")
     head, body = F.substring(digits, 1, 1), F.substr(digits, F.lit(2), F.length(digits) - 2)
     card_body = F.concat(head, F.array_join(_spelled(body, F.lit("card"), key, decimal), ""))
-    card = F.concat(card_body, F.pmod(-_luhn(F.concat(card_body, F.lit("0"))), F.lit(10)).cast("string"))
+    card = let(card_body, lambda d: F.concat(d, F.pmod(-_luhn(F.concat(d, F.lit("0"))), F.lit(10)).cast("string")))
     card = F.when(_luhn(digits) % 10 == 0, _fill(m, "0-9", _chars(card))).otherwise(m)
 
     local = F.substr(digits, F.lit(2), F.lit(10))
@@ -125,15 +141,15 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
     area, group, serial = _long(F.substring(m, 1, 3)), _long(F.substring(m, 5, 2)), _long(F.substring(m, 8, 4))
     order = F.when(area > 666, area - 2).otherwise(area - 1)
     moved = feistel(F.array(order, group - 1, serial - 1), F.array(*[F.lit(x).cast("long") for x in (898, 99, 9999)]), F.lit("ssn"), key)
-    back = F.transform(F.array(moved), lambda t: F.concat_ws("-", F.lpad((F.get(t, F.lit(0)) + F.when(F.get(t, F.lit(0)) >= 665, 2).otherwise(1)).cast("string"), 3, "0"), F.lpad((F.get(t, F.lit(1)) + 1).cast("string"), 2, "0"), F.lpad((F.get(t, F.lit(2)) + 1).cast("string"), 4, "0")))
-    ssn = F.when(area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0), F.get(back, F.lit(0))).otherwise(m)
+    back = let(moved, lambda t: F.concat_ws("-", F.lpad((F.get(t, F.lit(0)) + F.when(F.get(t, F.lit(0)) >= 665, 2).otherwise(1)).cast("string"), 3, "0"), F.lpad((F.get(t, F.lit(1)) + 1).cast("string"), 2, "0"), F.lpad((F.get(t, F.lit(2)) + 1).cast("string"), 4, "0")))
+    ssn = F.when(area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0), back).otherwise(m)
 
     def day(form, kind_of):
         d = F.try_to_date(m, form)
         n = F.date_diff(d, F.lit(EPOCH).cast("date")).cast("long")
         t = feistel(F.array(F.floor(n / DAYS[1]).cast("long"), n % DAYS[1]), F.array(*[F.lit(x).cast("long") for x in DAYS]), F.lit("date"), key)
-        days = F.transform(F.array(t), lambda x: F.date_format(F.date_add(F.lit(EPOCH).cast("date"), (F.get(x, F.lit(0)) * DAYS[1] + F.get(x, F.lit(1))).cast("int")), form))
-        return F.when(d.isNotNull() & n.between(0, DAYS[0] * DAYS[1] - 1), F.get(days, F.lit(0))).otherwise(m)
+        days = let(t, lambda x: F.date_format(F.date_add(F.lit(EPOCH).cast("date"), (F.get(x, F.lit(0)) * DAYS[1] + F.get(x, F.lit(1))).cast("int")), form))
+        return F.when(d.isNotNull() & n.between(0, DAYS[0] * DAYS[1] - 1), days).otherwise(m)
 
     at = F.instr(m, "@")
     name = F.substr(m, F.lit(1), at - 1)
