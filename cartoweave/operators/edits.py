@@ -76,3 +76,8 @@ def steps(rows: DataFrame, key: str = "river_id") -> DataFrame:
     w = Window.partitionBy(key).orderBy("seq")
     dx, dy = F.lead("x").over(w) - F.col("x"), F.lead("y").over(w) - F.col("y")
     return rows.withColumn("run", F.sqrt((dx * dx + dy * dy).cast("double"))).withColumn("drop", F.abs(F.lead("height").over(w) - F.col("height")))
+
+
+def reroute(rows: DataFrame, new: DataFrame, key: str = "river_id") -> DataFrame:
+    """Paths with those of the keys in `new` replaced."""
+    return rows.join(new.select(key).distinct(), key, "left_anti").unionByName(new)

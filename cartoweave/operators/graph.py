@@ -162,3 +162,20 @@ def spaced(candidates: DataFrame, radius: float, max_rounds: int = 1000) -> Data
         out = near.join(new.select(F.col("id").alias("id_r")), "id_r", "left_semi").select("id").distinct()
         open_ = open_.join(new, "id", "left_anti").join(out, "id", "left_anti").checkpoint()
     raise RuntimeError("the choice did not settle")
+
+
+def deep_lakes(cells: DataFrame, edges: DataFrame, depth: int = 20) -> DataFrame:
+    """cell_id, level: land from which every way to water climbs at least `depth`; level is the height of that pass."""
+    start = cells.where(F.col("height") < SEA).select(F.col("cell_id").alias("node"), F.col("height").alias("value"))
+    reach = settle(start, neighbours(cells, edges, "height"), lambda v: F.greatest(v, F.col("height")))
+    c = cells.where(F.col("height") >= SEA).select("cell_id", "height").join(reach, F.col("cell_id") == F.col("node"))
+    return c.where(F.col("value") - F.col("height") >= depth).select("cell_id", F.col("value").cast("long").alias("level"))
+
+
+def breached(cells: DataFrame, edges: DataFrame, features_: DataFrame, regions_: DataFrame, most: int = 22) -> DataFrame:
+    """cell_id, lake: for each lake the least land cell of at most `most` between it and the ocean, which opens it to the sea."""
+    kind = regions_.join(features_.select("region", "feature"), "region").select(F.col("cell_id").alias("dst"), "region", "feature")
+    low = cells.where(F.col("height").between(SEA, most)).select(F.col("cell_id").alias("src"))
+    sides = edges.join(low, "src").join(kind, "dst")
+    lakes, ocean = sides.where("feature = 'lake'").select("src", F.col("region").alias("lake")), sides.where("feature = 'ocean'").select("src").distinct()
+    return lakes.join(ocean, "src", "left_semi").groupBy("lake").agg(F.min("src").alias("cell_id")).select("cell_id", "lake")

@@ -805,3 +805,26 @@ def theocracies(spark, sf):
 def population_shares(spark, sf):
     s = T.settlements(spark, sf).groupBy("state_id").agg(F.count("*").alias("n"), F.sum("population").alias("population"), F.max("population").alias("largest"))
     return s.withColumn("share", F.round(100.0 * F.col("population") / F.sum("population").over(Window.partitionBy()), 4))  # one row a state
+
+
+@query("cells edges", """@ f(cell_id, v) USING KEY (cell_id) AS (SELECT cell_id, height FROM cells WHERE height < 20 UNION SELECT e.dst, min(greatest(c.height, f.v)) FROM f JOIN edges e ON e.src = f.cell_id JOIN cells c ON c.cell_id = e.dst LEFT JOIN recurring.f r ON r.cell_id = e.dst WHERE r.v IS NULL OR r.v > greatest(c.height, f.v) GROUP BY e.dst)
+SELECT cell_id, v::BIGINT AS level FROM f JOIN cells USING (cell_id) WHERE height >= 20 AND v - height >= 20""")
+def deep_lakes(spark, sf):
+    return N.deep_lakes(T.cells(spark, sf), T.edges(spark, sf))
+
+
+@query("cells edges", f"""@ cc(cell_id, region) USING KEY (cell_id) AS (SELECT cell_id, cell_id FROM cells UNION SELECT l.dst, min(c.region) FROM cc c JOIN (SELECT e.src, e.dst FROM edges e JOIN cells a ON a.cell_id = e.src JOIN cells b ON b.cell_id = e.dst WHERE (a.height >= 20) = (b.height >= 20)) l ON l.src = c.cell_id JOIN recurring.cc r ON r.cell_id = l.dst WHERE c.region < r.region GROUP BY l.dst),
+ft AS (SELECT region, CASE WHEN bool_or(height >= 20) THEN 'island' WHEN bool_or(is_border) THEN 'ocean' ELSE 'lake' END AS feature FROM cc JOIN cells USING (cell_id) GROUP BY region),
+sd AS (SELECT e.src, ft.region, feature FROM edges e JOIN cells a ON a.cell_id = e.src JOIN cc ON cc.cell_id = e.dst JOIN ft ON ft.region = cc.region WHERE a.height BETWEEN 20 AND 40)
+SELECT min(l.src) AS cell_id, l.region AS lake FROM sd l WHERE feature = 'lake' AND src IN (SELECT src FROM sd WHERE feature = 'ocean') GROUP BY l.region""")
+def breached_lakes(spark, sf):
+    c, e = T.cells(spark, sf).withColumn("land", F.col("height") >= 20), T.edges(spark, sf)
+    r = N.regions(c, e, "land")
+    return N.breached(c, e, N.features(c, r), r, 40)
+
+
+@query("settlements", f"SELECT id, (((x > 20)::INT + 2 * (y > 25)::INT) * 4 + CASE ({_TYPES})[id % 6 + 1] WHEN 'Naval' THEN 1 WHEN 'Nomadic' THEN 2 WHEN 'Highland' THEN 3 ELSE 0 END) % 9 AS base FROM settlements WHERE is_capital")
+def name_bases(spark, sf):
+    s = T.settlements(spark, sf).where("is_capital")
+    type_ = F.element_at(F.array(*[F.lit(t) for t in ("Generic", "Naval", "Highland", "River", "Nomadic", "Hunting")]), (F.col("id") % 6 + 1).cast("int"))
+    return s.select("id", S.name_base(type_, F.col("x"), F.col("y"), 40, 50, 9).alias("base"))

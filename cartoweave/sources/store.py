@@ -38,3 +38,9 @@ def scan(spark: SparkSession, path: str, table: str, map_id: int, box: tuple | N
 def forget(spark: SparkSession, path: str, version: str, table: str, map_id: int) -> DataFrame:
     """The table without a map, for a new version."""
     return spark.read.parquet(f"{path}/{version}/{table}").where(F.col("map_id") != map_id)
+
+
+def file_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """folder, n, bytes of the files below the path, from metadata alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    return files.groupBy(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("folder")).agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))

@@ -199,6 +199,14 @@ def test_edit_fold(spark):
     assert values(D.remove(cells, spark.createDataFrame([(1,)], "cell_id long"), "cell_id")) == {2: (40,), 3: (50,)}
 
 
+def test_reroute(spark):
+    rows = spark.createDataFrame([(r, s, s, s) for r in (1, 2) for s in range(4)], "river_id long, seq long, x long, y long")
+    new = spark.createDataFrame([(2, 0, 0, 0), (2, 1, 3, 4)], rows.schema)
+    paths = D.ordered_path(D.reroute(rows, new), "river_id")
+    got = {r.river_id: r.n for r in paths.select("river_id", G.line_length(F.col("path")).alias("n")).collect()}
+    assert got == {1: pytest.approx(3 * 2**0.5), 2: 5.0}
+
+
 def test_owner_passes(spark):
     cells, edges = lattice(spark, [30] * 25, 5)
     owners = cells.select("cell_id", F.when(F.col("cell_id") == 12, 2).otherwise(1).cast("long").alias("s"))
@@ -261,6 +269,8 @@ def test_store(spark, tmp_path):
         store.scan(spark, str(tmp_path), "users", 1)
     store.save_world({"cells": store.forget(spark, str(tmp_path), "v1", "cells", 1)}, str(tmp_path), "v2")
     assert store.scan(spark, str(tmp_path), "cells", 1).count() == 0
+    sizes = {r.folder: r.n for r in store.file_sizes(spark, str(tmp_path / "v1" / "cells")).collect()}
+    assert set(sizes) == {"map_id=1", "map_id=2"}
     # a version whose marker is missing is not seen
     d.write.partitionBy("map_id").parquet(str(tmp_path / "v3" / "cells"))
     assert store.versions(spark, str(tmp_path)) == ["v1", "v2"]
