@@ -114,3 +114,34 @@ def spread(c: pd.DataFrame, near: list[list[int]], seeds: dict[int, int], limit:
             if j not in best and cost[j] == cost[j] and d + cost[j] <= limit:
                 heapq.heappush(heap, (d + cost[j], owner, j))
     return pd.DataFrame([(ids[i], int(d), o) for i, (d, o) in best.items()], columns=["cell_id", "cost", "owner"])
+
+
+def label(c: pd.DataFrame, near: list[list[int]], kind: str) -> pd.DataFrame:
+    """kind and region (least cell) of connected cells of one kind."""
+    k, ids = c[kind].to_numpy(), c["cell_id"].to_numpy()
+    region = np.full(len(c), -1)
+    for first in range(len(c)):
+        if region[first] >= 0:
+            continue
+        region[first] = first
+        todo = [first]
+        while todo:
+            for j in near[todo.pop()]:
+                if region[j] < 0 and k[j] == k[first]:
+                    region[j] = first
+                    todo.append(j)
+    return pd.DataFrame({"cell_id": ids, "kind": k, "region": ids[region]})
+
+
+def coast_distance(c: pd.DataFrame, near: list[list[int]], lowest: int = -10) -> pd.DataFrame:
+    """1, 2, ... inland from the coast, -1 ... lowest out to sea, 0 beyond."""
+    land = c["height"].to_numpy() >= SEA
+    d = np.zeros(len(c), np.int64)
+    ring = [i for i, around in enumerate(near) if any(land[j] != land[i] for j in around)]
+    step = 1
+    while ring:
+        for i in ring:
+            d[i] = step if land[i] else -step
+        step += 1
+        ring = list({j for i in ring for j in near[i] if land[j] == land[i] and not d[j] and (land[j] or step <= -lowest)})
+    return pd.DataFrame({"cell_id": c["cell_id"].to_numpy(), "distance": d})

@@ -58,6 +58,23 @@ def _lat(spark, sf):
     return T.cells(spark, sf).withColumn("lat", 90 - F.floor(F.col("y") * 180 / (n // T.WIDTH)))
 
 
+def _by_map(spark, sf, cells, work, schema, beyond):
+    """work on the one map in one task if the map is small enough for that, else what beyond() gives by joins."""
+    if T.count_cells(spark, sf) > N.MAP_CELLS:
+        return beyond()
+    one = F.lit(0).cast("long").alias("map_id")
+    return grouped.per_map(cells.select(one, *cells.columns), T.edges(spark, sf).select(one, "src", "dst"), work, f"map_id long, {schema}").drop("map_id")
+
+
+def _regions(spark, sf, cells, kind, type_):
+    return _by_map(spark, sf, cells, lambda c, near: grouped.label(c, near, kind), f"cell_id long, kind {type_}, region long", lambda: N.regions(cells, T.edges(spark, sf), kind))
+
+
+def _distance(spark, sf):
+    c = T.cells(spark, sf)
+    return _by_map(spark, sf, c, grouped.coast_distance, "cell_id long, distance long", lambda: N.distance_field(c, T.edges(spark, sf)))
+
+
 # Sources and lookups
 
 
@@ -130,7 +147,7 @@ SELECT cell_id AS grid_id, x::DOUBLE AS x, y::DOUBLE AS y, height FROM kept UNIO
 SELECT a.cell_id, round((a.x + b.x) / 2.0::DOUBLE, 1), round((a.y + b.y) / 2.0::DOUBLE, 1), a.height FROM edges e JOIN kept a ON a.cell_id = e.src JOIN kept b ON b.cell_id = e.dst WHERE e.src < e.dst AND abs(a.distance) = 1 AND a.distance = b.distance""")
 def packed_cells(spark, sf):
     c, e = T.cells(spark, sf), T.edges(spark, sf)
-    return generator.packed(c, N.distance_field(c, e), e)
+    return generator.packed(c, _distance(spark, sf), e)
 
 
 @query("", "SELECT p_size AS base, trim(s) AS name FROM (SELECT p_size, unnest(string_split(p_name, ' ')) AS s FROM part) WHERE trim(s) <> ''")
@@ -443,7 +460,7 @@ cc(cell_id, region) USING KEY (cell_id) AS (SELECT cell_id, cell_id FROM cells U
 SELECT region, CASE WHEN bool_or(height >= 20) THEN 'island' WHEN bool_or(is_border) THEN 'ocean' ELSE 'lake' END AS feature, count(*) AS n_cells, bool_or(is_border) AS touches_border, min(c.cell_id) AS first_cell FROM cc JOIN cells c USING (cell_id) GROUP BY region""")
 def map_features(spark, sf):
     c = T.cells(spark, sf).withColumn("land", F.col("height") >= 20)
-    return N.features(c, N.regions(c, T.edges(spark, sf), "land"))
+    return N.features(c, _regions(spark, sf, c, "land", "boolean"))
 
 
 @query("cells edges", """@ coast AS (SELECT DISTINCT a.cell_id AS node FROM cells a JOIN edges e ON e.src = a.cell_id JOIN cells b ON b.cell_id = e.dst WHERE (a.height >= 20) <> (b.height >= 20)),
@@ -451,18 +468,19 @@ inside AS (SELECT e.src, e.dst, a.height >= 20 AS land FROM edges e JOIN cells a
 bfs(node, d) USING KEY (node) AS (SELECT node, 1 FROM coast UNION SELECT i.dst, min(b.d + 1) FROM bfs b JOIN inside i ON i.src = b.node LEFT JOIN recurring.bfs r ON r.node = i.dst WHERE r.node IS NULL AND (i.land OR b.d < 10) GROUP BY i.dst)
 SELECT cell_id, coalesce(CASE WHEN height >= 20 THEN d ELSE -d END, 0)::BIGINT AS distance FROM cells LEFT JOIN bfs ON node = cell_id""")
 def distance_field(spark, sf):
-    return N.distance_field(T.cells(spark, sf), T.edges(spark, sf))
+    return _distance(spark, sf)
 
 
 def _drained(spark, sf):
-    one = F.lit(0).cast("long").alias("map_id")
-    c = T.cells(spark, sf).join(T.precipitation(spark, sf), "cell_id").select(one, "cell_id", "height", "is_border", "precip")
-    if T.count_cells(spark, sf) <= N.MAP_CELLS:
-        return grouped.per_map(c, T.edges(spark, sf).select(one, "src", "dst"), grouped.drainage, grouped.DRAINAGE).drop("map_id")
-    e = T.edges(spark, sf)
-    filled = N.flood(c, e)
-    flow = N.flow_direction(filled, e)
-    return filled.join(flow, "cell_id").join(N.accumulate(flow, c), "cell_id")
+    c = T.cells(spark, sf).join(T.precipitation(spark, sf), "cell_id").select("cell_id", "height", "is_border", "precip")
+
+    def beyond():
+        e = T.edges(spark, sf)
+        filled = N.flood(c, e)
+        flow = N.flow_direction(filled, e)
+        return filled.join(flow, "cell_id").join(N.accumulate(flow, c), "cell_id")
+
+    return _by_map(spark, sf, c, grouped.drainage, grouped.DRAINAGE.removeprefix("map_id long, "), beyond)
 
 
 _DRAIN = """f(cell_id, v) USING KEY (cell_id) AS (SELECT cell_id, height FROM cells WHERE is_border UNION SELECT e.dst, min(greatest(c.height, f.v)) FROM f JOIN edges e ON e.src = f.cell_id JOIN cells c ON c.cell_id = e.dst LEFT JOIN recurring.f r ON r.cell_id = e.dst WHERE r.v IS NULL OR r.v > greatest(c.height, f.v) GROUP BY e.dst),
@@ -495,7 +513,9 @@ def expanded_cultures(spark, sf):
     seeds = c.where("cell_id % 97 = 13 AND height >= 20").select("cell_id", (F.expr("cell_id div 97") + 1).alias("owner"))
     h = F.col("height")
     costs = c.select("cell_id", F.when(h >= 20, 10 + F.expr("height div 10") + F.when(h > 70, 50).otherwise(0)).cast("long").alias("cost"))
-    return N.expand(seeds, costs, T.edges(spark, sf), 120)
+    start = {r.cell_id: r.owner for r in seeds.limit(N.MAP_CELLS).collect()} if T.count_cells(spark, sf) <= N.MAP_CELLS else {}
+    work = lambda c, near: grouped.spread(c, near, start, 120)
+    return _by_map(spark, sf, costs, work, "cell_id long, cost long, owner long", lambda: N.expand(seeds, costs, T.edges(spark, sf), 120))
 
 
 @query("owners edges", """@ near AS (SELECT e.src, o.state_id, count(*) AS n FROM edges e JOIN owners o ON o.cell_id = e.dst WHERE o.state_id > 0 GROUP BY ALL), top AS (SELECT src, arg_max(state_id, n * 1000 - state_id) AS s, max(n) AS n FROM near GROUP BY src)
@@ -529,9 +549,10 @@ def spaced_capitals(spark, sf):
 @query()
 def wind_rain(spark, sf):
     """Rain by a westerly wind; a recurrence along each row, so there is no SQL."""
-    one = F.lit(0).cast("long").alias("map_id")
-    work = lambda c, near: grouped.wind_rain(c, near, T.WIDTH, 120.0)
-    return grouped.per_map(T.cells(spark, sf).select(one, "cell_id", "height"), T.edges(spark, sf).select(one, "src", "dst"), work, "map_id long, cell_id long, rain long")
+    def beyond():
+        raise ValueError("a wind's rows are worked through in one task a map: deal the world into smaller maps")
+
+    return _by_map(spark, sf, T.cells(spark, sf), lambda c, near: grouped.wind_rain(c, near, T.WIDTH, 120.0), "cell_id long, rain long", beyond)
 
 
 @query("cells edges rain", f"""@ {_DRAIN}, w AS (SELECT fl.cell_id, flux, max(flux) OVER () AS mx FROM fx JOIN fl USING (cell_id)) SELECT cell_id, flux > 0.8 * mx AS wet FROM w""")
@@ -546,7 +567,7 @@ SELECT region, height // 25 AS band, count(*) AS n_cells, round(avg(x), 4) AS cx
 def height_regions(spark, sf):
     """Connected cells of one height band, with their size and middle."""
     c = T.cells(spark, sf).withColumn("band", F.expr("height div 25"))
-    r = N.regions(c, T.edges(spark, sf), "band").join(c.select("cell_id", "x", "y"), "cell_id")
+    r = _regions(spark, sf, c, "band", "long").join(c.select("cell_id", "x", "y"), "cell_id")
     return r.groupBy("region", F.col("kind").cast("int").alias("band")).agg(F.count("*").alias("n_cells"), F.round(F.avg("x"), 4).alias("cx"), F.round(F.avg("y"), 4).alias("cy"))
 
 
@@ -819,7 +840,7 @@ sd AS (SELECT e.src, ft.region, feature FROM edges e JOIN cells a ON a.cell_id =
 SELECT min(l.src) AS cell_id, l.region AS lake FROM sd l WHERE feature = 'lake' AND src IN (SELECT src FROM sd WHERE feature = 'ocean') GROUP BY l.region""")
 def breached_lakes(spark, sf):
     c, e = T.cells(spark, sf).withColumn("land", F.col("height") >= 20), T.edges(spark, sf)
-    r = N.regions(c, e, "land")
+    r = _regions(spark, sf, c, "land", "boolean")
     return N.breached(c, e, N.features(c, r), r, 40)
 
 

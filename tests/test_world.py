@@ -54,6 +54,27 @@ def test_drainage_forms_agree(hills):
     assert sum(q for _, to, q in want.values() if to == -1) == rain
 
 
+def test_region_and_distance_forms_agree(hills):
+    cells, edges = hills
+    cells = cells.withColumn("band", F.expr("height div 25"))
+    got = values(N.regions(cells, edges, "band"))
+    assert values(grouped.per_map(cells, edges, lambda c, near: grouped.label(c, near, "band"), "map_id long, cell_id long, kind long, region long").drop("map_id")) == got
+    for lowest in (-10, -1):
+        far = values(N.distance_field(cells, edges, lowest))
+        assert values(grouped.per_map(cells, edges, lambda c, near, low=lowest: grouped.coast_distance(c, near, low), "map_id long, cell_id long, distance long").drop("map_id")) == far
+
+
+def test_large_maps_go_by_joins(spark, sf, duck, monkeypatch):
+    from cartoweave import queries as Q
+
+    monkeypatch.setattr(N, "MAP_CELLS", 10)
+    for name in ("map_features", "distance_field", "drainage", "expanded_cultures"):
+        got = Q.QUERIES[name](spark, sf)
+        want = duck.execute(Q.SQL[name])
+        have = [d[0] for d in want.description]
+        assert sorted(repr([r[have.index(n)] for n in sorted(have)]) for r in want.fetchall()) == sorted(repr([r[n] for n in sorted(have)]) for r in got.collect()), name
+
+
 def test_rivers_end_in_larger_ones(hills):
     cells, edges = hills
     d = grouped.per_map(cells, edges, grouped.drainage, grouped.DRAINAGE).drop("map_id")
