@@ -15,6 +15,18 @@ BLANKS = " \t\n\x0b\x0c\r"
 NULL_ID = 2**63 - 1
 
 
+#: Bytes of a batch that a worker turns into Python objects at a time.
+SLICE = 4 << 20
+
+
+def sliced(batches, size: int = SLICE):
+    """The batches in slices of about `size` bytes (and at least a row), so that a worker's memory doesn't follow Spark's batches."""
+    for b in batches:
+        rows = max(1, int(size * b.num_rows / max(1, b.nbytes)))
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,9 +44,14 @@ def parts_for(df: DataFrame, per_part: int, least: int = 1) -> int:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder in the checkpoint folder, which driver and executors share."""
+    """A new name in the checkpoint folder, which driver and executors share; what is written there goes with the application."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{sc._jsc.sc().getCheckpointDir().get()}/cartoweave")
+    files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{path.toString()}/{name}-{uuid.uuid4().hex}"
 
 
 def ascii_lower(text: str) -> str:

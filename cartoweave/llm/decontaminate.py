@@ -14,8 +14,8 @@ Words are lower-cased (A-Z), ASCII punctuation is blank.  An item's answer follo
 "answer:", or else is its last line or sentence; an item of one sentence is all question.  A part
 of fewer than five words must be there in one run.
 
-The index is built in shards of at most SHARD_BYTES of items, and each shard is broadcast in a
-scan of its own, so its size is bounded whatever the number of items; document frequencies and
+The index is built in shards of at most SHARD_BYTES of items, and SHARDS of them are broadcast
+for each scan, so their size is bounded whatever the number of items; document frequencies and
 the mean length are of all items.  Documents are never shuffled: results are merged by doc_id
 only if there are several shards.
 
@@ -35,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartoweave.llm.common import table
+from cartoweave.llm.common import sliced, table
 
 K1, B = 1.2, 0.75
 THRESHOLD, SIMILARITY, WORDS = 0.5, 0.8, 5
 #: Items of a posting block; bytes of items in a shard, whose table of block maxima has terms x blocks numbers.
-ITEMS, SHARD_BYTES = 4, 512 << 10
+ITEMS, SHARD_BYTES = 4, 128 << 10
+#: Shards that are held in one scan of the documents.
+SHARDS = 8
 _TABLE = bytes.maketrans(string.punctuation.encode() + string.ascii_uppercase.encode(), b" " * len(string.punctuation) + string.ascii_lowercase.encode())
 _ANSWER = re.compile(r"(?is)^(.*)\banswer\s*:(.*)$")
 _LAST = re.compile(r"(?s)^(.*(?:[.!?](?=\s)|\n))(.*\S.*)$")
@@ -164,9 +166,8 @@ class Index:
                 lists = [x for x in lists if x[1] < len(x[0])]
         return found
 
-    def leaks(self, text: str | None) -> list[int]:
-        """item_ids whose question and answer a passage of the text holds."""
-        words = words_of(text)
+    def leaks(self, words: list[bytes]) -> set[int]:
+        """item_ids whose question and answer a passage of the words holds."""
         out = set()
         for start, found in self.retrieve(words):
             passage = words[start : start + self.passage]
@@ -175,14 +176,14 @@ class Index:
                 i, q, a = self.items[k]
                 if i not in out and overlap(q, passage, held) >= SIMILARITY and overlap(a, passage, held) >= SIMILARITY:
                     out.add(i)
-        return sorted(out)
+        return out
 
 
 def _statistics(items: DataFrame):
     """Document frequencies as a DataFrame; number of items with words, their words, the longest and all bytes."""
 
     def count(batches):
-        for b in batches:
+        for b in sliced(batches):
             rows = [words_of(t) for t in b.column("text").to_pylist()]
             terms = [w.decode("utf-8", "surrogatepass") for r in rows for w in set(r)]
             yield pa.RecordBatch.from_arrays([pa.array([*terms, *[None] * len(rows)], pa.string()), pa.array([*[0] * len(terms), *map(len, rows)], pa.int64())], ["term", "n"])
@@ -193,18 +194,26 @@ def _statistics(items: DataFrame):
 
 
 def indexes(items: DataFrame):
-    """Broadcast indexes, one for each shard of items (item_id, text), as the caller asks for them."""
+    """Broadcast lists of at most SHARDS indexes of shards of items (item_id, text)."""
     spark = items.sparkSession
     items = items.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").dropDuplicates()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     frequency, n, total, longest = _statistics(items)
     shards = -(-int(size) // SHARD_BYTES) if n else 0
-    for shard in range(shards):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).sort("item_id", "text")
-        rows = [(r.item_id, r.text) for r in own.collect()]  # about SHARD_BYTES
-        terms = {w.decode("utf-8", "surrogatepass") for _, t in rows for w in words_of(t)}
-        known = frequency if shards == 1 else frequency.join(spark.createDataFrame([(t,) for t in terms], "term string"), "term", "left_semi")
-        yield spark.sparkContext.broadcast(Index(rows, {r.term.encode("utf-8", "surrogatepass"): r["count"] for r in known.collect()}, n, total / n, max(2 * longest, 2 * WORDS)))
+    for start in range(0, shards, SHARDS):
+        held = []
+        for shard in range(start, min(shards, start + SHARDS)):
+            own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).sort("item_id", "text")
+            rows = [(r.item_id, r.text) for r in own.collect()]  # about SHARD_BYTES
+            terms = {w.decode("utf-8", "surrogatepass") for _, t in rows for w in words_of(t)}
+            known = frequency if shards == 1 else frequency.join(spark.createDataFrame([(t,) for t in terms], "term string"), "term", "left_semi")
+            held.append(Index(rows, {r.term.encode("utf-8", "surrogatepass"): r["count"] for r in known.collect()}, n, total / n, max(2 * longest, 2 * WORDS)))
+        yield spark.sparkContext.broadcast(held)
+
+
+def _all_leaks(held: list[Index], text: str | None) -> set[int]:
+    words = words_of(text)
+    return set().union(*(index.leaks(words) for index in held))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -213,11 +222,11 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     The scans of several shards hand the text on, so that documents are never shuffled.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.array().cast("array<long>").alias("item_ids"))
-    for index in indexes(items):
+    for held in indexes(items):
 
-        def run(batches, index=index):
-            for b in batches:
-                found = [sorted({*old, *index.value.leaks(t)}) for t, old in zip(b.column("text").to_pylist(), b.column("item_ids").to_pylist(), strict=True)]
+        def run(batches, held=held):
+            for b in sliced(batches):
+                found = [sorted({*old, *_all_leaks(held.value, t)}) for t, old in zip(b.column("text").to_pylist(), b.column("item_ids").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text", "item_ids"])
 
         rows = rows.mapInArrow(run, "doc_id long, text string, item_ids array<long>")
@@ -226,11 +235,11 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs, all columns, less the rows that hold a benchmark item."""
-    for index in indexes(items):
+    for held in indexes(items):
 
-        def run(batches, index=index):
-            for b in batches:
-                yield b.filter(pa.array([not index.value.leaks(t) for t in b.column("text").to_pylist()], pa.bool_()))
+        def run(batches, held=held):
+            for b in sliced(batches):
+                yield b.filter(pa.array([not _all_leaks(held.value, t) for t in b.column("text").to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cartoweave.llm.common import table
+from cartoweave.llm.common import sliced, table
 
 PROFILE = 400
 #: Keys that a training task gathers before it hands them on.
@@ -77,7 +77,7 @@ def train_profiles(docs: DataFrame, profile: int = PROFILE) -> DataFrame:
                 n = np.bincount(at, np.concatenate([c for _, c in parts])).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n)], ["lang", "key", "n"])
 
-        for b in batches:
+        for b in sliced(batches):
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
                 keys, n = grams(text)
                 if len(keys):
@@ -124,7 +124,7 @@ def identify(docs: DataFrame, profiles: DataFrame, profile: int = PROFILE) -> Da
         return langs[best], float(1 - far[best] / (profile * len(top)))
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             found = [one(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in others), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*(f.name for f in others), "lang_pred", "score"])
 

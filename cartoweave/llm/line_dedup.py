@@ -32,7 +32,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartoweave.llm.common import BLANKS, ascii_lower, mix64, shared_path, table
+from cartoweave.llm.common import BLANKS, ascii_lower, mix64, shared_path, sliced, table
 from cartoweave.plans.components import ensure_checkpoint_dir
 
 MIN_POINTS = 10
@@ -144,7 +144,7 @@ def references(docs: DataFrame) -> DataFrame:
     """(h, l, doc_id): one row for each key and row of docs that holds it."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             ids, keys = [], []
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 if t and i is not None:
@@ -269,7 +269,7 @@ def drop_lines(docs: DataFrame, decisions: DataFrame, with_text: bool = False) -
     joined = docs.select("doc_id", "text", *(f"`{f.name}`" for f in others)).join(packed, F.col("doc_id") == F.col("_of"), "left").drop("_of")
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             n_lines, n_dropped, digests, texts = [], [], [], []
             for t, keys in zip(b.column("text").to_pylist(), b.column("_keys").to_pylist(), strict=True):
                 lines = (t or "").split("\n")

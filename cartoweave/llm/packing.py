@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cartoweave.llm.common import parts_for, table
+from cartoweave.llm.common import parts_for, sliced, table
 from cartoweave.plans.components import ensure_checkpoint_dir
 
 MAX_LEN, BUCKETS, TOKEN_BUDGET = 2048, 8, 16384
@@ -64,7 +64,7 @@ def pieces(docs: DataFrame, max_len: int = MAX_LEN, tokenizer: str | None = None
 
     def run(batches):
         count = None
-        for b in batches:
+        for b in sliced(batches):
             if tokenizer and count is None:
                 from tokenizers import Tokenizer
 

@@ -19,7 +19,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from cartoweave.llm.common import BLANKS, table
+from cartoweave.llm.common import BLANKS, sliced, table
 
 SYMBOLS = "#*$%&|<>"
 #: Symbols that the punctuation rule counts, besides exclamation marks.
@@ -95,7 +95,7 @@ def quality_rules(docs: DataFrame, lost_percent: int = LOST_PERCENT, with_text:
     """One row per row of docs (doc_id, text): counts, verdict, words lost and, if asked, the cleaned text."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             rows = [judge(t, lost_percent) for t in b.column("text").to_pylist()]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
             out = [b.column("doc_id").cast(pa.int64()), *(pa.array(c, pa.int64()) for c in cols[:5]), *(pa.array(c, pa.bool_()) for c in cols[5:7]), pa.array(cols[7], pa.int64())]
@@ -113,7 +113,7 @@ def clean(docs: DataFrame, lost_percent: int = LOST_PERCENT) -> DataFrame:
     others = [n for n in names if n not in ("text", "n_chars")]
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             rows = [judge(t, lost_percent) for t in b.column("text").to_pylist()]
             at = pa.array([i for i, r in enumerate(rows) if r[6]], pa.int64())
             texts = [r[8] for r in rows if r[6]]

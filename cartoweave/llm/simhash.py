@@ -8,7 +8,8 @@ meets there is verified by the complete distance.
 Equal fingerprints are merged first, so a group of copies of any size is one entry.  The
 tables are dealt by segment value and streamed in sorted order; a bucket's pairs are compared
 in bounded blocks inside the task, and only a star for each connected part of a block leaves
-it, never all pairs.  Components of these links are found by plans.components.
+it, never all pairs.  The table of a bucket of more than BUCKET fingerprints is split among
+tasks, each of which is shown all rows of the bucket.  Components of these links are found by plans.components.
 
 With s segments, a distance up to d is found for certain if the ball's radius is at least
 d // s: op5 uses 64 bits, three segments and radius 1 for d = 4.
@@ -28,11 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartoweave.llm.common import mix64, table
+from cartoweave.llm.common import mix64, sliced, table
 from cartoweave.plans.components import connected_components, ensure_checkpoint_dir
 
 #: Candidate pairs that a task holds at a time, and shingles whose bits it holds.
 BLOCK, SHINGLES = 1 << 20, 1 << 15
+#: Table rows of a bucket that one task holds; a larger bucket's table is split into blocks.
+BUCKET = 50_000
 SEED = 42
 
 
@@ -71,7 +74,7 @@ def fingerprints(docs: DataFrame, words: int = 4, bits: int = 64) -> DataFrame:
     n = bits // 64
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             f = np.array([fingerprint(t, words, bits) for t in b.column("text").to_pylist()], np.uint64).reshape(-1, n).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array(f[:, k]) for k in range(n))], ["doc_id", *(f"f{k}" for k in range(n))])
 
@@ -130,12 +133,14 @@ def links(entries: DataFrame, bits: int, segments: int, ball: int, max_distance:
                     at = i[j : j + 50_000]
                     yield pa.RecordBatch.from_arrays([pa.array(key[j : j + 50_000]), pa.array(p[j : j + 50_000]), *(pa.array(c[at]) for c in cols)], ["key", "probe", *names])
 
-    def found(key, probe, cols):
+    def found(key, probe, cols, old):
+        """Links between table rows and the rows of their bucket; the first `old` rows were compared before."""
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(first, len(key)))
         start = np.repeat(first, size)
         own = np.add.reduceat((probe == 0).astype(np.int64), first)
         meets = np.where(probe == 0, np.arange(len(key)) - start, np.repeat(own, size))
+        meets[:old] = 0
         ends = np.cumsum(meets)
         row = 0
         while row < len(key):
@@ -156,26 +161,33 @@ def links(entries: DataFrame, bits: int, segments: int, ball: int, max_distance:
             row = stop
 
     def look(batches):
+        """Rows come sorted by bucket, table rows first: of a bucket that goes on, only its table rows are held."""
         held: list[np.ndarray] | None = None
-
-        def out(arrays):
-            for u, v in found(arrays[0], arrays[1], arrays[2:]):
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["src", "dst"])
-
         for b in batches:
-            new = [b.column(x).to_numpy(zero_copy_only=False) for x in ("key", "probe", *names)]
-            if not len(new[0]):
+            rows = [b.column(x).to_numpy(zero_copy_only=False) for x in ("key", "block", "probe", *names)]
+            if not len(rows[0]):
                 continue
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            cut = int(np.searchsorted(held[0], held[0][-1], "left"))
-            if cut:
-                yield from out([x[:cut] for x in held])
-                held = [x[cut:] for x in held]
-        if held is not None and len(held[0]):
-            yield from out(held)
-
-    schema = "key long, probe byte, id long, " + ", ".join(f"f{k} long" for k in range(n))
-    dealt = entries.select(*names).mapInArrow(put, schema).repartition(F.col("key")).sortWithinPartitions("key", "probe")
+            bucket = mix64(rows[0].view(np.uint64)) ^ rows[1].astype(np.uint64)  # one number for key and block
+            rows = [bucket, *rows[2:]]
+            old = 0 if held is None else len(held[0])
+            rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            for u, v in found(rows[0], rows[1], rows[2:], old):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["src", "dst"])
+            keep = (rows[0] == rows[0][-1]) & (rows[1] == 0)
+            held = [x[keep] for x in rows]
+
+    values = [F.shiftrightunsigned(f"f{word}", low).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(s << 56)) for s, (word, low, width) in enumerate(cuts)]
+    sizes = entries.select(F.explode(F.array(*values)).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET)
+    large = sizes.select("key", F.ceil(F.col("n") / BUCKET).cast("int").alias("blocks")).checkpoint()
+    dealt = entries.select(*names).mapInArrow(put, "key long, probe byte, id long, " + ", ".join(f"f{k} long" for k in range(n)))
+    if large.isEmpty():
+        dealt = dealt.withColumn("block", F.lit(0))
+    else:
+        # each table row of a large bucket is in the table of one block, and looks into all the others
+        home = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+        dealt = dealt.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.withColumn("probe", F.when((F.col("probe") == 0) & (F.col("block") == home), 0).otherwise(1).cast("byte"))
+    dealt = dealt.select("key", "block", "probe", *names).repartition("key", "block").sortWithinPartitions("key", "block", "probe")
     return dealt.mapInArrow(look, "src long, dst long")
 
 

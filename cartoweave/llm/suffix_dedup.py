@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartoweave.llm.common import NULL_ID, bytes_of, mix64, parts_for, shared_path, table
+from cartoweave.llm.common import NULL_ID, SLICE, bytes_of, mix64, parts_for, shared_path, sliced, table
 
 LENGTH, GRAM = 100, 40
 #: Bytes that are hashed at a time, windows that are compared at a time, text bytes a partition.
@@ -192,7 +192,7 @@ def splitters(keyed: DataFrame, parts: int) -> tuple[list[tuple[int, int, int]],
     limit = np.uint64(min(1.0, parts * PER_SPLITTER / expected) * (2**64 - 2**12))
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, 4 * SLICE):
             s = _suffixes(b)
             if s is None:
                 continue
@@ -216,7 +216,7 @@ def removed_intervals(keyed: DataFrame, path: str) -> DataFrame:
     cut_gram = np.array([c[0] for c in cuts], np.uint64)
 
     def deal(batches):
-        for b in batches:
+        for b in sliced(batches, 4 * SLICE):
             s = _suffixes(b)
             if s is None:
                 continue
@@ -275,7 +275,7 @@ def removed_intervals(keyed: DataFrame, path: str) -> DataFrame:
     texts = keyed.join(asked, (F.col("did") == F.col("_d")) & (F.col("th") == F.col("_t")))
 
     def fetch(batches):
-        for b in batches:
+        for b in sliced(batches, 4 * SLICE):
             keep: dict[int, list] = {}
             for did, th, text, asks in zip(b.column("did").to_pylist(), b.column("th").to_pylist(), b.column("text").to_pylist(), b.column("asks").to_pylist(), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
@@ -377,7 +377,7 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     joined = keyed.join(spans, (F.col("did") == F.col("_d")) & (F.col("th") == F.col("_t")), "left")
 
     def cut(batches):
-        for b in batches:
+        for b in sliced(batches):
             rows = []
             for text, blobs in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
                 data = text.encode("utf-8", "surrogatepass") if text else b""

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cartoweave.llm.common import shared_path, table
+from cartoweave.llm.common import shared_path, sliced, table
 from cartoweave.plans.components import ensure_checkpoint_dir
 
 MAGIC, END = "WARC/1.1\r\n", "\r\n\r\n"
@@ -147,7 +147,7 @@ def _scan(df: DataFrame, keep_pieces: bool = False) -> DataFrame:
 
         names = [x.split()[0] for x in _SCAN.split(", ")]
         types = [{"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[x.split()[1]] for x in _SCAN.split(", ")]
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for file, block, value in zip(b.column("file").to_pylist(), b.column("block").to_pylist(), b.column("value").to_pylist(), strict=True):
                 piece = value.encode("utf-8", "surrogatepass")

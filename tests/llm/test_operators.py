@@ -116,8 +116,9 @@ def test_simhash(spark):
     assert len(set(want.values())) < 60
 
 
-@pytest.mark.parametrize("bits,segments,ball,d", [(64, 3, 1, 4), (64, 4, 0, 3), (64, 2, 2, 5), (256, 16, 1, 31)])
-def test_links_are_complete(spark, bits, segments, ball, d):
+@pytest.mark.parametrize("bits,segments,ball,d,bucket", [(64, 3, 1, 4, 9999), (64, 4, 0, 3, 9999), (64, 2, 2, 5, 9999), (256, 16, 1, 31, 9999), (64, 3, 1, 4, 3), (256, 16, 1, 31, 2)])
+def test_links_are_complete(spark, monkeypatch, bits, segments, ball, d, bucket):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)  # small ones are split into blocks
     rng = random.Random(2)
     base = [rng.getrandbits(bits) for _ in range(8)]
     points = {b: None for b in base}
@@ -138,6 +139,18 @@ def test_links_are_complete(spark, bits, segments, ball, d):
     assert 1 < len(set(want.values())) < len(points)
 
 
+def test_bucket_that_fills_many_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        rows = [(i, (i % 7) << 30 | i) for i in range(300)]  # one bucket in the middle segment for each of seven values
+        entries = spark.createDataFrame(rows, "id long, f0 long").coalesce(1)
+        got = {(r.src, r.dst) for r in simhash.links(entries, 64, 3, 1, 1).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = _components(range(300), lambda a, b: (rows[a][1] ^ rows[b][1]).bit_count() <= 1)
+    assert _components(range(300), lambda a, b: (a, b) in got or (b, a) in got) == want
+
+
 def test_keep_one_of_near_copies(spark):
     rng = random.Random(3)
     texts = [" ".join(rng.choices([f"v{i}" for i in range(900)], k=300)) for _ in range(12)]
@@ -272,12 +285,13 @@ def test_decontamination(spark):
     frames = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
     assert {r.doc_id: r.item_ids for r in decontaminate.find_leaks(*frames).collect()} == want
     assert 15 < sum(map(bool, want.values())) < 40
-    size_, decontaminate.SHARD_BYTES = decontaminate.SHARD_BYTES, 3000  # several shards
+    kept = decontaminate.SHARD_BYTES, decontaminate.SHARDS
+    decontaminate.SHARD_BYTES, decontaminate.SHARDS = 3000, 2  # several shards and scans
     try:
         assert {r.doc_id: r.item_ids for r in decontaminate.find_leaks(*frames).collect()} == want
         assert {r.doc_id for r in decontaminate.drop_leaks(*frames).collect()} == {i for i, x in want.items() if not x}
     finally:
-        decontaminate.SHARD_BYTES = size_
+        decontaminate.SHARD_BYTES, decontaminate.SHARDS = kept
 
 
 def test_wand_is_exact():
@@ -310,6 +324,22 @@ def test_packing_is_optimal():
         assert cost(cuts) == best and len(cuts) == min(k, len(lengths))
 
 
+def test_packing_with_a_tokenizer(spark):
+    files = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = files.path("byte_bpe_50k.json")
+    docs = frame(spark, [(1, "Tokens of a text, and more of them. " * 20), (2, None), (3, "<|endoftext|>")])
+    got = {}
+    for r in packing.pieces(docs, 32, path).collect():
+        got.setdefault(r.doc_id, []).append((r.piece, r.start, r.n_tokens))
+    model = Tokenizer.from_file(path)
+    model.encode_special_tokens = True
+    for i, t in ((1, "Tokens of a text, and more of them. " * 20), (2, ""), (3, "<|endoftext|>")):
+        n = len(model.encode(t, add_special_tokens=False).ids)
+        assert sorted(got[i]) == [(k, 32 * k, min(32, n - 32 * k)) for k in range(max(1, -(-n // 32)))]
+
+
 def test_packing_batches(spark, sf):
     rows = Q.QUERIES["op4_packing"](spark, sf).collect()
     assert len({(r.bucket_len, r.batch, r.slot) for r in rows}) == len(rows)
