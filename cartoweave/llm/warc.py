@@ -240,8 +240,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def archived_pages(records: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to; a revisit takes the payload's figures from the response."""
+    ensure_checkpoint_dir(records.sparkSession)
     rows = records.select(F.expr("try_cast(regexp_extract(id, 'urn:page:(-?[0-9]+)', 1) AS long)").alias("page_id"), "type", F.expr("try_cast(regexp_extract(refers, 'urn:page:(-?[0-9]+)', 1) AS long)").alias("refers_to"), "length", "digest")
-    own = rows.where("type = 'response'").groupBy(F.col("page_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.max("length").alias("_length"))
+    own = rows.where("type = 'response'").groupBy(F.col("page_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.max("length").alias("_length")).checkpoint()  # so that adaptive execution can split a response with many revisits
     stated = records.select(F.expr("try_cast(regexp_extract(id, 'urn:page:(-?[0-9]+)', 1) AS long)").alias("page_id"), F.expr("try_cast(regexp_extract(refers, 'urn:page:(-?[0-9]+)', 1) AS long)").alias("refers_to"), "stated", "type")
     full = rows.where("type = 'response'").select("page_id", F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
     back = stated.where("type = 'revisit'").join(own, (F.col("refers_to") == F.col("_id")) & (F.col("stated") == F.col("_digest")), "left")
