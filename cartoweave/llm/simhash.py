@@ -128,10 +128,11 @@ def links(entries: DataFrame, bits: int, segments: int, ball: int, max_distance:
                         whose.append(take)
                         probe.append(np.ones(len(take), np.int8))
                 k, i, p = np.concatenate(keys), np.concatenate(whose), np.concatenate(probe)
-                key = (k | np.uint64(s << 56)).astype(np.int64)
+                # segment, value, and in the lowest bit whether the row only looks
+                key = ((k | np.uint64(s << 48)) << np.uint64(1)).astype(np.int64) | p
                 for j in range(0, len(key), 50_000):
                     at = i[j : j + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(key[j : j + 50_000]), pa.array(p[j : j + 50_000]), *(pa.array(c[at]) for c in cols)], ["key", "probe", *names])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[j : j + 50_000]), *(pa.array(c[at]) for c in cols)], ["key", *names])
 
     def found(key, probe, cols, old):
         """Links between table rows and the rows of their bucket; the first `old` rows were compared before."""
@@ -164,11 +165,10 @@ def links(entries: DataFrame, bits: int, segments: int, ball: int, max_distance:
         """Rows come sorted by bucket, table rows first: of a bucket that goes on, only its table rows are held."""
         held: list[np.ndarray] | None = None
         for b in batches:
-            rows = [b.column(x).to_numpy(zero_copy_only=False) for x in ("key", "block", "probe", *names)]
+            rows = [b.column(x).to_numpy(zero_copy_only=False) for x in ("key", *names)]
             if not len(rows[0]):
                 continue
-            bucket = mix64(rows[0].view(np.uint64)) ^ rows[1].astype(np.uint64)  # one number for key and block
-            rows = [bucket, *rows[2:]]
+            rows = [rows[0] >> 1, rows[0] & 1, *rows[1:]]
             old = 0 if held is None else len(held[0])
             rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
             for u, v in found(rows[0], rows[1], rows[2:], old):
@@ -176,19 +176,18 @@ def links(entries: DataFrame, bits: int, segments: int, ball: int, max_distance:
             keep = (rows[0] == rows[0][-1]) & (rows[1] == 0)
             held = [x[keep] for x in rows]
 
-    values = [F.shiftrightunsigned(f"f{word}", low).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(s << 56)) for s, (word, low, width) in enumerate(cuts)]
-    sizes = entries.select(F.explode(F.array(*values)).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET)
-    large = sizes.select("key", F.ceil(F.col("n") / BUCKET).cast("int").alias("blocks")).checkpoint()
-    dealt = entries.select(*names).mapInArrow(put, "key long, probe byte, id long, " + ", ".join(f"f{k} long" for k in range(n)))
-    if large.isEmpty():
-        dealt = dealt.withColumn("block", F.lit(0))
-    else:
+    values = [F.shiftrightunsigned(f"f{word}", low).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(s << 48)) for s, (word, low, width) in enumerate(cuts)]
+    sizes = entries.select(F.explode(F.array(*values)).alias("_b")).groupBy("_b").agg(F.count("*").alias("_n")).where(F.col("_n") > BUCKET)
+    large = sizes.select("_b", F.ceil(F.col("_n") / BUCKET).cast("int").alias("_blocks")).checkpoint()
+    dealt = entries.select(*names).mapInArrow(put, "key long, id long, " + ", ".join(f"f{k} long" for k in range(n)))
+    bucket = F.shiftright("key", 1)
+    if not large.isEmpty():
         # each table row of a large bucket is in the table of one block, and looks into all the others
-        home = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-        dealt = dealt.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.withColumn("probe", F.when((F.col("probe") == 0) & (F.col("block") == home), 0).otherwise(1).cast("byte"))
-    dealt = dealt.select("key", "block", "probe", *names).repartition("key", "block").sortWithinPartitions("key", "block", "probe")
-    return dealt.mapInArrow(look, "src long, dst long")
+        dealt = dealt.join(large, bucket == F.col("_b"), "left").withColumn("_i", F.explode(F.sequence(F.lit(0), F.coalesce("_blocks", F.lit(1)) - 1)))
+        looks = ((F.col("key") % 2 == 1) | (F.col("_i") != F.pmod(F.xxhash64("id"), F.coalesce("_blocks", F.lit(1))))).cast("long")
+        own = F.shiftleft(F.shiftright(F.xxhash64("_b", "_i"), 1), 1)  # a name for bucket and block
+        dealt = dealt.select(F.when(F.col("_b").isNull(), F.col("key")).otherwise(own + looks).alias("key"), *names)
+    return dealt.repartition(bucket).sortWithinPartitions("key").mapInArrow(look, "src long, dst long")
 
 
 def classes(docs: DataFrame, words: int = 4, bits: int = 64, segments: int = 3, ball: int = 1, max_distance: int = 4) -> DataFrame:
@@ -203,6 +202,8 @@ def classes(docs: DataFrame, words: int = 4, bits: int = 64, segments: int = 3,
     return placed.select("doc_id", *names, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+#: Ids that are broadcast, eight bytes each; more are joined by a shuffle of the documents.
+BROADCAST_IDS = 1_000_000
 #: keep_one's parameters: similarity 0.8 of the sets of five-word shingles.  Sets with Jaccard
 #: similarity 0.8 have cosine 8/9, and differ in arccos(8/9)/pi of the fingerprint's bits, 38.8
 #: of 256.  Sixteen segments with radius 1 find every distance up to 31 for certain, and a
@@ -212,7 +213,10 @@ WIDE = {"words": 5, "bits": 256, "segments": 16, "ball": 1, "max_distance": 39}
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs, all columns, less the rows whose class holds a smaller doc_id; rows with a null doc_id stay."""
-    found = classes(docs, **WIDE).where("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
+    ensure_checkpoint_dir(docs.sparkSession)
+    found = classes(docs, **WIDE).where("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct().checkpoint()
+    if found.count() <= BROADCAST_IDS:
+        found = F.broadcast(found)
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 
 
