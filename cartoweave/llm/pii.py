@@ -12,7 +12,7 @@ ipv4          four numbers 0 to 255, no leading zero     the four numbers
 ssn           area 001-899 but 666, group and serial > 0 area, group and serial
 date          a day of 1800-2199 (ISO, US or dotted)     the day, over the 146,097 days of 400 years
 email         local part with a letter or digit          the local part's letters and digits, by class
-secret        AKIA and 16 signs; token or password signs the signs, by class
+secret        AKIA and 16 signs; token or password signs the signs, as hex or by class
 
 The network works on a list of small numbers with a modulus each: the two halves in turn add
 a keyed hash of the other half, modulo each place's modulus, for ROUNDS rounds.  That is a
@@ -32,6 +32,7 @@ from cartoweave.llm.common import table
 
 ROUNDS = 10
 KEY = "change-me"
+HEX = "0123456789abcdef"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 PHONE = r"\+1 \([2-9]\d{2}\) [2-9]\d{2}-\d{4}"
@@ -156,7 +157,8 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
     plain = F.regexp_replace(name, "[^A-Za-z0-9]", "")
     email = F.when(plain != "", F.concat(_fill(name, "A-Za-z0-9", _spelled(plain, F.lit("email"), key, by_class)), F.substr(m, at, F.length(m)))).otherwise(m)
 
-    secret = F.array_join(_spelled(m, F.lit("secret"), key, by_class), "")
+    is_hex = m.rlike("^[0-9a-f]+$")
+    secret = F.array_join(_spelled(m, F.lit("secret"), key, lambda c, i: F.when(is_hex, HEX).otherwise(by_class(c, i))), "")
     key_id = F.concat(F.lit("AKIA"), F.array_join(_spelled(F.substr(m, F.lit(5), F.lit(16)), F.lit("akia"), key, lambda c, i: F.lit(DIGITS + UPPER)), ""))
 
     whole = lambda p: m.rlike(f"^(?:{p})$")
