@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from cartoweave.plans.components import ensure_checkpoint_dir
@@ -19,12 +21,26 @@ NULL_ID = 2**63 - 1
 SLICE = 4 << 20
 
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library, which has no malloc_trim
+    _LIBC = None
+
+
+def tidy() -> None:
+    """Give freed memory back to the system: workers live on between tasks, and their heaps would only grow."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC:
+        _LIBC.malloc_trim(0)
+
+
 def sliced(batches, size: int = SLICE):
     """The batches in slices of about `size` bytes (and at least a row), so that a worker's memory doesn't follow Spark's batches."""
     for b in batches:
         rows = max(1, int(size * b.num_rows / max(1, b.nbytes)))
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+        tidy()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

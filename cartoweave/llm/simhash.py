@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartoweave.llm.common import mix64, sliced, table
+from cartoweave.llm.common import mix64, sliced, table, tidy
 from cartoweave.plans.components import connected_components, ensure_checkpoint_dir
 
 #: Candidate pairs that a task holds at a time, and shingles whose bits it holds.
@@ -175,6 +175,7 @@ def links(entries: DataFrame, bits: int, segments: int, ball: int, max_distance:
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["src", "dst"])
             keep = (rows[0] == rows[0][-1]) & (rows[1] == 0)
             held = [x[keep] for x in rows]
+        tidy()
 
     values = [F.shiftrightunsigned(f"f{word}", low).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(s << 48)) for s, (word, low, width) in enumerate(cuts)]
     sizes = entries.select(F.explode(F.array(*values)).alias("_b")).groupBy("_b").agg(F.count("*").alias("_n")).where(F.col("_n") > BUCKET)

@@ -36,11 +36,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartoweave.llm.common import NULL_ID, SLICE, bytes_of, mix64, parts_for, shared_path, sliced, table
+from cartoweave.llm.common import NULL_ID, SLICE, bytes_of, mix64, parts_for, shared_path, sliced, table, tidy
 
 LENGTH, GRAM = 100, 40
 #: Bytes that are hashed at a time, windows that are compared at a time, text bytes a partition.
-CHUNK, WINDOWS, PART = 1 << 20, 1 << 20, 32 << 20
+CHUNK, WINDOWS, PART = 1 << 18, 1 << 17, 16 << 20
 #: Sampled suffixes a splitter; one document in SAMPLE is looked at for them.
 PER_SPLITTER, SAMPLE = 64, 16
 #: Places from the anchor that one task takes of a hot gram.
@@ -266,6 +266,8 @@ def removed_intervals(keyed: DataFrame, path: str) -> DataFrame:
             out.append((did[p[0]], th[p[0]], spans, asks))
         for i in range(0, len(out), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 10_000], strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["did", "th", "spans", "asks"])
+        del out, did, th, first, length, offset, gram, token
+        tidy()
 
     suffixes = keyed.select("did", "th", "text").mapInArrow(deal, "pid int, data binary").repartitionById(parts, F.col("pid"))
     suffixes.mapInArrow(bucket, "did long, th long, spans binary, asks binary").write.parquet(path)
@@ -316,6 +318,7 @@ def removed_intervals(keyed: DataFrame, path: str) -> DataFrame:
             for block in range(blocks):
                 yield from _windows(data, gram[r], did[r], th[r], first[r], length[r], offset[r], start[r], blocks, block)
             i = j
+        tidy()
 
     def _windows(data, gram, did, th, first, length, offset, start, blocks, block):
         n = length.astype(np.int64) + 1
