@@ -179,8 +179,8 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
 def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     """docs with `text` pseudonymised and n_pseudonyms, the number of values that were replaced by others."""
     t = F.col(f"`{text}`")
-    # a match has a digit or an @ but for secrets of letters alone; most texts have none of these
-    may = F.coalesce(t.rlike('[0-9@]|token = "|password='), F.lit(False))
+    # a match has a digit or an @ but for keys and secrets of letters alone; most texts have none of these
+    may = F.coalesce(t.rlike('[0-9@]|AKIA|token = "|password='), F.lit(False))
     found = F.when(may, F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     step = docs.withColumn("_found", found).withColumn("_new", F.transform("_found", lambda m: pseudonym(m, key)))
     pieces = F.split(t, PATTERN, -1)
