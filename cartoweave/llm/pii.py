@@ -3,11 +3,13 @@
 Main path: DataFrame functions only.  A text is cut at the matches of one pattern; each match
 is validated, permuted within its own format by a keyed Feistel network, and put back.  Equal
 values have equal pseudonyms in all documents, different values different ones, and every
-pseudonym is a valid value of the same format.  What doesn't validate stays as it is.
+pseudonym is a valid value of the same format.  What doesn't validate stays as it is, but for
+phones if every_phone is set, as op10_pii does: then area codes and exchanges that start with
+0 or 1 are formats of their own, permuted apart from the valid ones.
 
 Format        valid if                                   permuted
 card          13 to 19 digits, Luhn                      digits but the first; the check digit follows
-phone         +1 (NXX) NXX-XXXX, N from 2 to 9           all ten digits, N within 2 to 9
+phone         +1 (NXX) NXX-XXXX, N from 2 to 9           all ten digits, N within 2 to 9 (or 0 to 1)
 ipv4          four numbers 0 to 255, no leading zero     the four numbers
 ssn           area 001-899 but 666, group and serial > 0 area, group and serial
 date          a day of 1800-2199 (ISO, US or dotted)     the day, over the 146,097 days of 400 years
@@ -36,6 +38,7 @@ HEX = "0123456789abcdef"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 PHONE = r"\+1 \([2-9]\d{2}\) [2-9]\d{2}-\d{4}"
+ANY_PHONE = r"\+1 \(\d{3}\) \d{3}-\d{4}"
 DATE = r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}"
 SSN = r"\d{3}-\d{2}-\d{4}"
 IPV4 = r"\d{1,3}(?:\.\d{1,3}){3}"
@@ -44,6 +47,7 @@ KEY_ID = r"AKIA[0-9A-Z]{16}"
 EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 SECRET = r"(?<=token = \")[0-9a-zA-Z]{16,}|(?<=password=)[0-9a-zA-Z]{6,}"
 PATTERN = rf"(?<![\w.+-])(?:{PHONE}|{DATE}|{SSN}|{IPV4}|{CARD}|{KEY_ID}|{EMAIL})(?![\w-]|\.\d)|{SECRET}"
+ANY_PATTERN = PATTERN.replace(PHONE, ANY_PHONE)
 #: The days of 1800-01-01 to 2199-12-31 are 189 * 773.
 EPOCH, DAYS = "1800-01-01", (189, 773)
 
@@ -131,7 +135,8 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
     card = F.when(_luhn(digits) % 10 == 0, _fill(m, "0-9", _chars(card))).otherwise(m)
 
     local = F.substr(digits, F.lit(2), F.lit(10))
-    phone = _spelled(local, F.lit("phone"), key, lambda c, i: F.when(i.isin(0, 3), "23456789").otherwise(DIGITS))
+    first = lambda c: F.when(c.isin("0", "1"), "01").otherwise("23456789")
+    phone = _spelled(local, F.lit("phone"), key, lambda c, i: F.when(i.isin(0, 3), first(c)).otherwise(DIGITS))
     phone = _fill(m, "0-9", F.concat(F.array(F.lit("1")), phone))
 
     octets = F.transform(F.split(m, r"\."), _long)
@@ -165,7 +170,7 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
     return (
         F.when(m.contains("@"), email)
         .when(whole(KEY_ID), key_id)
-        .when(whole(PHONE), phone)
+        .when(whole(ANY_PHONE), phone)  # without every_phone only valid ones match
         .when(whole(r"\d{4}-\d{2}-\d{2}"), day("yyyy-MM-dd", "iso"))
         .when(whole(r"\d{2}/\d{2}/\d{4}"), day("MM/dd/yyyy", "us"))
         .when(whole(r"\d{2}\.\d{2}\.\d{4}"), day("dd.MM.yyyy", "dotted"))
@@ -176,18 +181,22 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
-    """docs with `text` pseudonymised and n_pseudonyms, the number of values that were replaced by others."""
+def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text", every_phone: bool = False) -> DataFrame:
+    """docs with `text` pseudonymised and n_pseudonyms, the number of values that were replaced by others.
+
+    every_phone: phone-shaped values that no numbering plan allows are replaced too.
+    """
+    pattern = ANY_PATTERN if every_phone else PATTERN
     t = F.col(f"`{text}`")
     # a match has a digit or an @ but for keys and secrets of letters alone; most texts have none of these
     may = F.coalesce(t.rlike('[0-9@]|AKIA|token = "|password='), F.lit(False))
-    found = F.when(may, F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    found = F.when(may, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
     step = docs.withColumn("_found", found).withColumn("_new", F.transform("_found", lambda m: pseudonym(m, key)))
-    pieces = F.split(t, PATTERN, -1)
+    pieces = F.split(t, pattern, -1)
     joined = F.array_join(F.zip_with(pieces, F.col("_new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     n = F.size(F.filter(F.arrays_zip("_found", "_new"), lambda x: x["_found"] != x["_new"])).cast("long")
     return step.withColumn(text, F.when(F.size("_found") > 0, joined).otherwise(t)).withColumn("n_pseudonyms", n).drop("_found", "_new")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), every_phone=True)

@@ -415,6 +415,19 @@ def test_pii_key_of_letters_alone(spark):
     assert got[2] == ("7 " + m[1], 1) and got[3] == (rows[2][1], 0)
 
 
+def test_pii_query_takes_every_phone(spark, tmp_path):
+    import re
+
+    numbers = [f"+1 ({a}) {b}-{n:04d}" for a in ("017", "132", "212", "999") for b in ("055", "155", "555") for n in (0, 7713, 9999)]
+    rows = [*enumerate(f"call {n} or {n}." for n in numbers), (99, "+1 (01) 555-7713 x+1 (017) 555-7713")]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.text, r.n_pseudonyms) for r in Q.QUERIES["op10_pii"](spark, str(tmp_path)).collect()}
+    new = [re.fullmatch(r"call (\+1 \(\d{3}\) \d{3}-\d{4}) or (\+1 \(\d{3}\) \d{3}-\d{4})\.", got[i][0]).groups() for i in range(len(numbers))]
+    assert all(a == b != n for (a, b), n in zip(new, numbers, strict=True)) and len(set(new)) == len(numbers)
+    assert all((a[i] in "01") == (n[i] in "01") for (a, _), n in zip(new, numbers, strict=True) for i in (4, 9))
+    assert all(got[i][1] == 2 for i in range(len(numbers))) and got[99] == (rows[-1][1], 0)
+
+
 def test_feistel_is_a_bijection(spark):
     from pyspark.sql import functions as F
 
