@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartoweave.plans.components import connected_components
+from cartoweave.plans.components import connected_components, ensure_checkpoint_dir
 from cartoweave.plans.fixpoint import gather_downstream, settle
 
 SEA = 20
@@ -86,8 +86,34 @@ def accumulate(flow: DataFrame, amount: DataFrame) -> DataFrame:
     return gather_downstream(rows).select(F.col("node").alias("cell_id"), F.col("total").alias("flux"))
 
 
-def rivers(flow: DataFrame, flux: DataFrame, threshold: int) -> DataFrame:
-    """cell_id, river_id, parent_id: cells of at least threshold flux.
+def altered(cells: DataFrame, distance: DataFrame, edges: DataFrame) -> DataFrame:
+    """cells, with land raised a little by its distance from the coast and by its neighbours', so that flat land drains."""
+    near = neighbours(distance, edges, "distance").groupBy(F.col("src").alias("cell_id")).agg(F.avg("distance").alias("_mean"))
+    up = F.when(F.col("height") >= SEA, F.col("distance") / 100.0 + F.coalesce("_mean", F.lit(0.0)) / 10000.0).otherwise(0.0)
+    return cells.join(distance, "cell_id").join(near, "cell_id", "left").withColumn("height", F.col("height") + up).select(*cells.columns)
+
+
+def lake_kind() -> Column:
+    """What joins the cells of a lake: their level, if they are under water."""
+    return F.when((F.col("flux") > 0) & (F.col("filled") > F.col("height")), F.col("filled")).otherwise(-1)
+
+
+def lakes(drained: DataFrame, regions_: DataFrame, edges: DataFrame, flux: int = 15, least: int = 3) -> DataFrame:
+    """lake (its least cell), level, n_cells, outlet: connected flooded cells of one level around a sink, of `least` cells or more.
+
+    drained: cell_id, height, is_border, filled, to, flux; regions_: regions by lake_kind().  The
+    outlet is the lowest of its cells with a neighbour outside of the lake, ties to the lesser cell.
+    """
+    r = regions_.select("cell_id", "region")
+    sink = (F.col("to") == -1) & (F.col("flux") > flux) & ~F.col("is_border") & (F.col("filled") > F.col("height"))
+    found = drained.join(r, "cell_id").groupBy("region").agg(F.first("filled").cast("long").alias("level"), F.count("*").alias("n_cells"), F.bool_or(sink).alias("_sink")).where((F.col("n_cells") >= least) & F.col("_sink"))
+    rim = neighbours(r.withColumnRenamed("region", "_other"), edges, "_other").join(r, F.col("src") == F.col("cell_id")).where("region <> _other").select("cell_id", "region").distinct()
+    outlets = rim.join(drained.select("cell_id", "height"), "cell_id").groupBy("region").agg(F.min(F.struct("height", "cell_id")).alias("_low"))
+    return found.join(outlets, "region", "left").select(F.col("region").alias("lake"), "level", "n_cells", F.col("_low.cell_id").alias("outlet"))
+
+
+def rivers(flow: DataFrame, flux: DataFrame, threshold: int, least: int = 1) -> DataFrame:
+    """cell_id, river_id, parent_id: cells of at least threshold flux, of rivers with `least` cells or more.
 
     A river begins where no such cell flows in.  Where rivers meet, the one with the larger
     inflow (on ties the lesser cell) goes on, and the others end with it as their parent.
@@ -104,6 +130,11 @@ def rivers(flow: DataFrame, flux: DataFrame, threshold: int) -> DataFrame:
     named = settle(start, down, lambda v: v).select(F.col("node").alias("cell_id"), F.col("value").alias("river_id"))
     last = steps.join(named, "cell_id").join(main.select(F.col("cell_id").alias("to"), F.col("above").alias("keeps")), "to", "left")
     ends = last.where("keeps IS NULL OR keeps <> cell_id").join(named.select(F.col("cell_id").alias("to"), F.col("river_id").alias("parent_id")), "to", "left").select("river_id", "parent_id")
+    if least > 1:
+        long_ = named.groupBy("river_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("river_id")
+        named = named.join(long_, "river_id", "left_semi")
+        # a river that is dropped is nobody's parent
+        ends = ends.join(long_.select(F.col("river_id").alias("_kept")), F.col("parent_id") == F.col("_kept"), "left").select("river_id", F.col("_kept").alias("parent_id"))
     return named.join(ends, "river_id", "left").select("cell_id", "river_id", "parent_id")
 
 
@@ -119,6 +150,29 @@ def expand(seeds: DataFrame, costs: DataFrame, edges: DataFrame, limit: int) ->
     return best.select(F.col("node").alias("cell_id"), F.floor(F.col("value") / factor).alias("cost"), (F.col("value") % factor).alias("owner"))
 
 
+def expand_by_owner(seeds: DataFrame, cells: DataFrame, edges: DataFrame, cost: Column, limit: float, max_rounds: int = 10_000) -> DataFrame:
+    """cell_id, cost, owner as by expand(), but each owner has costs of its own.
+
+    seeds: cell_id, owner (one row an owner) and columns of the owner; cells: cell_id and columns
+    of the cell; cost: of entering a cell, from both, at least 0, null where the owner can't go.
+    Each owner's cheapest paths are settled on their own, up to the limit; nobody enters the seed of another.
+    """
+    ensure_checkpoint_dir(seeds.sparkSession)
+    who = seeds.drop("cell_id")
+    centre = seeds.select(F.col("cell_id").alias("dst"), F.lit(True).alias("_seed")).distinct()
+    ahead = edges.join(cells.withColumnRenamed("cell_id", "dst"), "dst").join(centre, "dst", "left").where("_seed IS NULL").drop("_seed").checkpoint()
+    best = front = seeds.select("cell_id", "owner", F.lit(0.0).alias("value")).checkpoint()
+    for _ in range(max_rounds):
+        step = front.join(ahead, front.cell_id == ahead.src).drop("cell_id").join(who, "owner").select(F.col("dst").alias("cell_id"), "owner", (F.col("value") + cost).alias("new"))
+        step = step.where(F.col("new") <= limit).groupBy("cell_id", "owner").agg(F.min("new").alias("new"))
+        front = step.join(best, ["cell_id", "owner"], "left").where("value IS NULL OR new < value").select("cell_id", "owner", F.col("new").alias("value")).checkpoint()
+        if front.isEmpty():
+            least = best.groupBy("cell_id").agg(F.min(F.struct("value", "owner")).alias("_least"))
+            return least.select("cell_id", F.col("_least.value").alias("cost"), F.col("_least.owner").cast("long").alias("owner"))
+        best = best.join(front.select("cell_id", "owner"), ["cell_id", "owner"], "left_anti").unionByName(front).checkpoint()
+    raise RuntimeError("the expansion did not settle")
+
+
 def vote(owners: DataFrame, edges: DataFrame, owner: str, least_adverse: int = 2, most_buddies: int = 2) -> DataFrame:
     """One synchronous pass of boundary normalisation: a cell with too few friends goes to the strongest neighbouring owner."""
     near = neighbours(owners, edges, owner).where(F.col(owner) > 0).groupBy("src", owner).agg(F.count("*").alias("n"))

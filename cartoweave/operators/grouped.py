@@ -34,8 +34,8 @@ def per_map(cells: DataFrame, edges: DataFrame, work, schema: str) -> DataFrame:
     return cells.groupBy("map_id").cogroup(edges.groupBy("map_id")).applyInPandas(run, schema)
 
 
-def drainage(c: pd.DataFrame, near: list[list[int]]) -> pd.DataFrame:
-    """filled (priority flood from the border), to (lowest neighbour or -1), flux (precip of all above)."""
+def drainage(c: pd.DataFrame, near: list[list[int]], whole: bool = True) -> pd.DataFrame:
+    """filled (priority flood from the border; whole numbers or not), to (lowest neighbour or -1), flux (precip of all above)."""
     h = c["height"].to_numpy(np.float64)
     filled = h.copy()
     seen = c["is_border"].to_numpy(bool).copy()
@@ -59,7 +59,7 @@ def drainage(c: pd.DataFrame, near: list[list[int]]) -> pd.DataFrame:
         if to[i] >= 0:
             flux[to[i]] += flux[i]
     ids = c["cell_id"].to_numpy()
-    return pd.DataFrame({"cell_id": ids, "filled": filled.astype(np.int64), "to": np.where(to >= 0, ids[to], -1), "flux": flux.astype(np.int64)})
+    return pd.DataFrame({"cell_id": ids, "filled": filled.astype(np.int64) if whole else filled, "to": np.where(to >= 0, ids[to], -1), "flux": flux.astype(np.int64)})
 
 
 DRAINAGE = "map_id long, cell_id long, filled long, `to` long, flux long"

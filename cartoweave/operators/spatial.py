@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartoweave.functions import geometry as G
+from cartoweave.plans.components import ensure_checkpoint_dir
 
 
 def in_region(points: DataFrame, box: tuple, *also: Column) -> DataFrame:
@@ -42,6 +45,30 @@ def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, k: int,
     return radius_join(left, right, radius).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
+def closest(left: DataFrame, right: DataFrame, key: str, right_key: str, k: int, radius: float, among: Column | None = None) -> DataFrame:
+    """The k nearest of right for each row of left, at any distance; fewer only if right has fewer.
+
+    Rows with fewer than k within the radius search again with twice the radius, until it spans
+    all points.  key is unique in left; among, a condition on a pair, says which pairs count.
+    """
+    ensure_checkpoint_dir(left.sparkSession)
+    ends = [f(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))) for c in ("x", "y") for f in (F.min, F.max)]
+    x0, x1, y0, y1 = left.select("x", "y").union(right.select("x", "y")).agg(*ends).first()
+    span = 0.0 if None in (x0, x1, y0, y1) else ((x1 - x0) ** 2 + (y1 - y0) ** 2) ** 0.5
+    w = Window.partitionBy(key).orderBy("distance", f"{right_key}_r")
+    open_, out = left, []
+    while True:
+        pairs = radius_join(open_, right, radius)
+        near = (pairs if among is None else pairs.where(among)).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).checkpoint()
+        full = near.where(F.col("place") == k).select(key)
+        last = radius > span
+        out.append(near if last else near.join(full, key, "left_semi").select(*near.columns))
+        open_ = open_.join(full, key, "left_anti").checkpoint()
+        if last or open_.isEmpty():
+            return reduce(DataFrame.unionByName, out)
+        radius *= 2
+
+
 def cell_at(x: Column, y: Column, spacing: float, wide: int, high: int) -> Column:
     """Number of the lattice cell at a point, points outside clamped to the border."""
     i = F.least(F.greatest(F.floor(x / spacing), F.lit(0)), F.lit(wide - 1))

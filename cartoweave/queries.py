@@ -217,6 +217,12 @@ def land_and_water(spark, sf):
     return c.select("cell_id", "height", (F.col("height") >= T.SEA).alias("is_land"))
 
 
+@query("cells", "SELECT cell_id, height, height >= 20 AS is_land FROM cells")
+def all_land_and_water(spark, sf):
+    """Every cell; land_and_water is the same under two predicates."""
+    return T.cells(spark, sf).select("cell_id", "height", (F.col("height") >= T.SEA).alias("is_land"))
+
+
 @query("", "SELECT p_partkey AS cell_id, p_type FROM part WHERE p_type NOT LIKE '%STEEL%' AND p_size BETWEEN 10 AND 20")
 def pattern_filter(spark, sf):
     p = T.table(spark, sf, "part").where(~F.col("p_type").like("%STEEL%") & F.col("p_size").between(10, 20))

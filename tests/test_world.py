@@ -331,3 +331,10 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_all_land_and_water(spark, sf):
+    from cartoweave.queries import QUERIES
+    from cartoweave.sources import tables as T
+
+    assert QUERIES["all_land_and_water"](spark, sf).select("cell_id").distinct().count() == T.count_cells(spark, sf)
