@@ -12,6 +12,7 @@ from cartoweave.operators import edits as D
 from cartoweave.operators import graph as N
 from cartoweave.operators import grouped, names, spatial
 from cartoweave.plans.fixpoint import settle
+from cartoweave.plans.ranks import ranked
 from cartoweave.sources import generator
 from cartoweave.sources import tables as T
 
@@ -424,6 +425,19 @@ def highest_cells(spark, sf):
     return top.select("cell_id", "height", F.row_number().over(Window.orderBy(F.desc("height"), "cell_id")).cast("long").alias("place"))  # of 500 rows
 
 
+@query("cells", "SELECT cell_id, height, row_number() OVER (ORDER BY height DESC, cell_id)::BIGINT AS place FROM cells WHERE height >= 20 ORDER BY place")
+def ranked_land(spark, sf):
+    """All land, highest first."""
+    land = T.cells(spark, sf).where("height >= 20").select("cell_id", "height")
+    return ranked(land, F.desc("height"), F.col("cell_id")).orderBy("place")
+
+
+@query("", f"SELECT cell_id, score, row_number() OVER (ORDER BY score DESC, cell_id)::BIGINT AS place FROM ({SQL['suitability']}) ORDER BY place")
+def ranked_cells(spark, sf):
+    """All cells by suitability, best first."""
+    return ranked(suitability(spark, sf), F.desc("score"), F.col("cell_id")).orderBy("place")
+
+
 # Rivers
 
 
@@ -441,11 +455,17 @@ def river_geometry(spark, sf):
 
 @query("rivers rain", f"@ {_DISCHARGE}, {_STEPS}, g AS (SELECT river_id, greatest(coalesce(sum(fall) FILTER (WHERE run > 0) / nullif(sum(run), 0), 0.001), 0.001) AS slope FROM s GROUP BY river_id) SELECT river_id, discharge, round(CASE WHEN discharge <= 0 THEN 0.0 ELSE greatest(2.3 * sqrt(discharge) * power(0.001 / slope, 0.2), 1.0) END, 4)::DOUBLE AS width FROM q JOIN g USING (river_id) ORDER BY discharge DESC, river_id LIMIT 1000")
 def widest_rivers(spark, sf):
+    return rivers_by_discharge(spark, sf).limit(1000)
+
+
+@query("rivers rain", f"@ {_DISCHARGE}, {_STEPS}, g AS (SELECT river_id, greatest(coalesce(sum(fall) FILTER (WHERE run > 0) / nullif(sum(run), 0), 0.001), 0.001) AS slope FROM s GROUP BY river_id) SELECT river_id, discharge, round(CASE WHEN discharge <= 0 THEN 0.0 ELSE greatest(2.3 * sqrt(discharge) * power(0.001 / slope, 0.2), 1.0) END, 4)::DOUBLE AS width FROM q JOIN g USING (river_id) ORDER BY discharge DESC, river_id")
+def rivers_by_discharge(spark, sf):
+    """All rivers, largest first."""
     s = D.steps(T.river_cells(spark, sf)).groupBy("river_id").agg(F.sum("run").alias("run"), F.sum(F.when(F.col("run") > 0, F.col("drop"))).alias("fall"))
     slope = F.greatest(F.coalesce(F.col("fall") / F.nullif("run", F.lit(0.0)), F.lit(0.001)), F.lit(0.001))
     q = F.col("discharge")
     width = F.when(q <= 0, 0.0).otherwise(F.greatest(2.3 * F.sqrt(q) * F.pow(0.001 / slope, F.lit(0.2)), F.lit(1.0)))
-    return _discharge(spark, sf).join(s, "river_id").select("river_id", "discharge", F.round(width, 4).alias("width")).orderBy(F.desc("discharge"), "river_id").limit(1000)
+    return _discharge(spark, sf).join(s, "river_id").select("river_id", "discharge", F.round(width, 4).alias("width")).orderBy(F.desc("discharge"), "river_id")
 
 
 @query("rivers", "SELECT a.river_id, min(b.river_id) AS parent_id FROM (SELECT river_id, arg_max(cell_id, seq) AS mouth FROM rivers GROUP BY 1) a LEFT JOIN rivers b ON b.cell_id = a.mouth AND b.river_id < a.river_id GROUP BY a.river_id")

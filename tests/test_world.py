@@ -338,3 +338,24 @@ def test_all_land_and_water(spark, sf):
     from cartoweave.sources import tables as T
 
     assert QUERIES["all_land_and_water"](spark, sf).select("cell_id").distinct().count() == T.count_cells(spark, sf)
+
+
+def test_ranks_have_no_cap(spark):
+    from cartoweave.plans.ranks import ranked
+
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(40)) for i in range(5000)]
+    got = ranked(spark.createDataFrame(rows, "id long, v long").repartition(7), F.desc("v"), F.col("id")).collect()
+    want = sorted(rows, key=lambda r: (-r[1], r[0]))
+    assert sorted((r.place, r.id, r.v) for r in got) == [(k + 1, i, v) for k, (i, v) in enumerate(want)]
+    assert ranked(spark.createDataFrame([], "id long"), F.col("id")).count() == 0
+
+
+def test_ordered_queries_are_whole(spark, sf):
+    from cartoweave.queries import QUERIES
+    from cartoweave.sources import tables as T
+
+    rivers = [(-r.discharge, r.river_id) for r in QUERIES["rivers_by_discharge"](spark, sf).collect()]
+    assert rivers == sorted(rivers) and len(rivers) == T.table(spark, sf, "lineitem").select("l_orderkey").distinct().count()
+    for name, n in (("ranked_land", T.cells(spark, sf).where("height >= 20").count()), ("ranked_cells", T.count_cells(spark, sf))):
+        assert [r.place for r in QUERIES[name](spark, sf).collect()] == list(range(1, n + 1))
