@@ -319,6 +319,15 @@ def nearest_settlements(spark, sf):
     return pairs.withColumn("place", F.row_number().over(w)).where("place <= 3").select("id", F.col("id_r").alias("other"), "place", F.round("distance", 4).alias("distance"))
 
 
+@query("settlements", "@ d AS (SELECT a.id, b.id AS other, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM settlements a JOIN settlements b ON a.id <> b.id WHERE a.is_capital) SELECT id, other, place, round(sqrt(d2), 4) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, other) AS place FROM d) WHERE place <= 3")
+def closest_settlements(spark, sf):
+    """The three nearest others of each capital, however far they are."""
+    s = T.settlements(spark, sf).select("id", "x", "y")
+    capitals = T.settlements(spark, sf).where("is_capital").select("id", "x", "y")
+    found = spatial.closest(capitals, s, "id", "id", 3, 12, F.col("id") != F.col("id_r"))
+    return found.select("id", F.col("id_r").alias("other"), "place", F.round("distance", 4).alias("distance"))
+
+
 @query("settlements", "SELECT id, (least(greatest(floor((x + 0.25) / 2)::BIGINT, 0), 19) + least(greatest(floor((y + 0.25) / 2)::BIGINT, 0), 24) * 20)::BIGINT AS coarse FROM settlements")
 def coarse_cell(spark, sf):
     return T.settlements(spark, sf).select("id", spatial.cell_at(F.col("x") + 0.25, F.col("y") + 0.25, 2, 20, 25).alias("coarse"))

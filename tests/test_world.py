@@ -359,3 +359,14 @@ def test_ordered_queries_are_whole(spark, sf):
     assert rivers == sorted(rivers) and len(rivers) == T.table(spark, sf, "lineitem").select("l_orderkey").distinct().count()
     for name, n in (("ranked_land", T.cells(spark, sf).where("height >= 20").count()), ("ranked_cells", T.count_cells(spark, sf))):
         assert [r.place for r in QUERIES[name](spark, sf).collect()] == list(range(1, n + 1))
+
+
+def test_closest_has_no_radius(spark):
+    rng = random.Random(6)
+    a = [(i, rng.uniform(-9, 9) ** 3, rng.uniform(-9, 9)) for i in range(30)] + [(30, 5000.0, -4000.0)]
+    left, right = spark.createDataFrame(a, "id long, x double, y double"), spark.createDataFrame(a[:25], "id long, x double, y double")
+    for k in (2, 24, 30):
+        got = {(r.id, r.place): r.id_r for r in spatial.closest(left, right, "id", "id", k, 0.5, F.col("id") != F.col("id_r")).collect()}
+        want = {(p[0], n + 1): q[0] for p in a for n, q in enumerate(sorted((q for q in a[:25] if q[0] != p[0]), key=lambda q: (math.dist(p[1:], q[1:]), q[0]))[:k])}
+        assert got == want
+    assert spatial.closest(left, right.limit(0), "id", "id", 2, 0.5).count() == spatial.closest(left.limit(0), right, "id", "id", 2, 0.5).count() == 0
