@@ -506,6 +506,12 @@ def distance_field(spark, sf):
     return _distance(spark, sf)
 
 
+@query("", f"""WITH RECURSIVE d AS ({SQL['distance_field']}), {', '.join(WORLD[t] for t in ('n', 'cells', 'edges'))}
+SELECT c.cell_id, round(c.height + CASE WHEN c.height >= 20 THEN d.distance / 100.0::DOUBLE + coalesce(avg(o.distance), 0) / 10000.0::DOUBLE ELSE 0 END, 8)::DOUBLE AS height FROM cells c JOIN d USING (cell_id) LEFT JOIN edges e ON e.src = c.cell_id LEFT JOIN d o ON o.cell_id = e.dst GROUP BY c.cell_id, c.height, d.distance""")
+def altered_heights(spark, sf):
+    return N.altered(T.cells(spark, sf), _distance(spark, sf), T.edges(spark, sf)).select("cell_id", F.round("height", 8).alias("height"))
+
+
 def _drained(spark, sf):
     c = T.cells(spark, sf).join(T.precipitation(spark, sf), "cell_id").select("cell_id", "height", "is_border", "precip")
 
@@ -540,6 +546,33 @@ def drained_rivers(spark, sf):
     return r.join(d, "cell_id").groupBy("river_id").agg(F.count("*").alias("n_cells"), F.max("flux").alias("discharge"))
 
 
+@query()
+def long_rivers(spark, sf):
+    """Rivers of three cells or more over altered heights; by sums of fractions on a flooded world, so there is no SQL."""
+    e = T.edges(spark, sf)
+    high = N.altered(T.cells(spark, sf), _distance(spark, sf), e).join(T.precipitation(spark, sf), "cell_id").select("cell_id", "height", "is_border", "precip").checkpoint()
+
+    def beyond():
+        filled = N.flood(high, e)
+        flow = N.flow_direction(filled, e)
+        return filled.join(flow, "cell_id").join(N.accumulate(flow, high), "cell_id")
+
+    d = _by_map(spark, sf, high, lambda c, near: grouped.drainage(c, near, whole=False), "cell_id long, filled double, `to` long, flux long", beyond)
+    r = N.rivers(d.select("cell_id", "to"), d.select("cell_id", "flux"), 400, 3)
+    return r.join(d, "cell_id").groupBy("river_id", "parent_id").agg(F.count("*").alias("n_cells"), F.max("flux").alias("discharge"))
+
+
+@query("cells edges rain", f"""@ {_DRAIN}, k AS (SELECT c.cell_id, CASE WHEN flux > 0 AND filled > height THEN filled ELSE -1 END AS kind, filled, "to" = -1 AND flux > 15 AND NOT is_border AND filled > height AS sink, height FROM fl JOIN fx USING (cell_id) JOIN cells c USING (cell_id)),
+inside AS (SELECT e.src, e.dst FROM edges e JOIN k a ON a.cell_id = e.src JOIN k b ON b.cell_id = e.dst WHERE a.kind = b.kind),
+cc(cell_id, region) USING KEY (cell_id) AS (SELECT cell_id, cell_id FROM k UNION SELECT l.dst, min(c.region) FROM cc c JOIN inside l ON l.src = c.cell_id JOIN recurring.cc r ON r.cell_id = l.dst WHERE c.region < r.region GROUP BY l.dst),
+m AS (SELECT region, arg_min(cell_id, height * 1000000 + cell_id) AS outlet FROM (SELECT DISTINCT a.cell_id, a.region FROM cc a JOIN edges e ON e.src = a.cell_id JOIN cc b ON b.cell_id = e.dst WHERE a.region <> b.region) JOIN k USING (cell_id) GROUP BY region)
+SELECT region AS lake, filled::BIGINT AS level, count(*) AS n_cells, outlet FROM cc JOIN k USING (cell_id) LEFT JOIN m USING (region) GROUP BY region, filled, outlet HAVING count(*) >= 3 AND bool_or(sink)""")
+def lakes(spark, sf):
+    """Each lake with its level, size and outlet."""
+    d = _drained(spark, sf).join(T.cells(spark, sf).select("cell_id", "height", "is_border"), "cell_id").withColumn("kind", N.lake_kind())
+    return N.lakes(d, _regions(spark, sf, d, "kind", "long"), T.edges(spark, sf))
+
+
 @query("cells edges", """@ costs AS (SELECT cell_id, CASE WHEN height >= 20 THEN 10 + height // 10 + CASE WHEN height > 70 THEN 50 ELSE 0 END END AS cost FROM cells),
 x(cell_id, v) USING KEY (cell_id) AS (SELECT cell_id, min((cell_id // 97) + 1) FROM cells WHERE cell_id % 97 = 13 AND height >= 20 GROUP BY cell_id UNION SELECT e.dst, min(x.v + cost * 1048576) FROM x JOIN edges e ON e.src = x.cell_id JOIN costs c ON c.cell_id = e.dst LEFT JOIN recurring.x r ON r.cell_id = e.dst WHERE cost IS NOT NULL AND x.v // 1048576 + cost <= 120 AND (r.v IS NULL OR r.v > x.v + cost * 1048576) GROUP BY e.dst)
 SELECT cell_id, (v // 1048576)::BIGINT AS cost, (v % 1048576)::BIGINT AS owner FROM x""")
@@ -782,6 +815,24 @@ def state_costs(spark, sf):
     return c.select("cell_id", cost.alias("cost"))
 
 
+@query("owners edges", f"""@ {_SCORES}, a AS (SELECT cell_id, culture_id, height, ([{', '.join(map(str, E.MOVEMENT))}])[biome + 1] AS movement, biome, floor(score)::BIGINT AS score FROM owners JOIN land USING (cell_id) JOIN scores USING (cell_id)),
+who AS (SELECT cell_id // 97 + 1 AS owner, cell_id AS centre, culture_id AS culture, biome AS home, (cell_id // 97 + 1) % 3 + 1 AS expansionism, ({_TYPES})[(cell_id // 97 + 1) % 6 + 1] AS type FROM a WHERE cell_id % 97 = 13 AND height >= 20),
+costs AS (SELECT owner, cell_id, 10 + greatest(CASE WHEN culture_id = culture THEN CASE WHEN type IN ('Highland', 'Nomadic') THEN -13 ELSE -9 END ELSE CASE type WHEN 'Naval' THEN 70 WHEN 'Highland' THEN 130 ELSE 100 END END
+ + CASE WHEN height < 20 THEN CASE type WHEN 'Naval' THEN 0 ELSE 200 END WHEN score > 0 THEN greatest(20 - score, 0) ELSE CASE type WHEN 'Nomadic' THEN 3000 WHEN 'Highland' THEN 4000 ELSE 5000 END END
+ + CASE WHEN biome = home THEN 10 WHEN type = 'Nomadic' THEN movement * 2 ELSE movement END + CASE WHEN height < 20 THEN 0 WHEN type = 'Highland' THEN CASE WHEN height < 62 THEN 1100 ELSE 0 END WHEN height >= 67 THEN 2200 WHEN height >= 44 THEN 300 ELSE 0 END, 0)::BIGINT / expansionism::DOUBLE AS cost FROM who, a),
+x(cell_id, owner, v) USING KEY (cell_id, owner) AS (SELECT centre, owner, 0.0::DOUBLE FROM who UNION SELECT e.dst, x.owner, min(x.v + cost) FROM x JOIN edges e ON e.src = x.cell_id JOIN costs c ON c.cell_id = e.dst AND c.owner = x.owner LEFT JOIN recurring.x r ON r.cell_id = e.dst AND r.owner = x.owner WHERE x.v + cost <= 600 AND e.dst NOT IN (SELECT centre FROM who) AND (r.v IS NULL OR r.v > x.v + cost) GROUP BY e.dst, x.owner)
+SELECT cell_id, round(v, 4) AS cost, owner::BIGINT AS owner FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY v, owner) AS k FROM x) JOIN a USING (cell_id) WHERE k = 1 AND height >= 20""")
+def expanded_states(spark, sf):
+    """States with costs of their own, divided by their expansionism, and 10 a step; they cross water but own land."""
+    c = climate_and_biomes(spark, sf).select("cell_id", "height", "biome").join(suitability(spark, sf), "cell_id").join(T.owners(T.cells(spark, sf)).select("cell_id", "culture_id"), "cell_id")
+    owner = F.expr("cell_id div 97") + 1
+    type_ = F.element_at(F.array(*[F.lit(t) for t in ("Generic", "Naval", "Highland", "River", "Nomadic", "Hunting")]), (owner % 6 + 1).cast("int"))
+    seeds = c.where("cell_id % 97 = 13 AND height >= 20").select("cell_id", owner.alias("owner"), F.col("culture_id").alias("culture"), F.col("biome").alias("home"), (owner % 3 + 1).alias("expansionism"), type_.alias("type"))
+    cost = S.state_cost(F.col("culture_id") == F.col("culture"), F.col("height"), F.floor("score"), E.pick(E.MOVEMENT, F.col("biome")), F.col("biome") == F.col("home"), F.col("type"))
+    found = N.expand_by_owner(seeds, c, T.edges(spark, sf), 10 + cost / F.col("expansionism"), 600)
+    return found.join(c.where("height >= 20").select("cell_id"), "cell_id").select("cell_id", F.round("cost", 4).alias("cost"), "owner")
+
+
 @query("cells owners", "@ m AS (SELECT culture_id, avg(x) AS mx, avg(y) AS my FROM owners JOIN cells USING (cell_id) WHERE culture_id > 0 GROUP BY 1) SELECT cell_id, round(greatest(CASE WHEN height >= 60 THEN 20.0 ELSE -least((100 - height) / 10.0 * 5, 30.0) END::DOUBLE + CASE WHEN height > 70 THEN 50 WHEN height > 50 THEN 10 ELSE 0 END + sqrt(power(x - mx, 2) + power(y - my, 2)) / 50, 0.0::DOUBLE), 4) AS cost FROM cells JOIN owners USING (cell_id) JOIN m USING (culture_id)")
 def culture_costs(spark, sf):
     c = T.cells(spark, sf)

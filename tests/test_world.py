@@ -370,3 +370,51 @@ def test_closest_has_no_radius(spark):
         want = {(p[0], n + 1): q[0] for p in a for n, q in enumerate(sorted((q for q in a[:25] if q[0] != p[0]), key=lambda q: (math.dist(p[1:], q[1:]), q[0]))[:k])}
         assert got == want
     assert spatial.closest(left, right.limit(0), "id", "id", 2, 0.5).count() == spatial.closest(left.limit(0), right, "id", "id", 2, 0.5).count() == 0
+
+
+def test_expansion_by_owner(hills):
+    import heapq
+
+    cells, edges = hills
+    seeds = {10: (2, 1.0), 25: (1, 4.0), 31: (3, 2.0)}
+    s = cells.sparkSession.createDataFrame([(c, o, p) for c, (o, p) in seeds.items()], "cell_id long, owner long, push double")
+    got = values(N.expand_by_owner(s, cells.select("cell_id", "height"), edges.select("src", "dst"), 10 + F.col("height") / F.col("push"), 150))
+    height, near = {r.cell_id: r.height for r in cells.collect()}, {}
+    for e in edges.collect():
+        near.setdefault(e.src, []).append(e.dst)
+    want = {}
+    for c, (o, push) in seeds.items():
+        heap, done = [(0.0, c)], set()
+        while heap:
+            d, i = heapq.heappop(heap)
+            if i in done:
+                continue
+            done.add(i)
+            want[i] = min(want.get(i, (math.inf, 0)), (d, o))
+            for j in near[i]:
+                if j not in seeds and d + 10 + height[j] / push <= 150:
+                    heapq.heappush(heap, (d + 10 + height[j] / push, j))
+    assert got == want and len({o for _, o in want.values()}) == 3
+
+
+def test_separate_lakes_of_one_level(spark):
+    wide = 11
+    low = {12, 13, 14, 16, 18, 19, 20, 38}
+    heights = [30 if i in low else 60 if 0 < i % wide < 10 and 0 < i // wide < 4 else 50 for i in range(wide * 5)]
+    cells, edges = lattice(spark, heights, wide)
+    cells, edges = cells.drop("map_id").withColumn("precip", F.lit(100).cast("long")), edges.drop("map_id")
+    filled = N.flood(cells, edges)
+    flow = N.flow_direction(filled, edges)
+    d = cells.join(filled, "cell_id").join(flow, "cell_id").join(N.accumulate(flow, cells), "cell_id").withColumn("kind", N.lake_kind())
+    found = N.lakes(d, N.regions(d, edges, "kind"), edges).collect()
+    assert sorted((r.lake, r.level, r.n_cells, r.outlet) for r in found) == [(12, 50, 3, 12), (18, 50, 3, 18)]
+
+
+def test_short_rivers_go(spark, sf):
+    from cartoweave.queries import QUERIES
+
+    flow = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, -1), (7, 4), (9, -1)], "cell_id long, to long")
+    flux = spark.createDataFrame([(1, 50), (2, 60), (3, 70), (4, 150), (7, 20), (9, 30)], "cell_id long, flux long")
+    assert {r.river_id for r in N.rivers(flow, flux, 10).collect()} == {1, 7, 9}
+    assert values(N.rivers(flow, flux, 10, 3)) == {i: (1, None) for i in (1, 2, 3, 4)}
+    assert all(r.n_cells >= 3 for r in QUERIES["long_rivers"](spark, sf).collect())
