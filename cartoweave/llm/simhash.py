@@ -207,9 +207,8 @@ def classes(docs: DataFrame, words: int = 4, bits: int = 64, segments: int = 3,
 BROADCAST_IDS = 1_000_000
 #: keep_one's parameters: similarity 0.8 of the sets of five-word shingles.  Sets with Jaccard
 #: similarity 0.8 have cosine 8/9, and differ in arccos(8/9)/pi of the fingerprint's bits, 38.8
-#: of 256.  Sixteen segments with radius 1 find every distance up to 31 for certain, and a
-#: pair at distance 39 with a chance of over 0.995.
-WIDE = {"words": 5, "bits": 256, "segments": 16, "ball": 1, "max_distance": 39}
+#: of 256.  Twenty segments, five a word, with radius 1 find every distance up to 39 for certain.
+WIDE = {"words": 5, "bits": 256, "segments": 20, "ball": 1, "max_distance": 39}
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -139,6 +139,21 @@ def test_links_are_complete(spark, monkeypatch, bits, segments, ball, d, bucket)
     assert 1 < len(set(want.values())) < len(points)
 
 
+def test_stage_links_are_complete(spark):
+    rng = random.Random(12)
+    signed = lambda v: v - 2**64 if v >= 2**63 else v
+    points = []
+    for i in range(30):
+        x = rng.getrandbits(256)
+        places = {16 * s + p for s in range(16) for p in rng.sample(range(16), 2)}  # two in each of sixteen segments
+        places |= set(rng.sample(sorted(set(range(256)) - places), i % 8))
+        points += [x, x ^ sum(1 << p for p in places)]
+    rows = [(i, *(signed(x >> 64 * k & 2**64 - 1) for k in range(4))) for i, x in enumerate(points)]
+    w = simhash.WIDE
+    got = {(r.src, r.dst) for r in simhash.links(spark.createDataFrame(rows, "id long, f0 long, f1 long, f2 long, f3 long"), w["bits"], w["segments"], w["ball"], w["max_distance"]).collect()}
+    assert {(max(e), min(e)) for e in got} == {(2 * i + 1, 2 * i) for i in range(30)}
+
+
 def test_bucket_that_fills_many_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
     try:
