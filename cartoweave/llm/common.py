@@ -83,6 +83,13 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def crc_sql(column: str) -> str:
+    """DuckDB SQL for CRC-32 of a whole number written in decimal; null if it is null."""
+    bits = ", ".join(["256"] * 8)
+    steps = f"flatten(list_transform(string_split({column}::VARCHAR, ''), lambda c: [ascii(c), {bits}]))"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295], {steps}), lambda a, x: CASE WHEN x < 256 THEN xor(a::BIGINT, x::BIGINT) ELSE xor(a::BIGINT >> 1, 3988292384 * (a::BIGINT & 1)) END)::BIGINT)"
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     h = h.astype(np.uint64, copy=True)

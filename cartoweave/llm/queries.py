@@ -19,6 +19,7 @@ QUERIES = {
 
 SQL = {
     "op1_language_id": language_id.SQL,
+    "op2_quality_model": kneser_ney.SQL,
     "op3_decontamination": decontaminate.SQL,
     "op4_packing": packing.SQL,
     "op7_line_dedup": line_dedup.SQL,

@@ -35,8 +35,9 @@ def test_sql(spark, sf, duck, name):
     names = sorted(d[0] for d in want.description)
     assert names == sorted(got.columns)
     at = [[d[0] for d in want.description].index(n) for n in names]
-    rows = sorted(repr([r[i] for i in at]) for r in want.fetchall())
-    assert rows == sorted(repr([r[n] for n in names]) for r in got.collect())
+    plain = lambda v: round(v, 5) if isinstance(v, float) else v
+    rows = sorted(repr([plain(r[i]) for i in at]) for r in want.fetchall())
+    assert rows == sorted(repr([plain(r[n]) for n in names]) for r in got.collect())
 
 
 def test_edges_and_empty(spark):
@@ -464,7 +465,7 @@ def test_kneser_ney(spark, sf):
     docs = table(spark, sf, "documents").collect()
     good = {r.doc_id for r in table(spark, sf, "labels").collect() if r.quality == 1}
     n = kneser_ney.ORDER
-    grams = lambda t: (lambda s: [s[i : i + n] for i in range(len(s) - n + 1)] if s.strip() else [])(" " * (n - 1) + " ".join((t or "").split()) + " ")
+    grams = lambda t: (lambda s: [s[i : i + n] for i in range(len(s) - n + 1)] if s.strip() else [])(" " * (n - 1) + " ".join((t or "").split()) + " ")  # noqa: E731  # no sign above U+FFFF in there
     c = {n: collections.Counter()}
     for d in docs:
         if d.doc_id in good and zlib.crc32(str(d.doc_id).encode()) % 2 == 0:
@@ -500,7 +501,35 @@ def test_kneser_ney(spark, sf):
                 memo[k] = math.log(p(k))
         assert got[d.doc_id].n_chars == len(g)
         if g:
-            assert math.isclose(got[d.doc_id].perplexity, math.exp(-sum(memo[k] for k in g) / len(g)), rel_tol=1e-9)
+            assert math.isclose(got[d.doc_id].perplexity, math.exp(-sum(memo[k] for k in g) / len(g)), abs_tol=1e-6)
+
+
+def test_sums_do_not_follow_the_groups(spark):
+    """The bytes that come back are the same for any number of salts, a type of all documents is in every salt, and sums are equal for any cut."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, f"all of them say this {i * 7919 % 1000} \U0001f600") for i in range(400)], "doc_id long, text string").repartition(40)
+    types = kneser_ney.type_counts(docs.withColumn("trains", F.col("doc_id") % 2 == 0)).checkpoint()
+    logp = kneser_ney.probabilities(types).checkpoint()
+    size = {n: kneser_ney.partial_sums(docs, logp, 1, n).agg(F.sum(F.octet_length("sums"))).first()[0] for n in (1, 51, 1200)}
+    assert set(size.values()) == {400 * 8}
+    value = lambda *n: {r.doc_id: round(r.logp, 9) for r in kneser_ney.log_likelihoods(docs, logp, *n).collect()}
+    assert value(1, 1) == value(1, 51) == value(7, 5) and len(value(1, 1)) == 400
+    assert kneser_ney.partial_sums(docs, logp, 1, 64).select(F.spark_partition_id().alias("p")).distinct().count() > 10
+    assert len(kneser_ney.keys_of("a\U0001f600", 4)) == 4  # two units
+
+
+def test_threshold_and_bounded_labels(spark, monkeypatch):
+    """A text unlike the trusted ones is beyond its language's fence; a bounded sample of labels still trains."""
+    rng = random.Random(31)
+    say = lambda alphabet, n=300: "".join(rng.choices(alphabet, k=n))
+    rows = [(i, say("abcde "), "en") for i in range(200)] + [(900, say("qxzjw "), "en"), (901, say("qxzjw "), None), (902, " \t", "en")]
+    labels = spark.createDataFrame([(i, 1) for i in range(200)] + [(900, 0)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in kneser_ney.classify(frame(spark, rows), labels).collect()}
+    assert all(got[i].kept and got[i].perplexity <= got[i].threshold for i in range(200))
+    assert not got[900].kept and not got[901].kept and abs(got[901].threshold - got[900].threshold) < 0.1 and got[902].perplexity is None
+    monkeypatch.setattr(kneser_ney, "TRUSTED", 80)
+    assert sum(r.kept for r in kneser_ney.classify(frame(spark, rows), labels).collect()) == 200
 
 
 def test_packed_shards():
