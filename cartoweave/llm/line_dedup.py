@@ -4,12 +4,22 @@ A line's key is the line without outer [\\x20\\x09-\\x0D], with A-Z lower-cased;
 than MIN_POINTS code points are never touched.  A key that at least two documents hold loses
 all its lines but those in the smallest doc_id that holds it.
 
-LineIndex keeps two tables, both sharded by the key's hash: `refs`, exact, one row for each
-key and document that holds it; and `filters`, one cuckoo filter a shard over the keys that
-are held at all.  insert() asks the filters first: a key that they don't know is new and needs
-no exact lookup, others are looked up in refs.  delete() takes documents' references out and
-takes keys whose count fell to zero out of the filters, so both undo each other.  decisions()
-reads only exact counts; a filter's false positives cost a lookup and never a line.
+LineIndex keeps four tables, each a log of changes (a version is only ever added to, so old ones
+stay usable): `refs`, a row for each key and document that holds it; `ids`, the documents;
+`counts`, by key the number of documents and the smallest; and `filters`, one cuckoo filter a
+shard over the keys that are held.  Shards are dealt by the key's hash, counts lie in folders
+by shard.
+
+insert() counts the new documents' keys and asks the filters.  A key that they don't know is new:
+its count is written as it is, and nothing is looked up.  Others are looked up in `counts`, in
+the folders of their shards alone, and added; a filter's false positive costs a lookup.  So a
+filter that forgot a key would give that key a wrong count.  Then the new keys go into their
+shards' filters; a filter that would be overfull is built anew from its counts.  delete() takes
+documents' references out, and keys whose count falls to zero out of the filters: both undo
+each other, and both write only what changes.
+
+`deduplicated` inserts its documents in BLOCKS blocks, so that the second block's lookups are
+those that the filters ask for.
 
 Reference counts are partial sums before any shuffle, so a line that a third of all documents
 hold is one row a task; the join that finds the losing documents is a plain equi-join, which
@@ -24,11 +34,12 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +49,12 @@ from cartoweave.plans.components import ensure_checkpoint_dir
 MIN_POINTS = 10
 #: Slots of a filter's bucket, and the share of slots in use for which a filter is sized.
 SLOTS, LOAD = 4, 0.8
-#: Keys for which a shard is sized; the number of shards follows the number of keys.
-SHARD_KEYS = 1 << 18
+#: References for which a shard is made, and the share of slots beyond which its filter is built anew.
+SHARD_KEYS, FULL = 1 << 18, 0.9
+#: Folders of counts; lookups in up to so many shards read only theirs.
+FOLDERS, NAMED = 256, 1000
+#: Blocks in which deduplicated() inserts.
+BLOCKS = 2
 
 
 def line_key(line: str) -> str:
@@ -59,13 +74,13 @@ class CuckooFilter:
 
     KICKS = 200
 
-    def __init__(self, slots: np.ndarray, overflow: list[int]):
-        self.slots, self.overflow = slots, overflow
+    def __init__(self, slots: np.ndarray, overflow=()):
+        self.slots, self.overflow = slots, Counter(overflow)
 
     @classmethod
     def sized(cls, keys: int) -> CuckooFilter:
         buckets = 1 << max(1, int(np.ceil(np.log2(max(keys, 1) / (SLOTS * LOAD) + 1))))
-        return cls(np.zeros((buckets, SLOTS), np.uint16), [])
+        return cls(np.zeros((buckets, SLOTS), np.uint16))
 
     @classmethod
     def load(cls, data: bytes) -> CuckooFilter:
@@ -74,7 +89,8 @@ class CuckooFilter:
         return cls(np.frombuffer(data[16:end], np.uint16).reshape(-1, SLOTS).copy(), np.frombuffer(data[end:], np.uint64).tolist()[: int(more)])
 
     def dump(self) -> bytes:
-        return np.array([len(self.slots), len(self.overflow)], np.int64).tobytes() + self.slots.tobytes() + np.array(self.overflow, np.uint64).tobytes()
+        more = np.array([*self.overflow.elements()], np.uint64)
+        return np.array([len(self.slots), len(more)], np.int64).tobytes() + self.slots.tobytes() + more.tobytes()
 
     def _place(self, hashes: np.ndarray):
         h = mix64(hashes.astype(np.uint64))
@@ -90,10 +106,14 @@ class CuckooFilter:
     def contains(self, hashes: np.ndarray) -> np.ndarray:
         f, a, b = self._place(hashes)
         found = (self.slots[a] == f[:, None]).any(1) | (self.slots[b] == f[:, None]).any(1)
-        return found | np.isin(hashes.astype(np.uint64), np.array(self.overflow, np.uint64)) if self.overflow else found
+        return found | np.isin(hashes.astype(np.uint64), np.array([*self.overflow], np.uint64)) if self.overflow else found
+
+    def full(self, more: int) -> bool:
+        """Whether it would be too full with so many more keys."""
+        return int((self.slots != 0).sum()) + self.overflow.total() + more > FULL * self.slots.size
 
     def insert(self, hashes: np.ndarray) -> None:
-        """Keys that aren't in the filter yet; whole arrays go to free slots at once, the rest by moves."""
+        """New keys, also those that share a fingerprint with an old one; whole arrays go to free slots at once, the rest by moves."""
         hashes = hashes.astype(np.uint64)
         f, a, b = self._place(hashes)
         left = np.arange(len(f))
@@ -124,14 +144,14 @@ class CuckooFilter:
             bucket = int(self._other(np.array([bucket]), np.array([f]))[0])
         for bucket, s in reversed(trail):  # undo the moves; the key itself goes to the exact list
             f, self.slots[bucket, s] = self.slots[bucket, s], f
-        self.overflow.append(whole)
+        self.overflow[whole] += 1
 
     def delete(self, hashes: np.ndarray) -> None:
         """Keys that are in the filter."""
         f, a, b = self._place(hashes.astype(np.uint64))
         for x, i, j, h in zip(f, a.tolist(), b.tolist(), hashes.astype(np.uint64).tolist(), strict=True):
-            if h in self.overflow:
-                self.overflow.remove(h)
+            if self.overflow[h]:
+                self.overflow[h] -= 1
                 continue
             for bucket in (i, j):
                 at = np.flatnonzero(self.slots[bucket] == x)
@@ -158,108 +178,185 @@ def references(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "h long, l long, doc_id long")
 
 
-class LineIndex:
-    """The state at `path`: refs-<version> and filters-<version>, written anew by every change; old versions stay usable."""
+_KEY, _LONG = ["h", "l"], "long"
+_SCHEMAS = {
+    "refs": "h long, l long, doc_id long, here boolean",
+    "ids": "doc_id long, here boolean",
+    "counts": "shard int, h long, l long, n_docs long, holder long, new boolean, folder int",
+    "filters": "shard int, data binary",
+    "log": "place int, version string, removes boolean, shards int, rows long",
+}
 
-    def __init__(self, spark: SparkSession, path: str, version: str | None = None, shards: int = 1):
-        self.spark, self.path, self.version, self.shards = spark, path, version, shards
+
+class LineIndex:
+    """The state at `path` as of one version; the log says which versions it is made of."""
+
+    def __init__(self, spark: SparkSession, path: str, version: str | None = None):
+        self.spark, self.path = spark, path
+        #: (version, whether it removes, shards, rows of refs), oldest first
+        self.log = [tuple(r)[1:] for r in self._read("log", version).orderBy("place").collect()] if version else []
+        self.version = version
+        self.shards = self.log[-1][2] if self.log else None
+        #: Keys that the last change looked up, and the folders of counts that it read for them (None: all).
+        self.lookups, self.folders = 0, None
+
+    def _read(self, name: str, version: str) -> DataFrame:
+        return self.spark.read.schema(_SCHEMAS[name]).parquet(f"{self.path}/{name}-{version}")
+
+    def _all(self, name: str) -> DataFrame:
+        """A table's rows of all versions, with the version's place."""
+        parts = [self._read(name, v[0]).withColumn("place", F.lit(i)) for i, v in enumerate(self.log)]
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], _SCHEMAS[name] + ", place int")
+
+    def _current(self, name: str, key: list[str]) -> DataFrame:
+        """Rows that are there: of each key the last word, where anything was ever removed."""
+        rows = self._all(name)
+        if any(v[1] for v in self.log):
+            rows = rows.groupBy(*key).agg(F.max_by("here", "place").alias("here"))
+        return rows.where("here").select(*key)
 
     def refs(self) -> DataFrame:
-        if self.version is None:
-            return self.spark.createDataFrame([], "h long, l long, doc_id long")
-        return self.spark.read.parquet(f"{self.path}/refs-{self.version}")
+        return self._current("refs", [*_KEY, "doc_id"])
 
-    def filters(self) -> DataFrame:
-        if self.version is None:
-            return self.spark.createDataFrame([], "shard int, data binary")
-        return self.spark.read.parquet(f"{self.path}/filters-{self.version}")
+    def ids(self) -> DataFrame:
+        return self._current("ids", ["doc_id"])
 
-    def _next(self) -> LineIndex:
-        return LineIndex(self.spark, self.path, uuid.uuid4().hex, self.shards)
+    def counts(self) -> DataFrame:
+        """The exact reference counts: (shard, folder, h, l, n_docs, holder), the last word on each key."""
+        rows = self._all("counts")
+        if len(self.log) > 1:
+            last = F.max_by(F.struct("n_docs", "holder"), "place").alias("c")
+            rows = rows.groupBy("shard", "folder", *_KEY).agg(last).select("shard", "folder", *_KEY, "c.*")
+        return rows.where("n_docs > 0").select("shard", "folder", *_KEY, "n_docs", "holder")
 
-    def _shard(self):
-        return F.pmod("l", F.lit(self.shards)).cast("int").alias("shard")
+    def filters(self) -> DataFrame:
+        return self._all("filters").groupBy("shard").agg(F.max_by("data", "place").alias("data"))
 
-    def counts(self) -> DataFrame:
-        """The exact reference counts: (h, l, n_docs, holder)."""
-        return self.refs().groupBy("h", "l").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("holder"))
+    def _sharded(self, rows: DataFrame, shards: int) -> DataFrame:
+        return rows.withColumn("shard", F.pmod("l", F.lit(shards)).cast("int"))
+
+    def _write(self, rows: DataFrame, name: str, version: str) -> None:
+        out = rows.select(*[x.split()[0] for x in _SCHEMAS[name].split(", ")]).write
+        (out.partitionBy("folder") if name == "counts" else out).parquet(f"{self.path}/{name}-{version}")
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """Add documents; references that the exact table has already are not added again."""
-        fresh = references(docs)
-        if self.version is None:
-            new = self._next()
-            fresh.dropDuplicates(["h", "l", "doc_id"]).write.parquet(f"{self.path}/refs-{new.version}")
-            return new._rebuilt()
-        fresh = fresh.dropDuplicates(["h", "l", "doc_id"]).persist(StorageLevel.DISK_ONLY)
-        known = self._asked(fresh)
-        repeated = known.where("known").join(self.refs(), ["h", "l", "doc_id"], "left_semi").select("h", "l", "doc_id")
-        added = fresh.join(repeated, ["h", "l", "doc_id"], "left_anti")
-        new = self._next()
-        self.refs().unionByName(added).write.parquet(f"{self.path}/refs-{new.version}")
-        fresh.unpersist()
-        return new._changed(self, insert=True)
+        ensure_checkpoint_dir(self.spark)
+        version = uuid.uuid4().hex
+        fresh = references(docs).dropDuplicates([*_KEY, "doc_id"])
+        own = docs.select(F.col("doc_id").cast(_LONG).alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+        if self.log:
+            again = own.join(self.ids(), "doc_id", "left_semi").checkpoint()
+            if not again.isEmpty():  # documents that are here already, with these or other lines
+                old = self.refs().join(again, "doc_id", "left_semi")
+                fresh = fresh.join(old, [*_KEY, "doc_id"], "left_anti")
+                own = own.join(again, "doc_id", "left_anti")
+        here = F.lit(True).alias("here")
+        self._write(fresh.select(*_KEY, "doc_id", here), "refs", version)
+        self._write(own.select("doc_id", here), "ids", version)
+        rows = self._read("refs", version).count()
+        shards = self.shards or max(1, -(-rows // SHARD_KEYS))
+        delta = self._sharded(self._read("refs", version).groupBy(*_KEY).agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("holder")), shards)
+        lookups, folders = 0, None
+        if self.log:
+            asked = self._asked(delta).checkpoint()
+            known = asked.where("known")
+            lookups = known.count()
+            old, folders = self._looked_up(known)
+            old = old.select(*_KEY, F.col("n_docs").alias("_n"), F.col("holder").alias("_first"))
+            met = known.join(old, _KEY, "left").select("shard", *_KEY, (F.col("n_docs") + F.coalesce("_n", F.lit(0))).alias("n_docs"), F.least("holder", "_first").alias("holder"), F.col("_n").isNull().alias("new"))
+            delta = asked.where("NOT known").select("shard", *_KEY, "n_docs", "holder", F.lit(True).alias("new")).unionByName(met)
+        else:
+            delta = delta.withColumn("new", F.lit(True))
+        self._write(delta.withColumn("folder", F.col("shard") % FOLDERS), "counts", version)
+        return self._changed(version, False, shards, rows, lookups, folders)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Remove all references of the documents in doc_ids (column doc_id)."""
-        gone = doc_ids.select("doc_id").distinct()
-        new = self._next()
-        self.refs().join(gone, "doc_id", "left_anti").select("h", "l", "doc_id").write.parquet(f"{self.path}/refs-{new.version}")
-        return new._changed(self, insert=False)
-
-    def _asked(self, refs: DataFrame) -> DataFrame:
-        """refs with `known`: what the filters say of their keys."""
+        ensure_checkpoint_dir(self.spark)
+        if not self.log:
+            return self
+        version = uuid.uuid4().hex
+        wanted = doc_ids.select(F.col("doc_id").cast(_LONG).alias("doc_id")).distinct()
+        here = F.lit(False).alias("here")
+        self._write(self.refs().join(wanted, "doc_id", "left_semi").select(*_KEY, "doc_id", here), "refs", version)
+        self._write(self.ids().join(wanted, "doc_id", "left_semi").select("doc_id", here), "ids", version)
+        gone = self._read("refs", version)
+        lost = self._sharded(gone.groupBy(*_KEY).agg(F.count("*").alias("lost")), self.shards).checkpoint()
+        lookups = lost.count()
+        old, folders = self._looked_up(lost)
+        left = lost.join(old.drop("shard"), _KEY).select("shard", "folder", *_KEY, (F.col("n_docs") - F.col("lost")).alias("n_docs"))
+        kept = self.refs().join(lost, _KEY, "left_semi").join(gone, [*_KEY, "doc_id"], "left_anti").groupBy(*_KEY).agg(F.min("doc_id").alias("holder"))
+        self._write(left.join(kept, _KEY, "left").withColumn("new", F.lit(False)), "counts", version)
+        return self._changed(version, True, self.shards, 0, lookups, folders)
+
+    def _looked_up(self, keys: DataFrame) -> tuple[DataFrame, list[int] | None]:
+        """Counts in the folders of the shards of keys, and these folders if they are few enough to be named."""
+        shards = keys.select((F.col("shard") % FOLDERS).cast("int").alias("f")).distinct().limit(NAMED).collect()  # FOLDERS rows at most
+        folders = sorted(r.f for r in shards)
+        return self.counts().where(F.col("folder").isin(folders) if folders else F.lit(False)), folders
+
+    def _asked(self, keys: DataFrame) -> DataFrame:
+        """keys (shard, h, l, n_docs, holder) with `known`: what the filters say of them."""
 
         def ask(left, right):
-            key = left.column("h").to_numpy()
-            data = right.column("data").to_pylist()
-            known = CuckooFilter.load(data[0]).contains(key) if data else np.zeros(len(key), bool)
-            return pa.table({"h": left.column("h"), "l": left.column("l"), "known": pa.array(known)})
-
-        keys = refs.select("h", "l").distinct().withColumn("shard", self._shard())
-        answers = keys.groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInArrow(ask, "h long, l long, known boolean")
-        return refs.join(answers, ["h", "l"])
-
-    def _rebuilt(self) -> LineIndex:
-        """Filters of the exact counts."""
-        keys = self.refs().select("h", "l").distinct()
-        shards = max(1, -(-keys.count() // SHARD_KEYS))
-        new = LineIndex(self.spark, self.path, self.version, shards)
-
-        def build(t):
-            f = CuckooFilter.sized(t.num_rows)
-            f.insert(t.column("h").to_numpy())
-            return pa.table({"shard": pa.array([t.column("shard")[0].as_py()], pa.int32()), "data": pa.array([f.dump()], pa.binary())})
+            key, data = left.column("h").to_numpy(), right.column("data").to_pylist()
+            known = CuckooFilter.load(data[0]).contains(key) if data and len(key) else np.zeros(len(key), bool)
+            return left.append_column("known", pa.array(known))
 
-        keys.withColumn("shard", new._shard()).groupBy("shard").applyInArrow(build, "shard int, data binary").write.parquet(f"{self.path}/filters-{self.version}")
-        return new
+        rows = keys.select("shard", *_KEY, "n_docs", "holder")
+        return rows.groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInArrow(ask, "shard int, h long, l long, n_docs long, holder long, known boolean")
 
-    def _changed(self, old: LineIndex, insert: bool) -> LineIndex:
-        """Filters of this version: the old ones with the keys that came, or without those that went."""
-        now, before = self.refs().select("h", "l").distinct(), old.refs().select("h", "l").distinct()
-        moved = now.join(before, ["h", "l"], "left_anti") if insert else before.join(now, ["h", "l"], "left_anti")
+    def _changed(self, version: str, removes: bool, shards: int, rows: int, lookups: int, folders) -> LineIndex:
+        """Writes the filters of the shards whose keys came or went, and the log."""
+        keys = self._read("counts", version).where("n_docs = 0" if removes else "new").select("shard", "h")
 
         def change(left, right):
             key, data = left.column("h").to_numpy(), right.column("data").to_pylist()
-            shard = (left if left.num_rows else right).column("shard")[0].as_py()
-            f = CuckooFilter.load(data[0]) if data else CuckooFilter.sized(len(key))
-            if insert and (f.slots != 0).sum() + len(key) > 0.9 * f.slots.size:
-                f.overflow.extend(key.astype(np.uint64).tolist())  # exact until the next rebuild
-            elif insert:
+            if not len(key):
+                return pa.table({"shard": pa.array([], pa.int32()), "data": pa.array([], pa.binary())})
+            f = CuckooFilter.load(data[0]) if data else CuckooFilter.sized(2 * len(key))
+            if removes:
+                f.delete(key)
+            elif not f.full(len(key)):
                 f.insert(key)
             else:
-                f.delete(key)
-            return pa.table({"shard": pa.array([shard], pa.int32()), "data": pa.array([f.dump()], pa.binary())})
+                f = None  # built anew
+            return pa.table({"shard": left.column("shard")[:1], "data": pa.array([f and f.dump()], pa.binary())})
 
-        moved.withColumn("shard", self._shard()).groupBy("shard").cogroup(old.filters().groupBy("shard")).applyInArrow(change, "shard int, data binary").write.parquet(f"{self.path}/filters-{self.version}")
-        return self
+        def build(t):
+            f = CuckooFilter.sized(2 * t.num_rows)
+            f.insert(t.column("h").to_numpy())
+            return pa.table({"shard": t.column("shard")[:1], "data": pa.array([f.dump()], pa.binary())})
+
+        schema = _SCHEMAS["filters"]
+        done = keys.groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInArrow(change, schema).checkpoint()
+        log = [*self.log, (version, removes, shards, rows)]
+        new = LineIndex(self.spark, self.path)
+        new.log, new.version, new.shards, new.lookups, new.folders = log, version, shards, lookups, folders
+        over = done.where("data IS NULL").select("shard")
+        built = done.where("data IS NOT NULL")
+        if not over.isEmpty():
+            again = new.counts().select("shard", "h").join(over, "shard", "left_semi")
+            built = built.unionByName(again.groupBy("shard").applyInArrow(build, schema))
+        self._write(built, "filters", version)
+        self._write(self.spark.createDataFrame([(i, *v) for i, v in enumerate(log)], _SCHEMAS["log"]).coalesce(1), "log", version)
+        return new
 
     def decisions(self) -> DataFrame:
         """(doc_id, keys): the keys whose lines the document loses."""
         # cut off here, so that both sides of the join come straight from a shuffle, which adaptive execution can split at a hot key
         ensure_checkpoint_dir(self.spark)
-        lost = self.counts().where("n_docs > 1").select("h", "l", "holder").checkpoint()
-        return self.refs().join(lost, ["h", "l"]).where("doc_id <> holder").groupBy("doc_id").agg(F.collect_list(F.struct("h", "l")).alias("keys"))
+        lost = self.counts().where("n_docs > 1").select(*_KEY, "holder").checkpoint()
+        return self.refs().join(lost, _KEY).where("doc_id <> holder").groupBy("doc_id").agg(F.collect_list(F.struct("h", "l")).alias("keys"))
+
+
+def deduplicated(docs: DataFrame, path: str, blocks: int = BLOCKS) -> LineIndex:
+    """The index of docs, inserted block by block; rows of one doc_id are in one block."""
+    index = LineIndex(docs.sparkSession, path)
+    for k in range(blocks):
+        index = index.insert(docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast(_LONG)), F.lit(blocks)) == k))
+    return index
 
 
 def drop_lines(docs: DataFrame, decisions: DataFrame, with_text: bool = False) -> DataFrame:
@@ -294,8 +391,7 @@ def drop_lines(docs: DataFrame, decisions: DataFrame, with_text: bool = False) -
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    index = LineIndex(spark, shared_path(spark, "lines")).insert(docs)
-    return drop_lines(docs, index.decisions())
+    return drop_lines(docs, deduplicated(docs, shared_path(spark, "lines")).decisions())
 
 
 SQL = r"""
