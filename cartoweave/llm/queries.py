@@ -22,6 +22,7 @@ SQL = {
     "op2_quality_model": kneser_ney.SQL,
     "op3_decontamination": decontaminate.SQL,
     "op4_packing": packing.SQL,
+    "op6_suffix_dedup": suffix_dedup.SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op8_quality_rules": quality_rules.SQL,
     "op9_warc": warc.SQL,

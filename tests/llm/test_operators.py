@@ -211,9 +211,13 @@ def test_suffix_dedup(spark):
     assert sorted(tuple(r) for r in twice) == sorted((i, *want[i]) for i in [*want, *want])
 
 
-def test_suffix_chunks(spark, monkeypatch):
+def _mixed(n=9):
     rng = random.Random(5)
-    rows = [(i, "".join(rng.choices("abc", k=1500)) if i % 3 else "the quick brown fox jumps over " * 40 + "x" * i) for i in range(9)]
+    return [(i, "".join(rng.choices("abc", k=1500)) if i % 3 else "the quick brown fox jumps over " * 40 + "x" * i) for i in range(n)]
+
+
+def test_suffix_chunks(spark, monkeypatch):
+    rows = _mixed()
     for name, value in (("CHUNK", 150), ("WINDOWS", 64)):
         monkeypatch.setattr(suffix_dedup, name, value)
     first, last, *_ = suffix_dedup.runs(rows[0][1].encode(), np.array([len(rows[0][1])]))
@@ -221,6 +225,58 @@ def test_suffix_chunks(spark, monkeypatch):
     assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove_repeats(frame(spark, rows)).collect()} == _repeats(rows)
 
 
+def _boiler():
+    """Forty bytes before a different continuation in most documents, and longer pieces that many share."""
+    rng = random.Random(21)
+    piece = lambda k: "".join(rng.choices("abcdefghij klmno", k=k))
+    forty, long_ = piece(45), [piece(k) for k in (101, 118, 160, 400)]
+    return [(i, piece(80) + (forty if i % 3 else long_[i % 4]) + piece(90) + (rng.choice(long_) if i % 5 == 0 else "") + piece(30)) for i in range(70)]
+
+
+@pytest.mark.parametrize("parts,most", [(4, 99), (40, 99), (40, 5)])
+def test_suffix_splits(spark, monkeypatch, parts, most):
+    """Many small ranges, so that groups go on across boundaries; two levels of splitters; all prefixes of the sample hot."""
+    monkeypatch.setattr(suffix_dedup, "parts_for", lambda df, size: parts)
+    monkeypatch.setattr(suffix_dedup, "MAX_PARTS", most)
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", 1)
+    for rows in (_mixed(), _boiler()):
+        want = _repeats(rows)
+        keyed = suffix_dedup._keyed(frame(spark, rows))
+        cuts, hot = suffix_dedup.splitters(keyed, min(parts, most))
+        assert len(cuts) < min(parts, most) and cuts == sorted(cuts)
+        texts = " ".join(t for _, t in rows).encode()
+        assert all(c[: suffix_dedup.GRAM] in texts for c in cuts)  # leading bytes of suffixes themselves
+        assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove_repeats(frame(spark, rows)).collect()} == want
+        assert any(w[1] for w in want.values())
+        everything = set(suffix_dedup.prefix_hash(suffix_dedup.leading(texts, np.arange(len(texts) - 39))).tolist())
+        monkeypatch.setattr(suffix_dedup, "splitters", lambda k, n, s=0, cuts=cuts: (cuts, everything))
+        assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove_repeats(frame(spark, rows)).collect()} == want
+        monkeypatch.undo()
+        for name, value in (("parts_for", lambda df, size: parts), ("MAX_PARTS", most), ("SAMPLE", 1)):
+            monkeypatch.setattr(suffix_dedup, name, value)
+
+
+def test_windows_are_compared_by_bytes(monkeypatch):
+    """With a hash that tells nothing apart the bytes decide."""
+    data = (b"a" * 100 + b"b" * 100 + b"a" * 100 + b"c" * 99 + b"d") * 2
+    start, first = np.arange(8) * 100, np.arange(8) * 1000
+    did, th, length = np.arange(8), np.zeros(8, np.int64), np.zeros(8, np.int64)
+    row, at = np.arange(8), np.zeros(8, np.int64)
+    want = {2, 4, 5, 6, 7}
+    for hash_ in (suffix_dedup._join, lambda x, y: np.zeros(len(x), np.uint64)):
+        monkeypatch.setattr(suffix_dedup, "_join", hash_)
+        order, again = suffix_dedup.later_windows(data, start, first, length, did, th, row, at)
+        assert set(order[again].tolist()) == want
+
+
+def test_place_is_lexicographic():
+    rng = np.random.default_rng(22)
+    cuts = sorted(map(tuple, rng.integers(0, 3, (40, 4)).tolist()))
+    rows = list(map(tuple, rng.integers(0, 3, (200, 4)).tolist()))
+    columns = lambda x: [np.array(c, np.uint64) for c in zip(*x, strict=True)]
+    assert suffix_dedup.place(columns(cuts), columns(rows)).tolist() == [sum(c <= r for c in cuts) for r in rows]
+
+
 def test_multikey_order():
     rng = np.random.default_rng(6)
     c = [rng.integers(0, 4, 500) for _ in range(4)]
