@@ -49,7 +49,7 @@ from cartoweave.llm.common import NULL_ID, SLICE, bytes_of, mix64, parts_for, sh
 
 LENGTH, GRAM = 100, 40
 #: Bytes that are hashed at a time, windows that are compared at a time, text bytes a partition.
-CHUNK, WINDOWS, PART = 1 << 18, 1 << 17, 16 << 20
+CHUNK, WINDOWS, PART = 1 << 18, 1 << 17, 8 << 20
 #: Sampled suffixes a splitter, and at most on the driver; one document in SAMPLE is looked at for them.
 PER_SPLITTER, SAMPLED, SAMPLE = 64, 1 << 19, 16
 #: Ranges of the first level.
@@ -237,7 +237,7 @@ def _sample(keyed: DataFrame, rows: int, secret: int) -> DataFrame:
     limit = np.uint64(min(1.0, rows / expected) * (2**64 - 2**12))
 
     def run(batches):
-        for b in sliced(batches, 4 * SLICE):
+        for b in sliced(batches, 2 * SLICE):
             s = _suffixes(b, secret)
             if s is None:
                 continue
@@ -384,7 +384,7 @@ def removed_intervals(keyed: DataFrame, path: str) -> DataFrame:
             yield int(number[order[i]]), pick[order[i:j]]
 
     def deal(batches):
-        for b in sliced(batches, 4 * SLICE):
+        for b in sliced(batches, 2 * SLICE):
             s = _suffixes(b, secret)
             if s is None:
                 continue
@@ -395,7 +395,8 @@ def removed_intervals(keyed: DataFrame, path: str) -> DataFrame:
             for number, o in split(columns, cut_columns, np.arange(len(row))):
                 ids.append(number)
                 blobs.append(_pack(o, row, did, th, first, last, anchor, token, words))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["pid", "data"])
+            for i in range(0, len(ids), 8):  # small batches: Spark holds each whole
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 8], pa.int32()), pa.array(blobs[i : i + 8], pa.binary())], ["pid", "data"])
 
     def range_of(batches):
         for b in batches:
@@ -516,7 +517,7 @@ def removed_intervals(keyed: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([int(x) % total for x in spans[0]], pa.int32()), pa.array(none, pa.binary()), pa.array(spans[0]), pa.array(spans[1]), pa.array(spans[2], pa.binary())], _fetched)
 
     def fetch(batches):
-        for b in sliced(batches, 4 * SLICE):
+        for b in sliced(batches, 2 * SLICE):
             keep: dict[int, list] = {}
             hottest, windows = [], 0
             for did, th, text, asks in zip(b.column("did").to_pylist(), b.column("th").to_pylist(), b.column("text").to_pylist(), b.column("asks").to_pylist(), strict=True):
