@@ -7,13 +7,20 @@ meets there is verified by the complete distance.
 
 Equal fingerprints are merged first, so a group of copies of any size is one entry.  The
 tables are dealt by segment value and streamed in sorted order; a bucket's pairs are compared
-in bounded blocks inside the task, and only a star for each connected part of a block leaves
-it, never all pairs.  The table of a bucket of more than BUCKET fingerprints is split among
+in bounded blocks inside the task, and only a forest of least distances leaves a block, never
+all pairs.  The forests together hold one of all links, so that whatever is connected by
+links up to some distance is connected by theirs.  The table of a bucket of more than BUCKET fingerprints is split among
 tasks, each of which is shown all rows of the bucket.  Components of these links are found by plans.components.
 
 With s segments, a distance up to d is found for certain if the ball's radius is at least
 d // s: op5 uses 64 bits, three segments and radius 1 for d = 4.
 
+keep_one, the pipeline's stage, takes a similarity of at least SIMILARITY of the sets of
+five-word shingles.  Fingerprints only propose links: each link of the forests is verified by
+the two texts' shingles, and verified links make the classes, so every document that goes has
+a verified partner in its class.  A pair of similar texts is missed if the forest connects them
+by others, of lesser distance, one of which fails.
+
 Null and empty texts have no shingle: fingerprint zero, linked like any other.  Rows with a
 null doc_id get a fingerprint, no link and a null component.  Repeated rows each get a row.
 Other columns are not read.  An empty table gives an empty result.
@@ -88,26 +95,44 @@ def _cuts(bits: int, segments: int) -> list[tuple[int, int, int]]:
     return [(w, a, b - a) for w in range(bits // 64) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each node but the least of its part: (node, least node)."""
-    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+def _forest(u: np.ndarray, v: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Places of the pairs (u > v) that make a forest of least distances; ties by v and u."""
+    order = np.lexsort((u, v, far))
+    nodes, at = np.unique(np.concatenate([u[order], v[order]]), return_inverse=True)
     a, b = at[: len(u)], at[len(u) :]
     label = np.arange(len(nodes))
+    rank = np.arange(len(order))
+    taken = []
     while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        if (new == label).all() and (label[a] == label[b]).all():
+        x, y = label[a[rank]], label[b[rank]]
+        open_ = x != y
+        rank, x, y = rank[open_], x[open_], y[open_]
+        if not len(rank):
             break
-        label = new
-    rest = label != np.arange(len(nodes))
-    return nodes[rest], nodes[label[rest]]
+        # every part takes its first pair; two parts that take the same one hang on the lesser
+        first = np.full(len(nodes), len(order))
+        np.minimum.at(first, x, rank)
+        np.minimum.at(first, y, rank)
+        part = np.flatnonzero(first < len(order))
+        pick = first[part]
+        taken.append(np.unique(pick))
+        p, q = label[a[pick]], label[b[pick]]
+        to = np.where(p == part, q, p)
+        up = np.arange(len(nodes))
+        up[part] = to
+        both = (up[up[part]] == part) & (part < to)
+        up[part[both]] = part[both]
+        while True:
+            new = up[up]
+            if (new == up).all():
+                break
+            up = new
+        label = up[label]
+    return order[np.concatenate(taken)] if taken else order[:0]
 
 
 def links(entries: DataFrame, bits: int, segments: int, ball: int, max_distance: int) -> DataFrame:
-    """entries: id and f0.. of distinct fingerprints.  (src, dst) links that connect all that lie within max_distance of one another."""
+    """entries: id and f0.. of distinct fingerprints.  (src, dst, far): links that connect all that lie within max_distance of one another."""
     n = bits // 64
     names = ["id", *(f"f{k}" for k in range(n))]
     cuts = _cuts(bits, segments)
@@ -158,7 +183,10 @@ def links(entries: DataFrame, bits: int, segments: int, ball: int, max_distance:
                 far = sum(np.bitwise_count((x[a] ^ x[c]).view(np.uint64)).astype(np.int64) for x in cols[1:])
                 near = (far <= max_distance) & (cols[0][a] != cols[0][c])
                 if near.any():
-                    yield _stars(cols[0][a[near]], cols[0][c[near]])
+                    x, y, far = cols[0][a[near]], cols[0][c[near]], far[near]
+                    u, v = np.maximum(x, y), np.minimum(x, y)
+                    keep = _forest(u, v, far)
+                    yield u[keep], v[keep], far[keep]
             row = stop
 
     def look(batches):
@@ -171,8 +199,8 @@ def links(entries: DataFrame, bits: int, segments: int, ball: int, max_distance:
             rows = [rows[0] >> 1, rows[0] & 1, *rows[1:]]
             old = 0 if held is None else len(held[0])
             rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            for u, v in found(rows[0], rows[1], rows[2:], old):
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["src", "dst"])
+            for u, v, far in found(rows[0], rows[1], rows[2:], old):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(far.astype(np.int32))], ["src", "dst", "far"])
             keep = (rows[0] == rows[0][-1]) & (rows[1] == 0)
             held = [x[keep] for x in rows]
         tidy()
@@ -188,36 +216,84 @@ def links(entries: DataFrame, bits: int, segments: int, ball: int, max_distance:
         looks = ((F.col("key") % 2 == 1) | (F.col("_i") != F.pmod(F.xxhash64("id"), F.coalesce("_blocks", F.lit(1))))).cast("long")
         own = F.shiftleft(F.shiftright(F.xxhash64("_b", "_i"), 1), 1)  # a name for bucket and block
         dealt = dealt.select(F.when(F.col("_b").isNull(), F.col("key")).otherwise(own + looks).alias("key"), *names)
-    return dealt.repartition(bucket).sortWithinPartitions("key").mapInArrow(look, "src long, dst long")
+    return dealt.repartition(bucket).sortWithinPartitions("key").mapInArrow(look, "src long, dst long, far int")
 
 
-def classes(docs: DataFrame, words: int = 4, bits: int = 64, segments: int = 3, ball: int = 1, max_distance: int = 4) -> DataFrame:
-    """doc_id, f0.., component_id (the smallest doc_id reachable over links)."""
-    ensure_checkpoint_dir(docs.sparkSession)
-    names = [f"f{k}" for k in range(bits // 64)]
+def _entries(docs: DataFrame, words: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of docs, and distinct ones with the smallest doc_id as id."""
     prints = fingerprints(docs, words, bits).checkpoint()
-    entries = prints.where("doc_id IS NOT NULL").groupBy(*names).agg(F.min("doc_id").alias("id")).checkpoint()
-    parts = connected_components(links(entries, bits, segments, ball, max_distance))
+    return prints, prints.where("doc_id IS NOT NULL").groupBy(*(f"f{k}" for k in range(bits // 64))).agg(F.min("doc_id").alias("id")).checkpoint()
+
+
+def _placed(prints: DataFrame, entries: DataFrame, links_: DataFrame) -> DataFrame:
+    names = [c for c in prints.columns if c != "doc_id"]
+    parts = connected_components(links_)
     named = entries.join(parts, entries.id == parts.node, "left").select(*names, F.coalesce("component", "id").alias("component_id"))
     placed = prints.join(named, names, "left")
     return placed.select("doc_id", *names, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def classes(docs: DataFrame, words: int = 4, bits: int = 64, segments: int = 3, ball: int = 1, max_distance: int = 4) -> DataFrame:
+    """doc_id, f0.., component_id (the smallest doc_id reachable over links)."""
+    ensure_checkpoint_dir(docs.sparkSession)
+    prints, entries = _entries(docs, words, bits)
+    return _placed(prints, entries, links(entries, bits, segments, ball, max_distance))
+
+
 #: Ids that are broadcast, eight bytes each; more are joined by a shuffle of the documents.
 BROADCAST_IDS = 1_000_000
-#: keep_one's parameters: similarity 0.8 of the sets of five-word shingles.  Sets with Jaccard
-#: similarity 0.8 have cosine 8/9, and differ in arccos(8/9)/pi of the fingerprint's bits, 38.8
-#: of 256.  Twenty segments, five a word, with radius 1 find every distance up to 39 for certain.
-WIDE = {"words": 5, "bits": 256, "segments": 20, "ball": 1, "max_distance": 39}
+#: keep_one's parameters.  Sets with Jaccard similarity 0.8 have cosine 8/9 and differ in
+#: arccos(8/9)/pi of the fingerprint's bits, 38.8 of 256 with a spread of 5.7; 47 takes 1.4 spreads more.
+#: Twenty segments, five a word, with radius 1 find every distance up to 39 for certain, and miss one
+#: of 45 bits once in some 5,000 times.
+WIDE = {"words": 5, "bits": 256, "segments": 20, "ball": 1, "max_distance": 47}
+SIMILARITY = 0.8
+
+
+def _narrow(ids: DataFrame) -> DataFrame:
+    """ids, broadcast if they are few."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def verified(docs: DataFrame, links_: DataFrame, words: int, similarity: float = SIMILARITY) -> DataFrame:
+    """The links (src, dst) whose documents' sets of shingles have at least this Jaccard similarity.
+
+    Of a doc_id that several rows have, any row will do.  Only linked documents are read into sets.
+    """
+
+    def sets(batches):
+        for b in sliced(batches):
+            held = [np.unique(shingle_hashes(t, words)).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(held, pa.binary())], ["doc_id", "shingles"])
+
+    def judge(batches):
+        for b in sliced(batches):
+            ok = []
+            for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                # sets of very different size cannot be alike
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
+                ok.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column("src"), b.column("dst")], ["src", "dst"]).filter(pa.array(ok, pa.bool_()))
+
+    ids = links_.select(F.col("src").alias("doc_id")).union(links_.select("dst")).distinct().checkpoint()
+    own = docs.select("doc_id", "text").join(_narrow(ids), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles binary").checkpoint()
+    pairs = links_.join(own.select(F.col("doc_id").alias("src"), F.col("shingles").alias("a")), "src").join(own.select(F.col("doc_id").alias("dst"), F.col("shingles").alias("b")), "dst")
+    return pairs.select("src", "dst", "a", "b").mapInArrow(judge, "src long, dst long").distinct()
+
+
+def near_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, f0.., component_id by verified links of five-word shingles."""
+    ensure_checkpoint_dir(docs.sparkSession)
+    prints, entries = _entries(docs, WIDE["words"], WIDE["bits"])
+    proposed = links(entries, WIDE["bits"], WIDE["segments"], WIDE["ball"], WIDE["max_distance"]).select("src", "dst").distinct().checkpoint()
+    return _placed(prints, entries, verified(docs, proposed, WIDE["words"]))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs, all columns, less the rows whose class holds a smaller doc_id; rows with a null doc_id stay."""
-    ensure_checkpoint_dir(docs.sparkSession)
-    found = classes(docs, **WIDE).where("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct().checkpoint()
-    if found.count() <= BROADCAST_IDS:
-        found = F.broadcast(found)
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    found = near_classes(docs).where("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct().checkpoint()
+    return docs.join(_narrow(found), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

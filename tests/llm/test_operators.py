@@ -149,13 +149,56 @@ def test_stage_links_are_complete(spark):
         x = rng.getrandbits(256)
         places = {16 * s + p for s in range(16) for p in rng.sample(range(16), 2)}  # two in each of sixteen segments
         places |= set(rng.sample(sorted(set(range(256)) - places), i % 8))
-        points += [x, x ^ sum(1 << p for p in places)]
+        points += [x, x ^ sum(1 << p for p in places)]  # 32 to 39 bits
     rows = [(i, *(signed(x >> 64 * k & 2**64 - 1) for k in range(4))) for i, x in enumerate(points)]
     w = simhash.WIDE
     got = {(r.src, r.dst) for r in simhash.links(spark.createDataFrame(rows, "id long, f0 long, f1 long, f2 long, f3 long"), w["bits"], w["segments"], w["ball"], w["max_distance"]).collect()}
     assert {(max(e), min(e)) for e in got} == {(2 * i + 1, 2 * i) for i in range(30)}
 
 
+def test_forest_holds_every_threshold():
+    rng = np.random.default_rng(23)
+    for n in (2, 9, 40):
+        u, v = np.triu_indices(n, 1)[::-1]
+        use = rng.random(len(u)) < 0.5
+        u, v = u[use] * 3 + 1, v[use] * 3 + 1
+        far = rng.integers(0, 6, len(u))
+        keep = simhash._forest(u, v, far)
+        for most in range(6):
+            part = lambda e: _components(range(1, 3 * n, 3), lambda a, b: (a, b) in e)
+            edges = lambda k: {(max(a, b), min(a, b)) for a, b, f in zip(u[k], v[k], far[k]) if f <= most}  # noqa: B023, B905, E731
+            assert part(edges(keep)) == part(edges(np.arange(len(u))))
+        assert len(keep) <= n - 1
+
+
+def test_near_links_are_verified(spark):
+    """Every class is connected by pairs of 0.8 or more; nearly all such pairs are in one class; texts of 0.7 are not."""
+    rng = random.Random(24)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    rows, texts = [], [rng.choices(vocabulary, k=rng.randrange(60, 300)) for _ in range(25)]
+    for t in texts:
+        rows.append(t)
+        for _ in range(6):
+            w = list(t)
+            for _ in range(rng.randrange(0, 1 + len(w) // 25)):
+                w[rng.randrange(len(w))] = "new" + str(rng.randrange(10**6))
+            rows.append(w)
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)] + [(900, None), (901, ""), (902, "few Words"), (903, "few words"), (None, "few words")]
+    got = {r.doc_id: r.component_id for r in simhash.near_classes(frame(spark, rows)).where("doc_id IS NOT NULL").collect()}
+
+    def sets(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    own = {i: sets(t) for i, t in rows if i is not None}
+    alike = lambda a, b: own[a] == own[b] or len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b])
+    want = _components(sorted(own), alike)
+    pairs = [(a, b) for a in own for b in own if a < b and alike(a, b)]
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.97 * len(pairs) > 100
+    assert all(want[i] == want[c] for i, c in got.items())  # no class joins what 0.8 does not
+    assert got[900] == got[901] == 900 and got[902] == got[903] == 902
+
+
 def test_bucket_that_fills_many_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
     try:
