@@ -8,8 +8,9 @@ distance that the document could have.
 
 Text is lower-cased, everything but letters becomes one blank, and a blank is put at either
 end.  An n-gram is its code points in 21-bit fields of one 64-bit integer, so the keys are
-exact.  Counts are made per batch, merged by Spark, and ranked there; only the profiles
-(PROFILE rows a language) come to the driver.
+exact.  Counts are made per batch, merged by Spark, and ranked there: tasks hand on no more than
+PROFILE types a language to the one that ranks it.  Only the profiles (PROFILE rows a language)
+come to the driver; more than LANGUAGES learned names, which are no languages, are an error.
 
 Null or empty texts and texts without a letter: 'und', score 0.  No learned language (empty
 table, or lang null throughout): 'und', score 0.  Equal counts rank by the n-gram's key.
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from cartoweave.llm.common import sliced, table
 
 PROFILE = 400
+#: Learned names at most; ISO 639-3 has some 8,000.
+LANGUAGES = 10_000
 #: Keys that a training task gathers before it hands them on.
 FLUSH = 1 << 20
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -97,13 +100,16 @@ def train_profiles(docs: DataFrame, profile: int = PROFILE) -> DataFrame:
     counts = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").mapInArrow(count, "lang string, key long, n long")
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "key")
     total = counts.groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    return total.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < profile)
+    # a bound on the bare row number lets every task drop all but its own first rows of a language before the shuffle
+    return total.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= profile).withColumn("rank", F.col("rank") - 1)
 
 
 def identify(docs: DataFrame, profiles: DataFrame, profile: int = PROFILE) -> DataFrame:
     """doc_id, lang_pred, score, and the other columns of docs but text."""
-    rows = profiles.select("lang", "key", "rank").collect()  # at most `profile` rows a language
+    rows = profiles.select("lang", "key", "rank").limit(LANGUAGES * profile + 1).collect()
     langs = sorted({r.lang for r in rows})
+    if len(rows) > LANGUAGES * profile:
+        raise ValueError(f"more than {LANGUAGES} languages are given: lang does not hold languages")
     keys = np.unique(np.array([r.key for r in rows], np.int64))
     ranks = np.full((len(langs), len(keys)), -1, np.int32)
     for r in rows:

@@ -1,7 +1,12 @@
 """Operator 8: line-first quality rules.
 
-Every line is judged on its own by punctuation, navigation, shouting and boilerplate rules;
-failing lines are removed; a document that loses more than a share of its words is rejected,
+Every line is judged on its own.  It fails
+* by punctuation: many signs that are no prose; ten words or more without a sentence's end; a
+  teaser, of few words, that ends in an ellipsis; mostly capitals, of any script;
+* as navigation: items between bars, dots or arrows; a short item after a bullet;
+* as boilerplate: a short line with a phrase of licences, notices, cookies or sign-ups, in one
+  of six languages.
+Failing lines are removed; a document that loses more than a share of its words is rejected,
 as is one that fails the base counts (under 50 words, or over half of its words in 3-word
 windows that repeat).
 
@@ -17,6 +22,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from cartoweave.llm.common import BLANKS, sliced, table
@@ -24,14 +30,25 @@ from cartoweave.llm.common import BLANKS, sliced, table
 SYMBOLS = "#*$%&|<>"
 #: Symbols that the punctuation rule counts, besides exclamation marks.
 MARKS = "#*$%&<>^~{}\\!"
-UPPER = "A-ZÀ-ÖØ-Þ"
+#: What ends a sentence, and what stands between the items of a menu.
+ENDS, BETWEEN = ".!?\u2026\u3002\uff01\uff1f", "|\u2022\u00b7\u00bb\u203a"
+BULLET = "^[ \\t]*[-\u2013\u2014*\u2022\u25aa\u25e6\u2023\u25cf\u25cb][ \\t]"
+ELLIPSIS = "(\\.\\.\\.|\u2026)[ \\t\\r]*$"
+#: Words of a line that must have a sentence's end, and at most of an item after a bullet.
+PROSE_WORDS, ITEM_WORDS = 10, 5
 #: Lines of at most BOILER_WORDS words with one of these are boilerplate.
-BOILER = r"all rights reserved|licensed under|copyright|cookie|privacy policy|terms of (use|service)|click here|sign up|subscribe|javascript"
+BOILER = "|".join((
+    "all rights reserved", "licensed under", "copyright", "cookie", "privacy policy", "terms of (use|service)", "click here", "sign up", "subscribe", "javascript", "log in to", "share this",
+    "alle rechte vorbehalten", "datenschutz", "impressum", "hier klicken", "newsletter",
+    "tous droits r\u00e9serv\u00e9s", "mentions l\u00e9gales", "politique de confidentialit\u00e9", "cliquez ici",
+    "todos los derechos reservados", "pol\u00edtica de privacidad", "aviso legal", "haga clic",
+    "tutti i diritti riservati", "todos os direitos reservados",
+))
 BOILER_WORDS = 25
 LOST_PERCENT = 30
 
-_UPPER = re.compile(f"[{UPPER}]")
-_BOILER = re.compile(BOILER, re.IGNORECASE | re.ASCII)
+_UPPER, _END, _BULLET, _ELLIPSIS = regex.compile(r"\p{Lu}"), re.compile(f"[{ENDS}]"), re.compile(BULLET), re.compile(ELLIPSIS)
+_BOILER = re.compile(BOILER, re.IGNORECASE)
 
 
 def line_fails(line: str, n_words: int) -> bool:
@@ -40,14 +57,17 @@ def line_fails(line: str, n_words: int) -> bool:
         return False
     chars = len(line) - sum(map(line.count, BLANKS))
     marks = sum(map(line.count, MARKS))
-    bars = line.count("|")
+    between = sum(map(line.count, BETWEEN))
     if marks >= 5 and 10 * marks > chars:
         return True
-    if bars >= 3 and 10 * bars > n_words:
+    if between >= 3 and 10 * between > n_words:
         return True
     if chars >= 20 and 2 * len(_UPPER.findall(line)) > chars:
         return True
-    return n_words <= BOILER_WORDS and _BOILER.search(line) is not None
+    ends = _END.search(line) is not None
+    if not ends and (n_words >= PROSE_WORDS or n_words <= ITEM_WORDS + 1 and _BULLET.match(line)):
+        return True
+    return n_words <= BOILER_WORDS and (_ELLIPSIS.search(line) is not None or _BOILER.search(line) is not None)
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -134,10 +154,11 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r
 w AS (SELECT r, regexp_extract_all(text, '{_W}') AS ws FROM d),
 lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
 lw AS (SELECT r, line, len(regexp_extract_all(line, '{_W}')) AS k, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars,
-  length(regexp_replace(line, '[^#*$%&<>^~{{}}\\!]', '', 'g')) AS marks, length(regexp_replace(line, '[^|]', '', 'g')) AS bars,
-  length(regexp_replace(line, '[^{UPPER}]', '', 'g')) AS up FROM lines),
-lf AS (SELECT r, line, k, k > 0 AND ((marks >= 5 AND 10 * marks > chars) OR (bars >= 3 AND 10 * bars > k) OR (chars >= 20 AND 2 * up > chars)
-  OR (k <= {BOILER_WORDS} AND regexp_matches(line, '(?i){BOILER}'))) AS bad FROM lw),
+  length(regexp_replace(line, '[^#*$%&<>^~{{}}\\!]', '', 'g')) AS marks, length(regexp_replace(line, '[^{BETWEEN}]', '', 'g')) AS between_,
+  length(regexp_replace(line, '\P{{Lu}}', '', 'g')) AS up, regexp_matches(line, '[{ENDS}]') AS ends FROM lines),
+lf AS (SELECT r, line, k, k > 0 AND ((marks >= 5 AND 10 * marks > chars) OR (between_ >= 3 AND 10 * between_ > k) OR (chars >= 20 AND 2 * up > chars)
+  OR (NOT ends AND (k >= {PROSE_WORDS} OR (k <= {ITEM_WORDS + 1} AND regexp_matches(line, '{BULLET}'))))
+  OR (k <= {BOILER_WORDS} AND (regexp_matches(line, '{ELLIPSIS}') OR regexp_matches(line, '(?i){BOILER}')))) AS bad FROM lw),
 ls AS (SELECT r, coalesce(sum(k) FILTER (WHERE bad), 0)::BIGINT AS lost,
   (count(*) FILTER (WHERE k > 0) - count(DISTINCT line) FILTER (WHERE k > 0))::BIGINT AS dups FROM lf GROUP BY r),
 g AS (SELECT r, unnest(range(1, greatest(len(ws) - 1, 1))) AS i, ws FROM w),

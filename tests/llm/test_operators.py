@@ -424,12 +424,16 @@ def test_lines_of_edges(spark, tmp_path):
 
 def test_quality_rules():
     clean = "A sentence of plain words goes on here, and ends. " * 10
-    assert quality_rules.judge(" ".join(f"word{i}" for i in range(60)))[5:7] == (False, True)
+    assert quality_rules.judge(" ".join(f"word{i}" for i in range(60)) + ".")[5:7] == (False, True)
     assert quality_rules.judge(clean)[5] is True  # repeats itself
-    body = " ".join(f"word{i}" for i in range(100))
+    body = " ".join(f"word{i}" for i in range(100)) + "."
     n, *_, kept, lost, text = quality_rules.judge(body + "\nAll rights reserved.\nHome | News | Shop | More")
     assert (n, kept, lost, text) == (110, True, 10, body)
     assert quality_rules.judge("\n".join([body, " ".join(f"X{i}!!!" for i in range(60))]))[6] is False
+    fails = lambda x: quality_rules.line_fails(x, len(x.split()))
+    bad = ["Home \u2022 News \u2022 Shop \u2022 More", "Start \u203a Produkte \u203a Schuhe \u203a Stiefel", "- Contact us", "\u2022 Unser Shop", "Read more about it...", "So geht es weiter\u2026", "\u041f\u0420\u0418\u0412\u0415\u0422 \u0412\u0421\u0415\u041c \u041b\u042e\u0414\u042f\u041c \u0417\u0414\u0415\u0421\u042c", "Alle Rechte vorbehalten.", "Tous droits R\u00c9SERV\u00c9S", "ten words and more that never come to an end here", "#$%&* #$%&* x", "We use cookies."]
+    good = ["- A whole sentence after a dash, as dialogues have it.", "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u3002", "a short title", "He paused... and then went on with it.", "", " ", "one two three four five six seven eight nine ten?", "The copyright " + "of this text is explained at length in words " * 4 + "here."]
+    assert [x for x in bad if not fails(x)] == [] and [x for x in good if fails(x)] == []
     assert quality_rules.judge(None) == (0, 0, 0, 0, 0, True, False, 0, "")
 
 
