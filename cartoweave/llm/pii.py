@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from cartoweave.llm.common import table
 
 ROUNDS = 10
-KEY = "change-me"
+#: What op10_pii takes as its key, so that its results repeat.  It is no secret: give pseudonymise() one of your own.
+TEST_KEY = "the test key of op10_pii"
 HEX = "0123456789abcdef"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -123,7 +124,7 @@ def _long(x: Column) -> Column:
     return x.try_cast("long")
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
+def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one match, or the match itself if it doesn't validate."""
     by_class = lambda c, i: F.when(c.rlike("^[0-9]$"), DIGITS).when(c.rlike("^[a-z]$"), LOWER).otherwise(UPPER)
     decimal = lambda c, i: F.lit(DIGITS)
@@ -181,11 +182,14 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text", every_phone: bool = False) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", every_phone: bool = False) -> DataFrame:
     """docs with `text` pseudonymised and n_pseudonyms, the number of values that were replaced by others.
 
+    key: a secret; who has it can invert every pseudonym, so it must not be empty.
     every_phone: phone-shaped values that no numbering plan allows are replaced too.
     """
+    if not key:
+        raise ValueError("a key is needed: without one, pseudonyms hide nothing")
     pattern = ANY_PATTERN if every_phone else PATTERN
     t = F.col(f"`{text}`")
     # a match has a digit or an @ but for keys and secrets of letters alone; most texts have none of these
@@ -199,4 +203,4 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text", every_phon
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), every_phone=True)
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), TEST_KEY, every_phone=True)

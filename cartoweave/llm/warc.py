@@ -5,15 +5,19 @@ the largest page_id is a response, the others are revisits that refer to it.  Th
 plain concatenated records, written by Spark's text writer with the two line ends that close a
 record as line separator.
 
-Reading.  Spark's text reader, with the magic line as separator, cuts an archive at every
-place that looks like the start of a record, also inside payloads, and splits large files
+Reading.  Spark's text reader, with a line's end and the magic as separator, cuts an archive at
+every place that looks like the start of a record, also inside payloads, and splits large files
 among tasks.  Each task emits candidate records with the offset of the record that would
 follow (start, header, Content-Length, end mark), and follows these successors within its
 split by pointer jumping.  Pointer jumping over the exits of the splits, from each file's
 start, then finds the entries of the splits that are reachable, and only candidates on the
 chains from these are records; a magic line inside a payload starts no chain.  Payloads stay
 in the task that read them: only offsets, header fields and digests are shuffled.  A payload
-that holds the magic line and crosses the end of a split is read a second time.
+that holds the magic line and crosses the end of a split is read a second time, and so is one
+that starts where OPEN candidates are still open, so false headers cost no more than that.
+
+Payloads are bytes of any encoding; archives may be WARC/1.0 or 1.1, and gzip files (.gz), which
+are read whole by one task.
 
 Null html is an empty payload.  Rows with a null page_id are responses and nobody refers to
 them.  Rows that repeat a page_id and payload are all responses if the id is the largest.
@@ -35,6 +39,10 @@ from cartoweave.llm.common import shared_path, sliced, table
 from cartoweave.plans.components import ensure_checkpoint_dir
 
 MAGIC, END = "WARC/1.1\r\n", "\r\n\r\n"
+#: The magic without the rest of its version; archives are cut where a line begins with it.
+START, VERSIONS = b"WARC/1.", (b"0\r\n", b"1\r\n")
+#: Candidates of a split that are hashed at a time.
+OPEN = 8
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Digests that occur twice or more are broadcast up to so many rows (some 100 bytes each), else shuffled.
 BROADCAST_ROWS = 100_000
@@ -79,12 +87,15 @@ _SCAN = "file string, block long, rel long, succ long, exit long, total long, ty
 
 
 class _Candidate:
-    """A possible record: its header, and the digest of its payload as far as it was read."""
+    """A possible record: its header, and the digest of its payload as far as it was read.
+
+    piece: the bytes after START; lazy: what the piece doesn't hold is not read.
+    """
 
-    def __init__(self, rel: int, piece: bytes):
+    def __init__(self, rel: int, piece: bytes, lazy: bool = False):
         self.rel = rel
         cut = piece.find(b"\r\n\r\n")
-        fields = {k.lower(): v for k, v in _FIELD.findall(piece[:cut].replace(b"\r\n", b"\n"))} if cut >= 0 else {}
+        fields = {k.lower(): v for k, v in _FIELD.findall(piece[3:cut].replace(b"\r\n", b"\n"))} if cut >= 0 and piece.startswith(VERSIONS) else {}
         size = fields.get(b"content-length", b"")
         self.valid = size.isdigit() and b"warc-type" in fields
         if not self.valid:
@@ -93,9 +104,11 @@ class _Candidate:
         self.type, self.id, self.refers = get(b"warc-type"), get(b"warc-record-id"), get(b"warc-refers-to")
         self.stated = get(b"warc-payload-digest").removeprefix("sha1:")
         self.left = int(size)
-        self.succ = rel + len(MAGIC) + cut + 4 + self.left + 4
+        self.succ = rel + len(START) + cut + 4 + self.left + 4
         self.sha, self.length = hashlib.sha1(usedforsecurity=False), 0
         block = piece[cut + 4 :]
+        if lazy and len(block) < self.left:
+            return
         if block.startswith(b"HTTP/") and (end := block.find(b"\r\n\r\n")) >= 0:
             self.left -= end + 4
             block = block[end + 4 :]
@@ -125,8 +138,7 @@ def _exits(rel: np.ndarray, succ: np.ndarray, total: int) -> np.ndarray:
 
 
 def _scan(df: DataFrame, keep_pieces: bool = False) -> DataFrame:
-    """Candidates of each split, offsets relative to the first magic line that the split owns; or all pieces with their bytes."""
-    magic = MAGIC.encode()
+    """Candidates of each split, offsets relative to the first START that the split owns; or all pieces with their bytes."""
 
     def run(batches):
         from base64 import b32encode
@@ -150,25 +162,30 @@ def _scan(df: DataFrame, keep_pieces: bool = False) -> DataFrame:
         for b in sliced(batches):
             out = []
             for file, block, value in zip(b.column("file").to_pylist(), b.column("block").to_pylist(), b.column("value").to_pylist(), strict=True):
-                piece = value.encode("utf-8", "surrogatepass")
+                data = value + b"\n"  # of the separator that follows, or after the end of a file
                 if state["key"] != (file, block):
                     if not keep_pieces:
                         yield from done()
-                    # rel counts from the magic line before the piece; the first piece of a file has none
-                    state = {"key": (file, block), "rel": 0 if block else -len(magic), "all": [], "open": []}
+                    state = {"key": (file, block), "rel": 0, "all": [], "open": []}
+                    if block:
+                        data = START + data
+                else:
+                    data = START + data
+                # the first piece of a file is what stands before the first separator: its first record, if it is an archive
                 if keep_pieces:
-                    out.append((file, block, state["rel"], (magic if state["rel"] >= 0 else b"") + piece))
+                    out.append((file, block, state["rel"], data))
                 else:
                     for x in state["open"]:
-                        x.feed(magic + piece)
+                        x.feed(data)
                     state["open"] = [x for x in state["open"] if x.left > 0]
-                    if state["rel"] >= 0:
-                        x = _Candidate(state["rel"], piece)
+                    if data.startswith(START):
+                        lazy = len(state["open"]) >= OPEN
+                        x = _Candidate(state["rel"], data[len(START) :], lazy)
                         if x.valid:
                             state["all"].append(x)
-                            if x.left > 0:
+                            if x.left > 0 and not lazy:
                                 state["open"].append(x)
-                state["rel"] += len(magic) + len(piece)
+                state["rel"] += len(data)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["file", "block", "rel", "data"])
         if not keep_pieces:
@@ -180,7 +197,7 @@ def _scan(df: DataFrame, keep_pieces: bool = False) -> DataFrame:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """file, off, type, id, refers, stated (digest), length, digest: the records that are reachable from the files' starts."""
     ensure_checkpoint_dir(spark)
-    text = spark.read.option("lineSep", MAGIC).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    text = spark.read.option("lineSep", "\n" + START.decode()).text(path).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     scanned = _scan(text).checkpoint()
     # a file's splits in order; each begins where the totals of those before it end
     splits = scanned.where("rel IS NULL").select("file", "block", "total")
@@ -226,7 +243,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         def whole(t: pa.Table) -> pa.Table:
             t = t.sort_by("start")
             data = t.column("data").to_pylist()
-            c = _Candidate(0, data[0][len(MAGIC) :])
+            c = _Candidate(0, data[0][len(START) :])
             for d in data[1:]:
                 c.feed(d)
             from base64 import b32encode
