@@ -2,22 +2,26 @@
 
 Test items are indexed: for each term its postings, in blocks of items, with BM25 weights.  A
 weight is divided by its item's full score (that of a passage holding all of the item's
-terms), so one threshold serves long and short items.  Every document is cut into passages
-that overlap by half and hold the longest item whole; each passage is a query.  Items whose
-normalised score reaches THRESHOLD are retrieved with block-max WAND: first, for all passages
-of a document at once, the sums of the blocks' maximal weights rule out blocks; then, within
-the blocks that are left, a pivot walk over the postings skips items whose terms' bounds do
-not reach the threshold.  A retrieved item is verified by its overlap with the passage: at
-least SIMILARITY of the question's and of the answer's five-word shingles must be in it.
+terms), so one threshold serves long and short items.  Items are told apart by length, in
+classes of CLASS * 4^k words; for each class, every document is cut into passages of twice the
+class's length that overlap by half, so that each item lies in one whole; each passage is a
+query.  Items whose normalised score reaches THRESHOLD are retrieved by block-max WAND, for
+many passages at once.  A passage's terms are put in order of their bounds; those before the
+pivot cannot reach the threshold together, so only blocks in postings from the pivot on are
+looked at, all others are skipped.  A block goes on if its terms' maxima in the block, and the
+bounds of those before the pivot, reach the threshold, and then if all its maxima do; only of
+the blocks that are left the postings are read and the items scored.  A retrieved item is
+verified by its overlap with the passage: at least SIMILARITY of the question's and of the
+answer's five-word shingles must be in it.
 
 Words are lower-cased (A-Z), ASCII punctuation is blank.  An item's answer follows its last
 "answer:", or else is its last line or sentence; an item of one sentence is all question.  A part
 of fewer than five words must be there in one run.
 
-The index is built in shards of at most SHARD_BYTES of items, and SHARDS of them are broadcast
-for each scan, so their size is bounded whatever the number of items; document frequencies and
-the mean length are of all items.  Documents are never shuffled: results are merged by doc_id
-only if there are several shards.
+The index is built by tasks, in shards of about SHARD_BYTES of items, and SHARDS of them are
+broadcast for each scan, so their size is bounded whatever the number of items; document
+frequencies and the mean length are of all items.  Documents are never shuffled; each scan hands
+them on to the next.  A passage's arrays are bounded by WORK, whatever its length.
 
 Null and empty texts are clean; items without a word match nothing.  Repeated rows each get a
 row, repeated items the least item_id of equal texts each count as themselves.  Rows of a null
@@ -26,9 +30,10 @@ doc_id get a row.  Other columns are not read.  Without items every document is
 
 from __future__ import annotations
 
+import pickle
 import re
 import string
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +41,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartoweave.llm.common import sliced, table
+from cartoweave.plans.components import ensure_checkpoint_dir
 
 K1, B = 1.2, 0.75
 THRESHOLD, SIMILARITY, WORDS = 0.5, 0.8, 5
-#: Items of a posting block; bytes of items in a shard, whose table of block maxima has terms x blocks numbers.
-ITEMS, SHARD_BYTES = 4, 128 << 10
-#: Shards that are held in one scan of the documents.
-SHARDS = 8
+#: Items of a posting block; bytes of items in a shard, and shards that are held in one scan of the documents.
+ITEMS, SHARD_BYTES, SHARDS = 4, 2 << 20, 4
+#: Words of the first class of items; numbers in an array of the search.
+CLASS, WORK = 64, 1 << 19
 _TABLE = bytes.maketrans(string.punctuation.encode() + string.ascii_uppercase.encode(), b" " * len(string.punctuation) + string.ascii_lowercase.encode())
 _ANSWER = re.compile(r"(?is)^(.*)\banswer\s*:(.*)$")
 _LAST = re.compile(r"(?s)^(.*(?:[.!?](?=\s)|\n))(.*\S.*)$")
@@ -74,101 +80,109 @@ def overlap(part: list[bytes], passage: list[bytes], held: set[tuple]) -> float:
     return len(own & held) / len(own)
 
 
-class Index:
-    """Postings of one shard of items; statistics are those of all items."""
+def passage_size(words: int) -> int:
+    """Twice the length of the class of an item of so many words."""
+    size = CLASS
+    while size < words:
+        size *= 4
+    return 2 * size
+
+
+def _expanded(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges of places: which range, and the place."""
+    which = np.repeat(np.arange(len(count)), count)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+
 
-    def __init__(self, items: list[tuple[int, str]], frequency: dict[bytes, int], n_items: int, mean: float, passage: int):
-        self.items = [(i, *question_answer(t)) for i, t in items]
-        self.items = [x for x in self.items if x[1]]
-        self.passage = passage
+class Part:
+    """Postings of a shard's items of one class; statistics are those of all items."""
+
+    def __init__(self, items: list[tuple], passage: int, frequency: dict[bytes, int], n_items: int, mean: float):
+        self.items, self.passage = items, passage
         self.terms: dict[bytes, int] = {}
         rows = []
-        for k, (_, q, a) in enumerate(self.items):
+        for k, (_, q, a) in enumerate(items):
             words = q + a
-            tf = defaultdict(int)
-            for w in words:
-                tf[w] += 1
             weights = {}
-            for w, f in tf.items():
+            for w, f in Counter(words).items():
                 df = frequency[w]
                 idf = np.log(1 + (n_items - df + 0.5) / (df + 0.5))
                 weights[w] = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * len(words) / mean))
             full = sum(weights.values())
             rows.extend((self.terms.setdefault(w, len(self.terms) + 1), k, v / full) for w, v in weights.items())
-        self.postings: list[list[tuple[int, float]]] = [[] for _ in range(len(self.terms) + 1)]
-        for t, k, v in rows:
-            self.postings[t].append((k, v))
-        blocks = -(-len(self.items) // ITEMS)
-        #: The largest weight of a term in a block of items; term 0 is any word that no item has.
-        self.most = np.zeros((len(self.terms) + 1, blocks), np.float32)
-        for t, k, v in rows:
-            self.most[t, k // ITEMS] = max(self.most[t, k // ITEMS], np.nextafter(np.float32(v), np.float32(2)))
-        self.bound = self.most.max(1, initial=0)
+        self.blocks = -(-len(items) // ITEMS)
+        term, item = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
+        weight = np.array([r[2] for r in rows])
+        order = np.lexsort((item, term))
+        term, self.item, self.weight = term[order], item[order], weight[order]
+        key = term * self.blocks + self.item // ITEMS
+        #: By term and block: a key, the first posting (and the end of the last), the largest weight.
+        self.key, first = np.unique(key, return_index=True)
+        self.first = np.append(first, len(key))
+        self.most = np.maximum.reduceat(self.weight, first)
+        #: By term, 0 being any word that no item has: its first block, and its largest weight.
+        self.start = np.searchsorted(self.key, np.arange(len(self.terms) + 2) * self.blocks)
+        self.bound = np.zeros(len(self.terms) + 1)
+        np.maximum.at(self.bound, term, self.weight)
+
+    def postings(self, term: int) -> list[tuple[int, float]]:
+        a, b = self.first[self.start[term]], self.first[self.start[term + 1]]
+        return list(zip(self.item[a:b].tolist(), self.weight[a:b].tolist(), strict=True))
 
     def retrieve(self, words: list[bytes]):
         """(passage start, item numbers) for each passage that retrieves any."""
         get = self.terms.get
-        ids = np.fromiter((get(w, 0) for w in words), np.int32, len(words))
-        if not self.items or not ids.any():
+        ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
+        if not ids.any():
             return
         n, size = len(ids), self.passage
-        step = max(1, size // 2)
+        step = size // 2
         starts = np.arange(0, max(1, n - size + step), step)
-        # only passages with a word of the index; a chunk at a time, so that long texts stay small
-        for c in range(0, len(starts), 128):
-            s = starts[c : c + 128]
-            at = s[:, None] + np.arange(size)
+        chunk = max(1, min(128, WORK // max(size, self.blocks)))
+        for c in range(0, len(starts), chunk):
+            s = starts[c : c + chunk]
+            at = s[:, None] + np.arange(min(size, n))
             own = np.where(at < n, ids[np.minimum(at, n - 1)], 0)
             own.sort(1)
             own[:, 1:][own[:, 1:] == own[:, :-1]] = 0
-            # passages whose terms' bounds, over all items, do not reach the threshold go first
-            live = np.flatnonzero(self.bound[own].sum(1) >= THRESHOLD * (1 - 1e-5))
-            hit = self.most[own[live]].sum(1) >= THRESHOLD * (1 - 1e-5)
-            for i in np.flatnonzero(hit.any(1)):
-                p = live[i]
-                found = self.wand(np.unique(own[p][own[p] > 0]), np.flatnonzero(hit[i]))
-                if found:
-                    yield int(s[p]), found
-
-    def wand(self, terms: np.ndarray, blocks: np.ndarray) -> list[int]:
-        """Items of these blocks whose score over these distinct terms reaches the threshold."""
-        found = []
-        for block in blocks.tolist():
-            lo, hi = block * ITEMS, (block + 1) * ITEMS
-            lists = []
-            for t in terms.tolist():
-                if bound := float(self.most[t, block]):
-                    lists.append([[x for x in self.postings[t] if lo <= x[0] < hi], 0, bound])
-            lists = [x for x in lists if x[0]]
-            while lists:
-                lists.sort(key=lambda x: x[0][x[1]][0])
-                total, pivot = 0.0, None
-                for x in lists:
-                    total += x[2]
-                    if total >= THRESHOLD * (1 - 1e-5):
-                        pivot = x[0][x[1]][0]
-                        break
-                if pivot is None:
-                    break
-                if lists[0][0][lists[0][1]][0] == pivot:
-                    score = 0.0
-                    for x in lists:
-                        if x[0][x[1]][0] != pivot:
-                            break
-                        score += x[0][x[1]][1]
-                        x[1] += 1
-                    if score >= THRESHOLD - 1e-9:
-                        found.append(pivot)
-                else:
-                    for x in lists:
-                        while x[1] < len(x[0]) and x[0][x[1]][0] < pivot:
-                            x[1] += 1
-                lists = [x for x in lists if x[1] < len(x[0])]
-        return found
-
-    def leaks(self, words: list[bytes]) -> set[int]:
-        """item_ids whose question and answer a passage of the words holds."""
-        out = set()
+            found: dict[int, list[int]] = {}
+            for p, item in self.search(own):
+                found.setdefault(p, []).append(item)
+            for p in sorted(found):
+                yield int(s[p]), sorted(found[p])
+
+    def search(self, own: np.ndarray):
+        """(row, item) for rows of distinct terms (0: none) and the items whose scores over them reach the threshold."""
+        least = THRESHOLD - 1e-9
+        live = np.flatnonzero(self.bound[own].sum(1) >= least)
+        own = own[live]
+        bound = self.bound[own]
+        order = np.argsort(bound, axis=1)
+        own, bound = np.take_along_axis(own, order, 1), np.take_along_axis(bound, order, 1)
+        before = np.cumsum(bound, 1) < least  # all that stand before the pivot
+        low = np.where(before, bound, 0).sum(1)
+        row, place = np.nonzero(~before & (own > 0))
+        term = own[row, place]
+        which, at = _expanded(self.start[term], self.start[term + 1] - self.start[term])
+        block = self.key[at] - term[which] * self.blocks
+        reach = np.bincount(row[which] * self.blocks + block, self.most[at], len(own) * self.blocks).reshape(len(own), self.blocks)
+        rows, blocks = np.nonzero((reach > 0) & (reach + low[:, None] >= least))
+        some = max(1, WORK // max(1, own.shape[1]))
+        for i in range(0, len(rows), some):
+            r, b = rows[i : i + some], blocks[i : i + some]
+            key = own[r] * self.blocks + b[:, None]
+            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            there = (own[r] > 0) & (self.key[at] == key)
+            there &= (np.where(there, self.most[at], 0).sum(1) >= least)[:, None]
+            c, place = np.nonzero(there)
+            at = at[c, place]
+            which, posting = _expanded(self.first[at], self.first[at + 1] - self.first[at])
+            score = np.bincount(c[which] * ITEMS + self.item[posting] % ITEMS, self.weight[posting], len(r) * ITEMS).reshape(-1, ITEMS)
+            for x, k in zip(*np.nonzero(score >= least), strict=True):
+                yield int(live[r[x]]), int(b[x]) * ITEMS + int(k)
+
+    def leaks(self, words: list[bytes], out: set[int]) -> None:
+        """Adds the item_ids whose question and answer a passage of the words holds."""
         for start, found in self.retrieve(words):
             passage = words[start : start + self.passage]
             held = shingles(passage) if len(passage) >= WORDS else set()
@@ -176,39 +190,67 @@ class Index:
                 i, q, a = self.items[k]
                 if i not in out and overlap(q, passage, held) >= SIMILARITY and overlap(a, passage, held) >= SIMILARITY:
                     out.add(i)
+
+
+class Index:
+    """A shard of items, by classes of length."""
+
+    def __init__(self, items: list[tuple[int, str]], frequency: dict[bytes, int], n_items: int, mean: float):
+        by_size = defaultdict(list)
+        for i, t in items:
+            q, a = question_answer(t)
+            if q:
+                by_size[passage_size(len(q) + len(a))].append((i, q, a))
+        self.parts = [Part(by_size[size], size, frequency, n_items, mean) for size in sorted(by_size)]
+
+    def leaks(self, words: list[bytes]) -> set[int]:
+        out: set[int] = set()
+        for part in self.parts:
+            part.leaks(words, out)
         return out
 
 
-def _statistics(items: DataFrame):
-    """Document frequencies as a DataFrame; number of items with words, their words, the longest and all bytes."""
+def _terms(items: DataFrame) -> DataFrame:
+    """(shard, term, n): each item's distinct words; and a row (shard, null, number of words) of each item that has any."""
 
     def count(batches):
         for b in sliced(batches):
-            rows = [words_of(t) for t in b.column("text").to_pylist()]
-            terms = [w.decode("utf-8", "surrogatepass") for r in rows for w in set(r)]
-            yield pa.RecordBatch.from_arrays([pa.array([*terms, *[None] * len(rows)], pa.string()), pa.array([*[0] * len(terms), *map(len, rows)], pa.int64())], ["term", "n"])
+            for shard, text in zip(b.column("shard").to_pylist(), b.column("text").to_pylist(), strict=True):
+                words = words_of(text)
+                if words:
+                    terms = [w.decode("utf-8", "surrogatepass") for w in set(words)]
+                    yield pa.RecordBatch.from_arrays([pa.array([shard] * (len(terms) + 1), pa.int32()), pa.array([*terms, None], pa.string()), pa.array([0] * len(terms) + [len(words)], pa.int64())], ["shard", "term", "n"])
 
-    rows = items.select("text").mapInArrow(count, "term string, n long")
-    n, total, longest = rows.where("term IS NULL AND n > 0").agg(F.count("*"), F.sum("n"), F.max("n")).first()
-    return rows.where("term IS NOT NULL").groupBy("term").count(), n, total, longest
+    return items.select("shard", "text").mapInArrow(count, "shard int, term string, n long")
 
 
 def indexes(items: DataFrame):
     """Broadcast lists of at most SHARDS indexes of shards of items (item_id, text)."""
     spark = items.sparkSession
-    items = items.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").dropDuplicates()
+    ensure_checkpoint_dir(spark)
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").dropDuplicates()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    frequency, n, total, longest = _statistics(items)
-    shards = -(-int(size) // SHARD_BYTES) if n else 0
+    shards = -(-int(size) // SHARD_BYTES)
+    if not shards:
+        return
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int"))
+    rows = _terms(items).checkpoint()
+    n, total = rows.where("term IS NULL").agg(F.count("*"), F.sum("n")).first()
+    if not n:
+        return
+    frequency = rows.where("term IS NOT NULL").groupBy("term").count()
+    known = rows.where("term IS NOT NULL").select("shard", "term").distinct().join(frequency, "term")
+
+    def build(own: pa.Table, terms: pa.Table) -> pa.Table:
+        df = {w.encode("utf-8", "surrogatepass"): k for w, k in zip(terms.column("term").to_pylist(), terms.column("count").to_pylist(), strict=True)}
+        own = own.sort_by([("item_id", "ascending"), ("text", "ascending")])
+        index = Index(list(zip(own.column("item_id").to_pylist(), own.column("text").to_pylist(), strict=True)), df, n, total / n)
+        return pa.table({"shard": own.column("shard")[:1], "data": pa.array([pickle.dumps(index)], pa.binary())})
+
+    built = items.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(build, "shard int, data binary").checkpoint()
     for start in range(0, shards, SHARDS):
-        held = []
-        for shard in range(start, min(shards, start + SHARDS)):
-            own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).sort("item_id", "text")
-            rows = [(r.item_id, r.text) for r in own.collect()]  # about SHARD_BYTES
-            terms = {w.decode("utf-8", "surrogatepass") for _, t in rows for w in words_of(t)}
-            known = frequency if shards == 1 else frequency.join(spark.createDataFrame([(t,) for t in terms], "term string"), "term", "left_semi")
-            held.append(Index(rows, {r.term.encode("utf-8", "surrogatepass"): r["count"] for r in known.collect()}, n, total / n, max(2 * longest, 2 * WORDS)))
-        yield spark.sparkContext.broadcast(held)
+        held = built.where(F.col("shard").between(start, start + SHARDS - 1)).orderBy("shard").collect()  # of some SHARD_BYTES of items each
+        yield spark.sparkContext.broadcast([pickle.loads(r.data) for r in held])
 
 
 def _all_leaks(held: list[Index], text: str | None) -> set[int]:
@@ -258,27 +300,27 @@ def _tokens(text: str) -> str:
     return f"regexp_extract_all(translate({text}, '{_P}{string.ascii_uppercase}', '{_TO}'), '[^\\x20\\x09-\\x0D]+')"
 
 
+_SIZE = "CASE " + " ".join(f"WHEN len(q0) + len(a0) <= {CLASS * 4**k} THEN {2 * CLASS * 4**k}" for k in range(12)) + " END"
 #: Brute force: every passage against every item that shares a shingle with it.
 SQL = rf"""
 WITH i0 AS (SELECT DISTINCT item_id, trim(text, e' \t\n\x0b\x0c\r') AS t FROM benchmark WHERE text IS NOT NULL),
 i1 AS (SELECT item_id, t, CASE WHEN regexp_matches(t, '(?is)^.*\banswer\s*:.*$') THEN '(?is)^(.*)\banswer\s*:(.*)$' ELSE '(?s)^(.*(?:[.!?]\s|\n))(.*\S.*)$' END AS p FROM i0),
 i2 AS (SELECT item_id, CASE WHEN regexp_matches(t, p) THEN {_tokens("regexp_extract(t, p, 1)")} ELSE {_tokens("t")} END AS q0,
   CASE WHEN regexp_matches(t, p) THEN {_tokens("regexp_extract(t, p, 2)")} ELSE [] END AS a0 FROM i1),
-items AS (SELECT row_number() OVER () AS k, item_id, CASE WHEN len(q0) > 0 THEN q0 ELSE a0 END AS q, CASE WHEN len(q0) > 0 THEN a0 ELSE [] END AS a FROM i2 WHERE len(q0) + len(a0) > 0),
-size AS (SELECT greatest(2 * max(len(q) + len(a)), 10) AS w FROM items),
+items AS (SELECT row_number() OVER () AS k, item_id, {_SIZE} AS w, CASE WHEN len(q0) > 0 THEN q0 ELSE a0 END AS q, CASE WHEN len(q0) > 0 THEN a0 ELSE [] END AS a FROM i2 WHERE len(q0) + len(a0) > 0),
 parts AS (SELECT k, 'q' AS part, q AS ws FROM items UNION ALL SELECT k, 'a', a FROM items WHERE len(a) > 0),
 sh AS (SELECT DISTINCT k, part, array_to_string(ws[j:j + 4], ' ') AS s FROM (SELECT k, part, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS j FROM parts WHERE len(ws) >= 5)),
 need AS (SELECT k, part, count(*) AS n FROM sh GROUP BY k, part),
 d AS (SELECT row_number() OVER () AS r, doc_id, {_tokens("coalesce(text, '')")} AS ws FROM documents),
-starts AS (SELECT r, unnest(range(0, greatest(1, len(ws) - w + w // 2), w // 2)) AS s FROM d, size),
+starts AS (SELECT r, w, unnest(range(0, greatest(1, len(ws) - w + w // 2), w // 2)) AS s FROM d, (SELECT DISTINCT w FROM items)),
 dg AS (SELECT r, array_to_string(ws[j:j + 4], ' ') AS s, j - 1 AS at FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 3, 1))) AS j FROM d)),
 hits AS (SELECT dg.r, dg.at, sh.k, sh.part, sh.s FROM dg JOIN sh USING (s)),
-hp AS (SELECT h.r, st.s AS p, h.k, h.part, count(DISTINCT h.s) AS n FROM hits h JOIN starts st ON st.r = h.r, size WHERE h.at >= st.s AND h.at + 5 <= st.s + w GROUP BY ALL),
+hp AS (SELECT h.r, st.s AS p, h.k, h.part, count(DISTINCT h.s) AS n FROM hits h JOIN items USING (k) JOIN starts st ON st.r = h.r AND st.w = items.w WHERE h.at >= st.s AND h.at + 5 <= st.s + st.w GROUP BY ALL),
 ok AS (SELECT hp.r, p, hp.k, hp.part FROM hp JOIN need USING (k, part) WHERE hp.n >= 0.8 * need.n),
 few AS (SELECT k, part, ' ' || array_to_string(ws, ' ') || ' ' AS s FROM parts WHERE len(ws) BETWEEN 1 AND 4),
 other AS (SELECT k, part FROM parts),
 cand AS (SELECT DISTINCT r, p, k FROM ok),
-psg AS (SELECT c.r, c.p, c.k, ' ' || array_to_string(d.ws[c.p + 1:c.p + w], ' ') || ' ' AS t FROM cand c JOIN d USING (r), size),
+psg AS (SELECT c.r, c.p, c.k, ' ' || array_to_string(d.ws[c.p + 1:c.p + items.w], ' ') || ' ' AS t FROM cand c JOIN d USING (r) JOIN items USING (k)),
 short AS (SELECT psg.r, psg.p, psg.k, few.part FROM psg JOIN few ON few.k = psg.k AND contains(psg.t, few.s)),
 met AS (SELECT r, p, k, part FROM ok UNION SELECT r, p, k, part FROM short),
 full_ AS (SELECT r, p, k FROM met GROUP BY r, p, k HAVING count(*) = (SELECT count(*) FROM parts o WHERE o.k = met.k)),

@@ -449,15 +449,17 @@ def test_decontamination(spark):
             at = rng.randrange(len(words) + 1)
             words[at:at] = w if i % 2 else w[: len(w) * 2 // 3]
         rows.append((i, " ".join(words)))
-    size = 2 * max(len(decontaminate.words_of(t)) for _, t in items)
+    items += [(90, " ".join(rng.choices(vocabulary, k=300)) + ". the end of it."), (91, ""), (92, None)]
+    rows.append((200, "x " * 700 + items[-3][1] + " y" * 9000))
 
     def brute(text):
         words, out = decontaminate.words_of(text), []
         for i, t in items:
             q, a = decontaminate.question_answer(t)
+            size = decontaminate.passage_size(len(q) + len(a))
             for s in range(0, max(1, len(words) - size + size // 2), size // 2):
                 p = words[s : s + size]
-                if decontaminate.overlap(q, p, decontaminate.shingles(p)) >= 0.8 and decontaminate.overlap(a, p, decontaminate.shingles(p)) >= 0.8:
+                if q and decontaminate.overlap(q, p, decontaminate.shingles(p)) >= 0.8 and decontaminate.overlap(a, p, decontaminate.shingles(p)) >= 0.8:
                     out.append(i)
                     break
         return sorted(out)
@@ -466,6 +468,7 @@ def test_decontamination(spark):
     frames = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
     assert {r.doc_id: r.item_ids for r in decontaminate.find_leaks(*frames).collect()} == want
     assert 15 < sum(map(bool, want.values())) < 40
+    assert want[200] == [90]
     kept = decontaminate.SHARD_BYTES, decontaminate.SHARDS
     decontaminate.SHARD_BYTES, decontaminate.SHARDS = 3000, 2  # several shards and scans
     try:
@@ -479,13 +482,13 @@ def test_wand_is_exact():
     rng = random.Random(9)
     items = [(i, " ".join(f"t{int(rng.expovariate(0.05))}" for _ in range(20))) for i in range(90)]
     df = collections.Counter(w for _, t in items for w in set(decontaminate.words_of(t)))
-    index = decontaminate.Index(items, df, len(items), 20.0, 40)
+    (index,) = decontaminate.Index(items, df, len(items), 20.0).parts
     for _ in range(60):
         words = decontaminate.words_of(" ".join(f"t{int(rng.expovariate(0.05))}" for _ in range(40)))
         ids = sorted({index.terms[w] for w in words if w in index.terms})
         scores = collections.Counter()
         for t in ids:
-            for k, v in index.postings[t]:
+            for k, v in index.postings(t):
                 scores[k] += v
         want = sorted(k for k, s in scores.items() if s >= decontaminate.THRESHOLD - 1e-9)
         assert sorted({k for _, found in index.retrieve(words) for k in found}) == want
