@@ -7,8 +7,8 @@ classes of CLASS * 4^k words; for each class, every document is cut into passage
 class's length that overlap by half, so that each item lies in one whole; each passage is a
 query.  Items whose normalised score reaches THRESHOLD are retrieved by block-max WAND, for
 many passages at once.  A passage's terms are put in order of their bounds; those before the
-pivot cannot reach the threshold together, so only blocks in postings from the pivot on are
-looked at, all others are skipped.  A block goes on if its terms' maxima in the block, and the
+pivot cannot reach SKIP of the threshold together, so only blocks in postings from the pivot on
+are looked at, all others are skipped.  A block goes on if its terms' maxima in the block, and the
 bounds of those before the pivot, reach the threshold, and then if all its maxima do; only of
 the blocks that are left the postings are read and the items scored.  A retrieved item is
 verified by its overlap with the passage: at least SIMILARITY of the question's and of the
@@ -49,6 +49,8 @@ THRESHOLD, SIMILARITY, WORDS = 0.5, 0.8, 5
 ITEMS, SHARD_BYTES, SHARDS = 4, 2 << 20, 4
 #: Words of the first class of items; numbers in an array of the search.
 CLASS, WORK = 64, 1 << 19
+#: Share of the threshold that the terms before the pivot may reach: the less, the tighter are the blocks' bounds.
+SKIP = 0.2
 _TABLE = bytes.maketrans(string.punctuation.encode() + string.ascii_uppercase.encode(), b" " * len(string.punctuation) + string.ascii_lowercase.encode())
 _ANSWER = re.compile(r"(?is)^(.*)\banswer\s*:(.*)$")
 _LAST = re.compile(r"(?s)^(.*(?:[.!?](?=\s)|\n))(.*\S.*)$")
@@ -158,8 +160,9 @@ class Part:
         own = own[live]
         bound = self.bound[own]
         order = np.argsort(bound, axis=1)
+        order = order[:, np.count_nonzero(bound, 1).max(initial=0) * -1 :]  # words that no item has come first
         own, bound = np.take_along_axis(own, order, 1), np.take_along_axis(bound, order, 1)
-        before = np.cumsum(bound, 1) < least  # all that stand before the pivot
+        before = np.cumsum(bound, 1) < SKIP * least  # all that stand before the pivot
         low = np.where(before, bound, 0).sum(1)
         row, place = np.nonzero(~before & (own > 0))
         term = own[row, place]
