@@ -29,6 +29,8 @@ from cartoweave.llm.common import parts_for, sliced, table
 from cartoweave.plans.components import ensure_checkpoint_dir
 
 MAX_LEN, BUCKETS, TOKEN_BUDGET = 2048, 8, 16384
+#: Offsets of ranges that are broadcast, of three numbers each; more are joined by a shuffle of the pieces.
+BROADCAST_ROWS = 1_000_000
 
 
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
@@ -85,8 +87,10 @@ def pieces(docs: DataFrame, max_len: int = MAX_LEN, tokenizer: str | None = None
 def pack(docs: DataFrame, max_len: int = MAX_LEN, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, tokenizer: str | None = None) -> DataFrame:
     """doc_id, piece, start, n_tokens, bucket_len, batch, slot: a row for each piece."""
     ensure_checkpoint_dir(docs.sparkSession)
-    # 4 words a piece on its way, far less than the text: partitions sized by the text are small
-    dealt = pieces(docs, max_len, tokenizer).repartitionByRange(parts_for(docs, 512 << 20), "doc_id", "piece").sortWithinPartitions("doc_id", "piece", "n_tokens")
+    # four numbers a piece, far less than the text: partitions sized by the text are small.  Written first, as
+    # ranges are sampled from them: texts are tokenised once
+    ranges = parts_for(docs, 512 << 20)
+    dealt = pieces(docs, max_len, tokenizer).checkpoint().repartitionByRange(ranges, "doc_id", "piece").sortWithinPartitions("doc_id", "piece", "n_tokens")
 
     def number(batches):
         part = TaskContext.get().partitionId()
@@ -105,8 +109,8 @@ def pack(docs: DataFrame, max_len: int = MAX_LEN, buckets: int = BUCKETS, token_
     sizes = placed.groupBy("part", "bucket_len").agg(F.count("*").alias("n"))
     before = sizes.select("part", "bucket_len", F.coalesce(F.sum("n").over(Window.partitionBy("bucket_len").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     own = F.row_number().over(Window.partitionBy("part", "bucket_len").orderBy("at")) - 1
-    # ranges times buckets rows, some hundred thousand at most: the number of ranges is the number of tasks
-    joined = placed.withColumn("own", own).join(F.broadcast(before), ["part", "bucket_len"])
+    # ranges times buckets rows
+    joined = placed.withColumn("own", own).join(F.broadcast(before) if ranges * buckets <= BROADCAST_ROWS else before, ["part", "bucket_len"])
     at, room = F.col("before") + F.col("own"), F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.greatest("bucket_len", F.lit(1)))).cast("long")
     return joined.select("doc_id", "piece", "start", "n_tokens", "bucket_len", F.floor(at / room).cast("long").alias("batch"), F.pmod(at, room).cast("long").alias("slot"))
 
