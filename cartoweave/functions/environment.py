@@ -100,3 +100,11 @@ def suitability(habitability: Column, flux: Column, median: Column, most: Column
     shore = F.when(estuary, 15).otherwise(0) + F.when(haven == "fresh", 30).when(haven == "lake", 10).when(haven == "ocean", 25).otherwise(0)
     score = habitability + F.coalesce(normalised(flux, median, most) * 250, F.lit(0.0)) - (height - 50) / 5 + F.when(coastal, shore).otherwise(-5)
     return F.when((height < SEA) | (habitability == 0), 0.0).otherwise(score.cast("double"))
+
+
+def plain_habitability(height: Column, t: Column, rain: Column) -> Column:
+    """Habitability, 0 to 100, where no biome is known: by height, then cut for cold or heat and for drought or wet; whole at each step."""
+    base = F.when(height > 80, 10).when(height > 60, 35).otherwise(80)
+    by_heat = F.floor(base * F.when(t < -10, 0.2).when(t < -5, 0.4).when(t > 35, 0.3).when(t > 30, 0.6).otherwise(1.0))
+    by_rain = F.floor(by_heat * F.when(rain < 5, 0.3).when(rain < 10, 0.6).when(rain > 50, 0.7).otherwise(1.0))
+    return F.least(F.greatest(by_rain, F.lit(0)), F.lit(100)).cast("int")

@@ -60,3 +60,12 @@ def wkt_line(line: Column) -> Column:
 
 def in_box(x: Column, y: Column, box: tuple) -> Column:
     return x.between(box[0], box[2]) & y.between(box[1], box[3])
+
+
+def segment_meets_box(x1: Column, y1: Column, x2: Column, y2: Column, box: tuple) -> Column:
+    """Whether a segment touches a box: their extents meet, and the box's corners are not all on one side of the line."""
+    bx0, by0, bx1, by1 = box
+    side = lambda x, y: (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
+    corners = [side(F.lit(x), F.lit(y)) for x in (bx0, bx1) for y in (by0, by1)]
+    extents = (F.greatest(x1, x2) >= bx0) & (F.least(x1, x2) <= bx1) & (F.greatest(y1, y2) >= by0) & (F.least(y1, y2) <= by1)
+    return extents & (F.least(*corners) <= 0) & (F.greatest(*corners) >= 0)

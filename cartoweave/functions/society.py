@@ -112,8 +112,32 @@ def name_base(type_: Column, x: Column, y: Column, width: float, height: float,
     return (quadrant * 4 + shift) % bases
 
 
-def deity(ident: Column, nouns: tuple, adjectives: tuple, verbs: tuple) -> Column:
-    """A title by one of weighted patterns, all picked by the id."""
-    pick = lambda words, salt: F.element_at(F.array(*[F.lit(w) for w in words]), (ident * 7 + salt) % len(words) + 1)
-    p = ident % 10
-    return F.when(p < 4, pick(nouns, 1)).when(p < 7, F.concat_ws(" ", pick(adjectives, 2), pick(nouns, 3))).when(p < 9, F.concat_ws(" of ", pick(nouns, 4), pick(nouns, 6))).otherwise(F.concat_ws(" ", F.lit("The"), pick(verbs, 5), F.lit("One")))
+# The patterns of a deity's meaning and their weights.
+DEITY_PATTERNS = (
+    ("Number", 1), ("Being", 3), ("Adjective", 5), ("Color + Animal", 5), ("Adjective + Animal", 5), ("Adjective + Being", 5), ("Adjective + Genitive", 1),
+    ("Color + Being", 3), ("Color + Genitive", 3), ("Being + of + Genitive", 2), ("Being + of the + Genitive", 1), ("Animal + of + Genitive", 1),
+    ("Adjective + Being + of + Genitive", 2), ("Adjective + Animal + of + Genitive", 2),
+)
+
+
+def deity(ident: Column, words: dict[str, tuple]) -> Column:
+    """A deity's meaning by one of the weighted patterns; pattern and words (by part of the pattern) are picked by the id."""
+    pick = lambda kind, salt: F.element_at(F.array(*[F.lit(w) for w in words[kind]]), ((ident * 7 + salt) % len(words[kind]) + 1).cast("int"))
+    at, upto, out = ident * 13 % sum(w for _, w in DEITY_PATTERNS), 0, None
+    for pattern, weight in DEITY_PATTERNS:
+        text = F.concat_ws(" ", *[pick(part, salt) if part in words else F.lit(part) for salt, part in enumerate(pattern.split(" + "))])
+        upto += weight
+        out = F.when(at < upto, text) if out is None else out.when(at < upto, text)
+    return out
+
+
+def religion_cost(same_culture: Column, scope: Column, height: Column) -> Column:
+    """Of spreading a religion into a cell from its neighbour; null where its scope or water bars the way."""
+    cost = 1.0 + F.when(same_culture, -9.0).otherwise(10.0) + F.when(~same_culture & (scope != "state"), 10.0).otherwise(0.0)
+    return F.when(height >= 20, F.greatest(cost, F.lit(0.1)))
+
+
+def folk_religion(culture: Column, form: Column) -> tuple[Column, Column]:
+    """Name and code of a culture's folk religion: the form's word after the culture's name, and two letters of each."""
+    word = F.when(form == "Shamanism", "Spirits").when(form == "Animism", "Ways").when(form == "Ancestor worship", "Ancestors").otherwise("Beliefs")
+    return F.concat_ws(" ", culture, word), F.upper(F.concat(F.substring(culture, 1, 2), F.substring(word, 1, 2)))

@@ -54,14 +54,14 @@ def features(cells: DataFrame, regions_: DataFrame, border: str = "is_border") -
     return f.select("region", F.when(F.col("land"), "island").when(F.col("touches_border"), "ocean").otherwise("lake").alias("feature"), "n_cells", "touches_border", "first_cell")
 
 
-def distance_field(cells: DataFrame, edges: DataFrame, lowest: int = -10) -> DataFrame:
-    """cell_id, distance: 1, 2, ... inland from the coast, -1 ... lowest out to sea; 0 beyond, or without a coast."""
+def distance_field(cells: DataFrame, edges: DataFrame, lowest: int = -10, on_round=None) -> DataFrame:
+    """cell_id, distance: 1, 2, ... inland from the coast, -1 ... lowest out to sea; 0 beyond, or without a coast; on_round as in settle()."""
     c = cells.select("cell_id", (F.col("height") >= SEA).alias("land"))
     other = c.select(F.col("cell_id").alias("dst"), F.col("land").alias("land2"))
     sides = edges.join(c, edges.src == c.cell_id).join(other, "dst")
     coast = sides.where("land <> land2").select(F.col("src").alias("node"), F.lit(1).alias("value"))
     inside = sides.where("land = land2").select("src", "dst", "land")
-    reach = settle(coast, inside, lambda v: F.when(F.col("land") | (v < -lowest), v + 1))
+    reach = settle(coast, inside, lambda v: F.when(F.col("land") | (v < -lowest), v + 1), on_round)
     return c.join(reach, c.cell_id == reach.node, "left").select("cell_id", F.coalesce(F.when(F.col("land"), F.col("value")).otherwise(-F.col("value")), F.lit(0)).cast("long").alias("distance"))
 
 
@@ -99,17 +99,19 @@ def lake_kind() -> Column:
 
 
 def lakes(drained: DataFrame, regions_: DataFrame, edges: DataFrame, flux: int = 15, least: int = 3) -> DataFrame:
-    """lake (its least cell), level, n_cells, outlet: connected flooded cells of one level around a sink, of `least` cells or more.
+    """lake (its least cell), level, n_cells, outlet, shore: connected flooded cells of one level around a sink, of `least` cells or more.
 
     drained: cell_id, height, is_border, filled, to, flux; regions_: regions by lake_kind().  The
-    outlet is the lowest of its cells with a neighbour outside of the lake, ties to the lesser cell.
+    outlet is the lowest of its cells with a neighbour outside of the lake, ties to the lesser cell;
+    shore is the least height next to the lake.
     """
     r = regions_.select("cell_id", "region")
     sink = (F.col("to") == -1) & (F.col("flux") > flux) & ~F.col("is_border") & (F.col("filled") > F.col("height"))
     found = drained.join(r, "cell_id").groupBy("region").agg(F.first("filled").cast("long").alias("level"), F.count("*").alias("n_cells"), F.bool_or(sink).alias("_sink")).where((F.col("n_cells") >= least) & F.col("_sink"))
-    rim = neighbours(r.withColumnRenamed("region", "_other"), edges, "_other").join(r, F.col("src") == F.col("cell_id")).where("region <> _other").select("cell_id", "region").distinct()
-    outlets = rim.join(drained.select("cell_id", "height"), "cell_id").groupBy("region").agg(F.min(F.struct("height", "cell_id")).alias("_low"))
-    return found.join(outlets, "region", "left").select(F.col("region").alias("lake"), "level", "n_cells", F.col("_low.cell_id").alias("outlet"))
+    around = r.withColumnRenamed("region", "_other").join(drained.select("cell_id", F.col("height").alias("_beyond")), "cell_id")
+    rim = neighbours(around, edges, "_other", "_beyond").join(r, F.col("src") == F.col("cell_id")).where("region <> _other")
+    outlets = rim.join(drained.select("cell_id", "height"), "cell_id").groupBy("region").agg(F.min(F.struct("height", "cell_id")).alias("_low"), F.min("_beyond").cast("long").alias("shore"))
+    return found.join(outlets, "region", "left").select(F.col("region").alias("lake"), "level", "n_cells", F.col("_low.cell_id").alias("outlet"), "shore")
 
 
 def rivers(flow: DataFrame, flux: DataFrame, threshold: int, least: int = 1) -> DataFrame:
@@ -143,18 +145,18 @@ def expand(seeds: DataFrame, costs: DataFrame, edges: DataFrame, limit: int) ->
 
     seeds: cell_id, owner; costs: cell_id, cost (whole number, null where nobody can go).
     """
-    factor = 1 << 20
-    start = seeds.select(F.col("cell_id").alias("node"), F.col("owner").cast("long").alias("value"))
-    ahead = neighbours(costs, edges, "cost").where("cost IS NOT NULL")
-    best = settle(start, ahead, lambda v: F.when(F.floor(v / factor) + F.col("cost") <= limit, v + F.col("cost") * factor))
-    return best.select(F.col("node").alias("cell_id"), F.floor(F.col("value") / factor).alias("cost"), (F.col("value") % factor).alias("owner"))
+    start = seeds.select(F.col("cell_id").alias("node"), F.struct(F.lit(0).cast("long").alias("cost"), F.col("owner").cast("long").alias("owner")).alias("value"))
+    ahead = neighbours(costs, edges, "cost").where("cost IS NOT NULL").withColumn("cost", F.col("cost").cast("long"))
+    # the dearer way comes later whoever takes it, so owners are compared at equal costs alone
+    best = settle(start, ahead, lambda v: F.when(v["cost"] + F.col("cost") <= limit, F.struct((v["cost"] + F.col("cost")).alias("cost"), v["owner"].alias("owner"))))
+    return best.select(F.col("node").alias("cell_id"), "value.cost", "value.owner")
 
 
-def expand_by_owner(seeds: DataFrame, cells: DataFrame, edges: DataFrame, cost: Column, limit: float, max_rounds: int = 10_000) -> DataFrame:
+def expand_by_owner(seeds: DataFrame, cells: DataFrame, edges: DataFrame, cost: Column, limit: float) -> DataFrame:
     """cell_id, cost, owner as by expand(), but each owner has costs of its own.
 
     seeds: cell_id, owner (one row an owner) and columns of the owner; cells: cell_id and columns
-    of the cell; cost: of entering a cell, from both, at least 0, null where the owner can't go.
+    of the cell; cost: of entering a cell, from both and from other columns of edges, at least 0, null where the owner can't go.
     Each owner's cheapest paths are settled on their own, up to the limit; nobody enters the seed of another.
     """
     ensure_checkpoint_dir(seeds.sparkSession)
@@ -162,7 +164,7 @@ def expand_by_owner(seeds: DataFrame, cells: DataFrame, edges: DataFrame, cost:
     centre = seeds.select(F.col("cell_id").alias("dst"), F.lit(True).alias("_seed")).distinct()
     ahead = edges.join(cells.withColumnRenamed("cell_id", "dst"), "dst").join(centre, "dst", "left").where("_seed IS NULL").drop("_seed").checkpoint()
     best = front = seeds.select("cell_id", "owner", F.lit(0.0).alias("value")).checkpoint()
-    for _ in range(max_rounds):
+    while True:
         step = front.join(ahead, front.cell_id == ahead.src).drop("cell_id").join(who, "owner").select(F.col("dst").alias("cell_id"), "owner", (F.col("value") + cost).alias("new"))
         step = step.where(F.col("new") <= limit).groupBy("cell_id", "owner").agg(F.min("new").alias("new"))
         front = step.join(best, ["cell_id", "owner"], "left").where("value IS NULL OR new < value").select("cell_id", "owner", F.col("new").alias("value")).checkpoint()
@@ -170,7 +172,6 @@ def expand_by_owner(seeds: DataFrame, cells: DataFrame, edges: DataFrame, cost:
             least = best.groupBy("cell_id").agg(F.min(F.struct("value", "owner")).alias("_least"))
             return least.select("cell_id", F.col("_least.value").alias("cost"), F.col("_least.owner").cast("long").alias("owner"))
         best = best.join(front.select("cell_id", "owner"), ["cell_id", "owner"], "left_anti").unionByName(front).checkpoint()
-    raise RuntimeError("the expansion did not settle")
 
 
 def vote(owners: DataFrame, edges: DataFrame, owner: str, least_adverse: int = 2, most_buddies: int = 2) -> DataFrame:
@@ -193,7 +194,7 @@ def absorb_small(owners: DataFrame, edges: DataFrame, owner: str, least: int) ->
     return c.select("cell_id", F.when((F.col(owner) == 0) | F.col("_large").isNotNull(), F.col(owner)).otherwise(F.coalesce(-F.col("top.o"), F.lit(0))).alias(owner))
 
 
-def spaced(candidates: DataFrame, radius: float, max_rounds: int = 1000) -> DataFrame:
+def spaced(candidates: DataFrame, radius: float) -> DataFrame:
     """Greedy choice by rank (id, x, y, rank): a candidate is taken unless a better one that was taken is nearer than radius.
 
     Rounds of a maximal independent set: who is best among the open candidates around is taken,
@@ -206,7 +207,7 @@ def spaced(candidates: DataFrame, radius: float, max_rounds: int = 1000) -> Data
     near = radius_join(candidates, candidates, radius).where("id <> id_r AND distance < " + str(float(radius))).select("id", "rank", "id_r", "rank_r").checkpoint()
     open_ = candidates.select("id").checkpoint()
     taken = open_.limit(0)
-    for _ in range(max_rounds):
+    while True:
         if open_.isEmpty():
             return candidates.join(taken, "id", "left_semi")
         live = near.join(open_, "id", "left_semi").join(open_.select(F.col("id").alias("id_r")), "id_r", "left_semi")
@@ -215,7 +216,15 @@ def spaced(candidates: DataFrame, radius: float, max_rounds: int = 1000) -> Data
         taken = taken.union(new).checkpoint()
         out = near.join(new.select(F.col("id").alias("id_r")), "id_r", "left_semi").select("id").distinct()
         open_ = open_.join(new, "id", "left_anti").join(out, "id", "left_anti").checkpoint()
-    raise RuntimeError("the choice did not settle")
+
+
+def spaced_enough(candidates: DataFrame, radius: float, wanted: int, shrink: float = 1.2, tries: int = 3) -> tuple[DataFrame, float]:
+    """The choice of spaced() and its radius, which is divided by `shrink` while fewer than `wanted` are taken, `tries` times at most."""
+    for left in range(tries, -1, -1):
+        taken = spaced(candidates, radius)
+        if not left or taken.count() >= wanted:
+            return taken, radius
+        radius /= shrink
 
 
 def deep_lakes(cells: DataFrame, edges: DataFrame, depth: int = 20) -> DataFrame:
@@ -233,3 +242,41 @@ def breached(cells: DataFrame, edges: DataFrame, features_: DataFrame, regions_:
     sides = edges.join(low, "src").join(kind, "dst")
     lakes, ocean = sides.where("feature = 'lake'").select("src", F.col("region").alias("lake")), sides.where("feature = 'ocean'").select("src").distinct()
     return lakes.join(ocean, "src", "left_semi").groupBy("lake").agg(F.min("src").alias("cell_id")).select("cell_id", "lake")
+
+
+#: Humidity gained and rain left on each step over water; above PEAK no air passes; a step's share of humidity on land; a coast's.
+GAIN, PEAK, LAND, COAST = 5, 85, 10, 15
+
+
+def wind(lines: DataFrame, frozen: int = -5) -> DataFrame:
+    """cell_id, rain of a wind along each line: lines has line, place (from 0 on), cell_id, height, temperature, strength.
+
+    Humidity, which is the line's strength less its first height, is carried from cell to cell; over
+    water it grows, on the last water before land rain falls on the land, on land it falls, more so
+    on slopes, and at a peak or the end of the line wholly.  Cells colder than `frozen` are passed
+    over.  A line is folded in one row, so lines run side by side, whatever the size of the map.
+    Cells that no rain falls on have no row; a cell that rain falls on twice has two.
+    """
+    cell = F.struct("place", "cell_id", F.col("height").cast("double").alias("h"), (F.col("temperature") < frozen).alias("cold"), F.col("strength").cast("double").alias("most"))
+    rows = lines.groupBy("line").agg(F.array_sort(F.collect_list(cell)).alias("c"))
+    # each cell with its successor, null at the end
+    pairs = F.zip_with("c", F.slice("c", F.lit(2), F.size("c")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def step(s, e):
+        a, b, air = e["a"], e["b"], s["air"]
+        rise, slope = F.greatest(b["h"] - a["h"], F.lit(0.0)), b["h"] / 70
+        fall = F.when(b["h"] > PEAK, air).otherwise(F.least(F.greatest(air / LAND, F.lit(1.0)) + rise * (slope * slope), air))
+        left = F.when(b["h"] > PEAK, 0.0).otherwise(F.greatest(air - fall + F.when(fall > 1.5, 1.0).otherwise(0.0), F.lit(0.0)))
+        wet = a["h"] < SEA
+        idle = (s["air"] < 0) | a["cold"] | (wet & b.isNull())
+        coast = wet & (b["h"] >= SEA)
+        new = F.when(idle | coast, air).when(wet, F.least(air + GAIN, a["most"])).when(b.isNull(), 0.0).otherwise(left)
+        amount = F.when(coast, F.greatest(air / COAST, F.lit(1.0))).when(wet, float(GAIN)).when(b.isNull(), air).otherwise(fall)
+        drop = F.struct(F.when(coast, b["cell_id"]).otherwise(a["cell_id"]).alias("cell_id"), F.floor(amount).cast("long").alias("rain"))
+        return F.struct(new.alias("air"), F.when(idle, s["out"]).otherwise(F.concat(s["out"], F.array(drop))).alias("out"))
+
+    first = F.get("c", F.lit(0))
+    air = first["most"] - first["h"]
+    start = F.struct(F.when(air > 0, air).otherwise(-1.0).alias("air"), F.array().cast("array<struct<cell_id:long,rain:long>>").alias("out"))
+    fallen = rows.select(F.explode(F.aggregate(pairs, start, step, lambda s: s["out"])).alias("r"))
+    return fallen.select("r.cell_id", "r.rain").where("rain > 0")

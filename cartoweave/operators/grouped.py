@@ -65,45 +65,12 @@ def drainage(c: pd.DataFrame, near: list[list[int]], whole: bool = True) -> pd.D
 DRAINAGE = "map_id long, cell_id long, filled long, `to` long, flux long"
 
 
-def wind_rain(c: pd.DataFrame, near: list[list[int]], width: int, humidity: float, step: int = 1) -> pd.DataFrame:
-    """Rain that a wind along rows leaves: humidity is carried from cell to cell, falls on land and more on slopes,
-    is gained over water, and drops wholly at peaks; at most 255 a cell."""
-    h, n = c["height"].to_numpy(np.float64), len(c)
-    rain = np.zeros(n)
-    for row in range(0, n, width):
-        line = range(row, min(n, row + width)) if step > 0 else range(min(n, row + width) - 1, row - 1, -1)
-        air = humidity - h[line[0]]
-        if air <= 0:
-            continue
-        for place, i in enumerate(line):
-            last = place + 1 == len(line)
-            j = None if last else line[place + 1]
-            if h[i] < SEA:
-                if j is not None and h[j] >= SEA:
-                    rain[j] = min(255, rain[j] + int(max(air / 15, 1)))
-                elif j is not None:
-                    air = min(air + 5, humidity)
-                    rain[i] = min(255, rain[i] + 5)
-                continue
-            if last:
-                rain[i] = min(255, rain[i] + int(air))
-                break
-            if h[j] > 85:
-                fall, left = air, 0.0
-            else:
-                fall = min(max(air / 10, 1) + max(h[j] - h[i], 0) * (h[j] / 70) ** 2, air)
-                left = max(0.0, air - fall + (1 if fall > 1.5 else 0))
-            rain[i] = min(255, rain[i] + int(fall))
-            air = left
-    return pd.DataFrame({"cell_id": c["cell_id"].to_numpy(), "rain": rain.astype(np.int64)})
-
-
-def spread(c: pd.DataFrame, near: list[list[int]], seeds: dict[int, int], limit: int) -> pd.DataFrame:
-    """owner and cost by cheapest path from seeds (cell_id -> owner), ties to the lesser owner; column cost, NaN blocks."""
+def spread(c: pd.DataFrame, near: list[list[int]], limit: int) -> pd.DataFrame:
+    """owner and cost by cheapest path, ties to the lesser owner; columns seed, the owner that starts there or null, and cost, NaN blocks."""
     cost, ids = c["cost"].to_numpy(np.float64), c["cell_id"].to_numpy()
-    place = {int(i): k for k, i in enumerate(ids)}
+    seed = c["seed"]
     best: dict[int, tuple[float, int]] = {}
-    heap = [(0.0, owner, place[cell]) for cell, owner in seeds.items() if cell in place]
+    heap = [(0.0, int(seed.iloc[k]), k) for k in np.flatnonzero(seed.notna())]
     heapq.heapify(heap)
     while heap:
         d, owner, i = heapq.heappop(heap)

@@ -101,3 +101,12 @@ def boundary(owners: DataFrame, edges: DataFrame, owner: str) -> DataFrame:
     o = owners.select("cell_id", F.col(owner).alias("owner"))
     other = o.select(F.col("cell_id").alias("dst"), F.col("owner").alias("other"))
     return edges.join(o, edges.src == o.cell_id).drop("cell_id").join(other, "dst").where("owner <> 0 AND owner <> other").select("src", "dst", "owner", "other")
+
+
+def lines_in_box(rows: DataFrame, key: str, box: tuple) -> DataFrame:
+    """The keys of lines (key, seq, x, y) that touch a box, also between their points; a line of one point by that point."""
+    w = Window.partitionBy(key).orderBy("seq")
+    x, y = F.col("x"), F.col("y")
+    nxt = rows.select(key, "x", "y", F.lead("x").over(w).alias("_x"), F.lead("y").over(w).alias("_y"))
+    meets = F.coalesce(G.segment_meets_box(x, y, F.col("_x"), F.col("_y"), box), F.lit(False))
+    return nxt.where(G.in_box(x, y, box) | meets).select(key).distinct()

@@ -7,19 +7,21 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark) -> None:
-    """Use spark.checkpoint.dir of the session; without one (as in tests) choose a temporary folder."""
+    """Use spark.checkpoint.dir of the session; without one choose a temporary folder, but only in local mode, where all share it."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         where = tempfile.mkdtemp(prefix="cartoweave-checkpoint-")
     sc.setCheckpointDir(where)
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Return (node, component) for every node that has an edge; component is the least node reachable.
 
     Each round is a large star and a small star: every node hands its neighbours to the least
@@ -33,7 +35,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     given = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where(F.col(src).isNotNull() & F.col(dst).isNotNull()).distinct().checkpoint()
     pairs = given.where("u <> v")
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # cut off here, so that the join's sides come straight from shuffles, which adaptive execution can split at a hub
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).checkpoint()
@@ -47,8 +49,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if seen == before:
             break
         before = seen
-    else:
-        raise RuntimeError("components did not settle")
     labels = pairs.groupBy("u").agg(F.min("v").alias("m"))
     nodes = given.select(F.col("u").alias("node")).union(given.select("v")).distinct()
     return nodes.join(labels, nodes.node == labels.u, "left").select("node", F.least("node", F.coalesce("m", "node")).alias("component"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,25 +11,28 @@ from pyspark.sql import functions as F
 from cartoweave.plans.components import ensure_checkpoint_dir
 
 
-def settle(start: DataFrame, edges: DataFrame, step: Callable[[Column], Column], max_rounds: int = 10_000) -> DataFrame:
+def settle(start: DataFrame, edges: DataFrame, step: Callable[[Column], Column], on_round: Callable[[int, int], None] | None = None) -> DataFrame:
     """The least value of each node that start (node, value) and steps along edges (src, dst, ...) can reach.
 
     step(value) is the value at dst, from the value at src and the edge's columns; null blocks
     the way.  It must never be less than the value (breadth-first search, minimax flooding and
-    cheapest paths all are like that).  Only nodes that improved take part in the next round.
+    cheapest paths all are like that), so the rounds end.  A value may be a struct, whose fields
+    are compared in turn.  Only nodes that improved take part in the next round.
+    on_round is told each round's number, from 1, and how many nodes it improved.
     """
     ensure_checkpoint_dir(start.sparkSession)
     best = start.where("value IS NOT NULL").groupBy("node").agg(F.min("value").alias("value")).checkpoint()
     front = best
-    for _ in range(max_rounds):
+    for number in count(1):
         ahead = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node"), step(F.col("value")).alias("new")).where("new IS NOT NULL")
         ahead = ahead.groupBy("node").agg(F.min("new").alias("new"))
         better = ahead.join(best, "node", "left").where("value IS NULL OR new < value").select("node", F.col("new").alias("value")).checkpoint()
+        if on_round and (n := better.count()):
+            on_round(number, n)
         if better.isEmpty():
             return best
         best = best.join(better.select("node"), "node", "left_anti").unionByName(better).checkpoint()
         front = better
-    raise RuntimeError("the fixpoint did not settle")
 
 
 def gather_downstream(flow: DataFrame, max_rounds: int = 64) -> DataFrame:

@@ -253,13 +253,15 @@ def mirrored_heights(spark, sf):
 # Joins
 
 
-@query("settlements owners", "SELECT s.id, nullif(o.culture_id, 0) AS culture_id, r_name AS culture_name, nullif(o.religion_id, 0) AS religion_id, nullif(o.state_id, 0) AS state_id, n_name AS state_name FROM settlements s LEFT JOIN owners o USING (cell_id) LEFT JOIN region ON r_regionkey = o.culture_id - 1 AND o.culture_id > 0 LEFT JOIN nation ON n_nationkey = o.state_id - 1 AND o.state_id > 0")
+@query("", f"WITH {', '.join(WORLD[t] for t in ('n', 'cells', 'settlements', 'owners'))}, b AS (@CLIMATE@) SELECT s.id, nullif(o.culture_id, 0) AS culture_id, r_name AS culture_name, nullif(o.religion_id, 0) AS religion_id, nullif(o.state_id, 0) AS state_id, n_name AS state_name, b.biome AS biome_id, ({list(E.BIOMES)})[b.biome + 1] AS biome_name FROM settlements s LEFT JOIN owners o USING (cell_id) LEFT JOIN region ON r_regionkey = o.culture_id - 1 AND o.culture_id > 0 LEFT JOIN nation ON n_nationkey = o.state_id - 1 AND o.state_id > 0 LEFT JOIN b USING (cell_id)".replace("@CLIMATE@", SQL["climate_and_biomes"]))
 def territories_at_points(spark, sf):
+    """The culture, religion, state and biome at each point, null where there is none."""
     culture = T.table(spark, sf, "region").select((F.col("r_regionkey") + 1).cast("long").alias("culture_id"), F.col("r_name").alias("culture_name"))
     state = T.table(spark, sf, "nation").select((F.col("n_nationkey") + 1).cast("long").alias("state_id"), F.col("n_name").alias("state_name"))
     points = T.settlements(spark, sf).select("id", "cell_id")
     found = spatial.territories(points, T.owners(T.cells(spark, sf)), {"culture": culture, "state": state})
-    return found.select("id", "culture_id", "culture_name", F.nullif("religion_id", F.lit(0)).alias("religion_id"), "state_id", "state_name")
+    found = found.join(climate_and_biomes(spark, sf).select("cell_id", F.col("biome").alias("biome_id")), "cell_id", "left")
+    return found.select("id", "culture_id", "culture_name", F.nullif("religion_id", F.lit(0)).alias("religion_id"), "state_id", "state_name", "biome_id", E.pick(E.BIOMES, F.col("biome_id")).alias("biome_name"))
 
 
 @query("settlements", """@ rings AS (SELECT * FROM (VALUES (1, 2.5, 1.5, 20.5, 1.5, 20.5, 30.5, 2.5, 30.5), (2, 10.5, 3.5, 39.5, 3.5, 25.5, 49.5, 12.5, 20.5)) t(ring_id, x1, y1, x2, y2, x3, y3, x4, y4)),
@@ -277,16 +279,22 @@ def settlements_per_culture(spark, sf):
     return o.groupBy("culture_id").agg(F.count("*").alias("area"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_settlements"))
 
 
-@query("rivers", "SELECT DISTINCT river_id FROM rivers WHERE x BETWEEN 10 AND 14 AND y BETWEEN 5 AND 30")
+@query("rivers", """@ g AS (SELECT river_id, x, y, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM rivers WINDOW w AS (PARTITION BY river_id ORDER BY seq)),
+k AS (SELECT *, [(x2 - x) * (c.cy - y) - (y2 - y) * (c.cx - x) FOR c IN [{'cx': 10, 'cy': 5}, {'cx': 10, 'cy': 8}, {'cx': 14, 'cy': 5}, {'cx': 14, 'cy': 8}]] AS side FROM g)
+SELECT DISTINCT river_id FROM k WHERE (x BETWEEN 10 AND 14 AND y BETWEEN 5 AND 8) OR (x2 IS NOT NULL AND greatest(x, x2) >= 10 AND least(x, x2) <= 14 AND greatest(y, y2) >= 5 AND least(y, y2) <= 8 AND list_min(side) <= 0 AND list_max(side) >= 0)""")
 def rivers_in_box(spark, sf):
-    return spatial.in_region(T.river_cells(spark, sf), (10, 5, 14, 30)).select("river_id").distinct()
+    """Rivers that touch the box, also those that cross it between two of their points."""
+    return spatial.lines_in_box(T.river_cells(spark, sf), "river_id", (10, 5, 14, 8))
 
 
-@query("cells settlements rain", "SELECT s.id, count(*) AS n, sum(precip)::BIGINT AS precip, max(r.precip)::BIGINT AS most FROM settlements s JOIN cells c ON abs(c.x - s.x) <= 3 AND abs(c.y - s.y) <= 3 AND (c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y) <= 9 JOIN rain r ON r.cell_id = c.cell_id WHERE s.is_capital GROUP BY s.id")
+@query("", f"WITH {', '.join(WORLD[t] for t in ('n', 'cells', 'settlements'))}, b AS ({SQL['climate_and_biomes']}), p AS (SELECT id, x, y FROM settlements WHERE is_capital UNION ALL SELECT -1, -100, -100) SELECT p.id, count(b.cell_id) AS sample_count, round(avg(b.temperature), 6) AS temperature_c, round(avg(b.precip), 6) AS precipitation_mm FROM p LEFT JOIN cells c ON abs(c.x - p.x) <= 3 AND abs(c.y - p.y) <= 3 AND (c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y) <= 9 LEFT JOIN b ON b.cell_id = c.cell_id GROUP BY p.id")
 def climate_within_radius(spark, sf):
+    """Mean temperature and rain of the samples around each capital, and around a point off the map, which has none."""
     capitals = T.settlements(spark, sf).where("is_capital").select("id", "x", "y")
-    c = T.cells(spark, sf).select("cell_id", "x", "y").join(T.precipitation(spark, sf), "cell_id")
-    return spatial.radius_join(capitals, c, 3).groupBy("id").agg(F.count("*").alias("n"), F.sum("precip_r").alias("precip"), F.max("precip_r").alias("most"))
+    points = capitals.unionByName(spark.createDataFrame([(-1, -100, -100)], "id long, x long, y long"))
+    c = T.cells(spark, sf).select("cell_id", "x", "y").join(climate_and_biomes(spark, sf).select("cell_id", "temperature", "precip"), "cell_id")
+    near = spatial.radius_join(points, c, 3, "left")
+    return near.groupBy("id").agg(F.count("cell_id_r").alias("sample_count"), F.round(F.avg("temperature_r"), 6).alias("temperature_c"), F.round(F.avg("precip_r"), 6).alias("precipitation_mm"))
 
 
 @query("cells", "SELECT a.cell_id, round(avg(b.height), 4) AS mean FROM cells a JOIN cells b ON b.x BETWEEN a.x - 2 AND a.x + 2 AND b.y BETWEEN a.y - 2 AND a.y + 2 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4 GROUP BY a.cell_id")
@@ -328,18 +336,38 @@ def closest_settlements(spark, sf):
     return found.select("id", F.col("id_r").alias("other"), "place", F.round("distance", 4).alias("distance"))
 
 
-@query("settlements", "SELECT id, (least(greatest(floor((x + 0.25) / 2)::BIGINT, 0), 19) + least(greatest(floor((y + 0.25) / 2)::BIGINT, 0), 24) * 20)::BIGINT AS coarse FROM settlements")
+@query("settlements n", "SELECT id, (least(greatest(floor((x + 0.25) / 2)::BIGINT, 0), 19) + least(greatest(floor((y + 0.25) / 2)::BIGINT, 0), (n // 40 + 1) // 2 - 1) * 20)::BIGINT AS coarse FROM settlements, n")
 def coarse_cell(spark, sf):
-    return T.settlements(spark, sf).select("id", spatial.cell_at(F.col("x") + 0.25, F.col("y") + 0.25, 2, 20, 25).alias("coarse"))
+    high = -(-(T.count_cells(spark, sf) // T.WIDTH) // 2)
+    return T.settlements(spark, sf).select("id", spatial.cell_at(F.col("x") + 0.25, F.col("y") + 0.25, 2, T.WIDTH // 2, high).alias("coarse"))
 
 
-@query("cells edges", "SELECT a.cell_id, min(b.cell_id) AS haven, count(*) AS harbor FROM cells a JOIN edges e ON e.src = a.cell_id JOIN cells b ON b.cell_id = e.dst WHERE a.height >= 20 AND b.height < 20 GROUP BY a.cell_id")
+@query("cells edges", "SELECT a.cell_id, min(b.cell_id) AS haven, count(*) AS harbor, sqrt(min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)))::DOUBLE AS distance FROM cells a JOIN edges e ON e.src = a.cell_id JOIN cells b ON b.cell_id = e.dst WHERE a.height >= 20 AND b.height < 20 GROUP BY a.cell_id")
 def havens(spark, sf):
-    """The nearest water next to coastal land (all are one step away, so the least cell) and the number of water sides."""
+    """The nearest water next to coastal land, ties to the least cell, its distance, and the number of water sides."""
     c = T.cells(spark, sf)
-    wet = N.neighbours(c, T.edges(spark, sf), "height").where("height < 20")
-    found = wet.groupBy(F.col("src").alias("cell_id")).agg(F.min("dst").alias("haven"), F.count("*").alias("harbor"))
-    return c.where("height >= 20").select("cell_id").join(found, "cell_id")
+    wet = N.neighbours(c, T.edges(spark, sf), "x", "y", "height").where("height < 20").select("src", "dst", F.col("x").alias("_x"), F.col("y").alias("_y"))
+    land = c.where("height >= 20").select("cell_id", "x", "y").join(wet, F.col("cell_id") == F.col("src"))
+    far = G.distance(F.col("x"), F.col("y"), F.col("_x"), F.col("_y"))
+    found = land.groupBy("cell_id").agg(F.min(F.struct(far.alias("d"), F.col("dst").alias("c"))).alias("h"), F.count("*").alias("harbor"))
+    return found.select("cell_id", F.col("h.c").alias("haven"), "harbor", F.col("h.d").alias("distance"))
+
+
+@query("cells edges", """@ land AS (SELECT e.src, e.dst FROM edges e JOIN cells a ON a.cell_id = e.src JOIN cells b ON b.cell_id = e.dst WHERE (a.height >= 20) = (b.height >= 20)),
+cc(cell_id, region) USING KEY (cell_id) AS (SELECT cell_id, cell_id FROM cells UNION SELECT l.dst, min(c.region) FROM cc c JOIN land l ON l.src = c.cell_id JOIN recurring.cc r ON r.cell_id = l.dst WHERE c.region < r.region GROUP BY l.dst)
+SELECT cell_id, region, CASE WHEN bool_or(height >= 20) OVER w THEN 'island' WHEN bool_or(is_border) OVER w THEN 'ocean' ELSE 'lake' END AS feature FROM cc JOIN cells c USING (cell_id) WINDOW w AS (PARTITION BY region)""")
+def feature_cells(spark, sf):
+    """The feature that each cell belongs to."""
+    c = T.cells(spark, sf).withColumn("land", F.col("height") >= 20)
+    r = _regions(spark, sf, c, "land", "boolean").select("cell_id", "region")
+    return r.join(N.features(c, r).select("region", "feature"), "region").select("cell_id", "region", "feature")
+
+
+_RIVERS = "rc AS (SELECT DISTINCT l_partkey AS cell_id, true AS on_river FROM lineitem)"
+
+
+def _on_river(spark, sf):
+    return T.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("cell_id")).distinct().withColumn("on_river", F.lit(True))
 
 
 @query("", "SELECT a.n_name AS state, r_name AS culture, count(c_custkey) AS n FROM nation a JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
@@ -380,15 +408,22 @@ def biome_statistics(spark, sf):
     return b.select("biome", "n", share.alias("percentage"), "temperature", "precip", E.pick(E.HABITABILITY, F.col("biome")).alias("habitability"), E.pick(E.MOVEMENT, F.col("biome")).alias("movement"))
 
 
-@query("cells edges owners", """@ c AS (SELECT o.culture_id, count(*) AS n, count(*) FILTER (WHERE w > 0) AS coastal, count(*) FILTER (WHERE height > 60) AS high FROM owners o JOIN cells USING (cell_id) LEFT JOIN (SELECT e.src, count(*) AS w FROM edges e JOIN cells b ON b.cell_id = e.dst WHERE b.height < 20 GROUP BY 1) ON src = o.cell_id WHERE o.culture_id > 0 GROUP BY 1)
-SELECT culture_id, n, CASE WHEN coastal > 0.4 * n THEN 'Naval' WHEN high > 0.5 * n THEN 'Highland' WHEN n < 2 THEN 'Nomadic' ELSE 'Generic' END AS type FROM c""")
+@query("", f"""WITH {', '.join(WORLD[t] for t in ('n', 'cells', 'edges', 'settlements', 'owners'))}, fc AS ({SQL['feature_cells']}), h AS ({SQL['havens']}), {_RIVERS}, pp AS (SELECT cell_id, sum(population)::BIGINT AS p FROM settlements GROUP BY 1),
+c AS (SELECT o.culture_id, count(*) AS n, count(h.cell_id) AS coastal, count(*) FILTER (WHERE height > 60) AS high, count(*) FILTER (WHERE fc.feature = 'lake') AS lake, count(on_river) AS river, coalesce(sum(p), 0)::BIGINT AS people
+ FROM owners o JOIN cells USING (cell_id) LEFT JOIN h USING (cell_id) LEFT JOIN fc ON fc.cell_id = h.haven LEFT JOIN rc ON rc.cell_id = o.cell_id LEFT JOIN pp ON pp.cell_id = o.cell_id WHERE o.culture_id > 0 GROUP BY 1)
+SELECT culture_id, n, CASE WHEN coastal > 0.4 * n THEN 'Naval' WHEN high > 0.5 * n THEN 'Highland' WHEN lake > 0.3 * n THEN 'Lake' WHEN river > 0.4 * n THEN 'River' WHEN people < 2000 * n THEN 'Nomadic' ELSE 'Generic' END AS type FROM c""")
 def culture_types(spark, sf):
+    """The type of each culture by the shares of its cells: coast, highland, lake shore, river, and then its people a cell, in thousands."""
     c = T.cells(spark, sf)
-    wet = N.neighbours(c, T.edges(spark, sf), "height").where("height < 20").select(F.col("src").alias("cell_id")).distinct().withColumn("coastal", F.lit(True))
-    o = T.owners(c).where("culture_id > 0").join(c.select("cell_id", "height"), "cell_id").join(wet, "cell_id", "left")
-    a = o.groupBy("culture_id").agg(F.count("*").alias("n"), F.count_if("coastal").alias("coastal"), F.count_if(F.col("height") > 60).alias("high"))
+    h = havens(spark, sf).select("cell_id", F.col("haven").alias("_haven"))
+    lake = feature_cells(spark, sf).select(F.col("cell_id").alias("_haven"), "feature")
+    people = T.settlements(spark, sf).groupBy("cell_id").agg(F.sum("population").alias("p"))
+    o = T.owners(c).where("culture_id > 0").select("cell_id", "culture_id").join(c.select("cell_id", "height"), "cell_id")
+    o = o.join(h, "cell_id", "left").join(lake, "_haven", "left").join(_on_river(spark, sf), "cell_id", "left").join(people, "cell_id", "left")
+    a = o.groupBy("culture_id").agg(F.count("*").alias("n"), F.count("_haven").alias("coastal"), F.count_if(F.col("height") > 60).alias("high"), F.count_if(F.col("feature") == "lake").alias("lake"), F.count("on_river").alias("river"), F.coalesce(F.sum("p"), F.lit(0)).alias("people"))
     n = F.col("n")
-    return a.select("culture_id", "n", F.when(F.col("coastal") > 0.4 * n, "Naval").when(F.col("high") > 0.5 * n, "Highland").when(n < 2, "Nomadic").otherwise("Generic").alias("type"))
+    kind = F.when(F.col("coastal") > 0.4 * n, "Naval").when(F.col("high") > 0.5 * n, "Highland").when(F.col("lake") > 0.3 * n, "Lake").when(F.col("river") > 0.4 * n, "River").when(F.col("people") < 2000 * n, "Nomadic").otherwise("Generic")
+    return a.select("culture_id", "n", kind.alias("type"))
 
 
 @query("owners", "@ c AS (SELECT state_id, religion_id, count(*) AS n FROM owners WHERE state_id > 0 AND religion_id > 0 GROUP BY state_id, religion_id) SELECT state_id, religion_id, n FROM (SELECT *, row_number() OVER (PARTITION BY state_id ORDER BY n DESC, religion_id) AS k FROM c) WHERE k = 1")
@@ -398,26 +433,11 @@ def dominant_religion(spark, sf):
     return n.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
 
 
-@query("owners rain settlements", "SELECT religion_id, count(*) AS area, coalesce(sum(precip) FILTER (WHERE t.cell_id IS NOT NULL), 0)::BIGINT AS urban, coalesce(sum(precip) FILTER (WHERE t.cell_id IS NULL), 0)::BIGINT AS rural FROM owners o JOIN rain r USING (cell_id) LEFT JOIN (SELECT DISTINCT cell_id FROM settlements) t USING (cell_id) WHERE religion_id > 0 GROUP BY religion_id")
-def religion_statistics(spark, sf):
-    """Followers (here: rain) of cells with and without a settlement."""
-    towns = T.settlements(spark, sf).select("cell_id").distinct().withColumn("town", F.lit(True))
-    o = T.owners(T.cells(spark, sf)).where("religion_id > 0").join(T.precipitation(spark, sf), "cell_id").join(towns, "cell_id", "left")
-    split = lambda c: F.coalesce(F.sum(F.when(c, F.col("precip"))), F.lit(0))
-    return o.groupBy("religion_id").agg(F.count("*").alias("area"), split(F.col("town").isNotNull()).alias("urban"), split(F.col("town").isNull()).alias("rural"))
-
-
 @query("cells edges", "SELECT a.cell_id, round(greatest(0.0, least(100.0, (a.height + (a.height + coalesce(sum(b.height), 0)) / (1 + count(b.cell_id))::DOUBLE) / 2)), 6) AS height FROM cells a LEFT JOIN edges e ON e.src = a.cell_id LEFT JOIN cells b ON b.cell_id = e.dst GROUP BY a.cell_id, a.height")
 def smoothed_heights(spark, sf):
     return N.smooth(T.cells(spark, sf), T.edges(spark, sf)).select("cell_id", F.round("height", 6).alias("height"))
 
 
-@query("rain cells", "@ l AS (SELECT precip FROM rain JOIN cells USING (cell_id) WHERE height >= 20) SELECT (SELECT median(precip) FROM l WHERE precip > 0) AS median, (SELECT max(precip) FROM rain) AS most")
-def flux_scale(spark, sf):
-    r = T.precipitation(spark, sf).join(T.cells(spark, sf), "cell_id")
-    return r.agg(F.median(F.when((F.col("height") >= 20) & (F.col("precip") > 0), F.col("precip"))).alias("median"), F.max("precip").alias("most"))
-
-
 @query("", f"""WITH b AS ({_BIOME_SQL}), k AS (SELECT *, precip::DOUBLE AS flux, ([{', '.join(map(str, E.HABITABILITY))}])[biome + 1] AS hab FROM b), m AS (SELECT median(flux) FILTER (WHERE height >= 20 AND flux > 0) AS md, max(flux) AS mx FROM k)
 SELECT cell_id, round(CASE WHEN height < 20 OR hab = 0 THEN 0.0 ELSE hab + coalesce(least(1.0, flux / md) * (1 - md / mx) * 250, 0.0) - (height - 50) / 5.0 - 5 END, 4)::DOUBLE AS score FROM k, m""")
 def suitability(spark, sf):
@@ -428,6 +448,16 @@ def suitability(spark, sf):
     return k.select("cell_id", F.round(s, 4).alias("score"))
 
 
+@query("", f"""WITH {', '.join(WORLD[t] for t in ('n', 'cells', 'owners'))}, sc AS ({SQL['suitability']}) SELECT religion_id, count(*) AS area, round(coalesce(sum(greatest(score, 0) / 100) FILTER (WHERE t.cell_id IS NOT NULL), 0), 3)::DOUBLE AS urban, round(coalesce(sum(greatest(score, 0) / 100) FILTER (WHERE t.cell_id IS NULL), 0), 3)::DOUBLE AS rural FROM owners o JOIN sc USING (cell_id) LEFT JOIN (SELECT DISTINCT (c_custkey * 7) % n AS cell_id FROM customer, n) t USING (cell_id) WHERE religion_id > 0 GROUP BY religion_id""")
+def religion_statistics(spark, sf):
+    """Followers of each religion, that is the people its cells can feed, of cells with and without a settlement."""
+    towns = T.settlements(spark, sf).select("cell_id").distinct().withColumn("town", F.lit(True))
+    o = T.owners(T.cells(spark, sf)).where("religion_id > 0").join(suitability(spark, sf), "cell_id").join(towns, "cell_id", "left")
+    people = F.greatest("score", F.lit(0.0)) / 100
+    split = lambda c: F.round(F.coalesce(F.sum(F.when(c, people)), F.lit(0.0)), 3)
+    return o.groupBy("religion_id").agg(F.count("*").alias("area"), split(F.col("town").isNotNull()).alias("urban"), split(F.col("town").isNull()).alias("rural"))
+
+
 @query("cells", "SELECT cell_id, height, row_number() OVER (ORDER BY height DESC, cell_id)::BIGINT AS place FROM cells WHERE height >= 20 ORDER BY height DESC, cell_id LIMIT 500")
 def highest_cells(spark, sf):
     top = T.cells(spark, sf).where("height >= 20").orderBy(F.desc("height"), "cell_id").limit(500)
@@ -536,6 +566,13 @@ def drainage(spark, sf):
     return _drained(spark, sf)
 
 
+@query("cells edges rain", f"""@ {_DRAIN}, l AS (SELECT flux FROM fx JOIN cells USING (cell_id) WHERE height >= 20) SELECT (SELECT median(flux) FROM l WHERE flux > 0) AS median, (SELECT max(flux) FROM fx) AS most""")
+def flux_scale(spark, sf):
+    """The median of the positive flux on land, and the largest flux."""
+    r = _drained(spark, sf).select("cell_id", "flux").join(T.cells(spark, sf).select("cell_id", "height"), "cell_id")
+    return r.agg(F.median(F.when((F.col("height") >= 20) & (F.col("flux") > 0), F.col("flux"))).alias("median"), F.max("flux").alias("most"))
+
+
 @query("cells edges rain", f"""@ {_DRAIN}, big AS (SELECT fl.cell_id, "to", flux FROM fl JOIN fx USING (cell_id) WHERE flux >= 400),
 main AS (SELECT "to" AS cell_id, arg_min(cell_id, (-flux)::BIGINT * 1000000 + cell_id) AS above FROM big WHERE "to" >= 0 GROUP BY "to"),
 nm(cell_id, river_id) AS (SELECT cell_id, cell_id FROM big WHERE cell_id NOT IN (SELECT cell_id FROM main) UNION ALL SELECT m.cell_id, nm.river_id FROM nm JOIN main m ON m.above = nm.cell_id)
@@ -565,10 +602,10 @@ def long_rivers(spark, sf):
 @query("cells edges rain", f"""@ {_DRAIN}, k AS (SELECT c.cell_id, CASE WHEN flux > 0 AND filled > height THEN filled ELSE -1 END AS kind, filled, "to" = -1 AND flux > 15 AND NOT is_border AND filled > height AS sink, height FROM fl JOIN fx USING (cell_id) JOIN cells c USING (cell_id)),
 inside AS (SELECT e.src, e.dst FROM edges e JOIN k a ON a.cell_id = e.src JOIN k b ON b.cell_id = e.dst WHERE a.kind = b.kind),
 cc(cell_id, region) USING KEY (cell_id) AS (SELECT cell_id, cell_id FROM k UNION SELECT l.dst, min(c.region) FROM cc c JOIN inside l ON l.src = c.cell_id JOIN recurring.cc r ON r.cell_id = l.dst WHERE c.region < r.region GROUP BY l.dst),
-m AS (SELECT region, arg_min(cell_id, height * 1000000 + cell_id) AS outlet FROM (SELECT DISTINCT a.cell_id, a.region FROM cc a JOIN edges e ON e.src = a.cell_id JOIN cc b ON b.cell_id = e.dst WHERE a.region <> b.region) JOIN k USING (cell_id) GROUP BY region)
-SELECT region AS lake, filled::BIGINT AS level, count(*) AS n_cells, outlet FROM cc JOIN k USING (cell_id) LEFT JOIN m USING (region) GROUP BY region, filled, outlet HAVING count(*) >= 3 AND bool_or(sink)""")
+m AS (SELECT region, arg_min(k.cell_id, k.height * 1000000 + k.cell_id) AS outlet, min(beyond)::BIGINT AS shore FROM (SELECT a.cell_id, a.region, kb.height AS beyond FROM cc a JOIN edges e ON e.src = a.cell_id JOIN cc b ON b.cell_id = e.dst JOIN k kb ON kb.cell_id = e.dst WHERE a.region <> b.region) z JOIN k ON k.cell_id = z.cell_id GROUP BY region)
+SELECT region AS lake, filled::BIGINT AS level, count(*) AS n_cells, outlet, shore FROM cc JOIN k USING (cell_id) LEFT JOIN m USING (region) GROUP BY region, filled, outlet, shore HAVING count(*) >= 3 AND bool_or(sink)""")
 def lakes(spark, sf):
-    """Each lake with its level, size and outlet."""
+    """Each lake with its level, size, outlet, and the least height on its shore."""
     d = _drained(spark, sf).join(T.cells(spark, sf).select("cell_id", "height", "is_border"), "cell_id").withColumn("kind", N.lake_kind())
     return N.lakes(d, _regions(spark, sf, d, "kind", "long"), T.edges(spark, sf))
 
@@ -581,9 +618,9 @@ def expanded_cultures(spark, sf):
     seeds = c.where("cell_id % 97 = 13 AND height >= 20").select("cell_id", (F.expr("cell_id div 97") + 1).alias("owner"))
     h = F.col("height")
     costs = c.select("cell_id", F.when(h >= 20, 10 + F.expr("height div 10") + F.when(h > 70, 50).otherwise(0)).cast("long").alias("cost"))
-    start = {r.cell_id: r.owner for r in seeds.limit(N.MAP_CELLS).collect()} if T.count_cells(spark, sf) <= N.MAP_CELLS else {}
-    work = lambda c, near: grouped.spread(c, near, start, 120)
-    return _by_map(spark, sf, costs, work, "cell_id long, cost long, owner long", lambda: N.expand(seeds, costs, T.edges(spark, sf), 120))
+    given = costs.join(seeds.select("cell_id", F.col("owner").alias("seed")), "cell_id", "left")
+    work = lambda c, near: grouped.spread(c, near, 120)
+    return _by_map(spark, sf, given, work, "cell_id long, cost long, owner long", lambda: N.expand(seeds, costs, T.edges(spark, sf), 120))
 
 
 @query("owners edges", """@ near AS (SELECT e.src, o.state_id, count(*) AS n FROM edges e JOIN owners o ON o.cell_id = e.dst WHERE o.state_id > 0 GROUP BY ALL), top AS (SELECT src, arg_max(state_id, n * 1000 - state_id) AS s, max(n) AS n FROM near GROUP BY src)
@@ -607,20 +644,40 @@ def neighbour_counts(spark, sf):
     return k.groupBy("cell_id").agg(F.count_if(F.col("s2") == F.col("state_id")).alias("buddies"), F.count_if((F.col("s2") != 0) & (F.col("s2") != F.col("state_id"))).alias("adversaries"), F.sum(score).cast("long").alias("alignment"))
 
 
-@query()
+@query("settlements", """@ c AS (SELECT id, x, y, row_number() OVER (ORDER BY population DESC, id) AS k FROM settlements),
+g(k, taken) AS (SELECT 0::BIGINT, []::STRUCT(id BIGINT, x BIGINT, y BIGINT)[] UNION ALL SELECT c.k, CASE WHEN len(list_filter(g.taken, lambda t: (t.x - c.x) * (t.x - c.x) + (t.y - c.y) * (t.y - c.y) < 36)) = 0 THEN list_append(g.taken, {'id': c.id, 'x': c.x, 'y': c.y}) ELSE g.taken END FROM g JOIN c ON c.k = g.k + 1)
+SELECT unnest(taken).id AS id FROM (SELECT taken FROM g ORDER BY k DESC LIMIT 1)""")
 def spaced_capitals(spark, sf):
-    """Greedy choice by population with a least distance; iterative, so there is no SQL."""
+    """Greedy choice by population with a least distance."""
     s = T.settlements(spark, sf).select("id", "x", "y", (-F.col("population")).alias("rank"))
     return N.spaced(s, 6.0).select("id")
 
 
-@query()
-def wind_rain(spark, sf):
-    """Rain by a westerly wind; a recurrence along each row, so there is no SQL."""
-    def beyond():
-        raise ValueError("a wind's rows are worked through in one task a map: deal the world into smaller maps")
+_LINES = f"""b AS ({SQL['climate_and_biomes']}), z AS ({SQL['winds']}), r AS (SELECT c.cell_id, x, y, c.height AS h, temperature, wind, rain_factor, is_west, is_north, wind > 220 AND wind < 320 AS is_east, wind > 280 OR wind < 80 AS is_south FROM cells c JOIN b USING (cell_id) JOIN z USING (cell_id)),
+wide AS (SELECT max(x) AS mx, max(y) AS my, bool_or(is_north) AS north, bool_or(is_south) AS south FROM r),
+l AS (SELECT 'w' || y AS line, x AS place, cell_id, h, temperature, least(120 * rain_factor, 255.0)::DOUBLE AS most FROM r WHERE is_west UNION ALL SELECT 'e' || y, mx - x, cell_id, h, temperature, least(120 * rain_factor, 255.0)::DOUBLE FROM r, wide WHERE is_east
+ UNION ALL SELECT 'n' || x, y, cell_id, h, temperature, 60.0::DOUBLE FROM r, wide WHERE north UNION ALL SELECT 's' || x, my - y, cell_id, h, temperature, 60.0::DOUBLE FROM r, wide WHERE south),
+s AS (SELECT *, lead(h) OVER w AS nh, lead(cell_id) OVER w AS nc, row_number() OVER w - 1 AS k FROM l WINDOW w AS (PARTITION BY line ORDER BY place)),
+a(line, k, air) AS (SELECT line, k, most - h FROM s WHERE k = 0 AND most - h > 0 UNION ALL SELECT s.line, s.k + 1, CASE WHEN temperature < -5 OR (h < 20 AND (nh IS NULL OR nh >= 20)) THEN air WHEN h < 20 THEN least(air + 5, most) WHEN nh IS NULL THEN 0.0
+  WHEN nh > 85 THEN 0.0 ELSE greatest(air - least(greatest(air / 10, 1.0::DOUBLE) + greatest(nh - h, 0)::DOUBLE * ((nh / 70.0::DOUBLE) * (nh / 70.0::DOUBLE)), air) + CASE WHEN least(greatest(air / 10, 1.0::DOUBLE) + greatest(nh - h, 0)::DOUBLE * ((nh / 70.0::DOUBLE) * (nh / 70.0::DOUBLE)), air) > 1.5 THEN 1 ELSE 0 END, 0.0::DOUBLE) END::DOUBLE FROM a JOIN s USING (line, k)),
+d AS (SELECT CASE WHEN h < 20 AND nh >= 20 THEN nc ELSE cell_id END AS cell_id, floor(CASE WHEN h < 20 AND nh >= 20 THEN greatest(air / 15, 1.0::DOUBLE) WHEN h < 20 THEN 5.0 WHEN nh IS NULL THEN air WHEN nh > 85 THEN air ELSE least(greatest(air / 10, 1.0::DOUBLE) + greatest(nh - h, 0)::DOUBLE * ((nh / 70.0::DOUBLE) * (nh / 70.0::DOUBLE)), air) END)::BIGINT AS rain
+ FROM a JOIN s USING (line, k) WHERE temperature >= -5 AND NOT (h < 20 AND nh IS NULL))"""
+
 
-    return _by_map(spark, sf, T.cells(spark, sf), lambda c, near: grouped.wind_rain(c, near, T.WIDTH, 120.0), "cell_id long, rain long", beyond)
+@query("cells", f"@ {_LINES} SELECT c.cell_id, least(coalesce(sum(rain), 0), 255)::BIGINT AS rain FROM cells c LEFT JOIN d USING (cell_id) GROUP BY c.cell_id")
+def wind_rain(spark, sf):
+    """Rain by winds from four sides: by rows from west or east as their latitude has it, by columns if any row has a north or south wind."""
+    c = T.cells(spark, sf).select("cell_id", "x", "y", "height").join(climate_and_biomes(spark, sf).select("cell_id", "lat", "temperature"), "cell_id")
+    d = E.wind_directions(E.wind_tier(F.col("lat")))
+    c = c.select("*", *[d[k].alias(k) for k in d], F.least(120 * E.latitude_rain(F.col("lat")), F.lit(255.0)).alias("strength"))
+    last = c.agg(F.max("x").alias("mx"), F.max("y").alias("my"), F.bool_or("is_north").alias("north"), F.bool_or("is_south").alias("south"))
+    c = c.crossJoin(F.broadcast(last))  # one row
+    line = lambda name, where, by, place, strength: c.where(where).select(F.concat(F.lit(name), F.col(by).cast("string")).alias("line"), place.alias("place"), "cell_id", "height", "temperature", strength.alias("strength"))
+    own, sixty = F.col("strength"), F.lit(60.0)
+    lines = line("w", "is_west", "y", F.col("x"), own).unionByName(line("e", "is_east", "y", F.col("mx") - F.col("x"), own))
+    lines = lines.unionByName(line("n", "north", "x", F.col("y"), sixty)).unionByName(line("s", "south", "x", F.col("my") - F.col("y"), sixty))
+    fallen = N.wind(lines).groupBy("cell_id").agg(F.sum("rain").alias("rain"))
+    return T.cells(spark, sf).select("cell_id").join(fallen, "cell_id", "left").select("cell_id", F.least(F.coalesce("rain", F.lit(0)), F.lit(255)).cast("long").alias("rain"))
 
 
 @query("cells edges rain", f"""@ {_DRAIN}, w AS (SELECT fl.cell_id, flux, max(flux) OVER () AS mx FROM fx JOIN fl USING (cell_id)) SELECT cell_id, flux > 0.8 * mx AS wet FROM w""")
@@ -630,13 +687,19 @@ def wetlands(spark, sf):
     return d.crossJoin(F.broadcast(most)).select("cell_id", (F.col("flux") > 0.8 * F.col("mx")).alias("wet"))  # one row
 
 
-@query("cells edges", """@ r(cell_id, region) USING KEY (cell_id) AS (SELECT cell_id, cell_id FROM cells UNION SELECT l.dst, min(c.region) FROM r c JOIN (SELECT e.src, e.dst FROM edges e JOIN cells a ON a.cell_id = e.src JOIN cells b ON b.cell_id = e.dst WHERE a.height // 25 = b.height // 25) l ON l.src = c.cell_id JOIN recurring.r q ON q.cell_id = l.dst WHERE c.region < q.region GROUP BY l.dst)
-SELECT region, height // 25 AS band, count(*) AS n_cells, round(avg(x), 4) AS cx, round(avg(y), 4) AS cy FROM r JOIN cells USING (cell_id) GROUP BY ALL""")
+@query("cells edges", """@ r(cell_id, region) USING KEY (cell_id) AS (SELECT cell_id, cell_id FROM cells UNION SELECT l.dst, min(c.region) FROM r c JOIN (SELECT e.src, e.dst FROM edges e JOIN cells a ON a.cell_id = e.src JOIN cells b ON b.cell_id = e.dst WHERE a.height // 25 = b.height // 25) l ON l.src = c.cell_id JOIN recurring.r q ON q.cell_id = l.dst WHERE c.region < q.region GROUP BY l.dst),
+m AS (SELECT region, height // 25 AS band, count(*) AS n_cells, sum(x)::BIGINT AS sx, sum(y)::BIGINT AS sy FROM r JOIN cells USING (cell_id) GROUP BY ALL),
+k AS (SELECT region, cell_id, row_number() OVER (PARTITION BY region ORDER BY (x * n_cells - sx) * (x * n_cells - sx) + (y * n_cells - sy) * (y * n_cells - sy), cell_id) AS k FROM r JOIN cells USING (cell_id) JOIN m USING (region))
+SELECT region, band, n_cells, round(sx / n_cells::DOUBLE, 4) AS cx, round(sy / n_cells::DOUBLE, 4) AS cy, cell_id AS centre FROM m JOIN k USING (region) WHERE k = 1""")
 def height_regions(spark, sf):
-    """Connected cells of one height band, with their size and middle."""
+    """Connected cells of one height band, with their size, middle, and the cell nearest to it."""
     c = T.cells(spark, sf).withColumn("band", F.expr("height div 25"))
     r = _regions(spark, sf, c, "band", "long").join(c.select("cell_id", "x", "y"), "cell_id")
-    return r.groupBy("region", F.col("kind").cast("int").alias("band")).agg(F.count("*").alias("n_cells"), F.round(F.avg("x"), 4).alias("cx"), F.round(F.avg("y"), 4).alias("cy"))
+    m = r.groupBy("region", F.col("kind").cast("int").alias("band")).agg(F.count("*").alias("n_cells"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
+    off = lambda c: (F.col(c) * F.col("n_cells") - F.col(f"s{c}")) * (F.col(c) * F.col("n_cells") - F.col(f"s{c}"))
+    centre = r.join(m, "region").groupBy("region").agg(F.min(F.struct((off("x") + off("y")).alias("d"), F.col("cell_id").alias("c"))).alias("k"))
+    n = F.col("n_cells").cast("double")
+    return m.join(centre, "region").select("region", "band", "n_cells", F.round(F.col("sx") / n, 4).alias("cx"), F.round(F.col("sy") / n, 4).alias("cy"), F.col("k.c").alias("centre"))
 
 
 # Edits
@@ -744,6 +807,9 @@ def _placed(spark, sf):
     s = T.settlements(spark, sf).join(havens(spark, sf), "cell_id", "left").join(climate_and_biomes(spark, sf).select("cell_id", "height", "biome", "precip"), "cell_id").join(suitability(spark, sf), "cell_id")
     noise = F.least(F.greatest(2 + 3 * (generator.scrambled(11, F.col("id")) / 65535.0 - 0.5) * 3, F.lit(0.6)), F.lit(20.0)) / 3
     culture = F.element_at(F.array(*[F.lit(c) for c in ("Generic", "Naval", "Highland", "River", "Nomadic", "Hunting")]), (F.col("id") % 6 + 1).cast("int"))
+    shore = feature_cells(spark, sf).select(F.col("cell_id").alias("haven"), (F.col("feature") == "lake").alias("lake"))
+    s = s.join(shore, "haven", "left").join(_distance(spark, sf).select("cell_id", F.col("distance").alias("coast")), "cell_id").join(_on_river(spark, sf), "cell_id", "left")
+    s = s.withColumns({"lake": F.coalesce("lake", F.lit(False)), "flux": F.when(F.col("on_river"), F.col("precip")).otherwise(0)})
     return s.withColumn("port", F.coalesce(F.col("harbor") == 1, F.lit(False))).withColumn("noise", noise).withColumn("culture", culture)
 
 
@@ -760,14 +826,15 @@ def settlement_sizes(spark, sf):
 
 def _typed(spark, sf):
     p = _placed(spark, sf).withColumn("people", S.population(F.col("score"), F.col("id"), F.col("cell_id"), F.col("is_capital"), F.col("port"), F.col("noise")))
-    return p.withColumn("settlement_kind", S.kind(F.col("port"), F.lit(False), F.col("height"), F.col("precip"), F.coalesce(F.col("harbor"), F.lit(9)), F.col("biome"), F.col("culture"), F.col("people")))
+    return p.withColumn("settlement_kind", S.kind(F.col("port"), F.col("lake"), F.col("height"), F.col("flux"), F.col("coast"), F.col("biome"), F.col("culture"), F.col("people")))
 
 
-_KINDS = """kinds AS (SELECT *, CASE WHEN port THEN 'Port' WHEN height > 60 THEN CASE culture WHEN 'Highland' THEN 'Highland Fortress' ELSE 'Highland' END WHEN precip >= 100 THEN CASE culture WHEN 'River' THEN 'River Trade Hub' ELSE 'River' END
- WHEN culture = 'Naval' AND coalesce(harbor, 9) <= 2 THEN 'Coastal' WHEN biome IN (11, 12) THEN CASE WHEN culture <> 'Nomadic' THEN 'Desert Outpost' WHEN p < 20 THEN 'Oasis Camp' ELSE 'Desert Town' END
+_KINDS = """kinds AS (SELECT *, CASE WHEN port THEN 'Port' WHEN lake THEN 'Lake' WHEN height > 60 THEN CASE culture WHEN 'Highland' THEN 'Highland Fortress' ELSE 'Highland' END WHEN on_river AND precip >= 100 THEN CASE culture WHEN 'River' THEN 'River Trade Hub' ELSE 'River' END
+ WHEN culture = 'Naval' AND coast <= 2 THEN 'Coastal' WHEN biome IN (11, 12) THEN CASE WHEN culture <> 'Nomadic' THEN 'Desert Outpost' WHEN p < 20 THEN 'Oasis Camp' ELSE 'Desert Town' END
  WHEN biome IN (6, 7, 8, 14, 15) THEN CASE WHEN culture <> 'Hunting' THEN 'Forest' WHEN p < 15 THEN 'Forest Lodge' ELSE 'Woodland Settlement' END WHEN biome IN (9, 13) THEN CASE WHEN culture <> 'Nomadic' THEN 'Farming Village' WHEN p < 10 THEN 'Nomadic Camp' ELSE 'Trading Post' END
  WHEN biome IN (4, 5) THEN CASE WHEN p < 20 THEN 'Northern Outpost' ELSE 'Frontier Town' END ELSE CASE culture WHEN 'Naval' THEN 'Coastal Village' WHEN 'Highland' THEN 'Mountain Village' WHEN 'Lake' THEN 'Lakeside Village' WHEN 'River' THEN 'Riverside Village' WHEN 'Nomadic' THEN 'Settlement' WHEN 'Hunting' THEN 'Hunting Lodge' ELSE 'Village' END END AS settlement_kind
- FROM (SELECT people.* EXCLUDE (p), round(p, 3) AS p, harbor FROM people LEFT JOIN havens USING (cell_id)))"""
+ FROM (SELECT people.* EXCLUDE (p), round(p, 3) AS p, coalesce(feature = 'lake', false) AS lake, coalesce(on_river, false) AS on_river, ds.distance AS coast FROM people LEFT JOIN fc ON fc.cell_id = people.haven JOIN ds ON ds.cell_id = people.cell_id LEFT JOIN rc ON rc.cell_id = people.cell_id))"""
+_KINDS = f"fc AS ({SQL['feature_cells']}), ds AS ({SQL['distance_field']}), {_RIVERS}, {_KINDS}"
 
 
 @query("settlements cells edges", f"@ {_PLACED}, {_KINDS} SELECT id, culture, settlement_kind FROM kinds")
@@ -786,13 +853,19 @@ def settlement_chances(spark, sf):
     return t.select("id", *[F.round(c[n], 4).alias(n) for n in ("citadel", "plaza", "walls")])
 
 
-@query()
+_DRAW = "((id * 48271 + {0}) % 2147483647 * 16807 % 2147483647 // 7 % 65536) / 65536.0::DOUBLE"
+_TEMPLE = "greatest(0.05::DOUBLE, least(0.95::DOUBLE, CASE WHEN p > 50 THEN 0.95 WHEN p > 35 THEN 0.75 WHEN p > 20 THEN 0.5 WHEN p > 10 THEN 0.25 ELSE 0.1 END::DOUBLE + (CASE WHEN state_id % 2 <> 0 THEN -0.15 WHEN p > 30 THEN 0.3 WHEN is_capital THEN 0.4 ELSE 0.2 END::DOUBLE + CASE culture WHEN 'Highland' THEN 0.1 WHEN 'Nomadic' THEN -0.1 ELSE 0.0 END::DOUBLE)))"
+
+
+@query("settlements cells edges", f"""@ {_PLACED}, {_KINDS}, ch AS ({{chances}}),
+f AS (SELECT id, p, culture, {_DRAW.format(0)} < citadel AS citadel, {_DRAW.format(1)} < plaza AS plaza, {_DRAW.format(2)} < walls AS walls, {_DRAW.format(3)} < {_TEMPLE} AS temple FROM kinds JOIN ch USING (id))
+SELECT id, citadel, plaza, walls, temple, {_DRAW.format(9)} < greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN p > 60 THEN 1.0 WHEN p > 40 THEN 0.75 WHEN p > 20 AND walls THEN 0.4 ELSE 0.0 END::DOUBLE - CASE WHEN culture IN ('Nomadic', 'Hunting') THEN 0.3 ELSE 0.0 END::DOUBLE)) AS shanty FROM f""".replace("{chances}", SQL["settlement_chances"]))
 def settlement_features(spark, sf):
-    """Chances against a number drawn for each settlement; the numbers are Spark's hashes, so there is no SQL."""
+    """Chances against a number drawn for each settlement, by arithmetic."""
     t = _typed(spark, sf)
     c = S.chances(F.col("people"), F.col("is_capital"), F.col("culture"), F.col("settlement_kind"), F.col("state_id") % 2 == 0)
-    draw = lambda salt: generator.uniform(salt, F.col("id"))
-    out = t.select("id", "people", "culture", *[(draw(i) < c[n]).alias(n) for i, n in enumerate(c)])
+    draw = lambda salt: generator.scrambled(salt, F.col("id")) / 65536.0
+    out = t.select("id", "people", "culture", *[(draw(i) < F.round(c[n], 4)).alias(n) for i, n in enumerate(c)])
     return out.select("id", *c, (draw(9) < S.shanty_chance(F.col("people"), F.col("walls"), F.col("culture"))).alias("shanty"))
 
 
@@ -874,25 +947,34 @@ def territory_shape(spark, sf):
 def river_hierarchy(spark, sf):
     """Each river's main stem and depth below it."""
     p = river_parents(spark, sf)
-    # stem and depth in one number that grows along the way
-    start = p.where("parent_id IS NULL").select(F.col("river_id").alias("node"), (F.col("river_id") * (1 << 20)).alias("value"))
+    start = p.where("parent_id IS NULL").select(F.col("river_id").alias("node"), F.struct(F.col("river_id").alias("stem"), F.lit(0).cast("long").alias("depth")).alias("value"))
     down = p.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("src"), F.col("river_id").alias("dst"))
-    h = settle(start, down, lambda v: v + 1)
-    return h.select(F.col("node").alias("river_id"), F.expr(f"value div {1 << 20}").alias("stem"), (F.col("value") % (1 << 20)).alias("depth"))
+    h = settle(start, down, lambda v: F.struct(v["stem"].alias("stem"), (v["depth"] + 1).alias("depth")))
+    return h.select(F.col("node").alias("river_id"), "value.stem", "value.depth")
 
 
-@query("cells edges rain", f"""@ {_DRAIN}, sk AS (SELECT fl.cell_id, fl.filled FROM fl JOIN fx USING (cell_id) JOIN cells c USING (cell_id) WHERE "to" = -1 AND flux > 15 AND NOT is_border AND fl.filled > c.height)
-SELECT filled::BIGINT AS level, count(*) AS n_cells, min(cell_id) AS first_cell FROM sk GROUP BY filled""")
+@query("", f"SELECT lake, level::DOUBLE AS level, n_cells * 4.0::DOUBLE AS area, shore - level AS rise FROM ({SQL['lakes']})")
 def lake_levels(spark, sf):
-    """Flooded sinks by their level."""
-    d = _drained(spark, sf).join(T.cells(spark, sf).select("cell_id", "height", "is_border"), "cell_id")
-    sinks = d.where("`to` = -1 AND flux > 15 AND NOT is_border AND filled > height")
-    return sinks.groupBy(F.col("filled").cast("long").alias("level")).agg(F.count("*").alias("n_cells"), F.min("cell_id").alias("first_cell"))
+    """Level and area (of cells two units wide) of each lake, and how far its shore rises above it at least."""
+    found = lakes(spark, sf)
+    return found.select("lake", F.col("level").cast("double").alias("level"), (F.col("n_cells") * 4.0).alias("area"), (F.col("shore") - F.col("level")).alias("rise"))
+
 
+_WORDS = {"Number": ("One", "Three", "Seven"), "Being": ("Elder", "Guardian", "Spirit"), "Adjective": ("Silent", "Golden"), "Color": ("White", "Dark"), "Animal": ("Bear", "Crow", "Serpent"), "Genitive": ("Storms", "Rivers")}
 
-@query("", "SELECT r_regionkey AS id, CASE WHEN r_regionkey % 10 < 4 THEN (['Sun', 'Storm', 'River'])[(r_regionkey * 7 + 1) % 3 + 1] ELSE (['Silent', 'Golden'])[(r_regionkey * 7 + 2) % 2 + 1] || ' ' || (['Sun', 'Storm', 'River'])[(r_regionkey * 7 + 3) % 3 + 1] END AS deity FROM region")
+
+def _deity_sql() -> str:
+    pick = lambda kind, salt: f"({list(_WORDS[kind])})[(k * 7 + {salt}) % {len(_WORDS[kind])} + 1]"
+    upto, cases = 0, []
+    for pattern, weight in S.DEITY_PATTERNS:
+        upto += weight
+        cases.append(f"WHEN k * 13 % {sum(w for _, w in S.DEITY_PATTERNS)} < {upto} THEN " + " || ' ' || ".join(pick(x, i) if x in _WORDS else f"'{x}'" for i, x in enumerate(pattern.split(" + "))))
+    return f"SELECT n_nationkey AS id, CASE {' '.join(cases)} END AS deity FROM (SELECT n_nationkey, n_nationkey::BIGINT AS k FROM nation)"
+
+
+@query("", _deity_sql())
 def deities(spark, sf):
-    return T.table(spark, sf, "region").select(F.col("r_regionkey").alias("id"), S.deity(F.col("r_regionkey"), ("Sun", "Storm", "River"), ("Silent", "Golden"), ("Watching", "Sleeping")).alias("deity"))
+    return T.table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), S.deity(F.col("n_nationkey").cast("long"), _WORDS).alias("deity"))
 
 
 @query("maps", """SELECT map_id, '{"map_id":' || map_id || ',"name":"' || name || '","n_nations":' || n_nations || '}' AS config FROM maps""")
@@ -930,8 +1012,12 @@ def breached_lakes(spark, sf):
     return N.breached(c, e, N.features(c, r), r, 40)
 
 
-@query("settlements", f"SELECT id, (((x > 20)::INT + 2 * (y > 25)::INT) * 4 + CASE ({_TYPES})[id % 6 + 1] WHEN 'Naval' THEN 1 WHEN 'Nomadic' THEN 2 WHEN 'Highland' THEN 3 ELSE 0 END) % 9 AS base FROM settlements WHERE is_capital")
+@query("settlements n", f"SELECT id, (((x > 20)::INT + 2 * (y > (n // 40) / 2.0)::INT) * 4 + CASE ({_TYPES})[id % 6 + 1] WHEN 'Naval' THEN 1 WHEN 'Nomadic' THEN 2 WHEN 'Highland' THEN 3 ELSE 0 END) % 9 AS base FROM settlements, n WHERE is_capital")
 def name_bases(spark, sf):
     s = T.settlements(spark, sf).where("is_capital")
     type_ = F.element_at(F.array(*[F.lit(t) for t in ("Generic", "Naval", "Highland", "River", "Nomadic", "Hunting")]), (F.col("id") % 6 + 1).cast("int"))
-    return s.select("id", S.name_base(type_, F.col("x"), F.col("y"), 40, 50, 9).alias("base"))
+    return s.select("id", S.name_base(type_, F.col("x"), F.col("y"), T.WIDTH, T.count_cells(spark, sf) // T.WIDTH, 9).alias("base"))
+
+
+# what more there is registers itself here
+from cartoweave import more_queries  # noqa: E402, F401

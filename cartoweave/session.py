@@ -6,7 +6,6 @@ import hashlib
 import json
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,15 +18,34 @@ def session(name: str = "cartoweave", **conf: str) -> SparkSession:
 
 
 def reuse(spark: SparkSession, folder: str, config: dict, make: Callable[[], DataFrame]) -> DataFrame:
-    """What make() gave for the same configuration before, from Parquet, or else made now and kept."""
+    """What make() gave for the same configuration before, from Parquet, or else made now and kept.
+
+    A folder without its success marker was not written whole, and is made anew.
+    """
     path = f"{folder}/{hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()[:20]}"
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        make().write.parquet(path)
-        return spark.read.parquet(path)
+    sc = spark.sparkContext
+    marker = sc._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not marker.getFileSystem(sc._jsc.hadoopConfiguration()).exists(marker):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def tables_there(spark: SparkSession, *names: str) -> DataFrame:
     """(name, there): a probe of the catalog."""
     return spark.createDataFrame([(n, spark.catalog.tableExists(n)) for n in names], "name string, there boolean")
+
+
+def add_functions(spark: SparkSession) -> None:
+    """The SQL function safe_extrude(x, y, side, height): the top of a block as WKT, or null for what is none."""
+    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION safe_extrude(x DOUBLE, y DOUBLE, side DOUBLE, height DOUBLE) RETURNS STRING
+      RETURN CASE WHEN x IS NULL OR y IS NULL OR isnan(x) OR isnan(y) OR NOT side > 0 OR height IS NULL THEN NULL ELSE
+        format_string('POLYGON Z((%1$.1f %2$.1f %5$.1f,%3$.1f %2$.1f %5$.1f,%3$.1f %4$.1f %5$.1f,%1$.1f %4$.1f %5$.1f,%1$.1f %2$.1f %5$.1f))', x, y, x + side, y + side, height) END""")
+
+
+def add_layer_check(spark: SparkSession, layers: dict[str, DataFrame]) -> None:
+    """The SQL table function layer_check(): layer, view_there, n, sample, a row for each of layers, which become views named <layer>_layer."""
+    rows = []
+    for name, rows_ in layers.items():
+        rows_.createOrReplaceTempView(f"{name}_layer")
+        rows.append(f"SELECT '{name}' AS layer, true AS view_there, (SELECT count(*) FROM {name}_layer) AS n, (SELECT min_by(wkt, id) FROM {name}_layer) AS sample")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION layer_check() RETURNS TABLE(layer STRING, view_there BOOLEAN, n BIGINT, sample STRING) RETURN {' UNION ALL '.join(rows)}")

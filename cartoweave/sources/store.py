@@ -1,43 +1,87 @@
-"""A stored world: tables partitioned by map, whole or not at all."""
+"""A stored world: tables partitioned by map and square, whole or not at all."""
 
 from __future__ import annotations
 
 import json
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Tables that may be scanned, in the order in which they are written.
 TABLES = ("maps", "cultures", "religions", "states", "settlements", "rivers", "biomes", "climate", "cells")
+#: Side of a square; tables with x and y are partitioned by squares of this size.
+SQUARE = 64
+# What a column of a table is if it is missing or null; a text with {} names the row's id.
+DEFAULTS = {
+    "cultures": {"name": "Culture {}", "color": "#808080", "type": "Generic", "expansionism": 1.0, "center": 0, "name_base": 0, "population": 0},
+    "religions": {"name": "Religion {}", "color": "#808080", "type": "Folk", "form": "Shamanism", "expansion": "global", "expansionism": 1.0, "center": 0},
+    "states": {"name": "State {}", "color": "#808080", "government_type": None, "state_type": None, "expansionism": 1.0, "center": 0, "population": 0},
+    "biomes": {"name": "Biome {}", "classification": None, "temperature_band": 0, "moisture_band": 0, "habitability": 50, "movement_cost": 1, "avg_temperature": 15.0, "avg_precipitation": 500.0},
+    "maps": {"name": "Map {}", "width": 0, "height": 0, "cells_count": 0, "config_json": "{{}}"},
+}
+_KINDS = {str: "string", float: "double", int: "long", type(None): "string"}
+
+
+def conform(name: str, rows: DataFrame, ident: str) -> DataFrame:
+    """ident, the table's columns with their defaults for what is missing or null, and then the other columns of rows."""
+    out = []
+    for column, default in DEFAULTS[name].items():
+        kind = _KINDS[type(default)]
+        value = F.format_string(default.replace("{}", "%d").replace("{{%d}}", "{}"), F.col(ident)) if isinstance(default, str) else F.lit(default)
+        given = F.col(f"`{column}`").cast(kind) if column in rows.columns else F.lit(None).cast(kind)
+        out.append(F.coalesce(given, value.cast(kind)).alias(column))
+    return rows.select(ident, *out, *[f"`{c}`" for c in rows.columns if c != ident and c not in DEFAULTS[name]])
+
+
+def placed(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """rows (cell_id, x, y) with the point of their cell, or their own where the cell is not there."""
+    point = cells.select("cell_id", F.col("x").alias("_x"), F.col("y").alias("_y"))
+    found = rows.join(point, "cell_id", "left").withColumns({"x": F.coalesce("_x", "x"), "y": F.coalesce("_y", "y")})
+    return found.select(*rows.columns)
 
 
 def save_world(tables: dict[str, DataFrame], path: str, version: str) -> None:
-    """Write each table, partitioned by map_id; the marker of the version comes last, so readers never see half a world."""
+    """Write each table, partitioned by map_id and, with x and y, by square; the marker of the version comes last, so readers never see half a world.
+
+    Saving a version again replaces it, and makes it the last one.
+    """
     unknown = set(tables) - set(TABLES)
     if unknown:
         raise ValueError(f"unknown tables: {sorted(unknown)}")
     for name in TABLES:
         if name in tables:
-            tables[name].write.mode("append").partitionBy("map_id").parquet(f"{path}/{version}/{name}")
+            rows, by = tables[name], ["map_id"]
+            if {"x", "y"} <= set(rows.columns):
+                rows = rows.withColumn("square_x", F.floor(F.col("x") / SQUARE).cast("int")).withColumn("square_y", F.floor(F.col("y") / SQUARE).cast("int"))
+                by += ["square_x", "square_y"]
+            rows.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/{version}/{name}")
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(version, json.dumps(sorted(tables)))], "version string, tables string").coalesce(1).write.mode("append").parquet(f"{path}/_versions")
+    spark.createDataFrame([(time.time_ns(), version, json.dumps(sorted(tables)))], "at long, version string, tables string").coalesce(1).write.mode("append").parquet(f"{path}/_versions")
 
 
 def versions(spark: SparkSession, path: str) -> list[str]:
-    return sorted(r.version for r in spark.read.parquet(f"{path}/_versions").select("version").distinct().collect())
+    """Whole versions in the order in which they were last saved."""
+    rows = spark.read.parquet(f"{path}/_versions").groupBy("version").agg(F.max("at").alias("at"))
+    return [r.version for r in rows.orderBy("at", "version").collect()]
 
 
 def scan(spark: SparkSession, path: str, table: str, map_id: int, box: tuple | None = None) -> DataFrame:
-    """A table of one map in the last whole version: partition pruning by map_id, and a box on x, y."""
+    """A table of one map in the last whole version: partition pruning by map_id and squares, and a box on x, y."""
     if table not in TABLES:
         raise ValueError(f"no such table: {table}")
     out = spark.read.parquet(f"{path}/{versions(spark, path)[-1]}/{table}").where(F.col("map_id") == map_id)
-    return out if box is None else out.where(F.col("x").between(box[0], box[2]) & F.col("y").between(box[1], box[3]))
+    if box is not None:
+        x0, y0, x1, y1 = box
+        if "square_x" in out.columns:
+            out = out.where(F.col("square_x").between(x0 // SQUARE, x1 // SQUARE) & F.col("square_y").between(y0 // SQUARE, y1 // SQUARE))
+        out = out.where(F.col("x").between(x0, x1) & F.col("y").between(y0, y1))
+    return out.drop("square_x", "square_y")
 
 
 def forget(spark: SparkSession, path: str, version: str, table: str, map_id: int) -> DataFrame:
     """The table without a map, for a new version."""
-    return spark.read.parquet(f"{path}/{version}/{table}").where(F.col("map_id") != map_id)
+    return spark.read.parquet(f"{path}/{version}/{table}").where(F.col("map_id") != map_id).drop("square_x", "square_y")
 
 
 def file_sizes(spark: SparkSession, path: str) -> DataFrame:
