@@ -81,3 +81,8 @@ def steps(rows: DataFrame, key: str = "river_id") -> DataFrame:
 def reroute(rows: DataFrame, new: DataFrame, key: str = "river_id") -> DataFrame:
     """Paths with those of the keys in `new` replaced."""
     return rows.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+
+
+def stamped(rows: DataFrame) -> DataFrame:
+    """rows with updated_at, the time at which they are taken up; one time for all."""
+    return rows.withColumn("updated_at", F.current_timestamp())

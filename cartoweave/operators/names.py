@@ -114,3 +114,56 @@ def hex_mix(a: Column, b: Column, share: float) -> Column:
 def numbered(names: DataFrame) -> DataFrame:
     """base, name, place: distinct names of each base in order."""
     return names.distinct().withColumn("place", F.row_number().over(Window.partitionBy("base").orderBy("name")))
+
+
+def _let(body, **values: Column) -> Column:
+    """body(struct of values) with each value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), F.lit(0))
+
+
+def _hsv(colour: Column) -> Column:
+    """struct<h,s,v>"""
+    channel = lambda i: F.conv(F.substring(colour, 2 + 2 * i, 2), 16, 10).cast("int") / F.lit(255.0)
+
+    def turn(c):
+        r, g, b, most, span = c["r"], c["g"], c["b"], c["most"], F.nullif(c["most"] - c["least"], F.lit(0.0))
+        h = F.when(span.isNull(), 0.0).when(r == most, (g - b) / span / 6).when(g == most, (2 + (b - r) / span) / 6).otherwise((4 + (r - g) / span) / 6)
+        return F.struct(h.alias("h"), F.coalesce(span / most, F.lit(0.0)).alias("s"), most.alias("v"))
+
+    extremes = lambda c: F.struct(c["r"], c["g"], c["b"], F.greatest(c["r"], c["g"], c["b"]).alias("most"), F.least(c["r"], c["g"], c["b"]).alias("least"))
+    rgb = _let(extremes, r=channel(0), g=channel(1), b=channel(2))
+    return _let(lambda t: F.struct((t["t"]["h"] - F.floor(t["t"]["h"])).alias("h"), t["t"]["s"].alias("s"), t["t"]["v"].alias("v")), t=_let(lambda c: turn(c["c"]), c=rgb))
+
+
+def hsv_mix(a: Column, b: Column, share: float, brighter: float = 0.0) -> Column:
+    """Two colours '#rrggbb' mixed by hue (the shorter way round), saturation and value, `share` of the first; brighter from -1 to 1."""
+
+    def mixed(c):
+        a, b = c["a"], c["b"]
+        apart = F.abs(a["h"] - b["h"]) > 0.5
+        h = F.when(apart & (a["h"] <= b["h"]), a["h"] + 1).otherwise(a["h"]) * share + F.when(apart & (a["h"] > b["h"]), b["h"] + 1).otherwise(b["h"]) * (1 - share)
+        s, v = a["s"] * share + b["s"] * (1 - share), a["v"] * share + b["v"] * (1 - share)
+        if brighter > 0:
+            v, s = F.least(F.lit(1.0), v * (1 + brighter)), F.greatest(F.lit(0.1), s * (1 - brighter * 0.2))
+        elif brighter < 0:
+            v, s = F.greatest(F.lit(0.1), v * (1 + brighter)), F.least(F.lit(1.0), s * (1 - brighter * 0.2))
+        return F.struct(h.alias("h"), s.alias("s"), v.alias("v"))
+
+    def sextants(c):
+        i, f, s, v = F.floor(c["x"]) % 6, c["x"] - F.floor(c["x"]), c["s"], c["v"]
+        return F.struct(i.alias("i"), v.alias("v"), (v * (1 - s)).alias("p"), (v * (1 - s * f)).alias("q"), (v * (1 - s * (1 - f))).alias("t"))
+
+    def spelled(c):
+        ways = F.array(*[F.array(*[c[k] for k in way]) for way in ("vtp", "qvp", "pvt", "pqv", "tpv", "vpq")])
+        signs = F.transform(F.element_at(ways, (c["i"] + 1).cast("int")), lambda x: F.lower(F.lpad(F.hex(F.floor(x * 255).cast("int")), 2, "0")))
+        return F.concat(F.lit("#"), F.array_join(signs, ""))
+
+    mix = _let(mixed, a=_hsv(a), b=_hsv(b))
+    six = _let(lambda m: F.struct(((m["m"]["h"] - F.floor(m["m"]["h"])) * 6).alias("x"), m["m"]["s"].alias("s"), m["m"]["v"].alias("v")), m=mix)
+    return _let(lambda c: spelled(c["c"]), c=_let(lambda x: sextants(x["x"]), x=six))
+
+
+def places(name: Column, ident: Column) -> dict[str, Column]:
+    """Names made from one: land, town, river, mountain, and a full title, whose form the id picks."""
+    title = F.when(ident % 3 == 0, F.concat(F.lit("Kingdom of "), name)).when(ident % 3 == 1, F.concat(name, F.lit(" Republic"))).otherwise(F.concat(F.lit("Grand Duchy of "), name))
+    return {"land": with_suffix(name, F.lit("ia")), "burg": with_suffix(name, F.lit("ton")), "river": F.concat(name, F.lit(" River")), "mountain": F.concat(F.lit("Mount "), name), "title": title}

@@ -39,15 +39,16 @@ def drain(stream: DataFrame, table: str, mode: str = "complete") -> DataFrame:
 
 
 def keep_current(edits: DataFrame, path: str, checkpoint: str):
-    """Start the fold into a Parquet table: each batch's last edits are merged with the state and written anew."""
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        last = batch.where("op <> 'noop'").groupBy("cell_id").agg(F.max_by(F.struct("edit_id", "op", "delta"), "edit_id").alias("e")).select("cell_id", "e.edit_id", "e.op", "e.delta")
-        if number:
-            old = spark.read.parquet(f"{path}/state-{number - 1}")
-            both = old.unionByName(last).groupBy("cell_id").agg(F.max_by(F.struct("edit_id", "op", "delta"), "edit_id").alias("e"))
-            last = both.select("cell_id", "e.edit_id", "e.op", "e.delta")
-        last.write.mode("overwrite").parquet(f"{path}/state-{number}")  # a batch that is run again writes the same
-
-    return edits.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Start the fold into a folder: each batch adds its last edits by cell; what is there is never written anew."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        # a batch that is run again writes the same
+        latest_by_cell(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return edits.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The last edit of each cell, of all batches so far."""
+    last = spark.read.parquet(path).groupBy("cell_id").agg(F.max_by(F.struct("edit_id", "op", "delta"), "edit_id").alias("e"))
+    return last.select("cell_id", "e.edit_id", "e.op", "e.delta")
