@@ -51,8 +51,8 @@ MIN_POINTS = 10
 SLOTS, LOAD = 4, 0.8
 #: References for which a shard is made, and the share of slots beyond which its filter is built anew.
 SHARD_KEYS, FULL = 1 << 18, 0.9
-#: Folders of counts; lookups in up to so many shards read only theirs.
-FOLDERS, NAMED = 256, 1000
+#: Folders of counts; lookups read only those of their shards.
+FOLDERS = 256
 #: Blocks in which deduplicated() inserts.
 BLOCKS = 2
 
@@ -184,7 +184,7 @@ _SCHEMAS = {
     "ids": "doc_id long, here boolean",
     "counts": "shard int, h long, l long, n_docs long, holder long, new boolean, folder int",
     "filters": "shard int, data binary",
-    "log": "place int, version string, removes boolean, shards int, rows long",
+    "log": "place int, version string, removes boolean, shards int",
 }
 
 
@@ -193,11 +193,11 @@ class LineIndex:
 
     def __init__(self, spark: SparkSession, path: str, version: str | None = None):
         self.spark, self.path = spark, path
-        #: (version, whether it removes, shards, rows of refs), oldest first
+        #: (version, whether it removes, shards), oldest first
         self.log = [tuple(r)[1:] for r in self._read("log", version).orderBy("place").collect()] if version else []
         self.version = version
         self.shards = self.log[-1][2] if self.log else None
-        #: Keys that the last change looked up, and the folders of counts that it read for them (None: all).
+        #: Keys that the last change looked up, and the folders of counts that it read for them.
         self.lookups, self.folders = 0, None
 
     def _read(self, name: str, version: str) -> DataFrame:
@@ -230,7 +230,7 @@ class LineIndex:
         return rows.where("n_docs > 0").select("shard", "folder", *_KEY, "n_docs", "holder")
 
     def filters(self) -> DataFrame:
-        return self._all("filters").groupBy("shard").agg(F.max_by("data", "place").alias("data"))
+        return self._all("filters").where("data IS NOT NULL").groupBy("shard").agg(F.max_by("data", "place").alias("data"))
 
     def _sharded(self, rows: DataFrame, shards: int) -> DataFrame:
         return rows.withColumn("shard", F.pmod("l", F.lit(shards)).cast("int"))
@@ -254,22 +254,20 @@ class LineIndex:
         here = F.lit(True).alias("here")
         self._write(fresh.select(*_KEY, "doc_id", here), "refs", version)
         self._write(own.select("doc_id", here), "ids", version)
-        rows = self._read("refs", version).count()
-        shards = self.shards or max(1, -(-rows // SHARD_KEYS))
+        shards = self.shards or max(1, -(-self._read("refs", version).count() // SHARD_KEYS))
         delta = self._sharded(self._read("refs", version).groupBy(*_KEY).agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("holder")), shards)
         lookups, folders = 0, None
         if self.log:
             asked = self._asked(delta).checkpoint()
             known = asked.where("known")
-            lookups = known.count()
-            old, folders = self._looked_up(known)
+            old, folders, lookups = self._looked_up(known)
             old = old.select(*_KEY, F.col("n_docs").alias("_n"), F.col("holder").alias("_first"))
             met = known.join(old, _KEY, "left").select("shard", *_KEY, (F.col("n_docs") + F.coalesce("_n", F.lit(0))).alias("n_docs"), F.least("holder", "_first").alias("holder"), F.col("_n").isNull().alias("new"))
             delta = asked.where("NOT known").select("shard", *_KEY, "n_docs", "holder", F.lit(True).alias("new")).unionByName(met)
         else:
             delta = delta.withColumn("new", F.lit(True))
         self._write(delta.withColumn("folder", F.col("shard") % FOLDERS), "counts", version)
-        return self._changed(version, False, shards, rows, lookups, folders)
+        return self._changed(version, False, shards, lookups, folders)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Remove all references of the documents in doc_ids (column doc_id)."""
@@ -283,18 +281,17 @@ class LineIndex:
         self._write(self.ids().join(wanted, "doc_id", "left_semi").select("doc_id", here), "ids", version)
         gone = self._read("refs", version)
         lost = self._sharded(gone.groupBy(*_KEY).agg(F.count("*").alias("lost")), self.shards).checkpoint()
-        lookups = lost.count()
-        old, folders = self._looked_up(lost)
+        old, folders, lookups = self._looked_up(lost)
         left = lost.join(old.drop("shard"), _KEY).select("shard", "folder", *_KEY, (F.col("n_docs") - F.col("lost")).alias("n_docs"))
         kept = self.refs().join(lost, _KEY, "left_semi").join(gone, [*_KEY, "doc_id"], "left_anti").groupBy(*_KEY).agg(F.min("doc_id").alias("holder"))
         self._write(left.join(kept, _KEY, "left").withColumn("new", F.lit(False)), "counts", version)
-        return self._changed(version, True, self.shards, 0, lookups, folders)
+        return self._changed(version, True, self.shards, lookups, folders)
 
-    def _looked_up(self, keys: DataFrame) -> tuple[DataFrame, list[int] | None]:
-        """Counts in the folders of the shards of keys, and these folders if they are few enough to be named."""
-        shards = keys.select((F.col("shard") % FOLDERS).cast("int").alias("f")).distinct().limit(NAMED).collect()  # FOLDERS rows at most
-        folders = sorted(r.f for r in shards)
-        return self.counts().where(F.col("folder").isin(folders) if folders else F.lit(False)), folders
+    def _looked_up(self, keys: DataFrame) -> tuple[DataFrame, list[int], int]:
+        """Counts in the folders of the shards of keys, these folders, and the number of keys."""
+        found = keys.groupBy((F.col("shard") % FOLDERS).cast("int").alias("f")).agg(F.count("*").alias("n")).collect()  # FOLDERS rows at most
+        folders = sorted(r.f for r in found)
+        return self.counts().where(F.col("folder").isin(folders) if folders else F.lit(False)), folders, sum(r.n for r in found)
 
     def _asked(self, keys: DataFrame) -> DataFrame:
         """keys (shard, h, l, n_docs, holder) with `known`: what the filters say of them."""
@@ -307,7 +304,7 @@ class LineIndex:
         rows = keys.select("shard", *_KEY, "n_docs", "holder")
         return rows.groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInArrow(ask, "shard int, h long, l long, n_docs long, holder long, known boolean")
 
-    def _changed(self, version: str, removes: bool, shards: int, rows: int, lookups: int, folders) -> LineIndex:
+    def _changed(self, version: str, removes: bool, shards: int, lookups: int, folders) -> LineIndex:
         """Writes the filters of the shards whose keys came or went, and the log."""
         keys = self._read("counts", version).where("n_docs = 0" if removes else "new").select("shard", "h")
 
@@ -330,17 +327,15 @@ class LineIndex:
             return pa.table({"shard": t.column("shard")[:1], "data": pa.array([f.dump()], pa.binary())})
 
         schema = _SCHEMAS["filters"]
-        done = keys.groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInArrow(change, schema).checkpoint()
-        log = [*self.log, (version, removes, shards, rows)]
+        self._write(keys.groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInArrow(change, schema), "filters", version)
         new = LineIndex(self.spark, self.path)
-        new.log, new.version, new.shards, new.lookups, new.folders = log, version, shards, lookups, folders
-        over = done.where("data IS NULL").select("shard")
-        built = done.where("data IS NOT NULL")
-        if not over.isEmpty():
+        new.log = [*self.log, (version, removes, shards)]
+        new.version, new.shards, new.lookups, new.folders = version, shards, lookups, folders
+        over = self._read("filters", version).where("data IS NULL").select("shard")
+        if not removes and not over.isEmpty():
             again = new.counts().select("shard", "h").join(over, "shard", "left_semi")
-            built = built.unionByName(again.groupBy("shard").applyInArrow(build, schema))
-        self._write(built, "filters", version)
-        self._write(self.spark.createDataFrame([(i, *v) for i, v in enumerate(log)], _SCHEMAS["log"]).coalesce(1), "log", version)
+            again.groupBy("shard").applyInArrow(build, schema).write.mode("append").parquet(f"{self.path}/filters-{version}")
+        self._write(self.spark.createDataFrame([(i, *v) for i, v in enumerate(new.log)], _SCHEMAS["log"]).coalesce(1), "log", version)
         return new
 
     def decisions(self) -> DataFrame:

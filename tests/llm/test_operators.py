@@ -70,6 +70,9 @@ def test_language_profiles(spark):
     assert got[1][0] == got[3][0] == "en" and got[2][0] == got[4][0] == "xx"
     assert got[5] == got[6] == ("und", 0.0)
     assert got[7] == ("en", 0.0)  # nothing in common: the first name
+    long_ = frame(spark, [(1, (xx + " ") * 3000, None), (2, (en + " ") * 3000, None)])  # 80 and 110 KB
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(long_, language_id.train_profiles(docs)).collect()} == {1: "xx", 2: "en"}
+    assert "WindowGroupLimit" in language_id.train_profiles(docs)._jdf.queryExecution().toString()
     assert all(0 <= s <= 1 for _, s in got.values())
 
 
