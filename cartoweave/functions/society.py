@@ -95,14 +95,54 @@ def culture_cost(people: Column, height: Column, distance: Column) -> Column:
     return F.greatest(cost, F.lit(0.0))
 
 
-def state_cost(same_culture: Column, height: Column, suitability: Column, movement: Column, same_biome: Column, type_: Column) -> Column:
-    """Of expanding a state into a cell, by the state's type; whole numbers."""
+# What a state's type multiplies or adds.  Of another culture; of land where nobody can live; of
+# distance, as a divisor; of water; of heights, from the least height on and below all; on a coast, next to it, inland.
+FOREIGN = {"Naval": 70.0, "Highland": 130.0}
+BARREN = {"Nomadic": 3000.0, "Highland": 4000.0}
+REACH = {"Nomadic": 100.0, "Highland": 30.0, "Naval": 80.0}
+WATER = {"Naval": 150, "River": 800, "Lake": 600, "Highland": 2000, "Nomadic": 10000}
+HEIGHTS = {
+    "Highland": ((80, 0), (62, 50), (40, 200), (0, 800)),
+    "Naval": ((80, 1500), (62, 800), (40, 200), (0, 0)),
+    "River": ((80, 1200), (62, 600), (40, 100), (30, 0), (0, 300)),
+    "Nomadic": ((80, 1800), (62, 900), (40, 300), (0, 0)),
+    "Lake": ((80, 1000), (62, 400), (40, 100), (0, 50)),
+    "Generic": ((80, 1200), (62, 600), (44, 200), (0, 0)),
+}
+SHORES = {"Naval": (0, 30, 100), "Lake": (0, 0, 100), "Nomadic": (60, 30, 0), "Generic": (20, 0, 0)}
+SEA_CROSSING, OTHER_CULTURE, OTHER_BARREN, OTHER_REACH = 1000, 100.0, 5000.0, 50.0
+
+
+def _by_type(type_: Column, values: dict, rest, f=lambda v: v) -> Column:
+    out = None
+    for name, v in values.items():
+        if name != "Generic":
+            out = F.when(type_ == name, f(v)) if out is None else out.when(type_ == name, f(v))
+    return out.otherwise(f(rest))
+
+
+def state_cost(same_culture: Column, height: Column, suitability: Column, movement: Column, same_biome: Column, type_: Column, on_river: Column, flux: Column, coast: Column, distance: Column) -> Column:
+    """Of expanding a state into a cell, by the state's type: culture, people, biome, height, river, shore and the way from its centre; at least 0.
+
+    coast is the distance field; distance that from the centre; flux counts on rivers alone.
+    """
     is_ = lambda *t: type_.isin(*t)
-    culture = F.when(same_culture, F.when(is_("Highland", "Nomadic"), -13).otherwise(-9)).otherwise(F.when(is_("Naval"), 70).when(is_("Highland"), 130).otherwise(100))
-    land = F.when(height < 20, F.when(is_("Naval"), 0).otherwise(200)).when(suitability > 0, F.greatest(20 - suitability, F.lit(0))).otherwise(F.when(is_("Nomadic"), 3000).when(is_("Highland"), 4000).otherwise(5000))
-    biome = F.when(same_biome, 10).when(is_("Nomadic"), movement * 2).otherwise(movement)
-    climb = F.when(height < 20, 0).when(is_("Highland"), F.when(height < 62, 1100).otherwise(0)).when(height >= 67, 2200).when(height >= 44, 300).otherwise(0)
-    return F.greatest(culture + land + biome + climb, F.lit(0)).cast("long")
+    wet = height < 20
+    culture = F.when(same_culture, F.when(is_("Highland", "Nomadic"), -13.5).otherwise(-9.0)).otherwise(_by_type(type_, FOREIGN, OTHER_CULTURE))
+    people = F.greatest(20 - suitability, F.lit(0)) * F.when(is_("River") & on_river, 0.5).otherwise(1.0)
+    land = F.when(wet, F.when(is_("Naval"), 0.0).otherwise(200.0)).when(suitability > 0, people).otherwise(_by_type(type_, BARREN, OTHER_BARREN))
+    biome = F.when(same_biome, 5).when(is_("Nomadic"), movement * 2).otherwise(movement)
+
+    def ladder(steps):
+        out = F.when(height >= steps[0][0], steps[0][1])
+        for least, cost in steps[1:]:
+            out = out.when(height >= least, cost)
+        return out
+
+    climb = F.when(wet, _by_type(type_, WATER, SEA_CROSSING)).otherwise(_by_type(type_, HEIGHTS, HEIGHTS["Generic"], ladder))
+    river = F.when(on_river & ~is_("River"), F.least(F.greatest(F.floor(flux / 10), F.lit(20)), F.lit(100))).otherwise(0)
+    shore = F.when(coast <= 0, 0).otherwise(_by_type(type_, SHORES, SHORES["Generic"], lambda v: F.when(coast == 1, v[0]).when(coast == 2, v[1]).otherwise(v[2])))
+    return F.greatest(culture + land + biome + climb + river + shore + distance / _by_type(type_, REACH, OTHER_REACH), F.lit(0.0))
 
 
 def name_base(type_: Column, x: Column, y: Column, width: float, height: float, bases: int) -> Column:

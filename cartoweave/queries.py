@@ -148,7 +148,7 @@ SELECT cell_id AS grid_id, x::DOUBLE AS x, y::DOUBLE AS y, height FROM kept UNIO
 SELECT a.cell_id, round((a.x + b.x) / 2.0::DOUBLE, 1), round((a.y + b.y) / 2.0::DOUBLE, 1), a.height FROM edges e JOIN kept a ON a.cell_id = e.src JOIN kept b ON b.cell_id = e.dst WHERE e.src < e.dst AND abs(a.distance) = 1 AND a.distance = b.distance""")
 def packed_cells(spark, sf):
     c, e = T.cells(spark, sf), T.edges(spark, sf)
-    return generator.packed(c, _distance(spark, sf), e)
+    return generator.packed(c, _distance(spark, sf), e, 1.0)
 
 
 @query("", "SELECT p_size AS base, trim(s) AS name FROM (SELECT p_size, unnest(string_split(p_name, ' ')) AS s FROM part) WHERE trim(s) <> ''")
@@ -212,15 +212,9 @@ def culture_borders(spark, sf):
     return spatial.boundary(T.owners(T.cells(spark, sf)), T.edges(spark, sf), "culture_id")
 
 
-@query("cells", "SELECT cell_id, height, height >= 20 AS is_land FROM cells WHERE cell_id % 3 = 0 AND height NOT BETWEEN 40 AND 60")
-def land_and_water(spark, sf):
-    c = T.cells(spark, sf).where((F.col("cell_id") % 3 == 0) & ~F.col("height").between(40, 60))
-    return c.select("cell_id", "height", (F.col("height") >= T.SEA).alias("is_land"))
-
-
 @query("cells", "SELECT cell_id, height, height >= 20 AS is_land FROM cells")
 def all_land_and_water(spark, sf):
-    """Every cell; land_and_water is the same under two predicates."""
+    """Every cell is land or water."""
     return T.cells(spark, sf).select("cell_id", "height", (F.col("height") >= T.SEA).alias("is_land"))
 
 
@@ -458,12 +452,6 @@ def religion_statistics(spark, sf):
     return o.groupBy("religion_id").agg(F.count("*").alias("area"), split(F.col("town").isNotNull()).alias("urban"), split(F.col("town").isNull()).alias("rural"))
 
 
-@query("cells", "SELECT cell_id, height, row_number() OVER (ORDER BY height DESC, cell_id)::BIGINT AS place FROM cells WHERE height >= 20 ORDER BY height DESC, cell_id LIMIT 500")
-def highest_cells(spark, sf):
-    top = T.cells(spark, sf).where("height >= 20").orderBy(F.desc("height"), "cell_id").limit(500)
-    return top.select("cell_id", "height", F.row_number().over(Window.orderBy(F.desc("height"), "cell_id")).cast("long").alias("place"))  # of 500 rows
-
-
 @query("cells", "SELECT cell_id, height, row_number() OVER (ORDER BY height DESC, cell_id)::BIGINT AS place FROM cells WHERE height >= 20 ORDER BY place")
 def ranked_land(spark, sf):
     """All land, highest first."""
@@ -492,11 +480,6 @@ def river_geometry(spark, sf):
     return a.select("river_id", "n_cells", F.round(F.col("run") * 1.5, 4).alias("length"), F.round(slope, 6).alias("slope"), F.round(G.distance(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")), 4).alias("source_distance"))
 
 
-@query("rivers rain", f"@ {_DISCHARGE}, {_STEPS}, g AS (SELECT river_id, greatest(coalesce(sum(fall) FILTER (WHERE run > 0) / nullif(sum(run), 0), 0.001), 0.001) AS slope FROM s GROUP BY river_id) SELECT river_id, discharge, round(CASE WHEN discharge <= 0 THEN 0.0 ELSE greatest(2.3 * sqrt(discharge) * power(0.001 / slope, 0.2), 1.0) END, 4)::DOUBLE AS width FROM q JOIN g USING (river_id) ORDER BY discharge DESC, river_id LIMIT 1000")
-def widest_rivers(spark, sf):
-    return rivers_by_discharge(spark, sf).limit(1000)
-
-
 @query("rivers rain", f"@ {_DISCHARGE}, {_STEPS}, g AS (SELECT river_id, greatest(coalesce(sum(fall) FILTER (WHERE run > 0) / nullif(sum(run), 0), 0.001), 0.001) AS slope FROM s GROUP BY river_id) SELECT river_id, discharge, round(CASE WHEN discharge <= 0 THEN 0.0 ELSE greatest(2.3 * sqrt(discharge) * power(0.001 / slope, 0.2), 1.0) END, 4)::DOUBLE AS width FROM q JOIN g USING (river_id) ORDER BY discharge DESC, river_id")
 def rivers_by_discharge(spark, sf):
     """All rivers, largest first."""
@@ -876,32 +859,55 @@ def port_positions(spark, sf):
     return s.select("id", x.alias("x"), y.alias("y"))
 
 
-@query("owners", f"""@ {_SCORES}, m AS (SELECT cell_id, state_id, height, ([{', '.join(map(str, E.MOVEMENT))}])[biome + 1] AS movement, biome, score FROM owners JOIN land USING (cell_id) JOIN scores USING (cell_id)),
-t AS (SELECT *, ({_TYPES})[cell_id % 6 + 1] AS type, cell_id % 2 = 0 AS same FROM m)
-SELECT cell_id, greatest(CASE WHEN same THEN CASE WHEN type IN ('Highland', 'Nomadic') THEN -13 ELSE -9 END ELSE CASE type WHEN 'Naval' THEN 70 WHEN 'Highland' THEN 130 ELSE 100 END END
- + CASE WHEN height < 20 THEN CASE type WHEN 'Naval' THEN 0 ELSE 200 END WHEN floor(score) > 0 THEN greatest(20 - floor(score)::BIGINT, 0) ELSE CASE type WHEN 'Nomadic' THEN 3000 WHEN 'Highland' THEN 4000 ELSE 5000 END END
- + CASE WHEN biome = 9 THEN 10 WHEN type = 'Nomadic' THEN movement * 2 ELSE movement END + CASE WHEN height < 20 THEN 0 WHEN type = 'Highland' THEN CASE WHEN height < 62 THEN 1100 ELSE 0 END WHEN height >= 67 THEN 2200 WHEN height >= 44 THEN 300 ELSE 0 END, 0)::BIGINT AS cost FROM t""")
+def _state_cost_sql() -> str:
+    """state_cost() over columns type, same, height, score, movement, same_biome, on_river, flux, coast and far."""
+    by = lambda values, rest, f=str: "CASE type " + " ".join(f"WHEN '{k}' THEN {f(v)}" for k, v in values.items() if k != "Generic") + f" ELSE {f(rest)} END"
+    ladder = lambda steps: "CASE " + " ".join(f"WHEN height >= {h} THEN {c}" for h, c in steps) + " END"
+    shore = lambda v: f"CASE coast WHEN 1 THEN {v[0]} WHEN 2 THEN {v[1]} ELSE {v[2]} END"
+    return f"""greatest((CASE WHEN same THEN CASE WHEN type IN ('Highland', 'Nomadic') THEN -13.5 ELSE -9.0 END ELSE {by(S.FOREIGN, S.OTHER_CULTURE)} END)::DOUBLE
+ + (CASE WHEN height < 20 THEN CASE type WHEN 'Naval' THEN 0.0 ELSE 200.0 END WHEN score > 0 THEN greatest(20 - score, 0) * CASE WHEN type = 'River' AND on_river THEN 0.5 ELSE 1.0 END ELSE {by(S.BARREN, S.OTHER_BARREN)} END)::DOUBLE
+ + CASE WHEN same_biome THEN 5 WHEN type = 'Nomadic' THEN movement * 2 ELSE movement END + CASE WHEN height < 20 THEN {by(S.WATER, S.SEA_CROSSING)} ELSE {by(S.HEIGHTS, S.HEIGHTS["Generic"], ladder)} END
+ + CASE WHEN on_river AND type <> 'River' THEN least(greatest(flux // 10, 20), 100) ELSE 0 END + CASE WHEN coast <= 0 THEN 0 ELSE {by(S.SHORES, S.SHORES["Generic"], shore)} END + far / ({by(S.REACH, S.OTHER_REACH)})::DOUBLE, 0.0::DOUBLE)"""
+
+
+_STATES = f"""{_SCORES}, ds AS ({SQL['distance_field']}), {_RIVERS}, a AS (SELECT land.cell_id, c.x, c.y, culture_id, land.height, ([{', '.join(map(str, E.MOVEMENT))}])[biome + 1] AS movement, biome, floor(score)::BIGINT AS score, precip AS flux, coalesce(on_river, false) AS on_river, distance AS coast
+ FROM owners JOIN land USING (cell_id) JOIN cells c ON c.cell_id = land.cell_id JOIN scores ON scores.cell_id = land.cell_id JOIN ds ON ds.cell_id = land.cell_id LEFT JOIN rc ON rc.cell_id = land.cell_id)"""
+
+
+def _state_land(spark, sf):
+    """Cells with what a state's expansion asks of them."""
+    c = climate_and_biomes(spark, sf).select("cell_id", "height", "biome", F.col("precip").alias("flux")).join(suitability(spark, sf), "cell_id").join(T.owners(T.cells(spark, sf)).select("cell_id", "culture_id"), "cell_id")
+    c = c.join(T.cells(spark, sf).select("cell_id", "x", "y"), "cell_id").join(_distance(spark, sf).select("cell_id", F.col("distance").alias("coast")), "cell_id").join(_on_river(spark, sf), "cell_id", "left")
+    return c.withColumn("on_river", F.coalesce("on_river", F.lit(False)))
+
+
+def _state_cost(same, same_biome, type_, far):
+    return S.state_cost(same, F.col("height"), F.floor("score"), E.pick(E.MOVEMENT, F.col("biome")), same_biome, type_, F.col("on_river"), F.col("flux"), F.col("coast"), far)
+
+
+@query("owners", f"""@ {_STATES}, t AS (SELECT *, ({_TYPES})[cell_id % 6 + 1] AS type, cell_id % 2 = 0 AS same, biome = 9 AS same_biome, sqrt((x * x + y * y)::DOUBLE) AS far FROM a)
+SELECT cell_id, round({_state_cost_sql()}, 4)::DOUBLE AS cost FROM t""")
 def state_costs(spark, sf):
-    c = climate_and_biomes(spark, sf).join(suitability(spark, sf), "cell_id")
+    """What each cell would cost a state of some type whose centre is the map's first cell."""
     type_ = F.element_at(F.array(*[F.lit(t) for t in ("Generic", "Naval", "Highland", "River", "Nomadic", "Hunting")]), (F.col("cell_id") % 6 + 1).cast("int"))
-    cost = S.state_cost(F.col("cell_id") % 2 == 0, F.col("height"), F.floor("score"), E.pick(E.MOVEMENT, F.col("biome")), F.col("biome") == 9, type_)
-    return c.select("cell_id", cost.alias("cost"))
+    far = F.sqrt((F.col("x") * F.col("x") + F.col("y") * F.col("y")).cast("double"))
+    cost = _state_cost(F.col("cell_id") % 2 == 0, F.col("biome") == 9, type_, far)
+    return _state_land(spark, sf).select("cell_id", F.round(cost, 4).alias("cost"))
 
 
-@query("owners edges", f"""@ {_SCORES}, a AS (SELECT cell_id, culture_id, height, ([{', '.join(map(str, E.MOVEMENT))}])[biome + 1] AS movement, biome, floor(score)::BIGINT AS score FROM owners JOIN land USING (cell_id) JOIN scores USING (cell_id)),
-who AS (SELECT cell_id // 97 + 1 AS owner, cell_id AS centre, culture_id AS culture, biome AS home, (cell_id // 97 + 1) % 3 + 1 AS expansionism, ({_TYPES})[(cell_id // 97 + 1) % 6 + 1] AS type FROM a WHERE cell_id % 97 = 13 AND height >= 20),
-costs AS (SELECT owner, cell_id, 10 + greatest(CASE WHEN culture_id = culture THEN CASE WHEN type IN ('Highland', 'Nomadic') THEN -13 ELSE -9 END ELSE CASE type WHEN 'Naval' THEN 70 WHEN 'Highland' THEN 130 ELSE 100 END END
- + CASE WHEN height < 20 THEN CASE type WHEN 'Naval' THEN 0 ELSE 200 END WHEN score > 0 THEN greatest(20 - score, 0) ELSE CASE type WHEN 'Nomadic' THEN 3000 WHEN 'Highland' THEN 4000 ELSE 5000 END END
- + CASE WHEN biome = home THEN 10 WHEN type = 'Nomadic' THEN movement * 2 ELSE movement END + CASE WHEN height < 20 THEN 0 WHEN type = 'Highland' THEN CASE WHEN height < 62 THEN 1100 ELSE 0 END WHEN height >= 67 THEN 2200 WHEN height >= 44 THEN 300 ELSE 0 END, 0)::BIGINT / expansionism::DOUBLE AS cost FROM who, a),
+@query("owners edges", f"""@ {_STATES}, who AS (SELECT cell_id // 97 + 1 AS owner, cell_id AS centre, x AS cx, y AS cy, culture_id AS culture, biome AS home, (cell_id // 97 + 1) % 3 + 1 AS expansionism, ({_TYPES})[(cell_id // 97 + 1) % 6 + 1] AS type FROM a WHERE cell_id % 97 = 13 AND height >= 20),
+asked AS (SELECT owner, cell_id, expansionism, type, culture_id = culture AS same, height, score, movement, biome = home AS same_biome, on_river, flux, coast, sqrt(((x - cx) * (x - cx) + (y - cy) * (y - cy))::DOUBLE) AS far FROM who, a),
+costs AS (SELECT owner, cell_id, 10 + {_state_cost_sql()} / expansionism::DOUBLE AS cost FROM asked),
 x(cell_id, owner, v) USING KEY (cell_id, owner) AS (SELECT centre, owner, 0.0::DOUBLE FROM who UNION SELECT e.dst, x.owner, min(x.v + cost) FROM x JOIN edges e ON e.src = x.cell_id JOIN costs c ON c.cell_id = e.dst AND c.owner = x.owner LEFT JOIN recurring.x r ON r.cell_id = e.dst AND r.owner = x.owner WHERE x.v + cost <= 600 AND e.dst NOT IN (SELECT centre FROM who) AND (r.v IS NULL OR r.v > x.v + cost) GROUP BY e.dst, x.owner)
 SELECT cell_id, round(v, 4) AS cost, owner::BIGINT AS owner FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY v, owner) AS k FROM x) JOIN a USING (cell_id) WHERE k = 1 AND height >= 20""")
 def expanded_states(spark, sf):
     """States with costs of their own, divided by their expansionism, and 10 a step; they cross water but own land."""
-    c = climate_and_biomes(spark, sf).select("cell_id", "height", "biome").join(suitability(spark, sf), "cell_id").join(T.owners(T.cells(spark, sf)).select("cell_id", "culture_id"), "cell_id")
+    c = _state_land(spark, sf).checkpoint()
     owner = F.expr("cell_id div 97") + 1
     type_ = F.element_at(F.array(*[F.lit(t) for t in ("Generic", "Naval", "Highland", "River", "Nomadic", "Hunting")]), (owner % 6 + 1).cast("int"))
-    seeds = c.where("cell_id % 97 = 13 AND height >= 20").select("cell_id", owner.alias("owner"), F.col("culture_id").alias("culture"), F.col("biome").alias("home"), (owner % 3 + 1).alias("expansionism"), type_.alias("type"))
-    cost = S.state_cost(F.col("culture_id") == F.col("culture"), F.col("height"), F.floor("score"), E.pick(E.MOVEMENT, F.col("biome")), F.col("biome") == F.col("home"), F.col("type"))
+    seeds = c.where("cell_id % 97 = 13 AND height >= 20").select("cell_id", owner.alias("owner"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("culture_id").alias("culture"), F.col("biome").alias("home"), (owner % 3 + 1).alias("expansionism"), type_.alias("type"))
+    far = F.sqrt(((F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy"))).cast("double"))
+    cost = _state_cost(F.col("culture_id") == F.col("culture"), F.col("biome") == F.col("home"), F.col("type"), far)
     found = N.expand_by_owner(seeds, c, T.edges(spark, sf), 10 + cost / F.col("expansionism"), 600)
     return found.join(c.where("height >= 20").select("cell_id"), "cell_id").select("cell_id", F.round("cost", 4).alias("cost"), "owner")
 

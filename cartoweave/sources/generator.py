@@ -231,15 +231,15 @@ def boundary_points(spark: SparkSession, width: int, height: int, spacing: int)
     return side(across, a, F.lit(off)).unionAll(side(across, a, F.lit(height + spacing))).unionAll(side(down, F.lit(off), a)).unionAll(side(down, F.lit(width + spacing), a))
 
 
-def packed(cells: DataFrame, distance: DataFrame, edges: DataFrame) -> DataFrame:
+def packed(cells: DataFrame, distance: DataFrame, edges: DataFrame, spacing: float = 0.0) -> DataFrame:
     """grid_id, x, y, height of a packed world: land, coastal water, three quarters of the next ring, and
-    points midway between neighbours on the coast of one kind (from the one with the lesser id)."""
+    points midway between neighbours on the coast of one kind (from the one with the lesser id), at least `spacing` apart."""
     c = cells.join(distance, "cell_id")
     kept = c.where((F.col("height") >= 20) | F.col("distance").isin(-1, -2)).where((F.col("distance") != -2) | (F.col("cell_id") % 4 != 0))
     own = kept.select(F.col("cell_id").alias("grid_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "height")
     shore = kept.where(F.abs("distance") == 1).select("cell_id", "x", "y", "height", "distance")
     there = shore.select(F.col("cell_id").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("distance").alias("d2"))
-    mid = edges.where("src < dst").join(shore, F.col("src") == F.col("cell_id")).join(there, "dst").where("distance = d2")
+    mid = edges.where("src < dst").join(shore, F.col("src") == F.col("cell_id")).join(there, "dst").where("distance = d2").where((F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2 >= spacing * spacing)
     return own.unionAll(mid.select(F.col("cell_id").alias("grid_id"), F.round((F.col("x") + F.col("x2")) / 2, 1).alias("x"), F.round((F.col("y") + F.col("y2")) / 2, 1).alias("y"), "height"))
 
 
@@ -275,6 +275,9 @@ class Alea:
         return self.state[2]
 
 
+TOP, PLACES = 90, 50
+
+
 class Heightmap:
     """Heights 0..100 on a lattice `wide` cells wide, changed by commands."""
 
@@ -339,8 +342,13 @@ class Heightmap:
         n = len(self.h)
         if command in ("Hill", "Pit"):
             for _ in range(self._number(a[0])):
-                blob = self._blob(self._place(a[2], a[3]), self._number(a[1]))
-                self.h += blob if command == "Hill" else -blob
+                top = self._number(a[1])
+                # a hill looks for a place that it won't raise above TOP, PLACES times, and else is left out
+                places = (self._place(a[2], a[3]) for _ in range(PLACES if command == "Hill" else 1))
+                start = next((p for p in places if command == "Pit" or self.h[p] + top <= TOP), None)
+                if start is not None:
+                    blob = self._blob(start, top)
+                    self.h += blob if command == "Hill" else -blob
         elif command in ("Range", "Trough"):
             for _ in range(self._number(a[0])):
                 start = self._place(a[2], a[3])
