@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from bisect import bisect_right
 from collections import defaultdict
@@ -16,6 +15,8 @@ VOWELS = "aeiou"
 SYLLABLE = rf"[^{VOWELS}]*[{VOWELS}]+(?:[lrn][^{VOWELS}](?=[^{VOWELS}])|[^{VOWELS}]+$)?|[^{VOWELS}]+$"
 #: Transitions (base, syllable, next, count) that one worker may hold.
 CHAIN_ROWS = 2_000_000
+#: Groups of the rows of one base, where chains are larger.
+SALTS = 16
 
 
 def split_names(bases: DataFrame, sep: str = ",") -> DataFrame:
@@ -34,49 +35,70 @@ def transitions(names: DataFrame, split: Column | None = None) -> DataFrame:
     return chain.groupBy("base", F.col("t.prev").alias("prev"), F.col("t.next").alias("next")).agg(F.count("*").alias("n"))
 
 
-def walk_names(rows: DataFrame, chain: DataFrame, shortest: int = 4, longest: int = 12, seed: int = 1) -> DataFrame:
-    """rows (id, base) with `name`: a random walk over the chain, from a seed of its own for each id, so it is repeatable.
+def _drawn(seed: int, base, ident, number: int) -> int:
+    """A whole number 0..65535 for each draw, by arithmetic that any SQL engine repeats; bases and ids are whole numbers."""
+    a = ((int(ident) * 421 + number) * 48271 + seed + int(base)) % 2147483647
+    return a * 16807 % 2147483647 // 7 % 65536
 
-    After 20 failed walks the first fitting or else the first syllable of the base stands in.
-    The chain is sent to the workers; its size is checked against CHAIN_ROWS.
-    """
-    if chain.limit(CHAIN_ROWS + 1).count() > CHAIN_ROWS:
-        raise ValueError("the chain is too large for one worker: walk over its bases one at a time")
-    ways: dict = defaultdict(lambda: ([], []))
-    for r in chain.orderBy("base", "prev", "next").collect():
-        options, upto = ways[r.base, r.prev]
-        options.append(r.next)
-        upto.append((upto[-1] if upto else 0) + r.n)
-    ways = dict(ways)
-
-    def one(ident, base) -> str:
-        draws = 0
 
-        def draw(n: int) -> int:
-            nonlocal draws
-            draws += 1
-            return int.from_bytes(hashlib.blake2b(f"{seed}|{base}|{ident}|{draws}".encode(), digest_size=8).digest(), "big") % n
+class Walker:
+    """Walks over the chains of some bases; rows of a chain: base, prev, next, n."""
 
+    def __init__(self, chain, shortest: int, longest: int, seed: int):
+        self.shortest, self.longest, self.seed = shortest, longest, seed
+        self.ways: dict = defaultdict(lambda: ([], []))
+        for base, prev, nxt, n in sorted(chain):
+            options, upto = self.ways[base, prev]
+            options.append(nxt)
+            upto.append((upto[-1] if upto else 0) + n)
+        self.ways = dict(self.ways)
+
+    def name(self, ident, base) -> str:
+        draws = 0
         for _ in range(20):
             word, now = "", ""
             for _ in range(20):
-                if (base, now) not in ways:
+                if (base, now) not in self.ways:
                     break
-                options, upto = ways[base, now]
-                now = options[bisect_right(upto, draw(upto[-1]))]
-                if not now or len(word) + len(now) > longest:
+                options, upto = self.ways[base, now]
+                draws += 1
+                now = options[bisect_right(upto, _drawn(self.seed, base, ident, draws) % upto[-1])]
+                if not now or len(word) + len(now) > self.longest:
                     break
                 word += now
-            if shortest <= len(word) <= longest:
+            if self.shortest <= len(word) <= self.longest:
                 return word
-        options = ways.get((base, ""), ([""], [1]))[0]
-        return next((o for o in options if shortest <= len(o) <= longest), options[0])
+        options = self.ways.get((base, ""), ([""], [1]))[0]
+        return next((o for o in options if self.shortest <= len(o) <= self.longest), options[0])
+
+    def named(self, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"id": rows["id"], "base": rows["base"], "name": [self.name(i, k) for i, k in zip(rows["id"], rows["base"], strict=True)]})
+
+
+def walk_names(rows: DataFrame, chain: DataFrame, shortest: int = 4, longest: int = 12, seed: int = 1) -> DataFrame:
+    """rows (id, base: whole numbers) with `name`: a random walk over the chain, from a seed of its own for each id, so it is repeatable.
+
+    After 20 failed walks the first fitting or else the first syllable of the base stands in.
+    Chains of up to CHAIN_ROWS rows are sent to the workers; larger ones meet the rows by base,
+    those of one base in SALTS groups, each with the base's chain.
+    """
+    schema = rows.select("id", "base").schema.add("name", "string")
+    chain = chain.select("base", "prev", "next", "n")
+    if chain.limit(CHAIN_ROWS + 1).count() <= CHAIN_ROWS:
+        walker = Walker([tuple(r) for r in chain.collect()], shortest, longest, seed)
+
+        def run(batches):
+            for b in batches:
+                yield walker.named(b)
+
+        return rows.select("id", "base").mapInPandas(run, schema)
 
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "base": b["base"], "name": [one(i, k) for i, k in zip(b["id"], b["base"], strict=True)]})
+    def meet(own: pd.DataFrame, ways: pd.DataFrame) -> pd.DataFrame:
+        return Walker(list(ways[["base", "prev", "next", "n"]].itertuples(index=False, name=None)), shortest, longest, seed).named(own)
 
-    return rows.select("id", "base").mapInPandas(run, rows.select("id", "base").schema.add("name", "string"))
+    dealt = rows.select("id", "base", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
+    copies = chain.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return dealt.groupBy("base", "salt").cogroup(copies.groupBy("base", "salt")).applyInPandas(meet, schema)
 
 
 def tidy(name: Column) -> Column:

@@ -566,9 +566,20 @@ def drained_rivers(spark, sf):
     return r.join(d, "cell_id").groupBy("river_id").agg(F.count("*").alias("n_cells"), F.max("flux").alias("discharge"))
 
 
-@query()
+@query("cells edges rain", f"""@ d AS ({SQL['distance_field']}),
+h AS (SELECT c.cell_id, is_border, c.height + CASE WHEN c.height >= 20 THEN any_value(d.distance) / 100.0::DOUBLE + coalesce(avg(o.distance), 0.0::DOUBLE) / 10000.0::DOUBLE ELSE 0.0::DOUBLE END AS height FROM cells c JOIN d USING (cell_id) LEFT JOIN edges e ON e.src = c.cell_id LEFT JOIN d o ON o.cell_id = e.dst GROUP BY c.cell_id, c.height, is_border),
+f(cell_id, v) USING KEY (cell_id) AS (SELECT cell_id, height FROM h WHERE is_border UNION SELECT e.dst, min(greatest(h.height, f.v)) FROM f JOIN edges e ON e.src = f.cell_id JOIN h ON h.cell_id = e.dst LEFT JOIN recurring.f r ON r.cell_id = e.dst WHERE r.v IS NULL OR r.v > greatest(h.height, f.v) GROUP BY e.dst),
+lo AS (SELECT a.cell_id, b.cell_id AS low, row_number() OVER (PARTITION BY a.cell_id ORDER BY b.v, b.cell_id) AS k FROM f a JOIN edges e ON e.src = a.cell_id JOIN f b ON b.cell_id = e.dst WHERE b.v < a.v),
+fl AS (SELECT f.cell_id, coalesce(low, -1) AS "to" FROM f LEFT JOIN lo ON lo.cell_id = f.cell_id AND k = 1),
+walk(origin, node) AS (SELECT cell_id, cell_id FROM fl UNION ALL SELECT w.origin, fl."to" FROM walk w JOIN fl ON fl.cell_id = w.node WHERE fl."to" >= 0),
+big AS (SELECT fl.cell_id, "to", flux FROM fl JOIN (SELECT node AS cell_id, sum(precip)::BIGINT AS flux FROM walk JOIN rain ON rain.cell_id = origin GROUP BY node) USING (cell_id) WHERE flux >= 400),
+main AS (SELECT "to" AS cell_id, arg_min(cell_id, (-flux)::BIGINT * 1000000 + cell_id) AS above FROM big WHERE "to" >= 0 GROUP BY "to"),
+nm(cell_id, river_id) AS (SELECT cell_id, cell_id FROM big WHERE cell_id NOT IN (SELECT cell_id FROM main) UNION ALL SELECT m.cell_id, nm.river_id FROM nm JOIN main m ON m.above = nm.cell_id JOIN big ON big.cell_id = m.cell_id),
+sz AS (SELECT river_id, count(*) AS n_cells, max(flux)::BIGINT AS discharge FROM nm JOIN big USING (cell_id) GROUP BY river_id HAVING count(*) >= 3),
+en AS (SELECT nm.river_id, p.river_id AS parent_id FROM nm JOIN big USING (cell_id) LEFT JOIN main ON main.cell_id = big."to" LEFT JOIN nm p ON p.cell_id = big."to" WHERE main.above IS NULL OR main.above <> big.cell_id OR p.river_id IS NULL)
+SELECT sz.river_id, kept.river_id AS parent_id, sz.n_cells, sz.discharge FROM sz LEFT JOIN en ON en.river_id = sz.river_id LEFT JOIN sz kept ON kept.river_id = en.parent_id""")
 def long_rivers(spark, sf):
-    """Rivers of three cells or more over altered heights; by sums of fractions on a flooded world, so there is no SQL."""
+    """Rivers of three cells or more over altered heights."""
     e = T.edges(spark, sf)
     high = N.altered(T.cells(spark, sf), _distance(spark, sf), e).join(T.precipitation(spark, sf), "cell_id").select("cell_id", "height", "is_border", "precip").checkpoint()
 
@@ -760,11 +771,19 @@ def syllable_chain(spark, sf):
     return names.transitions(rows, s)
 
 
-@query()
+@query("", f"""WITH RECURSIVE ch AS ({SQL['syllable_chain']}), wy AS (SELECT base, prev, next, (sum(n) OVER w)::BIGINT - n AS lo, (sum(n) OVER w)::BIGINT AS hi, (sum(n) OVER (PARTITION BY base, prev))::BIGINT AS total FROM ch WINDOW w AS (PARTITION BY base, prev ORDER BY next)),
+tot AS (SELECT DISTINCT base, prev, total FROM wy), who AS (SELECT c_custkey::BIGINT AS id, (c_custkey % 50 + 1)::INT AS base FROM customer),
+st(id, base, tries, steps, word, now, draws, name) AS (SELECT id, base, 0, 0, '', '', 0::BIGINT, NULL::VARCHAR FROM who UNION ALL
+ SELECT id, base, CASE WHEN over THEN tries + 1 ELSE tries END, CASE WHEN over THEN 0 ELSE steps + 1 END, CASE WHEN over THEN '' ELSE grown END, CASE WHEN over THEN '' ELSE next END, draws, CASE WHEN over AND length(grown) BETWEEN 4 AND 12 THEN grown END
+ FROM (SELECT z.*, wy.next, wy.next IS NULL OR wy.next = '' OR length(word) + length(wy.next) > 12 OR steps = 19 AS over, CASE WHEN wy.next IS NULL OR length(word) + length(wy.next) > 12 THEN word ELSE word || wy.next END AS grown
+  FROM (SELECT st.id, st.base, tries, steps, word, now, draws + CASE WHEN total IS NULL THEN 0 ELSE 1 END AS draws, ((((st.id * 421 + draws + 1) * 48271 + 1 + st.base) % 2147483647 * 16807 % 2147483647) // 7 % 65536) % total AS pick FROM st LEFT JOIN tot ON tot.base = st.base AND tot.prev = st.now WHERE name IS NULL AND tries < 20) z
+  LEFT JOIN wy ON wy.base = z.base AND wy.prev = z.now AND pick >= wy.lo AND pick < wy.hi)),
+fb AS (SELECT base, coalesce(min(next) FILTER (WHERE length(next) BETWEEN 4 AND 12), min(next)) AS name FROM wy WHERE prev = '' GROUP BY base)
+SELECT who.id, who.base, coalesce(any_value(st.name), any_value(fb.name), '') AS name FROM who JOIN st USING (id) LEFT JOIN fb ON fb.base = who.base GROUP BY who.id, who.base""")
 def generated_names(spark, sf):
-    """Walks over the chain, seeded by id; random, so there is no SQL."""
+    """Walks over the chain of syllables, from a seed of each id."""
     rows = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 50 + 1).cast("int").alias("base"))
-    return names.walk_names(rows, names.transitions(name_lists(spark, sf)))
+    return names.walk_names(rows, syllable_chain(spark, sf))
 
 
 @query("", "SELECT n_nationkey AS id, CASE WHEN regexp_matches(lower(right(n_name, 1)), '[aeiou]') THEN substr(n_name, 1, length(n_name) - 1) ELSE n_name END || 'ia' AS land, upper(substr(n_name, 1, 2)) AS code, '#' || lower(printf('%02X', (n_nationkey * 9) // 2 + 128)) || '4080' AS color FROM nation")

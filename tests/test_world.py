@@ -426,6 +426,14 @@ def test_worlds_without_sql(spark, sf):
     assert all(math.dist(at[a], at[b]) >= 6 for a, b in itertools.combinations(s, 2))
 
 
+def test_names_of_large_chains(spark, monkeypatch):
+    chain = spark.createDataFrame([(b, p, n, k) for b in (1, 2) for p, n, k in (("", "ka", 3), ("", "mo", 1), ("ka", "ri", 2), ("ka", "", 1), ("mo", "ka", 1), ("ri", "mo", 2), ("ri", "", 2))], "base int, prev string, next string, n long")
+    rows = spark.range(300).select("id", (F.col("id") % 3 + 1).cast("int").alias("base"))  # base 3 has no chain
+    want = {r.id: r.name for r in names.walk_names(rows, chain).collect()}
+    monkeypatch.setattr(names, "CHAIN_ROWS", 3)
+    assert {r.id: r.name for r in names.walk_names(rows, chain).collect()} == want and len(set(want.values())) > 5
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
