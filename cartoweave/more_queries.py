@@ -340,3 +340,21 @@ def largest_by_culture(spark, sf):
     w = Window.partitionBy("culture_id").orderBy(F.desc("population"), "id")
     s = T.settlements(spark, sf).select("culture_id", "id", "population")
     return s.withColumn("rank", F.row_number().over(w)).where("rank <= 3")
+
+
+_SPREAD = "1 + greatest(CASE WHEN height >= 60 THEN 20.0 ELSE -least((100 - height) / 10.0 * 5, 30.0) END::DOUBLE + CASE WHEN height > 70 THEN 50 WHEN height > 50 THEN 10 ELSE 0 END + sqrt(((x - cx) * (x - cx) + (y - cy) * (y - cy))::DOUBLE) / 50, 0.0::DOUBLE)"
+
+
+@query("cells edges", f"""@ who AS (SELECT cell_id // 97 + 1 AS owner, cell_id AS centre, x AS cx, y AS cy FROM cells WHERE cell_id % 97 = 13 AND height >= 20),
+costs AS (SELECT owner, cell_id, {_SPREAD} AS cost FROM who, cells WHERE height >= 20 AND cell_id NOT IN (SELECT centre FROM who)),
+x(cell_id, owner, v) USING KEY (cell_id, owner) AS (SELECT centre, owner, 0.0::DOUBLE FROM who UNION SELECT e.dst, x.owner, min(x.v + cost) FROM x JOIN edges e ON e.src = x.cell_id JOIN costs c ON c.cell_id = e.dst AND c.owner = x.owner LEFT JOIN recurring.x r ON r.cell_id = e.dst AND r.owner = x.owner WHERE x.v + cost <= 90 AND (r.v IS NULL OR r.v > x.v + cost) GROUP BY e.dst, x.owner)
+SELECT cell_id, round(v, 4) AS cost, owner::BIGINT AS owner FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY v, owner) AS k FROM x) WHERE k = 1""")
+def spread_cultures(spark, sf):
+    """Cultures with costs of their own: by the people that a cell can feed, its height, and its distance from the culture's centre."""
+    c = T.cells(spark, sf).select("cell_id", "x", "y", "height")
+    seeds = c.where("cell_id % 97 = 13 AND height >= 20").select("cell_id", (F.expr("cell_id div 97") + 1).alias("owner"), F.col("x").alias("cx"), F.col("y").alias("cy"))
+    people = F.when(F.col("height") >= 60, 0.0).otherwise((100 - F.col("height")) / 10.0)
+    dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
+    cost = S.culture_cost(people, F.col("height"), F.sqrt((dx * dx + dy * dy).cast("double")))
+    found = N.expand_by_owner(seeds, c, T.edges(spark, sf), F.when(F.col("height") >= 20, 1 + cost), 90)
+    return found.select("cell_id", F.round("cost", 4).alias("cost"), "owner")
