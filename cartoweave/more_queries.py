@@ -13,7 +13,7 @@ from cartoweave.functions import geometry as G
 from cartoweave.functions import society as S
 from cartoweave.operators import edits as D
 from cartoweave.operators import graph as N
-from cartoweave.operators import names
+from cartoweave.operators import names, voronoi
 from cartoweave.plans.components import ensure_checkpoint_dir
 from cartoweave.queries import SQL, WORLD, _distance, _on_river, climate_and_biomes, edited_heights, feature_cells, havens, packed_cells, query, suitability
 from cartoweave.sources import generator, store
@@ -358,3 +358,71 @@ def spread_cultures(spark, sf):
     cost = S.culture_cost(people, F.col("height"), F.sqrt((dx * dx + dy * dy).cast("double")))
     found = N.expand_by_owner(seeds, c, T.edges(spark, sf), F.when(F.col("height") >= 20, 1 + cost), 90)
     return found.select("cell_id", F.round("cost", 4).alias("cost"), "owner")
+
+
+# The cell graph of jittered points: Voronoi cells of a map of 1000 by 600 with as many points as the world has cells
+
+
+def _jitter(salt: int) -> str:
+    return f"((((id * 48271 + {salt}) % 2147483647 * 16807 % 2147483647) // 7 % 65536) / 65535.0::DOUBLE * 2 - 1) * s * 0.45"
+
+
+_POINTS = f"""{WORLD['n']}, g AS (SELECT *, ceil((1000 - s / 2) / s)::BIGINT AS nx, ceil((600 - s / 2) / s)::BIGINT AS ny, -round_even(s, 0)::BIGINT AS o FROM (SELECT round(sqrt(600000 / n::DOUBLE), 2) AS s FROM n)),
+rim AS (SELECT *, ceil((1000 - 2 * o) / (2 * s))::BIGINT - 1 AS rx, ceil((600 - 2 * o) / (2 * s))::BIGINT - 1 AS ry FROM g),
+across AS (SELECT i, ceil((1000 - 2 * o) * (i + 0.5) / rx + o) AS v FROM (SELECT *, unnest(range(rx)) AS i FROM rim)), down AS (SELECT i, ceil((600 - 2 * o) * (i + 0.5) / ry + o) AS v FROM (SELECT *, unnest(range(ry)) AS i FROM rim)),
+outer_ AS (SELECT -1 - i AS cell_id, v::DOUBLE AS x, o::DOUBLE AS y FROM across, rim UNION ALL SELECT -1 - i - rx, v::DOUBLE, 600 - o FROM across, rim UNION ALL SELECT -1 - i - 2 * rx, o, v FROM down, rim UNION ALL SELECT -1 - i - 2 * rx - ry, 1000 - o, v FROM down, rim),
+own0 AS MATERIALIZED (SELECT id AS cell_id, round(least(1000.0, greatest(0.0, s / 2 + (id % nx) * s + {_jitter(7)})), 2)::DOUBLE AS x, round(least(600.0, greatest(0.0, s / 2 + (id // nx) * s + {_jitter(984)})), 2)::DOUBLE AS y FROM (SELECT *, unnest(range(nx * ny)) AS id FROM g))"""
+
+
+def _voronoi(k: int) -> str:
+    """sides{k}: the edges of the cells of own{k}, each the part of a bisector that all points within four spacings leave."""
+    return f"""all{k} AS (SELECT *, false AS is_edge FROM own{k} UNION ALL SELECT *, true FROM outer_),
+near{k} AS MATERIALIZED (SELECT a.cell_id AS a, a.x, a.y, b.cell_id AS b, b.is_edge, b.x - a.x AS bx, b.y - a.y AS by_ FROM own{k} a JOIN all{k} b ON a.cell_id <> b.cell_id AND b.x BETWEEN a.x - 4 * (SELECT s FROM g) AND a.x + 4 * (SELECT s FROM g) AND b.y BETWEEN a.y - 4 * (SELECT s FROM g) AND a.y + 4 * (SELECT s FROM g)),
+bound{k} AS (SELECT p.*, d.b AS d, p.bx * d.by_ - p.by_ * d.bx AS turn, (d.bx * d.bx + d.by_ * d.by_ - p.bx * d.bx - p.by_ * d.by_) / 2 AS room FROM near{k} p JOIN near{k} d ON d.a = p.a AND d.b <> p.b),
+ends{k} AS (SELECT a, b, any_value(is_edge) AS is_edge, any_value(x) AS x, any_value(y) AS y, any_value(bx) AS bx, any_value(by_) AS by_, max(room / turn) FILTER (turn < 0) AS lo, min(room / turn) FILTER (turn > 0) AS hi, arg_max(d, room / turn) FILTER (turn < 0) AS dlo, arg_min(d, room / turn) FILTER (turn > 0) AS dhi FROM bound{k} GROUP BY a, b HAVING NOT bool_or(turn = 0 AND room < 0)),
+sides{k} AS MATERIALIZED (SELECT *, bx / 2 - lo * by_ AS px, by_ / 2 + lo * bx AS py, bx / 2 - hi * by_ AS qx, by_ / 2 + hi * bx AS qy FROM ends{k} WHERE hi - lo > 1e-9)"""
+
+
+def _centred(k: int) -> str:
+    """own{k + 1}: the points of own{k} at the centroids of their cells."""
+    at = lambda v, n, p, q: f"least({n}.0::DOUBLE, greatest(0.0::DOUBLE, any_value({v}) + sum(({p} + {q}) * (px * qy - py * qx)) / (3 * sum(px * qy - py * qx)))) AS {v}"
+    return f"own{k + 1} AS MATERIALIZED (SELECT a AS cell_id, {at('x', 1000, 'px', 'qx')}, {at('y', 600, 'py', 'qy')} FROM sides{k} GROUP BY a)"
+
+
+_CELLS = f"WITH {_POINTS}, {_voronoi(0)}"
+
+
+def _grid(spark, sf):
+    s = generator.spacing_of(1000, 600, T.count_cells(spark, sf))
+    return generator.grid_points(spark, 1000, 600, s, 7), s
+
+
+@query("", f"""{_CELLS} SELECT a AS cell_id, round(any_value(x), 4) AS x, round(any_value(y), 4) AS y, count(*) AS n_corners, bool_or(is_edge) AS is_border, round(sum(px * qy - py * qx) / 2, 4) AS area,
+round(any_value(x) + sum((px + qx) * (px * qy - py * qx)) / (3 * sum(px * qy - py * qx)), 4) AS cx, round(any_value(y) + sum((py + qy) * (px * qy - py * qx)) / (3 * sum(px * qy - py * qx)), 4) AS cy FROM sides0 GROUP BY a""")
+def voronoi_cells(spark, sf):
+    found = voronoi.cells(*_grid(spark, sf))
+    return found.select("cell_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.size("corners").cast("long").alias("n_corners"), "is_border", *[F.round(v, 4).alias(v) for v in ("area", "cx", "cy")])
+
+
+@query("", f"{_CELLS} SELECT a AS src, b AS dst FROM sides0 WHERE NOT is_edge")
+def voronoi_edges(spark, sf):
+    return voronoi.edges(voronoi.cells(*_grid(spark, sf)))
+
+
+@query("", f"{_CELLS} SELECT v[1] AS a, v[2] AS b, v[3] AS c, round(min(x), 4) AS x, round(min(y), 4) AS y, count(*) AS n_cells FROM (SELECT list_sort([a, b, dhi]) AS v, x + qx AS x, y + qy AS y FROM sides0) GROUP BY v")
+def voronoi_vertices(spark, sf):
+    found = voronoi.vertices(voronoi.cells(*_grid(spark, sf)))
+    return found.select("a", "b", "c", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.size("cells").cast("long").alias("n_cells"))
+
+
+@query("", f"{_CELLS}, e AS (SELECT array_to_string(list_sort([a, b, dlo]), ' ') AS src, array_to_string(list_sort([a, b, dhi]), ' ') AS dst FROM sides0) SELECT src, dst FROM e UNION SELECT dst, src FROM e")
+def voronoi_vertex_edges(spark, sf):
+    found = voronoi.vertex_edges(voronoi.cells(*_grid(spark, sf)))
+    return found.select(F.array_join(F.col("src").cast("array<string>"), " ").alias("src"), F.array_join(F.col("dst").cast("array<string>"), " ").alias("dst"))
+
+
+@query("", f"WITH {_POINTS}, {', '.join(f'{_voronoi(k)}, {_centred(k)}' for k in range(3))} SELECT cell_id, round(x, 4) AS x, round(y, 4) AS y FROM own3")
+def relaxed_points(spark, sf):
+    """Three rounds of Lloyd's relaxation."""
+    points, s = _grid(spark, sf)
+    return voronoi.relaxed(points, s, 1000, 600).where("NOT is_edge").select("cell_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))

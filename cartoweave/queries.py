@@ -119,7 +119,7 @@ def jittered_grid(spark, sf):
 
 @query("", "SELECT ceil(1020 * (i + 0.5) / 50 - 10)::BIGINT AS x, y::BIGINT AS y FROM range(50) t(i), (VALUES (-10), (610)) v(y) UNION ALL SELECT x::BIGINT, ceil(620 * (i + 0.5) / 30 - 10)::BIGINT FROM range(30) t(i), (VALUES (-10), (1010)) v(x)")
 def boundary_points(spark, sf):
-    return generator.boundary_points(spark, 1000, 600, 10)
+    return generator.boundary_points(spark, 1000, 600, 10).select("x", "y")
 
 
 @query("edges", "SELECT src, dst FROM edges")

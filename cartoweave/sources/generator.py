@@ -212,7 +212,7 @@ def scrambled(seed: int, key: Column) -> Column:
     return F.floor((a * 16807) % 2147483647 / 7).cast("long") % 65536
 
 
-def jittered_grid(spark: SparkSession, width: int, height: int, spacing: int, seed: int) -> DataFrame:
+def jittered_grid(spark: SparkSession, width: int, height: int, spacing: float, seed: int) -> DataFrame:
     """cell_id, x, y: the middle of each square, moved by at most 0.45 of the spacing, two places, inside the map."""
     nx, ny = math.ceil((width - spacing / 2) / spacing), math.ceil((height - spacing / 2) / spacing)
     i = F.col("id")
@@ -220,15 +220,28 @@ def jittered_grid(spark: SparkSession, width: int, height: int, spacing: int, se
     return spark.range(nx * ny).select(i.alias("cell_id"), at(i % nx, width, 0).alias("x"), at(F.expr(f"id div {nx}"), height, 977).alias("y"))
 
 
-def boundary_points(spark: SparkSession, width: int, height: int, spacing: int) -> DataFrame:
-    """x, y of points around the map, one spacing outside it and two spacings apart."""
-    off, step = -spacing, 2 * spacing
-    nx, ny = math.ceil((width + 2 * spacing) / step) - 1, math.ceil((height + 2 * spacing) / step) - 1
-    across = spark.range(nx).select(F.ceil((width + 2 * spacing) * (F.col("id") + 0.5) / nx + off).alias("a"))
-    down = spark.range(ny).select(F.ceil((height + 2 * spacing) * (F.col("id") + 0.5) / ny + off).alias("a"))
-    side = lambda d, x, y: d.select(x.cast("long").alias("x"), y.cast("long").alias("y"))
+def boundary_points(spark: SparkSession, width: int, height: int, spacing: float) -> DataFrame:
+    """x, y of points around the map, one spacing (rounded) outside it and two spacings apart; id numbers them."""
+    off, step = -round(spacing), 2 * spacing
+    w, h = width - 2 * off, height - 2 * off
+    nx, ny = math.ceil(w / step) - 1, math.ceil(h / step) - 1
+    across = spark.range(nx).select("id", F.ceil(w * (F.col("id") + 0.5) / nx + off).alias("a"))
+    down = spark.range(ny).select("id", F.ceil(h * (F.col("id") + 0.5) / ny + off).alias("a"))
+    side = lambda d, first, x, y: d.select((F.col("id") + first).alias("id"), x.cast("long").alias("x"), y.cast("long").alias("y"))
     a = F.col("a")
-    return side(across, a, F.lit(off)).unionAll(side(across, a, F.lit(height + spacing))).unionAll(side(down, F.lit(off), a)).unionAll(side(down, F.lit(width + spacing), a))
+    top, bottom = side(across, 0, a, F.lit(off)), side(across, nx, a, F.lit(h + off))
+    return top.unionAll(bottom).unionAll(side(down, 2 * nx, F.lit(off), a)).unionAll(side(down, 2 * nx + ny, F.lit(w + off), a))
+
+
+def spacing_of(width: int, height: int, n: int) -> float:
+    """The spacing of a grid of about n points."""
+    return round(math.sqrt(width * height / n), 2)
+
+
+def grid_points(spark: SparkSession, width: int, height: int, spacing: float, seed: int) -> DataFrame:
+    """cell_id, x, y, is_edge: a jittered grid, and the points around it, numbered from -1 down."""
+    own = jittered_grid(spark, width, height, spacing, seed).withColumn("is_edge", F.lit(False))
+    return own.unionAll(boundary_points(spark, width, height, spacing).select((-1 - F.col("id")).alias("cell_id"), F.col("x").cast("double"), F.col("y").cast("double"), F.lit(True)))
 
 
 def packed(cells: DataFrame, distance: DataFrame, edges: DataFrame, spacing: float = 0.0) -> DataFrame:
