@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartoweave.plans.components import connected_components, ensure_checkpoint_dir
-from cartoweave.plans.fixpoint import gather_downstream, settle
+from cartoweave.plans.fixpoint import dealt, gather_downstream, settle
 
 SEA = 20
 #: Cells of a map that one task may take.
@@ -162,7 +162,8 @@ def expand_by_owner(seeds: DataFrame, cells: DataFrame, edges: DataFrame, cost:
     ensure_checkpoint_dir(seeds.sparkSession)
     who = seeds.drop("cell_id")
     centre = seeds.select(F.col("cell_id").alias("dst"), F.lit(True).alias("_seed")).distinct()
-    ahead = edges.join(cells.withColumnRenamed("cell_id", "dst"), "dst").join(centre, "dst", "left").where("_seed IS NULL").drop("_seed").checkpoint()
+    ahead = edges.join(cells.withColumnRenamed("cell_id", "dst"), "dst").join(centre, "dst", "left").where("_seed IS NULL").drop("_seed")
+    ahead = dealt(ahead, "src")
     best = front = seeds.select("cell_id", "owner", F.lit(0.0).alias("value")).checkpoint()
     while True:
         step = front.join(ahead, front.cell_id == ahead.src).drop("cell_id").join(who, "owner").select(F.col("dst").alias("cell_id"), "owner", (F.col("value") + cost).alias("new"))

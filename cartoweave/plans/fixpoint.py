@@ -11,16 +11,34 @@ from pyspark.sql import functions as F
 from cartoweave.plans.components import ensure_checkpoint_dir
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df, cut off as by checkpoint(), dealt and sorted by a key; joins on the key don't shuffle it again.
+
+    Only a plan that was made without adaptive execution keeps its partitioning in a checkpoint, so
+    the setting is off while df is computed.  A key's rows stay in one task: for graphs of bounded degree.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    setting = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        return df.repartition(key).sortWithinPartitions(key).checkpoint()
+    finally:
+        spark.conf.set(setting, before)
+
+
 def settle(start: DataFrame, edges: DataFrame, step: Callable[[Column], Column], on_round: Callable[[int, int], None] | None = None) -> DataFrame:
     """The least value of each node that start (node, value) and steps along edges (src, dst, ...) can reach.
 
     step(value) is the value at dst, from the value at src and the edge's columns; null blocks
     the way.  It must never be less than the value (breadth-first search, minimax flooding and
     cheapest paths all are like that), so the rounds end.  A value may be a struct, whose fields
-    are compared in turn.  Only nodes that improved take part in the next round.
+    are compared in turn.  Only nodes that improved take part in the next round; edges are shuffled once.
     on_round is told each round's number, from 1, and how many nodes it improved.
     """
     ensure_checkpoint_dir(start.sparkSession)
+    edges = dealt(edges, "src")
     best = start.where("value IS NOT NULL").groupBy("node").agg(F.min("value").alias("value")).checkpoint()
     front = best
     for number in count(1):

@@ -526,3 +526,16 @@ def test_short_rivers_go(spark, sf):
     assert {r.river_id for r in N.rivers(flow, flux, 10).collect()} == {1, 7, 9}
     assert values(N.rivers(flow, flux, 10, 3)) == {i: (1, None) for i in (1, 2, 3, 4)}
     assert all(r.n_cells >= 3 for r in QUERIES["long_rivers"](spark, sf).collect())
+
+
+def test_dealt_edges_are_shuffled_once(spark):
+    """Rounds of a fixpoint shuffle what improved, and not the edges."""
+    from cartoweave.plans.fixpoint import dealt
+
+    edges = spark.range(100).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    held = dealt(edges, "src")
+    assert spark.conf.get("spark.sql.adaptive.enabled") == before and held.count() == 100
+    front = spark.range(5).select(F.col("id").alias("node")).hint("merge")
+    plan = front.join(held, front.node == held.src)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Exchange") == 1
