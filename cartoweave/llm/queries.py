@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cartoweave.llm import decontaminate, kneser_ney, language_id, line_dedup, packing, pii, quality_rules, simhash, suffix_dedup, warc
+from cartoweave.llm import decontaminate, kneser_ney, language_id, line_dedup, packing, pii, quality_rules, resampling, simhash, suffix_dedup, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_warc": warc.op9_warc,
     "op10_pii": pii.op10_pii,
+    "op12_resampling": resampling.op12_resampling,
 }
 
 SQL = {
@@ -26,4 +27,5 @@ SQL = {
     "op7_line_dedup": line_dedup.SQL,
     "op8_quality_rules": quality_rules.SQL,
     "op9_warc": warc.SQL,
+    "op12_resampling": resampling.SQL,
 }
