@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cartoweave.llm import decontaminate, kneser_ney, language_id, line_dedup, packing, pii, quality_rules, resampling, simhash, suffix_dedup, warc
+from cartoweave.llm import decontaminate, kneser_ney, language_id, line_dedup, packing, pii, quality_rules, resampling, simhash, suffix_dedup, vector_codes, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_pii": pii.op10_pii,
     "op12_resampling": resampling.op12_resampling,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
 SQL = {
@@ -28,4 +29,5 @@ SQL = {
     "op8_quality_rules": quality_rules.SQL,
     "op9_warc": warc.SQL,
     "op12_resampling": resampling.SQL,
+    "op13_vector_codes": vector_codes.SQL,
 }
