@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cartoweave.llm import decontaminate, kneser_ney, language_id, line_dedup, packing, pii, quality_rules, resampling, simhash, suffix_dedup, vector_codes, warc
+from cartoweave.llm import decontaminate, html_text, kneser_ney, language_id, line_dedup, packing, pii, quality_rules, resampling, simhash, suffix_dedup, vector_codes, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_warc": warc.op9_warc,
     "op10_pii": pii.op10_pii,
+    "op11_html_text": html_text.op11_html_text,
     "op12_resampling": resampling.op12_resampling,
     "op13_vector_codes": vector_codes.op13_vector_codes,
 }
