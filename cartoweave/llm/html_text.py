@@ -176,7 +176,10 @@ def blocks_of(text: str) -> list[Block]:
                 if tag == "hr":
                     flush()
             continue
-        gone, article, label = _reads(tag, m[3], inside > 0) if m[3] or tag in DROPPED or tag in ("article", "main", "header") else (False, False, tag)
+        if dropped or not (m[3] or tag in DROPPED or tag in ("article", "main", "header")):
+            gone, article, label = False, False, tag
+        else:
+            gone, article, label = _reads(tag, m[3], inside > 0)
         is_block = tag not in INLINE
         if not is_block and not gone:
             continue
