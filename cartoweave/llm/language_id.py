@@ -10,7 +10,7 @@ Text is lower-cased, everything but letters becomes one blank, and a blank is pu
 end.  An n-gram is its code points in 21-bit fields of one 64-bit integer, so the keys are
 exact.  Counts are made per batch, merged by Spark, and ranked there: tasks hand on no more than
 PROFILE types a language to the one that ranks it.  Only the profiles (PROFILE rows a language)
-come to the driver; more than LANGUAGES learned names, which are no languages, are an error.
+come to the driver, those of LANGUAGES languages at a time; more of them take as many passes over the documents.
 
 Null or empty texts and texts without a letter: 'und', score 0.  No learned language (empty
 table, or lang null throughout): 'und', score 0.  Equal counts rank by the n-gram's key.
@@ -28,9 +28,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartoweave.llm.common import sliced, table
+from cartoweave.plans import ranks as places
 
 PROFILE = 400
-#: Learned names at most; ISO 639-3 has some 8,000.
+#: Languages whose profiles go to the tasks at a time; ISO 639-3 has some 8,000, so one pass is the rule.
 LANGUAGES = 10_000
 #: Keys that a training task gathers before it hands them on.
 FLUSH = 1 << 20
@@ -104,38 +105,59 @@ def train_profiles(docs: DataFrame, profile: int = PROFILE) -> DataFrame:
     return total.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= profile).withColumn("rank", F.col("rank") - 1)
 
 
-def identify(docs: DataFrame, profiles: DataFrame, profile: int = PROFILE) -> DataFrame:
+def identify(docs: DataFrame, profiles: DataFrame, profile: int = PROFILE, at_a_time: int = LANGUAGES) -> DataFrame:
     """doc_id, lang_pred, score, and the other columns of docs but text."""
-    rows = profiles.select("lang", "key", "rank").limit(LANGUAGES * profile + 1).collect()
-    langs = sorted({r.lang for r in rows})
-    if len(rows) > LANGUAGES * profile:
-        raise ValueError(f"more than {LANGUAGES} languages are given: lang does not hold languages")
-    keys = np.unique(np.array([r.key for r in rows], np.int64))
-    ranks = np.full((len(langs), len(keys)), -1, np.int32)
-    for r in rows:
-        ranks[langs.index(r.lang), np.searchsorted(keys, r.key)] = r.rank
+    names = profiles.select("lang").distinct()
+    blocks = [profiles]
+    if (n := names.limit(at_a_time + 1).count()) > at_a_time:
+        named = profiles.join(places.ranked(names, "lang"), "lang").withColumn("_block", F.floor((F.col("place") - 1) / at_a_time)).checkpoint()
+        n = named.agg(F.max("place")).first()[0]
+        blocks = [named.where(F.col("_block") == k) for k in range(-(-n // at_a_time))]
     others = [f for f in docs.schema.fields if f.name != "text"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    clash = {f.name.lower() for f in docs.schema.fields}
+    lang, far, size = (next(c for c in (f"{x}{'_' * k}" for k in range(len(clash) + 1)) if c.lower() not in clash) for x in ("_lang", "_far", "_size"))
+    out = docs
+    for k, block in enumerate(blocks):
+        out = out.mapInArrow(_nearest(block.select("lang", "key", "rank").collect(), profile, docs.columns, (lang, far, size), first=k == 0), f"{schema}, `{lang}` string, `{far}` long, `{size}` long")  # at_a_time * profile rows
+    score = F.when(F.col(lang).isNull(), 0.0).otherwise(1 - F.col(far) / (F.lit(float(profile)) * F.col(size)))
+    return out.select(*(F.col(f"`{f.name}`") for f in others), F.coalesce(F.col(lang), F.lit("und")).alias("lang_pred"), score.alias("score"))
+
+
+def _nearest(rows: list, profile: int, columns: list[str], made: tuple[str, str, str], first: bool):
+    """For mapInArrow: the nearest of some profiles (lang, key, rank), or the one found before, which wins ties; with its distance and the document's keys."""
+    langs = sorted({r.lang for r in rows})
+    number = {name: i for i, name in enumerate(langs)}
+    key, which, rank = (np.array(c, np.int64) for c in (([r.key for r in rows]), [number[r.lang] for r in rows], [r.rank for r in rows]))
+    order = np.argsort(key, kind="stable")
+    keys, start, size = np.unique(key[order], return_index=True, return_counts=True)
+    which, rank = which[order], rank[order]
 
     def one(text):
         k, n = grams(text)
         if not len(k) or not langs:
-            return "und", 0.0
+            return None, None, len(k)
         top = ranked(k, n, profile)
         at = np.minimum(np.searchsorted(keys, top), len(keys) - 1)
-        known = keys[at] == top
-        own = np.arange(len(top))
-        theirs = ranks[:, at]
-        far = np.where(known & (theirs >= 0), np.abs(theirs - own), profile).sum(1)
-        best = int(far.argmin())
-        return langs[best], float(1 - far[best] / (profile * len(top)))
+        own = np.flatnonzero(keys[at] == top)
+        at = at[own]
+        # the entries of all known keys, one after the other
+        many = size[at]
+        entry = np.repeat(start[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        nearer = np.bincount(which[entry], profile - np.abs(rank[entry] - np.repeat(own, many)), len(langs))
+        best = int(nearer.argmax())
+        return langs[best], profile * len(top) - int(nearer[best]), len(top)
 
     def run(batches):
         for b in sliced(batches):
             found = [one(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in others), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*(f.name for f in others), "lang_pred", "score"])
+            if not first:
+                before = zip(*(b.column(c).to_pylist() for c in made), strict=True)
+                found = [x if y[0] is None or (x[0] is not None and x[1] < y[1]) else y for x, y in zip(found, before, strict=True)]
+            made_ = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), *made_], [*columns, *made])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return run
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

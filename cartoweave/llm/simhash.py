@@ -16,10 +16,12 @@ With s segments, a distance up to d is found for certain if the ball's radius is
 d // s: op5 uses 64 bits, three segments and radius 1 for d = 4.
 
 keep_one, the pipeline's stage, takes a similarity of at least SIMILARITY of the sets of
-five-word shingles.  Fingerprints only propose links: each link of the forests is verified by
+five-word shingles.  Its fingerprints are of the distinct shingles, and only texts with equal sets of shingles
+(by a 128-bit hash) are merged.  Fingerprints only propose links: each link of the forests is verified by
 the two texts' shingles, and verified links make the classes, so every document that goes has
-a verified partner in its class.  A pair of similar texts is missed if the forest connects them
-by others, of lesser distance, one of which fails.
+a verified partner in its class.  Where a link fails, all that its forest held together meets once
+more, and every pair between different classes is verified.  So a pair is missed only if its fingerprints
+differ in more bits than `max_distance`, or in more than the ball in all segments.
 
 Null and empty texts have no shingle: fingerprint zero, linked like any other.  Rows with a
 null doc_id get a fingerprint, no link and a null component.  Repeated rows each get a row.
@@ -60,9 +62,8 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.fromiter((one(joined[a:b], SEED) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)), np.uint64, len(starts))
 
 
-def fingerprint(text: str | None, words: int, bits: int = 64) -> list[int]:
-    """bits // 64 unsigned words, the first from the hashes themselves, others from remixed hashes."""
-    h = shingle_hashes(text, words)
+def fingerprint(h: np.ndarray, bits: int = 64) -> list[int]:
+    """bits // 64 unsigned words from the shingles' hashes, the first from the hashes themselves, others from remixed hashes."""
     out = []
     for k in range(bits // 64):
         if not len(h):
@@ -76,16 +77,24 @@ def fingerprint(text: str | None, words: int, bits: int = 64) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = 4, bits: int = 64) -> DataFrame:
-    """doc_id, f0, f1, ...: the words of the fingerprint as signed longs."""
-    n = bits // 64
+def fingerprints(docs: DataFrame, words: int = 4, bits: int = 64, distinct: bool = False) -> DataFrame:
+    """doc_id, f0, f1, ...: the words of the fingerprint as signed longs.  With distinct, of each shingle once, and s0, s1: a hash of their set."""
+    names = [*(f"f{k}" for k in range(bits // 64)), *(("s0", "s1") if distinct else ())]
+
+    def one(text):
+        h = shingle_hashes(text, words)
+        if not distinct:
+            return fingerprint(h, bits)
+        h = np.unique(h)
+        whole = xxhash.xxh3_128_intdigest(h.tobytes(), SEED)
+        return [*fingerprint(h, bits), whole >> 64, whole & (2**64 - 1)]
 
     def run(batches):
         for b in sliced(batches):
-            f = np.array([fingerprint(t, words, bits) for t in b.column("text").to_pylist()], np.uint64).reshape(-1, n).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array(f[:, k]) for k in range(n))], ["doc_id", *(f"f{k}" for k in range(n))])
+            f = np.array([one(t) for t in b.column("text").to_pylist()], np.uint64).reshape(-1, len(names)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array(f[:, k]) for k in range(len(names)))], ["doc_id", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"f{k} long" for k in range(n)))
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in names))
 
 
 def _cuts(bits: int, segments: int) -> list[tuple[int, int, int]]:
@@ -131,10 +140,13 @@ def _forest(u: np.ndarray, v: np.ndarray, far: np.ndarray) -> np.ndarray:
     return order[np.concatenate(taken)] if taken else order[:0]
 
 
-def links(entries: DataFrame, bits: int, segments: int, ball: int, max_distance: int) -> DataFrame:
-    """entries: id and f0.. of distinct fingerprints.  (src, dst, far): links that connect all that lie within max_distance of one another."""
+def links(entries: DataFrame, bits: int, segments: int, ball: int, max_distance: int, group: str | None = None) -> DataFrame:
+    """entries: id and f0.. of distinct texts.  (src, dst, far): links that connect all that lie within max_distance of one another.
+
+    With `group`, a column of entries, all pairs of different groups that lie within max_distance.
+    """
     n = bits // 64
-    names = ["id", *(f"f{k}" for k in range(n))]
+    names = ["id", *(f"f{k}" for k in range(n)), *([group] if group else [])]
     cuts = _cuts(bits, segments)
 
     def put(batches):
@@ -180,12 +192,14 @@ def links(entries: DataFrame, bits: int, segments: int, ball: int, max_distance:
                 r = np.searchsorted(e, flat, "right")
                 a = row + r
                 c = start[a] + flat - (e - m)[r]
-                far = sum(np.bitwise_count((x[a] ^ x[c]).view(np.uint64)).astype(np.int64) for x in cols[1:])
+                far = sum(np.bitwise_count((x[a] ^ x[c]).view(np.uint64)).astype(np.int64) for x in cols[1 : n + 1])
                 near = (far <= max_distance) & (cols[0][a] != cols[0][c])
+                if group:
+                    near &= cols[n + 1][a] != cols[n + 1][c]
                 if near.any():
                     x, y, far = cols[0][a[near]], cols[0][c[near]], far[near]
                     u, v = np.maximum(x, y), np.minimum(x, y)
-                    keep = _forest(u, v, far)
+                    keep = slice(None) if group else _forest(u, v, far)
                     yield u[keep], v[keep], far[keep]
             row = stop
 
@@ -208,7 +222,7 @@ def links(entries: DataFrame, bits: int, segments: int, ball: int, max_distance:
     values = [F.shiftrightunsigned(f"f{word}", low).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(s << 48)) for s, (word, low, width) in enumerate(cuts)]
     sizes = entries.select(F.explode(F.array(*values)).alias("_b")).groupBy("_b").agg(F.count("*").alias("_n")).where(F.col("_n") > BUCKET)
     large = sizes.select("_b", F.ceil(F.col("_n") / BUCKET).cast("int").alias("_blocks")).checkpoint()
-    dealt = entries.select(*names).mapInArrow(put, "key long, id long, " + ", ".join(f"f{k} long" for k in range(n)))
+    dealt = entries.select(*names).mapInArrow(put, "key long, " + ", ".join(f"{c} long" for c in names))
     bucket = F.shiftright("key", 1)
     if not large.isEmpty():
         # each table row of a large bucket is in the table of one block, and looks into all the others
@@ -219,10 +233,10 @@ def links(entries: DataFrame, bits: int, segments: int, ball: int, max_distance:
     return dealt.repartition(bucket).sortWithinPartitions("key").mapInArrow(look, "src long, dst long, far int")
 
 
-def _entries(docs: DataFrame, words: int, bits: int) -> tuple[DataFrame, DataFrame]:
-    """Fingerprints of docs, and distinct ones with the smallest doc_id as id."""
-    prints = fingerprints(docs, words, bits).checkpoint()
-    return prints, prints.where("doc_id IS NOT NULL").groupBy(*(f"f{k}" for k in range(bits // 64))).agg(F.min("doc_id").alias("id")).checkpoint()
+def _entries(docs: DataFrame, words: int, bits: int, distinct: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of docs, and distinct ones (with distinct, distinct sets of shingles) with the smallest doc_id as id."""
+    prints = fingerprints(docs, words, bits, distinct).checkpoint()
+    return prints, prints.where("doc_id IS NOT NULL").groupBy(*prints.columns[1:]).agg(F.min("doc_id").alias("id")).checkpoint()
 
 
 def _placed(prints: DataFrame, entries: DataFrame, links_: DataFrame) -> DataFrame:
@@ -243,10 +257,10 @@ def classes(docs: DataFrame, words: int = 4, bits: int = 64, segments: int = 3,
 #: Ids that are broadcast, eight bytes each; more are joined by a shuffle of the documents.
 BROADCAST_IDS = 1_000_000
 #: keep_one's parameters.  Sets with Jaccard similarity 0.8 have cosine 8/9 and differ in
-#: arccos(8/9)/pi of the fingerprint's bits, 38.8 of 256 with a spread of 5.7; 47 takes 1.4 spreads more.
+#: arccos(8/9)/pi of the fingerprint's bits, 38.8 of 256 with a spread of 5.7; 56 takes three spreads more.
 #: Twenty segments, five a word, with radius 1 find every distance up to 39 for certain, and miss one
-#: of 45 bits once in some 5,000 times.
-WIDE = {"words": 5, "bits": 256, "segments": 20, "ball": 1, "max_distance": 47}
+#: of 45 bits once in some 5,000 times, one of 56 bits once in 75.
+WIDE = {"words": 5, "bits": 256, "segments": 20, "ball": 1, "max_distance": 56}
 SIMILARITY = 0.8
 
 
@@ -285,9 +299,21 @@ def verified(docs: DataFrame, links_: DataFrame, words: int, similarity: float =
 def near_classes(docs: DataFrame) -> DataFrame:
     """doc_id, f0.., component_id by verified links of five-word shingles."""
     ensure_checkpoint_dir(docs.sparkSession)
-    prints, entries = _entries(docs, WIDE["words"], WIDE["bits"])
-    proposed = links(entries, WIDE["bits"], WIDE["segments"], WIDE["ball"], WIDE["max_distance"]).select("src", "dst").distinct().checkpoint()
-    return _placed(prints, entries, verified(docs, proposed, WIDE["words"]))
+    prints, entries = _entries(docs, WIDE["words"], WIDE["bits"], distinct=True)
+    search = (WIDE["bits"], WIDE["segments"], WIDE["ball"], WIDE["max_distance"])
+    proposed = links(entries, *search).select("src", "dst").distinct().checkpoint()
+    good = verified(docs, proposed, WIDE["words"]).checkpoint()
+    failed = proposed.join(good, ["src", "dst"], "left_anti").checkpoint()
+    if not failed.isEmpty():
+        # whatever a failed link's forest held together meets once more, and all pairs of different classes are verified
+        held = connected_components(proposed).checkpoint()
+        open_ = held.join(failed.select(F.col("src").alias("node")), "node", "left_semi").select("component").distinct()
+        classes_ = connected_components(good).select("node", F.col("component").alias("class"))
+        again = entries.join(held.join(open_, "component", "left_semi").select(F.col("node").alias("id")), "id", "left_semi")
+        again = again.join(classes_, again.id == classes_.node, "left").withColumn("class", F.coalesce("class", "id"))
+        more = links(again.checkpoint(), *search, group="class").select("src", "dst").distinct().join(failed, ["src", "dst"], "left_anti").checkpoint()
+        good = good.unionByName(verified(docs, more, WIDE["words"])).checkpoint()
+    return _placed(prints, entries, good).drop("s0", "s1")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

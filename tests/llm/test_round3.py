@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 
 pytest.importorskip("cartoweave.llm")
-from cartoweave.llm import html_text, resampling, vector_codes  # noqa: E402
+from cartoweave.llm import html_text, language_id, resampling, simhash, vector_codes  # noqa: E402
 from cartoweave.llm.common import table  # noqa: E402
 
 PAGES = "page_id long, url string, html string, element long, text string, row int"
@@ -352,3 +352,51 @@ def test_codes_edges(spark):
     assert {(r.code, r.error, r.label_error) for r in got} == {("0000", 0, 0)}
     with pytest.raises(ValueError):
         vector_codes.encode(vectors(spark, []), entries=257)
+
+
+# Operators 1 and 5, mended
+
+
+def test_any_number_of_languages(spark):
+    """Profiles in several passes give what one pass gives; ties go to the first name."""
+    rng = random.Random(2)
+    rows = [(i, " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(30)), f"l{i % 7}") for i in range(60)] + [(100, None, None), (101, "12", "l1"), (102, "zzz", None)]
+    given = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, lang string, _lang int, place int")
+    learned = language_id.train_profiles(given, 50)
+    once, many = (sorted(map(repr, language_id.identify(given, learned, 50, k).collect())) for k in (10_000, 2))
+    assert once == many and len(once) == len(rows)
+
+
+def test_no_copies_are_kept(spark):
+    """Texts whose commonest shingle is the same, but little else; and texts that lose lines before they meet."""
+    own = [" ".join(f"{k}{i}" for i in range(60)) for k in "abcd"]
+    rows = [(1, "spam " * 90 + own[0]), (2, "spam " * 90 + own[1]), (3, "spam " * 49 + " ".join(own[2].split()[:21])), (4, "spam " * 49 + " ".join(own[0].split()[:21])), (5, own[3]), (6, own[3] + " end"), (7, "spam " * 80 + own[0])]
+    given = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_one(given).collect()} == {1, 2, 3, 4, 5}
+
+
+def test_failed_forests_lose_no_link(spark):
+    """Chains of texts around the bar: classes are those of all pairs that reach it."""
+    rng = random.Random(8)
+    rows = []
+    for g in range(12):
+        words = [f"g{g}w{i}" for i in range(120)]
+        for k in range(9):
+            own = list(words)
+            for _ in range(rng.randint(0, 5)):
+                own[rng.randrange(120)] = f"x{rng.random()}"
+            rows.append((len(rows), " ".join(own)))
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    up = {i: i for i in sets}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in sets:
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and top(i) != top(j):
+                up[max(top(i), top(j))] = min(top(i), top(j))
+    got = {r.doc_id: r.component_id for r in simhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(set(got.values())) > 12 and got == {i: top(i) for i in sets}
