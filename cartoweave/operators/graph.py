@@ -1,9 +1,7 @@
 """Operators on the graph of cells: neighbour aggregates, regions, distances, flooding, drainage, expansion.
 
-Tables: cells (cell_id, height, ...), edges (src, dst; both directions).  Everything is a join
-or a fixpoint of joins.  For worlds of many maps, none larger than MAP_CELLS, per_map() runs
-the sequential algorithms of operators.grouped in one task a map instead; callers choose by the
-size that they have checked.
+Tables: cells (cell_id, height, ...), edges (src, dst; both directions).  Everything is a join,
+a fixpoint of joins, or a block-synchronous computation (plans.blocks), at any size.
 """
 
 from __future__ import annotations
@@ -11,12 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartoweave.plans.components import connected_components, ensure_checkpoint_dir
-from cartoweave.plans.fixpoint import dealt, gather_downstream, settle
+from cartoweave.plans import blocks
+from cartoweave.plans.components import ensure_checkpoint_dir
+from cartoweave.plans.fixpoint import dealt, settle
 
 SEA = 20
-#: Cells of a map that one task may take.
-MAP_CELLS = 200_000
 
 
 def neighbours(cells: DataFrame, edges: DataFrame, *columns: str) -> DataFrame:
@@ -44,7 +41,7 @@ def regions(cells: DataFrame, edges: DataFrame, kind: str) -> DataFrame:
     c = cells.select("cell_id", F.col(kind).alias("kind"))
     other = c.select(F.col("cell_id").alias("dst"), F.col("kind").alias("k2"))
     inside = edges.join(c, edges.src == c.cell_id).join(other, "dst").where(F.col("kind").eqNullSafe(F.col("k2"))).select("src", "dst")
-    found = connected_components(inside)
+    found = blocks.joined(inside)
     return c.join(found, c.cell_id == found.node, "left").select("cell_id", "kind", F.coalesce("component", "cell_id").alias("region"))
 
 
@@ -55,22 +52,28 @@ def features(cells: DataFrame, regions_: DataFrame, border: str = "is_border") -
 
 
 def distance_field(cells: DataFrame, edges: DataFrame, lowest: int = -10, on_round=None) -> DataFrame:
-    """cell_id, distance: 1, 2, ... inland from the coast, -1 ... lowest out to sea; 0 beyond, or without a coast; on_round as in settle()."""
+    """cell_id, distance: 1, 2, ... inland from the coast, -1 ... lowest out to sea; 0 beyond, or without a coast.
+
+    With on_round, as in fixpoint.settle(), cells are settled ring by ring and not by blocks.
+    """
     c = cells.select("cell_id", (F.col("height") >= SEA).alias("land"))
     other = c.select(F.col("cell_id").alias("dst"), F.col("land").alias("land2"))
     sides = edges.join(c, edges.src == c.cell_id).join(other, "dst")
     coast = sides.where("land <> land2").select(F.col("src").alias("node"), F.lit(1).alias("value"))
     inside = sides.where("land = land2").select("src", "dst", "land")
-    reach = settle(coast, inside, lambda v: F.when(F.col("land") | (v < -lowest), v + 1), on_round)
+    if on_round:
+        reach = settle(coast, inside, lambda v: F.when(F.col("land") | (v < -lowest), v + 1), on_round)
+    else:
+        reach = blocks.settle(coast, inside.select("src", "dst", F.lit(1).alias("w"), F.when(~F.col("land"), -lowest).alias("cap")))
     return c.join(reach, c.cell_id == reach.node, "left").select("cell_id", F.coalesce(F.when(F.col("land"), F.col("value")).otherwise(-F.col("value")), F.lit(0)).cast("long").alias("distance"))
 
 
 def flood(cells: DataFrame, edges: DataFrame) -> DataFrame:
     """cell_id, filled: the least height at which water from the cell can reach the border (minimax paths)."""
     start = cells.where("is_border").select(F.col("cell_id").alias("node"), F.col("height").alias("value"))
-    ahead = neighbours(cells, edges, "height")
-    filled = settle(start, ahead, lambda v: F.greatest(v, F.col("height")))
-    return cells.select("cell_id", "height").join(filled, F.col("cell_id") == F.col("node"), "left").select("cell_id", F.coalesce("value", "height").alias("filled"))
+    filled = blocks.settle(start, neighbours(cells, edges, "height").withColumnRenamed("height", "w"), "max")
+    own = F.col("value").cast(cells.schema["height"].dataType)
+    return cells.select("cell_id", "height").join(filled, F.col("cell_id") == F.col("node"), "left").select("cell_id", F.coalesce(own, "height").alias("filled"))
 
 
 def flow_direction(filled: DataFrame, edges: DataFrame) -> DataFrame:
@@ -83,7 +86,7 @@ def flow_direction(filled: DataFrame, edges: DataFrame) -> DataFrame:
 def accumulate(flow: DataFrame, amount: DataFrame) -> DataFrame:
     """cell_id, flux: amount (cell_id, precip) of the cell and of all that flows into it."""
     rows = flow.join(amount, "cell_id").select(F.col("cell_id").alias("node"), "to", F.col("precip").alias("amount"))
-    return gather_downstream(rows).select(F.col("node").alias("cell_id"), F.col("total").alias("flux"))
+    return blocks.gathered(rows).select(F.col("node").alias("cell_id"), F.col("total").alias("flux"))
 
 
 def altered(cells: DataFrame, distance: DataFrame, edges: DataFrame) -> DataFrame:
@@ -127,9 +130,9 @@ def rivers(flow: DataFrame, flux: DataFrame, threshold: int, least: int = 1) ->
     main = into.withColumn("n", F.row_number().over(w)).where("n = 1").select("cell_id", F.col("above").alias("above"))
     heads = steps.join(main, "cell_id", "left")
     # a cell without a main inflow starts a river; others belong to the river of their main inflow
-    start = heads.where("above IS NULL").select(F.col("cell_id").alias("node"), F.col("cell_id").alias("value"))
-    down = main.select(F.col("above").alias("src"), F.col("cell_id").alias("dst"))
-    named = settle(start, down, lambda v: v).select(F.col("node").alias("cell_id"), F.col("value").alias("river_id"))
+    start = heads.where("above IS NULL").select(F.col("cell_id").alias("node"), F.lit(0).alias("value"), F.col("cell_id").alias("owner"))
+    down = main.select(F.col("above").alias("src"), F.col("cell_id").alias("dst"), F.lit(0).alias("w"))
+    named = blocks.settle(start, down).select(F.col("node").alias("cell_id"), F.col("owner").alias("river_id"))
     last = steps.join(named, "cell_id").join(main.select(F.col("cell_id").alias("to"), F.col("above").alias("keeps")), "to", "left")
     ends = last.where("keeps IS NULL OR keeps <> cell_id").join(named.select(F.col("cell_id").alias("to"), F.col("river_id").alias("parent_id")), "to", "left").select("river_id", "parent_id")
     if least > 1:
@@ -145,11 +148,10 @@ def expand(seeds: DataFrame, costs: DataFrame, edges: DataFrame, limit: int) ->
 
     seeds: cell_id, owner; costs: cell_id, cost (whole number, null where nobody can go).
     """
-    start = seeds.select(F.col("cell_id").alias("node"), F.struct(F.lit(0).cast("long").alias("cost"), F.col("owner").cast("long").alias("owner")).alias("value"))
-    ahead = neighbours(costs, edges, "cost").where("cost IS NOT NULL").withColumn("cost", F.col("cost").cast("long"))
-    # the dearer way comes later whoever takes it, so owners are compared at equal costs alone
-    best = settle(start, ahead, lambda v: F.when(v["cost"] + F.col("cost") <= limit, F.struct((v["cost"] + F.col("cost")).alias("cost"), v["owner"].alias("owner"))))
-    return best.select(F.col("node").alias("cell_id"), "value.cost", "value.owner")
+    start = seeds.select(F.col("cell_id").alias("node"), F.lit(0).alias("value"), "owner")
+    ahead = neighbours(costs, edges, "cost").where("cost IS NOT NULL").select("src", "dst", F.col("cost").alias("w"), F.lit(limit).alias("cap"))
+    best = blocks.settle(start, ahead)
+    return best.select(F.col("node").alias("cell_id"), F.col("value").cast("long").alias("cost"), "owner")
 
 
 def expand_by_owner(seeds: DataFrame, cells: DataFrame, edges: DataFrame, cost: Column, limit: float) -> DataFrame:
@@ -231,7 +233,7 @@ def spaced_enough(candidates: DataFrame, radius: float, wanted: int, shrink: flo
 def deep_lakes(cells: DataFrame, edges: DataFrame, depth: int = 20) -> DataFrame:
     """cell_id, level: land from which every way to water climbs at least `depth`; level is the height of that pass."""
     start = cells.where(F.col("height") < SEA).select(F.col("cell_id").alias("node"), F.col("height").alias("value"))
-    reach = settle(start, neighbours(cells, edges, "height"), lambda v: F.greatest(v, F.col("height")))
+    reach = blocks.settle(start, neighbours(cells, edges, "height").withColumnRenamed("height", "w"), "max")
     c = cells.where(F.col("height") >= SEA).select("cell_id", "height").join(reach, F.col("cell_id") == F.col("node"))
     return c.where(F.col("value") - F.col("height") >= depth).select("cell_id", F.col("value").cast("long").alias("level"))
 

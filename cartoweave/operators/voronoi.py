@@ -5,14 +5,14 @@ spacings around it, so one shuffle of some 1.4 rows a point brings together all
 Inside a block, the edge between a cell and each near point is the part of their bisector that every
 other near point leaves: a greatest and a least bound, in arrays.  A cell is certain if no point
 beyond the reach could cut it, that is if its farthest corner is at most half the reach away; those
-that aren't are built again with twice the reach, up to FURTHEST spacings.
+that aren't are built again with twice the reach, until it spans all points.
 
 points: cell_id, x, y and is_edge, which marks the points around the map that bound the outer cells
 and have no cell of their own.  Points have a bounded density, as grids do: BLOCK * BLOCK squares of
 the spacing are one task's.  Rows with a null are no points; of points in one place the least cell_id
 has the cell and the others an empty one; two cells that share a corner alone are no neighbours.  A cell
-that isn't closed within FURTHEST spacings (at the rim of points without edge points) has closed =
-false, no corners and no area, and the neighbours found so far.
+that no points close (at the rim of points without edge points) has closed = false, no corners and
+no area; it makes its block see all points, so give edge points.
 """
 
 from __future__ import annotations
@@ -24,23 +24,30 @@ from pyspark.sql import functions as F
 
 from cartoweave.plans.components import ensure_checkpoint_dir
 
-#: Spacings a block is wide, cells built at a time, and the farthest and shortest that counts.
-BLOCK, CHUNK, REACH, FURTHEST, SHORTEST = 32, 128, 3, 48, 1e-9
+#: Spacings a block is wide, the first reach, and the shortest edge that counts.
+BLOCK, REACH, SHORTEST = 32, 3, 1e-9
+#: Cells built at a time, and numbers of an array of (cell, point, other point): with many near points fewer cells and points at a time.
+CHUNK, ROOM = 128, 1 << 21
 
 SCHEMA = "cell_id long, x double, y double, is_border boolean, closed boolean, neighbours array<long>, corners array<struct<x: double, y: double, b: long, c: long>>, area double, cx double, cy double"
 
 
 def _edges(bx: np.ndarray, by: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For near points (cell, point), seen from the cell's own: whether there is an edge, and its ends along the bisector."""
-    turn = bx[:, :, None] * by[:, None, :] - by[:, :, None] * bx[:, None, :]
-    room = ((bx * bx + by * by)[:, None, :] - bx[:, :, None] * bx[:, None, :] - by[:, :, None] * by[:, None, :]) / 2
-    others = real[:, None, :] & ~np.eye(bx.shape[1], dtype=bool)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        bound = room / turn
-    hi = np.where(others & (turn > 0), bound, np.inf).min(2)
-    lo = np.where(others & (turn < 0), bound, -np.inf).max(2)
-    # a point in line with the two, between them
-    hidden = (others & (turn == 0) & (room < 0)).any(2)
+    rows, m = bx.shape
+    hi, lo, hidden = np.full((rows, m), np.inf), np.full((rows, m), -np.inf), np.zeros((rows, m), bool)
+    step = max(1, ROOM // max(1, rows * m))
+    for k in range(0, m, step):  # other points, a few at a time
+        ox, oy = bx[:, None, k : k + step], by[:, None, k : k + step]
+        turn = bx[:, :, None] * oy - by[:, :, None] * ox
+        room = (ox * ox + oy * oy - bx[:, :, None] * ox - by[:, :, None] * oy) / 2
+        others = real[:, None, k : k + step] & (np.arange(m)[:, None] != np.arange(k, min(m, k + step)))[None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            bound = room / turn
+        hi = np.minimum(hi, np.where(others & (turn > 0), bound, np.inf).min(2))
+        lo = np.maximum(lo, np.where(others & (turn < 0), bound, -np.inf).max(2))
+        # a point in line with the two, between them
+        hidden |= (others & (turn == 0) & (room < 0)).any(2)
     return real & ~hidden & (hi - lo > SHORTEST), lo, hi
 
 
@@ -53,8 +60,9 @@ def _built(t: pa.Table, width: float) -> pa.Table:
     site = np.flatnonzero(~twin)
     parts = []
     mine = np.flatnonzero(own & ~twin)
-    for i in range(0, len(mine), CHUNK):
-        a = mine[i : i + CHUNK]
+    few = max(1, min(CHUNK, ROOM // max(1, len(site))))
+    for i in range(0, len(mine), few):
+        a = mine[i : i + few]
         dx, dy = x[site] - x[a, None], y[site] - y[a, None]
         far = dx * dx + dy * dy
         far[(far == 0) | (far > width * width)] = np.inf
@@ -128,7 +136,8 @@ def cells(points: DataFrame, spacing: float) -> DataFrame:
     sites = points.select(F.col("cell_id").cast("long"), F.col("x").cast("double"), F.col("y").cast("double"), grid.alias("_grid")).dropna().checkpoint()
     built = _pass(sites, F.col("_grid"), spacing, REACH).checkpoint()
     done, reach = built, REACH
-    while reach < FURTHEST:
+    widest = sites.agg(F.hypot(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()[0]
+    while widest is not None and reach * spacing < 2 * widest:
         left = built.where("NOT closed")
         if left.isEmpty():
             break

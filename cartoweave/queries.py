@@ -10,7 +10,7 @@ from cartoweave.functions import geometry as G
 from cartoweave.functions import society as S
 from cartoweave.operators import edits as D
 from cartoweave.operators import graph as N
-from cartoweave.operators import grouped, names, spatial
+from cartoweave.operators import names, spatial
 from cartoweave.plans.fixpoint import settle
 from cartoweave.plans.ranks import ranked
 from cartoweave.sources import generator
@@ -59,21 +59,12 @@ def _lat(spark, sf):
     return T.cells(spark, sf).withColumn("lat", 90 - F.floor(F.col("y") * 180 / (n // T.WIDTH)))
 
 
-def _by_map(spark, sf, cells, work, schema, beyond):
-    """work on the one map in one task if the map is small enough for that, else what beyond() gives by joins."""
-    if T.count_cells(spark, sf) > N.MAP_CELLS:
-        return beyond()
-    one = F.lit(0).cast("long").alias("map_id")
-    return grouped.per_map(cells.select(one, *cells.columns), T.edges(spark, sf).select(one, "src", "dst"), work, f"map_id long, {schema}").drop("map_id")
-
-
-def _regions(spark, sf, cells, kind, type_):
-    return _by_map(spark, sf, cells, lambda c, near: grouped.label(c, near, kind), f"cell_id long, kind {type_}, region long", lambda: N.regions(cells, T.edges(spark, sf), kind))
+def _regions(spark, sf, cells, kind):
+    return N.regions(cells, T.edges(spark, sf), kind)
 
 
 def _distance(spark, sf):
-    c = T.cells(spark, sf)
-    return _by_map(spark, sf, c, grouped.coast_distance, "cell_id long, distance long", lambda: N.distance_field(c, T.edges(spark, sf)))
+    return N.distance_field(T.cells(spark, sf), T.edges(spark, sf))
 
 
 # Sources and lookups
@@ -353,7 +344,7 @@ SELECT cell_id, region, CASE WHEN bool_or(height >= 20) OVER w THEN 'island' WHE
 def feature_cells(spark, sf):
     """The feature that each cell belongs to."""
     c = T.cells(spark, sf).withColumn("land", F.col("height") >= 20)
-    r = _regions(spark, sf, c, "land", "boolean").select("cell_id", "region")
+    r = _regions(spark, sf, c, "land").select("cell_id", "region")
     return r.join(N.features(c, r).select("region", "feature"), "region").select("cell_id", "region", "feature")
 
 
@@ -508,7 +499,7 @@ cc(cell_id, region) USING KEY (cell_id) AS (SELECT cell_id, cell_id FROM cells U
 SELECT region, CASE WHEN bool_or(height >= 20) THEN 'island' WHEN bool_or(is_border) THEN 'ocean' ELSE 'lake' END AS feature, count(*) AS n_cells, bool_or(is_border) AS touches_border, min(c.cell_id) AS first_cell FROM cc JOIN cells c USING (cell_id) GROUP BY region""")
 def map_features(spark, sf):
     c = T.cells(spark, sf).withColumn("land", F.col("height") >= 20)
-    return N.features(c, _regions(spark, sf, c, "land", "boolean"))
+    return N.features(c, _regions(spark, sf, c, "land"))
 
 
 @query("cells edges", """@ coast AS (SELECT DISTINCT a.cell_id AS node FROM cells a JOIN edges e ON e.src = a.cell_id JOIN cells b ON b.cell_id = e.dst WHERE (a.height >= 20) <> (b.height >= 20)),
@@ -526,15 +517,15 @@ def altered_heights(spark, sf):
 
 
 def _drained(spark, sf):
-    c = T.cells(spark, sf).join(T.precipitation(spark, sf), "cell_id").select("cell_id", "height", "is_border", "precip")
+    c = T.cells(spark, sf).join(T.precipitation(spark, sf), "cell_id").select("cell_id", "height", "is_border", "precip").checkpoint()
+    return _drains(c, T.edges(spark, sf))
 
-    def beyond():
-        e = T.edges(spark, sf)
-        filled = N.flood(c, e)
-        flow = N.flow_direction(filled, e)
-        return filled.join(flow, "cell_id").join(N.accumulate(flow, c), "cell_id")
 
-    return _by_map(spark, sf, c, grouped.drainage, grouped.DRAINAGE.removeprefix("map_id long, "), beyond)
+def _drains(c, e):
+    """cell_id, filled, to, flux."""
+    filled = N.flood(c, e).checkpoint()
+    flow = N.flow_direction(filled, e).checkpoint()
+    return filled.join(flow, "cell_id").join(N.accumulate(flow, c), "cell_id")
 
 
 _DRAIN = """f(cell_id, v) USING KEY (cell_id) AS (SELECT cell_id, height FROM cells WHERE is_border UNION SELECT e.dst, min(greatest(c.height, f.v)) FROM f JOIN edges e ON e.src = f.cell_id JOIN cells c ON c.cell_id = e.dst LEFT JOIN recurring.f r ON r.cell_id = e.dst WHERE r.v IS NULL OR r.v > greatest(c.height, f.v) GROUP BY e.dst),
@@ -582,13 +573,7 @@ def long_rivers(spark, sf):
     """Rivers of three cells or more over altered heights."""
     e = T.edges(spark, sf)
     high = N.altered(T.cells(spark, sf), _distance(spark, sf), e).join(T.precipitation(spark, sf), "cell_id").select("cell_id", "height", "is_border", "precip").checkpoint()
-
-    def beyond():
-        filled = N.flood(high, e)
-        flow = N.flow_direction(filled, e)
-        return filled.join(flow, "cell_id").join(N.accumulate(flow, high), "cell_id")
-
-    d = _by_map(spark, sf, high, lambda c, near: grouped.drainage(c, near, whole=False), "cell_id long, filled double, `to` long, flux long", beyond)
+    d = _drains(high, e)
     r = N.rivers(d.select("cell_id", "to"), d.select("cell_id", "flux"), 400, 3)
     return r.join(d, "cell_id").groupBy("river_id", "parent_id").agg(F.count("*").alias("n_cells"), F.max("flux").alias("discharge"))
 
@@ -601,7 +586,7 @@ SELECT region AS lake, filled::BIGINT AS level, count(*) AS n_cells, outlet, sho
 def lakes(spark, sf):
     """Each lake with its level, size, outlet, and the least height on its shore."""
     d = _drained(spark, sf).join(T.cells(spark, sf).select("cell_id", "height", "is_border"), "cell_id").withColumn("kind", N.lake_kind())
-    return N.lakes(d, _regions(spark, sf, d, "kind", "long"), T.edges(spark, sf))
+    return N.lakes(d, _regions(spark, sf, d, "kind"), T.edges(spark, sf))
 
 
 @query("cells edges", """@ costs AS (SELECT cell_id, CASE WHEN height >= 20 THEN 10 + height // 10 + CASE WHEN height > 70 THEN 50 ELSE 0 END END AS cost FROM cells),
@@ -612,9 +597,7 @@ def expanded_cultures(spark, sf):
     seeds = c.where("cell_id % 97 = 13 AND height >= 20").select("cell_id", (F.expr("cell_id div 97") + 1).alias("owner"))
     h = F.col("height")
     costs = c.select("cell_id", F.when(h >= 20, 10 + F.expr("height div 10") + F.when(h > 70, 50).otherwise(0)).cast("long").alias("cost"))
-    given = costs.join(seeds.select("cell_id", F.col("owner").alias("seed")), "cell_id", "left")
-    work = lambda c, near: grouped.spread(c, near, 120)
-    return _by_map(spark, sf, given, work, "cell_id long, cost long, owner long", lambda: N.expand(seeds, costs, T.edges(spark, sf), 120))
+    return N.expand(seeds, costs, T.edges(spark, sf), 120)
 
 
 @query("owners edges", """@ near AS (SELECT e.src, o.state_id, count(*) AS n FROM edges e JOIN owners o ON o.cell_id = e.dst WHERE o.state_id > 0 GROUP BY ALL), top AS (SELECT src, arg_max(state_id, n * 1000 - state_id) AS s, max(n) AS n FROM near GROUP BY src)
@@ -688,7 +671,7 @@ SELECT region, band, n_cells, round(sx / n_cells::DOUBLE, 4) AS cx, round(sy / n
 def height_regions(spark, sf):
     """Connected cells of one height band, with their size, middle, and the cell nearest to it."""
     c = T.cells(spark, sf).withColumn("band", F.expr("height div 25"))
-    r = _regions(spark, sf, c, "band", "long").join(c.select("cell_id", "x", "y"), "cell_id")
+    r = _regions(spark, sf, c, "band").join(c.select("cell_id", "x", "y"), "cell_id")
     m = r.groupBy("region", F.col("kind").cast("int").alias("band")).agg(F.count("*").alias("n_cells"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
     off = lambda c: (F.col(c) * F.col("n_cells") - F.col(f"s{c}")) * (F.col(c) * F.col("n_cells") - F.col(f"s{c}"))
     centre = r.join(m, "region").groupBy("region").agg(F.min(F.struct((off("x") + off("y")).alias("d"), F.col("cell_id").alias("c"))).alias("k"))
@@ -1033,7 +1016,7 @@ sd AS (SELECT e.src, ft.region, feature FROM edges e JOIN cells a ON a.cell_id =
 SELECT min(l.src) AS cell_id, l.region AS lake FROM sd l WHERE feature = 'lake' AND src IN (SELECT src FROM sd WHERE feature = 'ocean') GROUP BY l.region""")
 def breached_lakes(spark, sf):
     c, e = T.cells(spark, sf).withColumn("land", F.col("height") >= 20), T.edges(spark, sf)
-    r = _regions(spark, sf, c, "land", "boolean")
+    r = _regions(spark, sf, c, "land")
     return N.breached(c, e, N.features(c, r), r, 40)
 
 

@@ -1,8 +1,4 @@
-"""Sequential algorithms on one map in one task, for worlds of many maps of bounded size.
-
-per_map() deals cells and edges by map_id; MAP_CELLS bounds a map, and a larger one is an error
-that names the distributed operator to use.  Results equal those of operators.graph.
-"""
+"""Sequential algorithms on one map, for tests to hold operators.graph against."""
 
 from __future__ import annotations
 
@@ -12,26 +8,24 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from cartoweave.operators.graph import MAP_CELLS, SEA
+from cartoweave.operators.graph import SEA
 
 
 def per_map(cells: DataFrame, edges: DataFrame, work, schema: str) -> DataFrame:
     """work(cells, neighbours) -> DataFrame for each map_id; cells sorted by cell_id, neighbours as lists of places."""
 
     def run(c: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        if len(c) > MAP_CELLS:
-            raise ValueError(f"a map has {len(c)} cells, more than {MAP_CELLS}: use operators.graph")
         c = c.sort_values("cell_id").reset_index(drop=True)
         place = pd.Series(np.arange(len(c)), index=c["cell_id"].to_numpy())
         near: list[list[int]] = [[] for _ in range(len(c))]
-        if len(e):
-            for a, b in zip(place.reindex(e["src"]).to_numpy(), place.reindex(e["dst"]).to_numpy(), strict=True):
-                near[int(a)].append(int(b))
+        for a, b in zip(place.reindex(e["src"]).to_numpy(), place.reindex(e["dst"]).to_numpy(), strict=True):
+            near[int(a)].append(int(b))
         out = work(c, near)
-        out.insert(0, "map_id", c["map_id"].iloc[0] if len(c) else None)
+        out.insert(0, "map_id", c["map_id"].iloc[0])
         return out
 
-    return cells.groupBy("map_id").cogroup(edges.groupBy("map_id")).applyInPandas(run, schema)
+    c, e = cells.toPandas(), edges.toPandas()
+    return cells.sparkSession.createDataFrame(pd.concat([run(m, e[e["map_id"] == i]) for i, m in c.groupby("map_id")]), schema)
 
 
 def drainage(c: pd.DataFrame, near: list[list[int]], whole: bool = True) -> pd.DataFrame:

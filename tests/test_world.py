@@ -8,6 +8,7 @@ import random
 import re
 
 import pytest
+import serial
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from cartoweave.functions import geometry as G
 from cartoweave.operators import edits as D
 from cartoweave.operators import graph as N
-from cartoweave.operators import grouped, names, spatial
+from cartoweave.operators import names, spatial
 from cartoweave.plans.components import connected_components
 from cartoweave.plans.fixpoint import gather_downstream
 from cartoweave.sources import generator, store
@@ -43,7 +44,7 @@ def hills(spark):
 
 def test_drainage_forms_agree(hills):
     cells, edges = hills
-    want = values(grouped.per_map(cells, edges, grouped.drainage, grouped.DRAINAGE).drop("map_id"))
+    want = values(serial.per_map(cells, edges, serial.drainage, serial.DRAINAGE).drop("map_id"))
     filled = N.flood(cells, edges)
     flow = N.flow_direction(filled, edges)
     flux = N.accumulate(flow, cells)
@@ -59,26 +60,15 @@ def test_region_and_distance_forms_agree(hills):
     cells, edges = hills
     cells = cells.withColumn("band", F.expr("height div 25"))
     got = values(N.regions(cells, edges, "band"))
-    assert values(grouped.per_map(cells, edges, lambda c, near: grouped.label(c, near, "band"), "map_id long, cell_id long, kind long, region long").drop("map_id")) == got
+    assert values(serial.per_map(cells, edges, lambda c, near: serial.label(c, near, "band"), "map_id long, cell_id long, kind long, region long").drop("map_id")) == got
     for lowest in (-10, -1):
         far = values(N.distance_field(cells, edges, lowest))
-        assert values(grouped.per_map(cells, edges, lambda c, near, low=lowest: grouped.coast_distance(c, near, low), "map_id long, cell_id long, distance long").drop("map_id")) == far
-
-
-def test_large_maps_go_by_joins(spark, sf, duck, monkeypatch):
-    from cartoweave import queries as Q
-
-    monkeypatch.setattr(N, "MAP_CELLS", 10)
-    for name in ("map_features", "distance_field", "drainage", "expanded_cultures", "height_regions", "lakes", "wind_rain", "altered_heights"):
-        got = Q.QUERIES[name](spark, sf)
-        want = duck.execute(Q.SQL[name])
-        have = [d[0] for d in want.description]
-        assert sorted(repr([r[have.index(n)] for n in sorted(have)]) for r in want.fetchall()) == sorted(repr([r[n] for n in sorted(have)]) for r in got.collect()), name
+        assert values(serial.per_map(cells, edges, lambda c, near, low=lowest: serial.coast_distance(c, near, low), "map_id long, cell_id long, distance long").drop("map_id")) == far
 
 
 def test_rivers_end_in_larger_ones(hills):
     cells, edges = hills
-    d = grouped.per_map(cells, edges, grouped.drainage, grouped.DRAINAGE).drop("map_id")
+    d = serial.per_map(cells, edges, serial.drainage, serial.DRAINAGE).drop("map_id")
     r = N.rivers(d.select("cell_id", "to"), d.select("cell_id", "flux"), 4)
     rows, flux, to = values(r), {i: v[2] for i, v in values(d).items()}, {i: v[1] for i, v in values(d).items()}
     assert set(rows) == {i for i, q in flux.items() if q >= 4}
@@ -134,7 +124,7 @@ def test_expansion_forms_agree(hills):
     s = spark.createDataFrame(list(seeds.items()), "cell_id long, owner long")
     got = values(N.expand(s, costs, edges, 300))
     given = costs.select("map_id", "cell_id", F.col("cost").cast("double").alias("cost")).join(s.withColumnRenamed("owner", "seed"), "cell_id", "left")
-    want = values(grouped.per_map(given, edges, lambda c, near: grouped.spread(c, near, 300), "map_id long, cell_id long, cost long, owner long").drop("map_id"))
+    want = values(serial.per_map(given, edges, lambda c, near: serial.spread(c, near, 300), "map_id long, cell_id long, cost long, owner long").drop("map_id"))
     assert got == want and len(got) > 10
     # owners of any size keep their names
     large = {c: o + 2**40 for c, o in seeds.items()}
