@@ -2,22 +2,68 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HEIGHTS = ("set_height", "adjust_height")
 
 
+def _pieces(batches):
+    """Edits sorted by cell and number, as one map for each cell of a partition: (cell_id, first, a, b), h -> max(h + a, b), a null where a set made it constant."""
+    held = None  # the last cell's map, which the next batch may go on with
+
+    def rows(maps):
+        return pa.RecordBatch.from_arrays([pa.array([m[i] for m in maps], pa.int64()) for i in range(4)], ["cell_id", "first", "a", "b"])
+
+    for t in batches:
+        if not t.num_rows:
+            continue
+        cell, number, delta = (t.column(c).to_numpy(zero_copy_only=False) for c in ("cell_id", "edit_id", "delta"))
+        sets = t.column("sets").to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        size = np.diff(np.append(first, len(cell)))
+        # from a cell's last set on: what later edits add, and the highest floor after all that follows it
+        last = np.maximum.reduceat(np.where(sets, np.arange(len(cell)), -1), first)
+        counts = np.arange(len(cell)) >= np.repeat(last, size)
+        total = np.cumsum(np.where(counts & ~sets, delta, 0))
+        end = total[first + size - 1]
+        floor = np.where(sets, np.maximum(delta, 0), 0)
+        low = np.maximum.reduceat(np.where(counts, floor - total, np.iinfo(np.int64).min // 2), first) + end
+        start = np.where(first > 0, total[first - 1], 0)
+        maps = [(int(c), int(n), None if k >= 0 else int(x), int(y)) for c, n, k, x, y in zip(cell[first], number[first], last, end - start, low, strict=True)]
+        if held and held[0] == maps[0][0]:
+            maps[0] = _after(held, maps[0])
+        elif held:
+            maps.insert(0, held)
+        held = maps.pop()
+        if maps:
+            yield rows(maps)
+    if held:
+        yield rows([held])
+
+
+def _after(f: tuple, g: tuple) -> tuple:
+    """The map that does f, then g."""
+    if g[2] is None:
+        return (*f[:2], None, g[3])
+    return (*f[:2], None if f[2] is None else f[2] + g[2], max(f[3] + g[2], g[3]))
+
+
 def fold_heights(cells: DataFrame, edits: DataFrame) -> DataFrame:
     """cell_id, height after all set_height (the value) and adjust_height (added, not below 0) edits in order of edit_id.
 
-    The last set and the edits after it decide; a sum that dips below 0 is held there, so the
-    fold goes through a cell's edits in order.  A cell's list of edits is its own group.
+    An edit is a map h -> max(h + a, b), and so is one edit after another; a set is one that doesn't look at h.
+    Edits are dealt by ranges of cell and number, so a cell with very many is cut into pieces; each task makes
+    one map of each cell's edits, and a cell's few maps (one a range at most) are applied in order.
     """
-    log = edits.where(F.col("op").isin(*HEIGHTS)).groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("edit_id", "op", "delta"))).alias("log"))
-    step = lambda h, e: F.when(e["op"] == "set_height", F.greatest(e["delta"], F.lit(0))).otherwise(F.greatest(h + e["delta"], F.lit(0)))
-    folded = F.aggregate("log", F.col("height").cast("long"), step)
-    return cells.select("cell_id", "height").join(log, "cell_id", "left").select("cell_id", F.when(F.col("log").isNull(), F.col("height").cast("long")).otherwise(folded).alias("height"))
+    log = edits.where(F.col("op").isin(*HEIGHTS) & F.col("cell_id").isNotNull() & F.col("delta").isNotNull())
+    log = log.select(F.col("cell_id").cast("long").alias("cell_id"), F.col("edit_id").cast("long").alias("edit_id"), F.col("delta").cast("long").alias("delta"), (F.col("op") == "set_height").alias("sets"))
+    pieces = log.repartitionByRange("cell_id", "edit_id").sortWithinPartitions("cell_id", "edit_id").mapInArrow(_pieces, "cell_id long, first long, a long, b long")
+    maps = pieces.groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("first", "a", "b"))).alias("maps"))
+    folded = F.aggregate("maps", F.col("height").cast("long"), lambda h, m: F.when(m["a"].isNull(), m["b"]).otherwise(F.greatest(h + m["a"], m["b"])))
+    return cells.select("cell_id", "height").join(maps, "cell_id", "left").select("cell_id", F.when(F.col("maps").isNull(), F.col("height").cast("long")).otherwise(folded).alias("height"))
 
 
 def latest(edits: DataFrame, key: str = "cell_id") -> DataFrame:

@@ -72,7 +72,8 @@ def by_ranges(edges: DataFrame) -> Callable[[Column], Column]:
         return lambda node: F.lit(0).cast("long")
     blocks = max(1, min(LEAST, seen[2] // FEWEST), -(-seen[2] // EDGES))
     width = -(-(seen[1] - seen[0] + 1) // blocks)
-    return lambda node: F.floor((node - F.lit(seen[0])) / F.lit(width)).cast("long")
+    # ids that are no edge's src belong to the first and the last block
+    return lambda node: F.greatest(F.lit(0), F.least(F.lit(blocks - 1), F.floor((node - F.lit(seen[0])) / F.lit(width)))).cast("long")
 
 
 def build(nodes: DataFrame, edges: DataFrame, block_of: Callable[[Column], Column], where: str) -> DataFrame:
@@ -294,5 +295,7 @@ def joined(edges: DataFrame, block_of: Callable[[Column], Column] | None = None)
     found = spark.read.parquet(f"{where}/labels")
     labels = found.where("beyond IS NULL").select("node", "label")
     across = found.where("beyond IS NOT NULL").select("label", "beyond").distinct().join(labels.select(F.col("node").alias("beyond"), F.col("label").alias("other")), "beyond").select(F.col("label").alias("src"), F.col("other").alias("dst")).distinct()
+    if found.where("beyond IS NOT NULL").isEmpty():
+        return labels.select("node", F.col("label").alias("component"))
     parts = connected_components(across)
     return labels.join(parts.select(F.col("node").alias("label"), "component"), "label", "left").select("node", F.coalesce("component", "label").alias("component"))

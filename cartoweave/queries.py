@@ -1028,4 +1028,4 @@ def name_bases(spark, sf):
 
 
 # what more there is registers itself here
-from cartoweave import more_queries  # noqa: E402, F401
+from cartoweave import land_queries, more_queries  # noqa: E402, F401
