@@ -116,4 +116,6 @@ def test_many_near_points_in_slabs(monkeypatch):
     table = pa.table({"cell_id": [p[0] for p in points], "x": [p[1] for p in points], "y": [p[2] for p in points], "_grid": [not p[3] for p in points], "_own": [not p[3] for p in points]})
     whole = voronoi._built(table, width)
     monkeypatch.setattr(voronoi, "ROOM", 5_000)
-    assert repr(voronoi._built(table, width).to_pydict()) == repr(whole.to_pydict()) and sum(whole.column("closed").to_pylist()) > 200
+    few = voronoi._built(table, width)
+    assert few.column("neighbours").to_pylist() == whole.column("neighbours").to_pylist() and sum(whole.column("closed").to_pylist()) > 200
+    assert [round(a or 0, 9) for a in few.column("area").to_pylist()] == [round(a or 0, 9) for a in whole.column("area").to_pylist()]
