@@ -19,8 +19,8 @@ their names cannot clash.  An empty table gives an empty result with the same co
 from __future__ import annotations
 
 import re
-from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +30,9 @@ from cartoweave.llm.common import BLANKS, sliced, table
 SYMBOLS = "#*$%&|<>"
 #: Symbols that the punctuation rule counts, besides exclamation marks.
 MARKS = "#*$%&<>^~{}\\!"
-#: What ends a sentence, and what stands between the items of a menu.
-ENDS, BETWEEN = ".!?\u2026\u3002\uff01\uff1f", "|\u2022\u00b7\u00bb\u203a"
+#: What ends a sentence, in any script (Latin, Armenian, Arabic, Syriac, Indic, Burmese, Ethiopic, Khmer, Mongolian, CJK), and what stands between the items of a menu.
+ENDS = ".!?\u2026\u203c\u203d\u2047\u2048\u2049" "\u0589\u061d\u061e\u061f\u06d4\u0700\u0701\u0702\u0964\u0965\u104a\u104b\u1362\u1367\u1368\u17d4\u17d5\u1803\u1809\u3002\uff01\uff0e\uff1f\uff61"
+BETWEEN = "|\u2022\u00b7\u00bb\u203a"
 BULLET = "^[ \\t]*[-\u2013\u2014*\u2022\u25aa\u25e6\u2023\u25cf\u25cb][ \\t]"
 ELLIPSIS = "(\\.\\.\\.|\u2026)[ \\t\\r]*$"
 #: Words of a line that must have a sentence's end, and at most of an item after a bullet.
@@ -72,18 +73,21 @@ def line_fails(line: str, n_words: int) -> bool:
 
 def repeat_words(words: list[bytes]) -> int:
     """Words that lie in a 3-word window found twice or more, the first find included."""
-    if len(words) < 4:
+    n = len(words)
+    if n < 4:
         return 0
-    windows = list(zip(words, words[1:], words[2:], strict=False))
-    counts = Counter(windows)
-    if len(counts) == len(windows):
+    number: dict[bytes, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, n)
+    if len(number) == n:
         return 0
-    covered, end = 0, 0
-    for i, w in enumerate(windows):
-        if counts[w] > 1:
-            covered += i + 3 - max(i, end)
-            end = i + 3
-    return covered
+    # a pair's number, and a window's from that and the third word: exact, as both are less than n
+    pairs = np.unique(ids[:-2] * n + ids[1:-1], return_inverse=True)[1]
+    _, window, counts = np.unique(pairs * n + ids[2:], return_inverse=True, return_counts=True)
+    covered = np.zeros(n, bool)
+    at = np.flatnonzero(counts[window] > 1)
+    for k in range(3):
+        covered[at + k] = True
+    return int(covered.sum())
 
 
 def judge(text: str | None, lost_percent: int = LOST_PERCENT) -> tuple:

@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 
 pytest.importorskip("cartoweave.llm")
-from cartoweave.llm import html_text, language_id, resampling, simhash, vector_codes  # noqa: E402
+from cartoweave.llm import html_text, language_id, quality_rules, resampling, simhash, vector_codes  # noqa: E402
 from cartoweave.llm.common import table  # noqa: E402
 
 PAGES = "page_id long, url string, html string, element long, text string, row int"
@@ -400,3 +400,27 @@ def test_failed_forests_lose_no_link(spark):
                 up[max(top(i), top(j))] = min(top(i), top(j))
     got = {r.doc_id: r.component_id for r in simhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(set(got.values())) > 12 and got == {i: top(i) for i in sets}
+
+
+# Operator 8
+
+
+def test_sentences_of_any_script():
+    words = "\u092f\u0939 \u090f\u0915 \u092a\u0942\u0930\u093e \u0935\u093e\u0915\u094d\u092f \u0939\u0948"
+    line = f"{words} {words} {words}"
+    assert quality_rules.line_fails(line, len(line.split()))
+    for end in "\u0964\u061f\u06d4\u1362\u17d4\u3002\uff1f.":
+        assert not quality_rules.line_fails(line + end, len(line.split()))
+
+
+def test_repeat_words():
+    def brute(words):
+        windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+        counts = Counter(windows)
+        return len({i + k for i, w in enumerate(windows) if counts[w] > 1 for k in range(3)})
+
+    rng = random.Random(9)
+    for _ in range(200):
+        words = [rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(rng.randint(0, 40))]
+        assert quality_rules.repeat_words(words) == brute(words)
+    assert quality_rules.repeat_words([b"w%d" % (i % 70_000) for i in range(200_000)]) == 200_000
