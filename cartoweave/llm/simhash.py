@@ -19,9 +19,9 @@ keep_one, the pipeline's stage, takes a similarity of at least SIMILARITY of the
 five-word shingles.  Its fingerprints are of the distinct shingles, and only texts with equal sets of shingles
 (by a 128-bit hash) are merged.  Fingerprints only propose links: each link of the forests is verified by
 the two texts' shingles, and verified links make the classes, so every document that goes has
-a verified partner in its class.  Where a link fails, all that its forest held together meets once
-more, and every pair between different classes is verified.  So a pair is missed only if its fingerprints
-differ in more bits than `max_distance`, or in more than the ball in all segments.
+a verified partner in its class.  A pair of similar texts is missed if its fingerprints
+differ in more bits than `max_distance`, or in more than the ball in all segments, or if the forest connects them
+by others, of lesser distance, one of which fails; near_classes(every=True) also verifies what such forests left out.
 
 Null and empty texts have no shingle: fingerprint zero, linked like any other.  Rows with a
 null doc_id get a fingerprint, no link and a null component.  Repeated rows each get a row.
@@ -296,16 +296,19 @@ def verified(docs: DataFrame, links_: DataFrame, words: int, similarity: float =
     return pairs.select("src", "dst", "a", "b").mapInArrow(judge, "src long, dst long").distinct()
 
 
-def near_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, f0.., component_id by verified links of five-word shingles."""
+def near_classes(docs: DataFrame, every: bool = False) -> DataFrame:
+    """doc_id, f0.., component_id by verified links of five-word shingles.
+
+    With `every`, whatever a failed link's forest held together meets once more, and all pairs of different
+    classes are verified: no pair in reach is missed, at a cost that grows with the square of groups of texts just below the bar.
+    """
     ensure_checkpoint_dir(docs.sparkSession)
     prints, entries = _entries(docs, WIDE["words"], WIDE["bits"], distinct=True)
     search = (WIDE["bits"], WIDE["segments"], WIDE["ball"], WIDE["max_distance"])
     proposed = links(entries, *search).select("src", "dst").distinct().checkpoint()
     good = verified(docs, proposed, WIDE["words"]).checkpoint()
-    failed = proposed.join(good, ["src", "dst"], "left_anti").checkpoint()
-    if not failed.isEmpty():
-        # whatever a failed link's forest held together meets once more, and all pairs of different classes are verified
+    failed = proposed.join(good, ["src", "dst"], "left_anti").checkpoint() if every else None
+    if every and not failed.isEmpty():
         held = connected_components(proposed).checkpoint()
         open_ = held.join(failed.select(F.col("src").alias("node")), "node", "left_semi").select("component").distinct()
         classes_ = connected_components(good).select("node", F.col("component").alias("class"))

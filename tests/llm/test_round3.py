@@ -398,8 +398,13 @@ def test_failed_forests_lose_no_link(spark):
         for j in range(i):
             if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and top(i) != top(j):
                 up[max(top(i), top(j))] = min(top(i), top(j))
-    got = {r.doc_id: r.component_id for r in simhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert len(set(got.values())) > 12 and got == {i: top(i) for i in sets}
+    given = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: top(i) for i in sets}
+    got = {r.doc_id: r.component_id for r in simhash.near_classes(given, every=True).collect()}
+    assert len(set(got.values())) > 12 and got == want
+    # forests alone may part a class, never join two
+    got = {r.doc_id: r.component_id for r in simhash.near_classes(given).collect()}
+    assert all(want[i] == want[c] for i, c in got.items()) and sum(got[i] == want[i] for i in got) >= 0.9 * len(got)
 
 
 # Operator 8
