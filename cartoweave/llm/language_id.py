@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from cartoweave.llm.common import sliced, table
 from cartoweave.plans import ranks as places
+from cartoweave.plans.components import ensure_checkpoint_dir
 
 PROFILE = 400
 #: Languages whose profiles go to the tasks at a time; ISO 639-3 has some 8,000, so one pass is the rule.
@@ -107,6 +108,8 @@ def train_profiles(docs: DataFrame, profile: int = PROFILE) -> DataFrame:
 
 def identify(docs: DataFrame, profiles: DataFrame, profile: int = PROFILE, at_a_time: int = LANGUAGES) -> DataFrame:
     """doc_id, lang_pred, score, and the other columns of docs but text."""
+    ensure_checkpoint_dir(docs.sparkSession)
+    profiles = profiles.select("lang", "key", "rank").checkpoint()  # small; learned once
     names = profiles.select("lang").distinct()
     blocks = [profiles]
     if (n := names.limit(at_a_time + 1).count()) > at_a_time:
