@@ -197,39 +197,6 @@ def absorb_small(owners: DataFrame, edges: DataFrame, owner: str, least: int) ->
     return c.select("cell_id", F.when((F.col(owner) == 0) | F.col("_large").isNotNull(), F.col(owner)).otherwise(F.coalesce(-F.col("top.o"), F.lit(0))).alias(owner))
 
 
-def spaced(candidates: DataFrame, radius: float) -> DataFrame:
-    """Greedy choice by rank (id, x, y, rank): a candidate is taken unless a better one that was taken is nearer than radius.
-
-    Rounds of a maximal independent set: who is best among the open candidates around is taken,
-    who is near somebody taken is out.  The same as going through all in order of rank.
-    """
-    from cartoweave.operators.spatial import radius_join
-    from cartoweave.plans.components import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(candidates.sparkSession)
-    near = radius_join(candidates, candidates, radius).where("id <> id_r AND distance < " + str(float(radius))).select("id", "rank", "id_r", "rank_r").checkpoint()
-    open_ = candidates.select("id").checkpoint()
-    taken = open_.limit(0)
-    while True:
-        if open_.isEmpty():
-            return candidates.join(taken, "id", "left_semi")
-        live = near.join(open_, "id", "left_semi").join(open_.select(F.col("id").alias("id_r")), "id_r", "left_semi")
-        beaten = live.where("rank_r < rank OR (rank_r = rank AND id_r < id)").select("id").distinct()
-        new = open_.join(beaten, "id", "left_anti").checkpoint()
-        taken = taken.union(new).checkpoint()
-        out = near.join(new.select(F.col("id").alias("id_r")), "id_r", "left_semi").select("id").distinct()
-        open_ = open_.join(new, "id", "left_anti").join(out, "id", "left_anti").checkpoint()
-
-
-def spaced_enough(candidates: DataFrame, radius: float, wanted: int, shrink: float = 1.2, tries: int = 3) -> tuple[DataFrame, float]:
-    """The choice of spaced() and its radius, which is divided by `shrink` while fewer than `wanted` are taken, `tries` times at most."""
-    for left in range(tries, -1, -1):
-        taken = spaced(candidates, radius)
-        if not left or taken.count() >= wanted:
-            return taken, radius
-        radius /= shrink
-
-
 def deep_lakes(cells: DataFrame, edges: DataFrame, depth: int = 20) -> DataFrame:
     """cell_id, level: land from which every way to water climbs at least `depth`; level is the height of that pass."""
     start = cells.where(F.col("height") < SEA).select(F.col("cell_id").alias("node"), F.col("height").alias("value"))

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from cartoweave.functions import geometry as G
 from cartoweave.plans.components import ensure_checkpoint_dir
 
-#: Points of a leaf, levels below the first, nodes of a broadcast table.
-MOST, DEPTH, NODES = 4096, 12, 1_000_000
+#: Points of a leaf, levels below the first, nodes of a broadcast table, left rows of a join key over the points of a leaf.
+MOST, DEPTH, NODES, SALT = 4096, 12, 1_000_000, 16
 
 
 def _meet(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -90,17 +90,22 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, most: int = MO
     """Pairs of left and right (both with x, y) at most radius apart, with `distance`; names of right get the suffix _r.
 
     Right rows are in one leaf each, left rows go to the leaves that their circles touch.  A leaf of the last level with
-    more than `most` rows is as many pieces as it needs: its right rows are dealt by a hash of all their columns, left rows go to each piece.
+    more than `most` rows is as many pieces as it needs: its right rows are dealt by a hash of all their columns, left rows go to each piece.  Where more
+    than SALT times `most` left rows meet in a leaf they are dealt by a hash likewise, and its right rows, few as they are, go to each salt.
     """
     if radius <= 0:
         raise ValueError("the radius must be positive")
     nodes = tree(right, radius, most, depth).checkpoint()
-    pieces = F.ceil(F.col("n") / most).cast("int")
-    r = leaf_of(right, nodes, radius)
-    r = r.select(*[F.col(f"`{c}`").alias(f"{c}_r") for c in right.columns], "level", "i", "j", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in right.columns]), pieces).cast("int").alias("_piece"))
-    le = touched(left, nodes, radius, radius).withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("n")
+    leaf = ["level", "i", "j"]
+    dealt = lambda rows, n: F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), n).cast("int")
+    pieces, salts = F.ceil(F.col("n") / most).cast("int"), F.ceil(F.col("_copies") / (most * SALT)).cast("int")
+    le = touched(left, nodes, radius, radius)
+    copies = le.groupBy(*leaf).agg(F.count("*").alias("_copies")).checkpoint()
+    le = _meet(le, copies, leaf).withColumn("_salt", dealt(left, salts)).withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("n", "_copies")
+    r = _meet(leaf_of(right, nodes, radius), copies, leaf)
+    r = r.select(*[F.col(f"`{c}`").alias(f"{c}_r") for c in right.columns], *leaf, dealt(right, pieces).alias("_piece"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"))
     d = G.distance(F.col("x"), F.col("y"), F.col("x_r"), F.col("y_r"))
-    return le.join(r, ["level", "i", "j", "_piece"]).withColumn("distance", d).where(F.col("distance") <= radius).drop("level", "i", "j", "_piece")
+    return le.join(r, [*leaf, "_piece", "_salt"]).withColumn("distance", d).where(F.col("distance") <= radius).drop(*leaf, "_piece", "_salt")
 
 
 def nearest_site(points: DataFrame, sites: DataFrame, key: str, site: str, reach: float, most: int = MOST) -> DataFrame:

@@ -10,7 +10,7 @@ from cartoweave.functions import geometry as G
 from cartoweave.functions import society as S
 from cartoweave.operators import edits as D
 from cartoweave.operators import graph as N
-from cartoweave.operators import names, spatial
+from cartoweave.operators import names, spacing, spatial
 from cartoweave.plans.fixpoint import settle
 from cartoweave.plans.ranks import ranked
 from cartoweave.sources import generator
@@ -627,7 +627,7 @@ SELECT unnest(taken).id AS id FROM (SELECT taken FROM g ORDER BY k DESC LIMIT 1)
 def spaced_capitals(spark, sf):
     """Greedy choice by population with a least distance."""
     s = T.settlements(spark, sf).select("id", "x", "y", (-F.col("population")).alias("rank"))
-    return N.spaced(s, 6.0).select("id")
+    return spacing.spaced(s, 6.0).select("id")
 
 
 _LINES = f"""b AS ({SQL['climate_and_biomes']}), z AS ({SQL['winds']}), r AS (SELECT c.cell_id, x, y, c.height AS h, temperature, wind, rain_factor, is_west, is_north, wind > 220 AND wind < 320 AS is_east, wind > 280 OR wind < 80 AS is_south FROM cells c JOIN b USING (cell_id) JOIN z USING (cell_id)),
@@ -1028,4 +1028,4 @@ def name_bases(spark, sf):
 
 
 # what more there is registers itself here
-from cartoweave import land_queries, more_queries  # noqa: E402, F401
+from cartoweave import land_queries, more_queries, site_queries  # noqa: E402, F401
