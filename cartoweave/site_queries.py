@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from cartoweave.operators import spacing, tiles
+from cartoweave.operators import spacing, sweeps, tiles
 from cartoweave.plans.components import ensure_checkpoint_dir
 from cartoweave.queries import query
 from cartoweave.sources import store
@@ -60,6 +60,34 @@ def spaced_classes(spark, sf):
     return capitals.select("id", F.lit("capital").alias("class")).union(towns.select("id", F.lit("town").alias("class")))
 
 
+# Sweeps
+
+_COLOURS = """before AS (SELECT src, dst FROM edges WHERE (dst % 2147483648 * 2654435761) % 4294967296 < (src % 2147483648 * 2654435761) % 4294967296),
+cl(cell_id, colour) USING KEY (cell_id) AS (SELECT cell_id, 0::BIGINT FROM cells WHERE cell_id NOT IN (SELECT src FROM before) UNION
+  SELECT src, list_min(list_filter(range(0, 9), lambda v: NOT list_contains(used, v))) FROM (SELECT b.src, list(r.colour) AS used FROM before b LEFT JOIN recurring.cl r ON r.cell_id = b.dst
+    WHERE EXISTS (SELECT 1 FROM cl) AND b.src NOT IN (SELECT cell_id FROM recurring.cl) GROUP BY b.src HAVING count(*) = count(r.cell_id)))"""
+
+
+@query("cells edges", f"@ {_COLOURS} SELECT cell_id, colour FROM cl")
+def cell_colours(spark, sf):
+    """A colour for each cell, by rounds of independent sets: neighbours never share one."""
+    c = T.cells(spark, sf)
+    return sweeps.colours(c, T.edges(spark, sf)).select("cell_id", F.col("colour").cast("long").alias("colour"))
+
+
+@query("owners edges settlements", f"""@ {_COLOURS}, s(k, cell_id, st) AS (SELECT 0::BIGINT, cell_id, state_id FROM owners UNION ALL
+SELECT s.k + 1, s.cell_id, CASE WHEN colour = s.k AND s.st > 0 AND coalesce(near.mine, 0) < 2 AND near.n >= 2 AND s.cell_id NOT IN (SELECT cell_id FROM settlements) THEN near.top ELSE s.st END
+FROM s JOIN cl USING (cell_id) LEFT JOIN (SELECT src, arg_max(st, m * 1000 - st) AS top, max(m) AS n, max(m) FILTER (WHERE st = own) AS mine FROM
+  (SELECT e.src, o.st, a.st AS own, count(*) AS m FROM edges e JOIN s o ON o.cell_id = e.dst JOIN s a ON a.cell_id = e.src WHERE o.st > 0 GROUP BY ALL) GROUP BY src) near ON near.src = s.cell_id
+WHERE s.k <= (SELECT max(colour) FROM cl)) SELECT cell_id, st AS state_id FROM s WHERE k = (SELECT max(colour) + 1 FROM cl)""")
+def swept_states(spark, sf):
+    """Boundary normalisation in which later cells see earlier ones, by sweeps over colours; cells with settlements keep their state."""
+    c, e = T.cells(spark, sf), T.edges(spark, sf)
+    towns = T.settlements(spark, sf).select("cell_id", F.lit(True).alias("_town")).distinct()
+    own = T.owners(c).select("cell_id", "state_id").join(towns, "cell_id", "left").select("cell_id", "state_id", F.coalesce("_town", F.lit(False)).alias("fixed"))
+    return sweeps.swept(own, e, "state_id", sweeps.colours(c, e))
+
+
 # Snapshots
 
 
