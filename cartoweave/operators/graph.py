@@ -14,6 +14,8 @@ from cartoweave.plans.components import ensure_checkpoint_dir
 from cartoweave.plans.fixpoint import dealt, settle
 
 SEA = 20
+#: Places of a line that a wind folds in one row.
+SEGMENT = 256
 
 
 def neighbours(cells: DataFrame, edges: DataFrame, *columns: str) -> DataFrame:
@@ -218,21 +220,31 @@ def breached(cells: DataFrame, edges: DataFrame, features_: DataFrame, regions_:
 GAIN, PEAK, LAND, COAST = 5, 85, 10, 15
 
 
-def wind(lines: DataFrame, frozen: int = -5) -> DataFrame:
+def wind(lines: DataFrame, frozen: int = -5, segment: int = SEGMENT) -> DataFrame:
     """cell_id, rain of a wind along each line: lines has line, place (from 0 on), cell_id, height, temperature, strength.
 
     Humidity, which is the line's strength less its first height, is carried from cell to cell; over
     water it grows, on the last water before land rain falls on the land, on land it falls, more so
     on slopes, and at a peak or the end of the line wholly.  Cells colder than `frozen` are passed
-    over.  A line is folded in one row, so lines run side by side, whatever the size of the map.
+    over.  A line of any length is cut into segments of so many places, each one row.  In a round each segment whose
+    entry changed is folded, and tells the next what comes out; all begin with what the line begins with.  As
+    water fills the air and peaks empty it, few changes go far, and a line of k segments takes k rounds at most.
     Cells that no rain falls on have no row; a cell that rain falls on twice has two.
     """
     cell = F.struct("place", "cell_id", F.col("height").cast("double").alias("h"), (F.col("temperature") < frozen).alias("cold"), F.col("strength").cast("double").alias("most"))
-    rows = lines.groupBy("line").agg(F.array_sort(F.collect_list(cell)).alias("c"))
-    # each cell with its successor, null at the end
-    pairs = F.zip_with("c", F.slice("c", F.lit(2), F.size("c")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-
-    def step(s, e):
+    ensure_checkpoint_dir(lines.sparkSession)
+    cut = lines.groupBy("line", F.floor(F.col("place") / segment).alias("seg")).agg(F.array_sort(F.collect_list(cell)).alias("c")).checkpoint()
+    w = Window.partitionBy("line").orderBy("seg")
+    head = F.get("c", F.lit(0))
+    # heads alone go through the window: a row a segment
+    heads = cut.select("line", "seg", head.alias("head")).select("line", "seg", F.lead("seg").over(w).alias("next"), F.lead("head").over(w).alias("after"), F.first("head").over(w).alias("first"))
+    air = F.col("first.most") - F.col("first.h")
+    entry = heads.select("line", "seg", F.when(air > 0, air).otherwise(-1.0).alias("air")).checkpoint()
+    # each cell with its successor, null at the line's end
+    pairs = F.zip_with("c", F.concat(F.slice("c", F.lit(2), F.size("c")), F.array("after")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    rows = cut.join(heads.select("line", "seg", "next", "after"), ["line", "seg"]).select("line", "seg", "next", pairs.alias("c")).checkpoint()
+
+    def step(s, e, write=True):
         a, b, air = e["a"], e["b"], s["air"]
         rise, slope = F.greatest(b["h"] - a["h"], F.lit(0.0)), b["h"] / 70
         fall = F.when(b["h"] > PEAK, air).otherwise(F.least(F.greatest(air / LAND, F.lit(1.0)) + rise * (slope * slope), air))
@@ -241,12 +253,19 @@ def wind(lines: DataFrame, frozen: int = -5) -> DataFrame:
         idle = (s["air"] < 0) | a["cold"] | (wet & b.isNull())
         coast = wet & (b["h"] >= SEA)
         new = F.when(idle | coast, air).when(wet, F.least(air + GAIN, a["most"])).when(b.isNull(), 0.0).otherwise(left)
+        if not write:
+            return F.struct(new.alias("air"))
         amount = F.when(coast, F.greatest(air / COAST, F.lit(1.0))).when(wet, float(GAIN)).when(b.isNull(), air).otherwise(fall)
         drop = F.struct(F.when(coast, b["cell_id"]).otherwise(a["cell_id"]).alias("cell_id"), F.floor(amount).cast("long").alias("rain"))
         return F.struct(new.alias("air"), F.when(idle, s["out"]).otherwise(F.concat(s["out"], F.array(drop))).alias("out"))
 
-    first = F.get("c", F.lit(0))
-    air = first["most"] - first["h"]
-    start = F.struct(F.when(air > 0, air).otherwise(-1.0).alias("air"), F.array().cast("array<struct<cell_id:long,rain:long>>").alias("out"))
-    fallen = rows.select(F.explode(F.aggregate(pairs, start, step, lambda s: s["out"])).alias("r"))
+    changed = entry
+    while True:
+        told = rows.where("next IS NOT NULL").join(changed, ["line", "seg"]).select("line", F.col("next").alias("seg"), F.aggregate("c", F.struct(F.col("air").alias("air")), lambda s, e: step(s, e, False), lambda s: s["air"]).alias("told"))
+        changed = told.join(entry, ["line", "seg"]).where("told <> air").select("line", "seg", F.col("told").alias("air")).checkpoint()
+        if changed.isEmpty():
+            break
+        entry = entry.join(changed.select("line", "seg"), ["line", "seg"], "left_anti").unionByName(changed).checkpoint()
+    start = F.struct(F.col("air").alias("air"), F.array().cast("array<struct<cell_id:long,rain:long>>").alias("out"))
+    fallen = rows.join(entry, ["line", "seg"]).select(F.explode(F.aggregate("c", start, lambda s, e: step(s, e), lambda s: s["out"])).alias("r"))
     return fallen.select("r.cell_id", "r.rain").where("rain > 0")

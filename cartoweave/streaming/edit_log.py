@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartoweave.plans.blocks import shared_folder
 from cartoweave.sources.tables import edits_of
 
 
@@ -32,10 +33,17 @@ def latest_by_cell(edits: DataFrame) -> DataFrame:
     return last.select("cell_id", "e.edit_id", "e.op", "e.delta")
 
 
-def drain(stream: DataFrame, table: str, mode: str = "complete") -> DataFrame:
-    """Run the stream over all that is there into an in-memory table (for reports and tests) and return it."""
-    stream.writeStream.format("memory").queryName(table).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(table)
+def drain(stream: DataFrame, name: str) -> DataFrame:
+    """Run a streaming aggregate over all that is there into a new shared folder and return the whole result of the last batch; nothing goes through the driver."""
+    spark, path, last = stream.sparkSession, f"{shared_folder(stream.sparkSession)}/{name}", []
+
+    def put(batch: DataFrame, number: int) -> None:
+        # a batch that is run again writes the same
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        last[:] = [number]
+
+    stream.writeStream.foreachBatch(put).outputMode("complete").option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/batch={last[0]}") if last else spark.createDataFrame([], stream.schema)
 
 
 def keep_current(edits: DataFrame, path: str, checkpoint: str):
