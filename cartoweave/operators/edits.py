@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartoweave.plans.components import ensure_checkpoint_dir
+
 HEIGHTS = ("set_height", "adjust_height")
 
 
@@ -66,6 +70,55 @@ def fold_heights(cells: DataFrame, edits: DataFrame) -> DataFrame:
     return cells.select("cell_id", "height").join(maps, "cell_id", "left").select("cell_id", F.when(F.col("maps").isNull(), F.col("height").cast("long")).otherwise(folded).alias("height"))
 
 
+#: The number of the mark at the end of a cell's log.
+END = (1 << 63) - 1
+
+
+def fold_ordered(cells: DataFrame, edits: DataFrame, edges: DataFrame) -> DataFrame:
+    """cell_id, height (double) after all set_height, adjust_height and smooth edits, each in its place in the order of edit_id.
+
+    A smooth edit moves its cell halfway to the mean of the cell and its neighbours, as they are at that moment, between 0 and 100.
+    It marks these cells: between marks and smooth edits a cell's other edits compose to a map h -> max(h + a, b), found by running sums and maxima.
+    Then smooth edits are computed in waves, each as soon as the last smooth edits of its cell and neighbours before it are; so rounds follow
+    the longest chain of smooth edits that touch each other, not the log.  Cells that no smooth edit looks at go by fold_heights(), in
+    pieces; a looked-at cell's edits are sorted in one task, which spills.  edit_id is unique; edges (src, dst) go both ways, repeats count once.
+    """
+    spark = cells.sparkSession
+    ensure_checkpoint_dir(spark)
+    base = cells.select(F.col("cell_id").cast("long").alias("cell_id"), F.col("height").cast("double").alias("height"))
+    log = edits.where(F.col("op").isin(*HEIGHTS, "smooth") & F.col("cell_id").isNotNull() & ((F.col("op") == "smooth") | F.col("delta").isNotNull()))
+    log = log.select(F.col("cell_id").cast("long").alias("cell_id"), F.col("edit_id").cast("long").alias("id"), "op", F.col("delta").cast("double").alias("delta")).join(base.select("cell_id"), "cell_id", "left_semi")
+    smooth = log.where("op = 'smooth'").select("cell_id", "id")
+    near = edges.where("src <> dst").select(F.col("src").alias("cell_id"), "dst").distinct()
+    looks = smooth.join(near, "cell_id").select("id", F.col("dst").alias("cell_id"), F.lit(False).alias("own")).unionByName(smooth.select("id", "cell_id", F.lit(True).alias("own"))).join(base.select("cell_id"), "cell_id", "left_semi").checkpoint()
+    seen = looks.select("cell_id").distinct().checkpoint()
+    # a cell's own smooth edit comes after the look that it takes
+    rows = log.join(seen, "cell_id", "left_semi").select("cell_id", "id", F.when(F.col("op") == "smooth", 2).otherwise(1).alias("turn"), "op", "delta", F.lit(None).cast("boolean").alias("own"))
+    marks = looks.unionByName(seen.select(F.lit(END).alias("id"), "cell_id", F.lit(True).alias("own")))
+    rows = rows.unionByName(marks.select("cell_id", "id", F.lit(0).alias("turn"), F.lit("look").alias("op"), F.lit(None).cast("double").alias("delta"), "own"))
+    so_far = Window.partitionBy("cell_id").orderBy("id", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("after", F.last(F.when(F.col("op") == "smooth", F.col("id")), ignorenulls=True).over(so_far)).withColumn("sets", F.sum((F.col("op") == "set_height").cast("long")).over(so_far))
+    part = Window.partitionBy("cell_id", "after", "sets").orderBy("id", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    adjusts = F.col("op") == "adjust_height"
+    rows = rows.withColumn("a", F.sum(F.when(adjusts, F.col("delta")).otherwise(0.0)).over(part)).withColumn("low", F.max(F.when(adjusts, -F.col("a"))).over(part)).withColumn("set", F.max(F.when(F.col("op") == "set_height", F.greatest("delta", F.lit(0.0)))).over(part))
+    then = lambda h: F.when(h.isNotNull(), F.greatest(h + F.col("a"), F.col("a") + F.col("low")))
+    found = rows.where("op = 'look'").join(base, "cell_id")
+    known = F.when(F.col("set").isNotNull(), then(F.col("set"))).when(F.col("after").isNull(), then(F.col("height")))
+    terms = found.select("cell_id", "id", "own", F.when(known.isNull(), F.col("after")).alias("after"), "a", "low", known.alias("v")).checkpoint()
+    ends = terms.where(F.col("id") == END)
+    open_, out = terms.where(F.col("id") != END), []
+    while not open_.isEmpty():
+        sums = open_.groupBy("id").agg(F.sum("v").alias("_sum"), F.count("*").alias("_n"), F.count("v").alias("_known"), F.max(F.when(F.col("own"), F.col("v"))).alias("_own"))
+        done = sums.where("_n = _known").select("id", F.greatest(F.lit(0.0), F.least(F.lit(100.0), (F.col("_own") + F.col("_sum") / F.col("_n")) / 2)).alias("value")).checkpoint()
+        out.append(done)
+        told = done.select(F.col("id").alias("after"), "value")
+        open_ = open_.join(done.select("id"), "id", "left_anti").join(told, "after", "left").select("cell_id", "id", "own", "after", "a", "low", F.coalesce("v", then(F.col("value"))).alias("v")).checkpoint()
+    values = reduce(DataFrame.union, out) if out else smooth.select("id", F.lit(0.0).alias("value")).limit(0)
+    last = ends.join(values.select(F.col("id").alias("after"), "value"), "after", "left").select("cell_id", F.coalesce("v", then(F.col("value"))).alias("height"))
+    rest = fold_heights(cells.join(seen, "cell_id", "left_anti"), edits)
+    return rest.select(F.col("cell_id").cast("long").alias("cell_id"), F.col("height").cast("double").alias("height")).unionByName(last)
+
+
 def latest(edits: DataFrame, key: str = "cell_id") -> DataFrame:
     """The last edit of each key; partial maxima before the shuffle, so a hot key is one row a task."""
     last = edits.groupBy(key).agg(F.max_by(F.struct("edit_id", "ts", "editor", "op", "delta"), "edit_id").alias("e"))

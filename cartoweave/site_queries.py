@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from cartoweave.operators import spacing, sweeps, tiles
+from cartoweave.operators import edits, spacing, sweeps, tiles
 from cartoweave.plans.components import ensure_checkpoint_dir
 from cartoweave.queries import query
 from cartoweave.sources import store
@@ -88,6 +88,20 @@ def swept_states(spark, sf):
     return sweeps.swept(own, e, "state_id", sweeps.colours(c, e))
 
 
+# Edits in order
+
+
+@query("cells edges edits", """@ log AS (SELECT *, row_number() OVER (ORDER BY edit_id) AS k FROM edits WHERE op IN ('set_height', 'adjust_height', 'smooth')),
+st(cell_id, h, k) USING KEY (cell_id) AS (SELECT cell_id, height::DOUBLE, 0::BIGINT FROM cells UNION
+  SELECT l.cell_id, CASE l.op WHEN 'set_height' THEN greatest(l.delta, 0)::DOUBLE WHEN 'adjust_height' THEN greatest(o.h + l.delta, 0) ELSE greatest(0, least(100, (o.h + (o.h + coalesce(sum(n.h), 0)) / (1 + count(n.h))) / 2)) END, l.k
+  FROM (SELECT max(k) AS k FROM st) now JOIN log l ON l.k = now.k + 1 JOIN recurring.st o ON o.cell_id = l.cell_id LEFT JOIN edges e ON e.src = l.cell_id LEFT JOIN recurring.st n ON n.cell_id = e.dst GROUP BY l.cell_id, l.op, l.delta, o.h, l.k)
+SELECT cell_id, round(h, 4) AS height FROM st""")
+def ordered_edits(spark, sf):
+    """All edits of heights in their order, smooth ones in their place: each sees what its cell and the neighbours are at that moment."""
+    h = edits.fold_ordered(T.cells(spark, sf), T.edits(spark, sf), T.edges(spark, sf))
+    return h.select("cell_id", F.round("height", 4).alias("height"))
+
+
 # Snapshots
 
 
