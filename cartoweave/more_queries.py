@@ -59,11 +59,14 @@ def stored_states(spark, sf):
     return store.conform("states", r, "state_id")
 
 
-@query("", f"SELECT i AS biome_id, name, NULL::VARCHAR AS classification, 0::BIGINT AS temperature_band, 0::BIGINT AS moisture_band, CASE WHEN i % 4 = 0 THEN 50 ELSE i END::BIGINT AS habitability, 1::BIGINT AS movement_cost, 15.0::DOUBLE AS avg_temperature, 500.0::DOUBLE AS avg_precipitation FROM (VALUES {', '.join(f'({i}::BIGINT, {name!r})' for i, name in enumerate(E.BIOMES))}) t(i, name)")
+@query("", f"""{_with(b=SQL['climate_and_biomes'])} SELECT i AS biome_id, name, NULL::VARCHAR AS classification, 0::BIGINT AS temperature_band, 0::BIGINT AS moisture_band, CASE WHEN i % 4 = 0 THEN 50 ELSE i END::BIGINT AS habitability, 1::BIGINT AS movement_cost,
+round(avg(temperature::DOUBLE), 4) AS avg_temperature, round(avg(precip::DOUBLE), 4) AS avg_precipitation FROM b JOIN (VALUES {', '.join(f'({i}::BIGINT, {name!r})' for i, name in enumerate(E.BIOMES))}) t(i, name) ON i = biome GROUP BY i, name""")
 def stored_biomes(spark, sf):
-    """Biomes as they are stored, with a default for each column."""
-    rows = spark.createDataFrame([(i, name, None if i % 4 == 0 else i) for i, name in enumerate(E.BIOMES)], "biome_id long, name string, habitability long")
-    return store.conform("biomes", rows, "biome_id")
+    """The world's biomes as they are stored: what is known of each from its cells, and a default for the other columns."""
+    mean = lambda c: F.round(F.avg(F.col(c).cast("double")), 4)
+    found = climate_and_biomes(spark, sf).groupBy(F.col("biome").cast("long").alias("biome_id")).agg(mean("temperature").alias("avg_temperature"), mean("precip").alias("avg_precipitation"))
+    name = F.element_at(F.array(*[F.lit(n) for n in E.BIOMES]), (F.col("biome_id") + 1).cast("int"))
+    return store.conform("biomes", found.select("biome_id", name.alias("name"), F.when(F.col("biome_id") % 4 != 0, F.col("biome_id")).alias("habitability"), "avg_temperature", "avg_precipitation"), "biome_id")
 
 
 @query("maps", """SELECT map_id::BIGINT AS map_id, name, 0::BIGINT AS width, 0::BIGINT AS height, 0::BIGINT AS cells_count, '{"n":' || n_nations || '}' AS config_json FROM maps""")
@@ -97,10 +100,16 @@ def layer_check(spark, sf):
     return spark.sql("SELECT * FROM layer_check()")
 
 
-@query("", "SELECT * FROM (VALUES ('cartoweave_probe', true), ('cartoweave_nothing', false)) t(name, there)")
+@query("cells", "SELECT 'cartoweave_band_' || k AS name, k IN (SELECT height // 10 FROM cells WHERE NOT is_border) AS there FROM range(13) t(k)")
 def catalog_probe(spark, sf):
-    T.cells(spark, sf).createOrReplaceTempView("cartoweave_probe")
-    return session.tables_there(spark, "cartoweave_probe", "cartoweave_nothing")
+    """Which bands of height the inland has, each a view of its cells if it has any, as the catalog tells."""
+    c = T.cells(spark, sf).where("NOT is_border").withColumn("band", F.expr("height div 10"))
+    found = {r.band for r in c.select("band").distinct().collect()}  # at most eleven
+    for k in range(13):
+        spark.catalog.dropTempView(f"cartoweave_band_{k}")
+        if k in found:
+            c.where(F.col("band") == k).createOrReplaceTempView(f"cartoweave_band_{k}")
+    return session.tables_there(spark, *(f"cartoweave_band_{k}" for k in range(13)))
 
 
 # Cells

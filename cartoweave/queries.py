@@ -102,15 +102,25 @@ def viewer_rivers(spark, sf):
     return D.ordered_path(T.river_cells(spark, sf), "river_id").select("river_id", G.wkt_line(F.col("path")).alias("wkt"))
 
 
-@query("", """SELECT id AS cell_id, round(least(1000.0, greatest(0.0, 5.0 + (id % 100) * 10 + ((((id * 48271 + 7) % 2147483647 * 16807 % 2147483647) // 7 % 65536) / 65535.0::DOUBLE * 2 - 1) * 4.5)), 2) AS x,
-  round(least(600.0, greatest(0.0, 5.0 + (id // 100) * 10 + ((((id * 48271 + 984) % 2147483647 * 16807 % 2147483647) // 7 % 65536) / 65535.0::DOUBLE * 2 - 1) * 4.5)), 2) AS y FROM range(6000) t(id)""")
+_PITCH = 25  # of the grid of jittered places, one for each cell
+
+_JITTER = "((((cell_id * 48271 + {}) % 2147483647 * 16807 % 2147483647) // 7 % 65536) / 65535.0::DOUBLE * 2 - 1) * 25 * 0.45::DOUBLE"
+
+
+@query("cells n", f"""SELECT cell_id, height, round(least(1000.0, greatest(0.0, 12.5 + x * 25 + {_JITTER.format(7)})), 2) AS x, round(least(n // 40 * 25.0, greatest(0.0, 12.5 + y * 25 + {_JITTER.format(984)})), 2) AS y FROM cells, n""")
 def jittered_grid(spark, sf):
-    return generator.jittered_grid(spark, 1000, 600, 10, 7)
+    """Each cell of the world with a place of its own on a jittered grid."""
+    rows = T.count_cells(spark, sf) // T.WIDTH
+    return generator.jittered(T.cells(spark, sf).select("cell_id", "height"), T.WIDTH * _PITCH, rows * _PITCH, _PITCH, 7)
 
 
-@query("", "SELECT ceil(1020 * (i + 0.5) / 50 - 10)::BIGINT AS x, y::BIGINT AS y FROM range(50) t(i), (VALUES (-10), (610)) v(y) UNION ALL SELECT x::BIGINT, ceil(620 * (i + 0.5) / 30 - 10)::BIGINT FROM range(30) t(i), (VALUES (-10), (1010)) v(x)")
+@query("cells", """@ s AS (SELECT (max(x) + 1) * 25 AS w, (max(y) + 1) * 25 AS h FROM cells), p AS (SELECT w, h, ceil((w + 50) / 50.0)::BIGINT - 1 AS nx, ceil((h + 50) / 50.0)::BIGINT - 1 AS ny FROM s)
+SELECT ceil((w + 50) * (i + 0.5::DOUBLE) / nx - 25)::BIGINT AS x, CASE WHEN k = 0 THEN -25 ELSE h + 25 END::BIGINT AS y FROM (SELECT *, unnest(range(nx)) AS i FROM p), range(2) t(k) UNION ALL
+SELECT CASE WHEN k = 0 THEN -25 ELSE w + 25 END::BIGINT, ceil((h + 50) * (i + 0.5::DOUBLE) / ny - 25)::BIGINT FROM (SELECT *, unnest(range(ny)) AS i FROM p), range(2) t(k)""")
 def boundary_points(spark, sf):
-    return generator.boundary_points(spark, 1000, 600, 10).select("x", "y")
+    """The points around the world's cells, from their extent."""
+    most = T.cells(spark, sf).agg(F.max("x"), F.max("y")).first()
+    return generator.boundary_points(spark, (most[0] + 1) * _PITCH, (most[1] + 1) * _PITCH, _PITCH).select("x", "y")
 
 
 @query("edges", "SELECT src, dst FROM edges")
@@ -118,9 +128,14 @@ def cell_edges(spark, sf):
     return T.edges(spark, sf)
 
 
-@query("", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {i}, '{line.split()[0]}', '{' '.join(line.split()[1:])}')" for n, p in generator.TEMPLATES.items() for i, line in enumerate(p)) + ") t(name, seq, command, args)")
+_LINES = ", ".join(f"({k}, '{n}', {i}, '{line.split()[0]}', '{' '.join(line.split()[1:])}')" for k, (n, p) in enumerate(generator.TEMPLATES.items()) for i, line in enumerate(p))
+
+
+@query("maps", f"SELECT map_id, t.name, seq, command, args FROM maps JOIN (VALUES {_LINES}) t(k, name, seq, command, args) ON k = map_id % {len(generator.TEMPLATES)}")
 def template_commands(spark, sf):
-    return generator.templates(spark).withColumn("args", F.array_join("args", " "))
+    """The program of each map, split into commands."""
+    name = F.element_at(F.array(*[F.lit(t) for t in generator.TEMPLATES]), (F.col("map_id") % len(generator.TEMPLATES) + 1).cast("int"))
+    return T.maps(spark, sf).select("map_id", name.alias("name")).join(generator.templates(spark), "name").select("map_id", "name", "seq", "command", F.array_join("args", " ").alias("args"))
 
 
 @query()
@@ -1012,12 +1027,12 @@ def deep_lakes(spark, sf):
 
 @query("cells edges", f"""@ cc(cell_id, region) USING KEY (cell_id) AS (SELECT cell_id, cell_id FROM cells UNION SELECT l.dst, min(c.region) FROM cc c JOIN (SELECT e.src, e.dst FROM edges e JOIN cells a ON a.cell_id = e.src JOIN cells b ON b.cell_id = e.dst WHERE (a.height >= 20) = (b.height >= 20)) l ON l.src = c.cell_id JOIN recurring.cc r ON r.cell_id = l.dst WHERE c.region < r.region GROUP BY l.dst),
 ft AS (SELECT region, CASE WHEN bool_or(height >= 20) THEN 'island' WHEN bool_or(is_border) THEN 'ocean' ELSE 'lake' END AS feature FROM cc JOIN cells USING (cell_id) GROUP BY region),
-sd AS (SELECT e.src, ft.region, feature FROM edges e JOIN cells a ON a.cell_id = e.src JOIN cc ON cc.cell_id = e.dst JOIN ft ON ft.region = cc.region WHERE a.height BETWEEN 20 AND 40)
+sd AS (SELECT e.src, ft.region, feature FROM edges e JOIN cells a ON a.cell_id = e.src JOIN cc ON cc.cell_id = e.dst JOIN ft ON ft.region = cc.region WHERE a.height BETWEEN 20 AND 22)
 SELECT min(l.src) AS cell_id, l.region AS lake FROM sd l WHERE feature = 'lake' AND src IN (SELECT src FROM sd WHERE feature = 'ocean') GROUP BY l.region""")
 def breached_lakes(spark, sf):
     c, e = T.cells(spark, sf).withColumn("land", F.col("height") >= 20), T.edges(spark, sf)
     r = _regions(spark, sf, c, "land")
-    return N.breached(c, e, N.features(c, r), r, 40)
+    return N.breached(c, e, N.features(c, r), r)
 
 
 @query("settlements n", f"SELECT id, (((x > 20)::INT + 2 * (y > (n // 40) / 2.0)::INT) * 4 + CASE ({_TYPES})[id % 6 + 1] WHEN 'Naval' THEN 1 WHEN 'Nomadic' THEN 2 WHEN 'Highland' THEN 3 ELSE 0 END) % 9 AS base FROM settlements, n WHERE is_capital")

@@ -215,9 +215,14 @@ def scrambled(seed: int, key: Column) -> Column:
 def jittered_grid(spark: SparkSession, width: int, height: int, spacing: float, seed: int) -> DataFrame:
     """cell_id, x, y: the middle of each square, moved by at most 0.45 of the spacing, two places, inside the map."""
     nx, ny = math.ceil((width - spacing / 2) / spacing), math.ceil((height - spacing / 2) / spacing)
-    i = F.col("id")
+    return jittered(spark.range(nx * ny).withColumnRenamed("id", "cell_id"), width, height, spacing, seed)
+
+
+def jittered(cells: DataFrame, width: int, height: int, spacing: float, seed: int) -> DataFrame:
+    """cells (cell_id from 0 on, row by row), each with a place x, y as jittered_grid() gives it."""
+    nx, i = math.ceil((width - spacing / 2) / spacing), F.col("cell_id")
     at = lambda k, n, salt: F.round(F.least(F.lit(float(n)), F.greatest(F.lit(0.0), spacing / 2 + k * spacing + (scrambled(seed + salt, i) / 65535.0 * 2 - 1) * spacing * 0.45)), 2)
-    return spark.range(nx * ny).select(i.alias("cell_id"), at(i % nx, width, 0).alias("x"), at(F.expr(f"id div {nx}"), height, 977).alias("y"))
+    return cells.withColumns({"x": at(i % nx, width, 0), "y": at(F.expr(f"cell_id div {nx}"), height, 977)})
 
 
 def boundary_points(spark: SparkSession, width: int, height: int, spacing: float) -> DataFrame:
