@@ -1043,4 +1043,4 @@ def name_bases(spark, sf):
 
 
 # what more there is registers itself here
-from cartoweave import land_queries, more_queries, site_queries, terrain_queries  # noqa: E402, F401
+from cartoweave import land_queries, more_queries, site_queries, terrain_queries, world_queries  # noqa: E402, F401
