@@ -19,8 +19,7 @@ rejected for their length.
    type that all documents hold is spread over them.  What comes back is one number for each
    document and shard: it grows with the corpus alone.
 
-TRUSTED bounds the labelled rows that are used: of more, those with the least hashes of their
-ids are (about TRUSTED of them); it is this model's bounded sample of labelled rows.
+All trusted rows train or set the threshold, however many: up to TRUSTED ids are broadcast, more are joined by a shuffle.
 
 Null and empty texts and texts of white space have no n-gram: perplexity null, not kept.  A
 language without MIN_TRUSTED held-out trusted documents takes the fence of all languages; null
@@ -41,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cartoweave.llm.common import SLICE, crc_sql, mix64, parts_for, sliced, table, tidy
+from cartoweave.llm.common import SLICE, bytes_of, crc_sql, mix64, sliced, table, tidy
 from cartoweave.plans.components import ensure_checkpoint_dir
 
 ORDER, FENCE, MIN_TRUSTED = 4, 3.0, 20
@@ -49,7 +48,7 @@ ORDER, FENCE, MIN_TRUSTED = 4, 3.0, 20
 SLACK = 4.5
 #: Signs of a block of documents; input bytes whose n-grams meet one copy of a shard; types of a shard (16 bytes each).
 BLOCK, GROUP, TYPES = 2_000_000, 24 << 20, 1 << 18
-#: Trusted ids that are used, and broadcast, at most (8 bytes each).
+#: Trusted ids that are broadcast at most (8 bytes each).
 TRUSTED = 2_000_000
 #: Width of the bins of log perplexity in which quantiles are counted.
 BIN = 0.001
@@ -296,13 +295,11 @@ def log_likelihoods(docs: DataFrame, logp: DataFrame, shards: int, salts: int, o
 def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, fence: float = FENCE) -> DataFrame:
     """doc_id, lang, n_chars (signs), perplexity, threshold, kept for each row of docs (doc_id, lang, text); labels: doc_id, quality."""
     ensure_checkpoint_dir(docs.sparkSession)
-    groups = parts_for(docs, GROUP)  # of the input, before joins blur its size
+    # of the input, before joins blur its size; not of Spark's partitions, as each group is met by a copy of a shard
+    groups = max(1, -(-bytes_of(docs) // GROUP))
     trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_trusted")).distinct()
-    share = TRUSTED / max(1, trusted.count())
-    if share < 1:  # a bounded sample of the labelled rows
-        trusted = trusted.where(F.pmod(F.xxhash64("_trusted"), F.lit(1 << 40)) < int(share * (1 << 40)))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    docs = docs.join(F.broadcast(trusted), F.col("doc_id") == F.col("_trusted"), "left")
+    docs = docs.join(F.broadcast(trusted) if trusted.count() <= TRUSTED else trusted, F.col("doc_id") == F.col("_trusted"), "left")
     half = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2
     role = F.when(F.col("_trusted").isNull(), 0).otherwise(1 + half.cast("int"))  # 1 trains, 2 sets the threshold
     docs = docs.select("doc_id", "lang", "text", role.alias("role"))
