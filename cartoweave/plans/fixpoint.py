@@ -11,23 +11,27 @@ from pyspark.sql import functions as F
 from cartoweave.plans.components import ensure_checkpoint_dir
 
 
-def dealt(df: DataFrame, key: str) -> DataFrame:
-    """df, cut off as by checkpoint(), dealt and sorted by a key; joins on the key don't shuffle it again.
-
-    Only a plan that was made without adaptive execution keeps its partitioning in a checkpoint, so
-    the setting is off while df is computed.  A key's rows stay in one task: for graphs of bounded degree.
-    """
+def kept(df: DataFrame) -> DataFrame:
+    """df, cut off as by checkpoint(), with its partitioning, which only a plan that was made without adaptive execution keeps; so the setting is off while df is computed."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     setting = "spark.sql.adaptive.enabled"
     before = spark.conf.get(setting)
     spark.conf.set(setting, "false")
     try:
-        return df.repartition(key).sortWithinPartitions(key).checkpoint()
+        return df.checkpoint()
     finally:
         spark.conf.set(setting, before)
 
 
+def dealt(df: DataFrame, key: str, parts: int | None = None) -> DataFrame:
+    """df, cut off, dealt and sorted by a key, to `parts` tasks if given; joins on the key don't shuffle it again.
+
+    A key's rows stay in one task: for graphs of bounded degree.
+    """
+    return kept(df.repartition(*([parts] if parts else []), key).sortWithinPartitions(key))
+
+
 def settle(start: DataFrame, edges: DataFrame, step: Callable[[Column], Column], on_round: Callable[[int, int], None] | None = None) -> DataFrame:
     """The least value of each node that start (node, value) and steps along edges (src, dst, ...) can reach.
 

@@ -1,6 +1,9 @@
 """What goes through the driver, and how many rounds a wind takes."""
 
+from pyspark.sql import functions as F
+
 from cartoweave.operators import graph as N
+from cartoweave.plans.fixpoint import dealt
 from cartoweave.queries import QUERIES
 from cartoweave.session import MEASURED, broadcast_by_measure
 
@@ -32,3 +35,32 @@ def test_frozen_segments_take_no_rounds(spark):
     spark.sparkContext._jsc.clearJobGroup()
     assert sorted(map(tuple, found.collect())) == whole
     assert jobs < 100
+
+
+def test_an_expansion_shuffles_its_steps_alone(spark):
+    """Two owners along a chain of 14 cells, each with costs of its own: a round is a job and a look at what came of it, and what is known stays where it is."""
+    n = 14
+    cells = spark.createDataFrame([(i, float(i % 3)) for i in range(n)], "cell_id long, toll double")
+    edges = spark.createDataFrame([(a, b) for i in range(n - 1) for a, b in ((i, i + 1), (i + 1, i))], "src long, dst long")
+    seeds = spark.createDataFrame([(0, 1, 1.0), (n - 1, 2, 2.0)], "cell_id long, owner long, pace double")
+    want, left, right = {}, [0.0], [0.0]
+    for i in range(1, n - 1):
+        left.append(left[-1] + (1 + i % 3) / 1.0)
+        right.append(right[-1] + (1 + (n - 1 - i) % 3) / 2.0)
+    for i in range(n):
+        ways = ([(left[i], 1)] if i < n - 1 else []) + ([(right[n - 1 - i], 2)] if i else [])
+        want[i] = min((v, o) for v, o in ways if v <= 50)
+    spark.sparkContext.setJobGroup("expansion", "")
+    found = N.expand_by_owner(seeds, cells, edges, (1 + F.col("toll")) / F.col("pace"), 50)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("expansion"))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert {r[0]: (r[1], r[2]) for r in found.collect()} == want
+    assert jobs < 70
+    a, b = (dealt(spark.range(9).selectExpr("id AS cell_id", f"id * {k} AS owner"), "cell_id", 4) for k in (2, 3))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = a.unionByName(b).groupBy("cell_id", "owner").count()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert "Exchange" not in plan
