@@ -73,3 +73,27 @@ def gather_downstream(flow: DataFrame, max_rounds: int = 64) -> DataFrame:
         ahead = state.select(F.col("node").alias("to"), F.col("to").alias("next"))
         state = state.join(gain, "node", "left").join(ahead, "to", "left").select("node", F.col("next").alias("to"), (F.col("total") + F.coalesce("gain", F.lit(0))).alias("total")).checkpoint()
     raise RuntimeError("the flow has a cycle")
+
+
+def stems(forest: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(node, stem, depth): the root above each node of a forest (node, to; to is null for a root), and how many steps it is away.
+
+    Only nodes that others hang on take part in the rounds, by pointer doubling: after k rounds those less than 2**k steps
+    below their root are done.  The others are one step below one of these, and are joined once.
+    """
+    ensure_checkpoint_dir(forest.sparkSession)
+    forest = forest.select("node", "to").checkpoint()
+    inner = forest.join(forest.select(F.col("to").alias("node")).where("node IS NOT NULL").distinct(), "node", "left_semi")
+    root = F.col("to").isNull()
+    state = inner.select("node", F.coalesce("to", "node").alias("up"), F.when(root, 0).otherwise(1).cast("long").alias("depth"), root.alias("done")).checkpoint()
+    for _ in range(max_rounds):
+        climbing = state.where("NOT done")
+        if climbing.isEmpty():
+            break
+        ahead = state.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("done").alias("there"))
+        moved = climbing.join(ahead, "up").select("node", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.col("there").alias("done"))
+        state = state.where("done").unionByName(moved).checkpoint()
+    else:
+        raise RuntimeError("the forest has a cycle")
+    below = forest.where("to IS NOT NULL").join(state.select(F.col("node").alias("to"), F.col("up").alias("stem"), "depth"), "to").select("node", "stem", (F.col("depth") + 1).alias("depth"))
+    return below.unionByName(forest.where("to IS NULL").select("node", F.col("node").alias("stem"), F.lit(0).cast("long").alias("depth")))

@@ -1,9 +1,10 @@
 """What goes through the driver, and how many rounds a wind takes."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from cartoweave.operators import graph as N
-from cartoweave.plans.fixpoint import dealt
+from cartoweave.plans.fixpoint import dealt, stems
 from cartoweave.queries import QUERIES
 from cartoweave.session import MEASURED, broadcast_by_measure
 
@@ -64,3 +65,24 @@ def test_an_expansion_shuffles_its_steps_alone(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
     assert "Exchange" not in plan
+
+
+def test_a_long_line_of_rivers_takes_few_jobs(spark, tmp_path):
+    """Each of 60 rivers ends in the one before, and ten end in the last but one: rounds follow the logarithm of the depth."""
+    n = 60
+    ends = [(i, i - 1) for i in range(1, n)] + [(n + i, n - 2) for i in range(10)]
+    rows = [(i, 1, i, 0, 1.0) for i in range(n + 10)] + [(i, 2, to, 0, 1.0) for i, to in ends]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(n + 10).selectExpr("id AS p_partkey", "25 AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    spark.sparkContext.setJobGroup("rivers", "")
+    found = {r.river_id: (r.stem, r.depth) for r in QUERIES["river_hierarchy"](spark, str(tmp_path)).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("rivers"))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert found == {i: (0, i if i < n else n - 1) for i in range(n + 10)}
+    assert jobs < 120
+
+
+def test_stems_of_a_cycle_raise(spark):
+    with pytest.raises(RuntimeError, match="cycle"):
+        stems(spark.createDataFrame([(1, 2), (2, 1), (3, None)], "node long, to long"), 4)
+    assert stems(spark.createDataFrame([], "node long, to long")).count() == 0
