@@ -3,7 +3,8 @@
 A program is drawn once, on the driver, into at most some dozens of blobs (`drawn`); what grows from them is computed in blocks
 of the graph (plans.blocks).  A cell's label for a blob is (hops from its start, height): of the neighbours one hop nearer, the one
 that gives most counts.  That order has no cycle, so blocks may settle by themselves and correct each other, and the result is
-that of going ring by ring.  A hill's label reaches every cell of the map, as heights must be known to be none; lines end with their rings.
+that of going ring by ring.  A cell behind a ring that has no height left would get none, so a hill's labels go HOPS far, and farther only
+while the last ring is alive; lines end with their rings.
 
 Commands that follow each other and grow something are one run: their places are chosen by the heights before the run, and
 their amounts are added in their order.  Noise is a hash of blob and cell by whole numbers, so results don't depend on
@@ -12,6 +13,7 @@ partitions.  Heights stay within 0 and 100 and are rounded to six places after e
 
 from __future__ import annotations
 
+from itertools import count
 from typing import NamedTuple
 
 import numpy as np
@@ -30,6 +32,9 @@ DEFAULT_BLOB, DEFAULT_LINE = 0.98, 0.81
 #: Places that a blob tries, the highest that a hill may make its place, and the lowest place of a pit or trough.
 PLACES, TOP, LAND = 50, 90, 20
 
+#: Hops that a blob grows at first; one with height left in its last ring starts again, four times as far.
+HOPS = 256
+
 GROWING = ("Hill", "Pit", "Range", "Trough", "Strait")
 _STEP = 256  # of labels: hops * _STEP + _STEP - 1 - height
 
@@ -181,7 +186,7 @@ def grown(graph: DataFrame, start: DataFrame, blobs: list[Blob], order: list[int
     start: node, owner (a place in blobs).  An amount is added, or for a strait the power to which the height is raised.
     """
     seeds, blobby = np.array([b.seed for b in blobs]), np.array([not b.line for b in blobs])
-    reach = np.array([b.reach(line_power) if b.line else np.iinfo(np.int64).max for b in blobs])
+    reach = np.array([b.reach(line_power) if b.line else HOPS for b in blobs])
     tops = np.array([b.top for b in blobs])
 
     def step(b, label, ids):
@@ -221,6 +226,15 @@ def grown(graph: DataFrame, start: DataFrame, blobs: list[Blob], order: list[int
         best = best[np.concatenate([[True], (d[1:] != d[:-1]) | (o[1:] != o[:-1])])] if len(best) else best
         return {"ids": g["ids"], "label": label}, (g["cut_to"][cut][best], g["cut_dst"][cut][best], new[best], b[best])
 
+    def alive(batches):
+        for batch in batches:
+            for data in batch.column("data"):
+                s = blocks.unpack(data.as_py())
+                label = s["label"].reshape(-1, len(s["ids"]))
+                b, at = np.nonzero(np.isfinite(label) & blobby[:, None])
+                on = (label[b, at] // _STEP == reach[b]) & (_STEP - 1 - label[b, at] % _STEP > 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(b[on]), pa.int64())], ["owner"])
+
     top = F.element_at(F.array(*[F.lit(float(_STEP - 1 - (0 if b.line else b.top))) for b in blobs]), (F.col("owner") + 1).cast("int"))
     first = start.select(block_of(F.col("node")).alias("block"), "node", top.alias("value"), "owner")
 
@@ -245,7 +259,13 @@ def grown(graph: DataFrame, start: DataFrame, blobs: list[Blob], order: list[int
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(order)), pa.array(out.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([pa.array(s["ids"]), flat], ["cell_id", "amounts"])
 
-    return blocks.rounds(graph, first, solve, where).select("data").mapInArrow(amounts, "cell_id long, amounts array<double>")
+    for attempt in count():
+        found = blocks.rounds(graph, first, solve, f"{where}/{attempt}").select("data")
+        farther = [r[0] for r in found.mapInArrow(alive, "owner long").distinct().collect()] if blobby.any() else []  # a few dozens at most
+        if not farther:
+            return found.mapInArrow(amounts, "cell_id long, amounts array<double>")
+        reach = reach.copy()
+        reach[farther] *= 4
 
 
 def _kept(h: Column) -> Column:

@@ -95,3 +95,28 @@ def test_edge_cases(spark):
     assert [r.height for r in terrain.heights(alone, no_edges, ["Hill 1 40 0-100 0-100", "Smooth 2 0 0 0", "Add 2 all 0 0"], 1).collect()] == [42]
     with pytest.raises(ValueError, match="unknown command"):
         terrain.drawn(["Hills 1 2 3 4"], 1)
+
+
+def test_hills_go_no_farther_than_their_heights(spark, monkeypatch):
+    """A lattice of 3 by 400 in 16 blocks: a low hill at one end touches few of them, and one that starts again and again as it is alive comes to the same."""
+    monkeypatch.setattr(blocks, "FEWEST", 100)
+    wide, n = 3, 1200
+    cells = spark.range(n).selectExpr("id AS cell_id", f"id % {wide} AS x", f"id div {wide} AS y").checkpoint()
+    edges = spark.createDataFrame([(a, b) for i in range(n) for j in ([i + 1] if i % wide < wide - 1 else []) + ([i + wide] if i + wide < n else []) for a, b in ((i, j), (j, i))], "src long, dst long")
+    touched, rounds = [], blocks.rounds
+
+    def counted(*args):
+        touched.append((found := rounds(*args)).count())
+        return found
+
+    monkeypatch.setattr(blocks, "rounds", counted)
+    grown = lambda: {r.cell_id: r.height for r in terrain.heights(cells, edges, ["Hill 1 40 0-100 0-1", "Pit 1 10 0-100 0-1", "Add 2 all 0 0"], 3, 1000).collect()}
+    monkeypatch.setattr(terrain, "HOPS", 10**6)
+    want = grown()
+    assert touched == [16] and max(want.values()) > 20
+    monkeypatch.setattr(terrain, "HOPS", 64)
+    assert grown() == want
+    assert len(touched) == 2 and touched[1] <= 3
+    monkeypatch.setattr(terrain, "HOPS", 2)
+    assert grown() == want
+    assert len(touched) > 3 and max(touched[2:]) <= 3
