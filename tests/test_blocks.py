@@ -112,3 +112,15 @@ def test_gathered(spark, small):
 def test_a_cycle_is_an_error(spark):
     with pytest.raises(Exception, match="cycle"):
         blocks.gathered(spark.createDataFrame([(0, 1, 1), (1, 0, 1)], "node long, to long, amount long")).collect()
+
+
+def test_rounds_of_more_blocks_than_are_named(spark, monkeypatch):
+    """Where some rounds have more active blocks than a plan names and others fewer, each block goes on from its last state."""
+    monkeypatch.setattr(blocks, "FEWEST", 20)
+    n = 120
+    edges = spark.createDataFrame([(a, b, 1.0) for i in range(n - 1) for a, b in ((i, i + 1), (i + 1, i))], "src long, dst long, w double")
+    start = spark.createDataFrame([(0, 0.0), (50, 60.0), (51, 0.0), (n - 1, 300.0)], "node long, value double")
+    want = {i: float(min(i, abs(i - 51))) for i in range(n)}
+    for named in (1, 2):
+        monkeypatch.setattr(blocks, "NAMED", named)
+        assert {r.node: r.value for r in blocks.settle(start, edges).collect()} == want
